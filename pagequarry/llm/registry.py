@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate
+from pagequarry.llm import decontaminate, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
