@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, simhash
+from pagequarry.llm import decontaminate, repeats, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op6_repeats": repeats.op6_repeats,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
+    "op6_repeats": repeats.ORACLE_SQL,
     "op1_decontaminate": decontaminate.ORACLE_SQL,
 }
