@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, repeats, simhash
+from pagequarry.llm import decontaminate, repeats, simhash, suffixes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op6_repeats": repeats.op6_repeats,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLES = {
