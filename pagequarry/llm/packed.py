@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pagequarry.llm.common import U64, as_bytes
 
 MESSAGES = "bucket long, chunk long, body binary"
+ANSWERS = "level long, bucket long, chunk long, body binary"
 
 
 def text_bytes(keyed: DataFrame) -> int:
@@ -81,5 +82,43 @@ def received(bucket: pa.Table) -> list[tuple[int, bytes]]:
     return sorted(zip(bucket.column("chunk").to_pylist(), bucket.column("body").to_pylist(), strict=True))
 
 
-def answers(table: pa.Table) -> list[tuple[int, bytes]]:
-    return sorted(zip(table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True))
+def told(bucket: pa.Table, level: int, got: list[tuple[int, bytes]], bodies: list[bytes]) -> pa.Table:
+    number = bucket.column("bucket")[0].as_py()
+    return pa.table({"level": pa.array([level] * len(got), pa.int64()), "bucket": pa.array([number] * len(got), pa.int64()), "chunk": pa.array([c for c, _ in got], pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+
+def pack_keys(keys: np.ndarray, several: np.ndarray) -> bytes:
+    """48 bits of each key and one bit of flag; a bucket is known by the bits above."""
+    return len(keys).to_bytes(4, "little") + np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() + np.packbits(several).tobytes()
+
+
+def unpack_keys(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(body[:4], "little")
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(body, np.uint8, count=6 * n, offset=4).reshape(n, 6)
+    return wide.view(U64).reshape(n), np.unpackbits(np.frombuffer(body, np.uint8, offset=4 + 6 * n), count=n).astype(bool)
+
+
+def answer_keys(level: int):
+    """A bit for each key that was asked: in several documents, as chunks share no document."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        got = received(bucket)
+        parts = [unpack_keys(body) for _, body in got]
+        distinct, rank, count = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+        several = np.zeros(len(distinct), dtype=bool)
+        several[rank[np.concatenate([p[1] for p in parts])]] = True
+        yes = ((count > 1) | several)[rank]
+        bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        return told(bucket, level, got, [np.packbits(yes[lo:hi]).tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)])
+
+    return run
+
+
+def split_levels(replies: pa.Table | None) -> dict[int, list[tuple[int, bytes]]]:
+    """A chunk's answers by level: (bucket, body)."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    if replies is not None:
+        for level, bucket, body in zip(replies.column("level").to_pylist(), replies.column("bucket").to_pylist(), replies.column("body").to_pylist(), strict=True):
+            out.setdefault(level, []).append((bucket, body))
+    return out

@@ -11,14 +11,13 @@ holds no repeated gram drops out, and the levels end early when no candidate sur
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagequarry.llm.common import NONSPACE, U64, Words, covered, every_gram, grams, keyed, power, prefix, runs, slices, table
-from pagequarry.llm.packed import MESSAGES, answers, bucket_count, by_bucket, dealt, in_order, messages, pack, received, unpack
+from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, pack, pack_keys, received, split_levels, told, unpack
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 4 << 20
@@ -137,18 +136,10 @@ class Levels:
         out = np.zeros(len(keys[0]), dtype=bool)
         found = dict(replies)
         for bucket, lo, hi in by_bucket(keys[0], self.buckets):
-            out[lo:hi] = np.unpackbits(np.frombuffer(zlib.decompress(found[bucket]), np.uint8), count=hi - lo).astype(bool)
+            out[lo:hi] = np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=hi - lo).astype(bool)
         return out
 
 
-def split_levels(replies: pa.Table | None) -> dict[int, list[tuple[int, bytes]]]:
-    out: dict[int, list[tuple[int, bytes]]] = {}
-    if replies is not None:
-        for level, bucket, body in zip(replies.column("level").to_pylist(), replies.column("bucket").to_pylist(), replies.column("body").to_pylist(), strict=True):
-            out.setdefault(level, []).append((bucket, body))
-    return out
-
-
 def asker(levels: Levels, level: int):
     """Cogrouped chunk and earlier answers to this level's packed questions."""
     size = levels.sizes[level]
@@ -160,7 +151,9 @@ def asker(levels: Levels, level: int):
         corpus = Corpus(ids, texts)
         _, at = levels.state(corpus, split_levels(replies), level)
         keys, _, least, several = levels.ask(corpus, at, size)
-        return messages([(b, number, pack(*(k[lo:hi] for k in keys), least[lo:hi], several[lo:hi])) for b, lo, hi in by_bucket(keys[0], levels.buckets)])
+        if size < levels.window:
+            return messages([(b, number, pack_keys(keys[0][lo:hi], several[lo:hi])) for b, lo, hi in by_bucket(keys[0], levels.buckets)])
+        return messages([(b, number, pack(*(k[lo:hi] for k in keys), least[lo:hi])) for b, lo, hi in by_bucket(keys[0], levels.buckets)])
 
     return run
 
@@ -174,33 +167,18 @@ def alone(ask):
     return run
 
 
-def answerer(final: bool, level: int):
-    """Whether a gram is in two documents at least; at the last level, whether a smaller document than the chunk's least holds it."""
-    kinds = [U64] * (1 + final) + [np.int64, np.bool_]
+def answer_windows(level: int):
+    """For each window that was asked, whether a smaller document than the chunk's least holds it."""
 
     def run(bucket: pa.Table) -> pa.Table:
         got = received(bucket)
-        parts = [unpack(body, *kinds) for _, body in got]
-        sizes = [len(p[0]) for p in parts]
-        columns = [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))]
-        *keys, least, several = columns
-        by, new = group_heads(keys, least)
-        heads = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        first = least[by][heads]
-        if final:
-            yes = least[by] > first[group]
-        else:
-            most = np.maximum.reduceat(least[by], heads)
-            yes = ((most > first) | np.maximum.reduceat(several[by], heads))[group]
+        parts = [unpack(body, U64, U64, np.int64) for _, body in got]
+        first, second, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        by, new = group_heads([first, second], least)
         flags = np.empty(len(by), dtype=bool)
-        flags[by] = yes
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        number = bucket.column("bucket")[0].as_py()
-        return pa.table({
-            "level": pa.array([level] * len(got), pa.int64()), "bucket": pa.array([number] * len(got), pa.int64()),
-            "chunk": pa.array([c for c, _ in got], pa.int64()), "body": pa.array([pack(np.packbits(flags[lo:hi])) for lo, hi in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-        })
+        flags[by] = least[by] > least[by][np.flatnonzero(new)][np.cumsum(new) - 1]
+        bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        return told(bucket, level, got, [np.packbits(flags[lo:hi]).tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)])
 
     return run
 
@@ -267,12 +245,12 @@ def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id
     levels = Levels(window, sizes, bucket_count(words / 10))
     grouped = chunks.groupBy("chunk")
     replies = None
-    answered = "level long, bucket long, chunk long, body binary"
     for level in range(len(sizes)):
         ask = asker(levels, level)
         asked = grouped.applyInArrow(alone(ask), MESSAGES) if replies is None else grouped.cogroup(replies.groupBy("chunk")).applyInArrow(ask, MESSAGES)
-        told = asked.groupBy("bucket").applyInArrow(answerer(level == len(sizes) - 1, level), answered)
-        replies = told if replies is None else replies.unionByName(told)
+        answer = answer_windows(level) if sizes[level] == window else answer_keys(level)
+        answered = asked.groupBy("bucket").applyInArrow(answer, ANSWERS)
+        replies = answered if replies is None else replies.unionByName(answered)
     return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(finisher(levels), RESULT)
 
 

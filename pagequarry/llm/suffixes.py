@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import U64, as_bytes, covered, every_gram, keyed, prefix, runs, slices, table
-from pagequarry.llm.packed import MESSAGES, bucket_count, by_bucket, dealt, in_order, messages, received
-from pagequarry.llm.repeats import NO_DOC, least_at, null_ids, split_levels
+from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, pack_keys, received, split_levels, told
+from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
 
 #: Bytes of the grams that stand for windows.
 GRAM = 24
@@ -32,7 +32,6 @@ BUCKET_BYTES = 2 << 20
 #: Documents and grams of each that are sampled for splitters; they decide only how even the buckets are.
 SAMPLE_DOCS, SAMPLE_GRAMS = 4000, 8
 
-ANSWERS = "level long, bucket long, chunk long, body binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string"
 
 
@@ -109,18 +108,6 @@ class Chunk:
         return buckets, where, mine, np.array(firsts, dtype=np.int64)
 
 
-def pack_keys(keys: np.ndarray, several: np.ndarray) -> bytes:
-    """48 bits of each key and one bit of flag; a bucket is known by the bits above."""
-    return len(keys).to_bytes(4, "little") + np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() + np.packbits(several).tobytes()
-
-
-def unpack_keys(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(body[:4], "little")
-    wide = np.zeros((n, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(body, np.uint8, count=6 * n, offset=4).reshape(n, 6)
-    return wide.view(U64).reshape(n), np.unpackbits(np.frombuffer(body, np.uint8, offset=4 + 6 * n), count=n).astype(bool)
-
-
 def ask_grams(window: int, buckets: int):
     def run(chunk: pa.Table) -> pa.Table:
         c = Chunk(chunk, window)
@@ -130,24 +117,6 @@ def ask_grams(window: int, buckets: int):
     return run
 
 
-def answer_grams(bucket: pa.Table) -> pa.Table:
-    """A bit for each key: in several documents, as chunks share no document."""
-    got = received(bucket)
-    parts = [unpack_keys(body) for _, body in got]
-    keys = np.concatenate([p[0] for p in parts])
-    distinct, rank, count = np.unique(keys, return_inverse=True, return_counts=True)
-    several = np.zeros(len(distinct), dtype=bool)
-    several[rank[np.concatenate([p[1] for p in parts])]] = True
-    yes = ((count > 1) | several)[rank]
-    bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-    return told(bucket, 0, got, [np.packbits(yes[lo:hi]).tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)])
-
-
-def told(bucket: pa.Table, level: int, got: list[tuple[int, bytes]], bodies: list[bytes]) -> pa.Table:
-    number = bucket.column("bucket")[0].as_py()
-    return pa.table({"level": pa.array([level] * len(got), pa.int64()), "bucket": pa.array([number] * len(got), pa.int64()), "chunk": pa.array([c for c, _ in got], pa.int64()), "body": pa.array(bodies, pa.binary())})
-
-
 def ask_suffixes(window: int, buckets: int, splitters):
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
@@ -306,7 +275,7 @@ def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str =
     buckets = bucket_count(n * chunk_bytes / 14)
     splitters = source.sparkSession.sparkContext.broadcast(sample_splitters(source, window, max(1, n * chunk_bytes // bucket_bytes)))
     grouped = chunks.groupBy("chunk")
-    repeated = grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_grams, ANSWERS)
+    repeated = grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS)
     asked = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(ask_suffixes(window, buckets, splitters), MESSAGES)
     sorted_out = asked.groupBy("bucket").applyInArrow(answer_suffixes(window), ANSWERS)
     return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(finish(window, buckets, splitters), RESULT)
