@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, repeats, simhash, suffixes
+from pagequarry.llm import decontaminate, langmodel, repeats, simhash, suffixes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op6_repeats": repeats.op6_repeats,
     "op7_suffixes": suffixes.op7_suffixes,
     "op9_simhash": simhash.op9_simhash,
+    "op10_langmodel": langmodel.op10_langmodel,
 }
 ORACLES = {
     "op6_repeats": repeats.ORACLE_SQL,
