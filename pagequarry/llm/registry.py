@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, langmodel, repeats, simhash, suffixes
+from pagequarry.llm import decontaminate, langmodel, repeats, simhash, suffixes, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_topk": topk.op4_topk,
     "op6_repeats": repeats.op6_repeats,
     "op7_suffixes": suffixes.op7_suffixes,
     "op9_simhash": simhash.op9_simhash,
     "op10_langmodel": langmodel.op10_langmodel,
 }
 ORACLES = {
+    "op4_topk": topk.ORACLE_SQL,
     "op6_repeats": repeats.ORACLE_SQL,
     "op1_decontaminate": decontaminate.ORACLE_SQL,
 }
