@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, langmodel, repeats, simhash, suffixes, topk
+from pagequarry.llm import decontaminate, langmodel, packing, repeats, simhash, suffixes, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_topk": topk.op4_topk,
+    "op5_packing": packing.op5_packing,
     "op6_repeats": repeats.op6_repeats,
     "op7_suffixes": suffixes.op7_suffixes,
     "op9_simhash": simhash.op9_simhash,
