@@ -1,7 +1,8 @@
 """Operator 5, packing into fixed windows by Karmarkar-Karp multiway differencing.
 
-Each document is cut into full windows and one remainder. The remainders of ``GROUP``
-documents at a time are dealt to the least number of windows that could hold them:
+Each document is cut into full windows and a remainder, and the remainder into equal pieces
+of at most a quarter of a window, so that windows hold several pieces and can be made even.
+``GROUP`` such pieces at a time are dealt to the least number of windows that could hold them:
 differencing keeps partial partitions in a heap by imbalance and merges the two worst, the
 fullest part of one with the emptiest of the other, which leaves windows of nearly equal
 length. If the fullest still exceeds the capacity, the number of windows rises and the group
@@ -99,8 +100,13 @@ class Packer:
     def add(self, doc_id, ids: np.ndarray) -> None:
         """``ids`` are a document's, with its end."""
         total = len(ids)
-        for start in range(0, total, self.capacity):
-            piece = ids[start : start + self.capacity]
+        whole = total - total % self.capacity
+        cuts = list(range(0, whole, self.capacity))
+        if rest := total - whole:
+            n = -(-rest // max(1, self.capacity // 4))
+            cuts += [whole + rest * i // n for i in range(n)]
+        for start, end in zip(cuts, [*cuts[1:], total], strict=True):
+            piece = ids[start:end]
             row = (doc_id, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), total, piece)
             if len(piece) == self.capacity:
                 self.place(row, 0)
