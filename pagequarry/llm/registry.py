@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, langmodel, packing, repeats, simhash, suffixes, topk
+from pagequarry.llm import decontaminate, langmodel, packing, quality, repeats, simhash, suffixes, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_quality": quality.op3_quality,
     "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
     "op6_repeats": repeats.op6_repeats,
