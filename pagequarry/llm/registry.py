@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, langmodel, packing, quality, repeats, simhash, suffixes, topk
+from pagequarry.llm import decontaminate, langmodel, packing, quality, repeats, simhash, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_repeats": repeats.op6_repeats,
     "op7_suffixes": suffixes.op7_suffixes,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_langmodel": langmodel.op10_langmodel,
 }
