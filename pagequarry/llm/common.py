@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes handled at once; a longer single text is its own slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

@@ -29,6 +29,8 @@ GRAM = 24
 #: Bytes of text in a chunk, and of text for each bucket of the suffix sort.
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 2 << 20
+#: Windows that are sorted at once.
+SORT_WINDOWS = 1 << 17
 #: Documents and grams of each that are sampled for splitters; they decide only how even the buckets are.
 SAMPLE_DOCS, SAMPLE_GRAMS = 4000, 8
 
@@ -91,19 +93,20 @@ class Chunk:
         data, s = self.s.data, self.s
         seen: dict[bytes, int] = {}
         mine = np.empty(len(alive), dtype=np.int64)
-        buckets: dict[int, list[tuple[bytes, int]]] = {}
+        buckets: dict[int, list[tuple[bytes, int, int]]] = {}
         where: list[tuple[int, int]] = []
         firsts: list[int] = []
-        for i, k in enumerate(alive.tolist()):
-            text = data[s.low[k] : s.high[k] + s.window]
+        low, stop, place, docs = (x[alive].tolist() for x in (s.low, s.high + s.window, s.place, self.docs))
+        for i in range(len(alive)):
+            text = data[low[i] : stop[i]]
             r = seen.get(text)
             if r is None:
                 r = seen[text] = len(where)
-                bucket = bisect_right(splitters, data[s.place[k] : s.place[k] + s.gram])
+                bucket = bisect_right(splitters, data[place[i] : place[i] + s.gram])
                 own = buckets.setdefault(bucket, [])
                 where.append((bucket, len(own)))
-                own.append((text, int(self.docs[k])))
-                firsts.append(int(self.docs[k]))
+                own.append((text, place[i] - low[i], docs[i]))
+                firsts.append(docs[i])
             mine[i] = r
         return buckets, where, mine, np.array(firsts, dtype=np.int64)
 
@@ -126,9 +129,10 @@ def ask_suffixes(window: int, buckets: int, splitters):
         parts, *_ = c.records(alive, splitters.value)
         rows = []
         for bucket, own in sorted(parts.items()):
-            sizes = np.array([len(t) for t, _ in own], dtype=np.uint32)
-            docs = np.array([d for _, d in own], dtype=np.int64)
-            rows.append((bucket, c.number, len(own).to_bytes(4, "little") + sizes.tobytes() + docs.tobytes() + b"".join(t for t, _ in own)))
+            sizes = np.array([len(t) for t, _, _ in own], dtype=np.uint16)
+            places = np.array([p for _, p, _ in own], dtype=np.uint8)
+            docs = np.array([d for _, _, d in own], dtype=np.int64)
+            rows.append((bucket, c.number, len(own).to_bytes(4, "little") + sizes.tobytes() + places.tobytes() + docs.tobytes() + b"".join(t for t, _, _ in own)))
         return messages(rows)
 
     return run
@@ -165,31 +169,77 @@ def multikey_groups(data: bytes, at: np.ndarray, width: int) -> np.ndarray:
     return group
 
 
-def answer_suffixes(window: int):
+def read_records(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Sizes, places of the gram, documents and texts of a message's records."""
+    n = int.from_bytes(body[:4], "little")
+    return np.frombuffer(body, np.uint16, count=n, offset=4), np.frombuffer(body, np.uint8, count=n, offset=4 + 2 * n), np.frombuffer(body, np.int64, count=n, offset=4 + 3 * n), body[4 + 11 * n :]
+
+
+def earlier_windows(texts: list[bytes], least: np.ndarray, window: int) -> np.ndarray:
+    """Of each text's windows, those that another of the texts has with a smaller document: 32-bit masks."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    count = size - window + 1
+    owner = np.repeat(np.arange(len(texts)), count)
+    j = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    group = multikey_groups(b"".join(texts), np.repeat(np.cumsum(size) - size, count) + j, window)
+    _, rank = np.unique(group, return_inverse=True)
+    first = np.full(rank.max() + 1, NO_DOC, dtype=np.int64)
+    np.minimum.at(first, rank, least[owner])
+    gone = least[owner] > first[rank]
+    masks = np.zeros(len(texts), dtype=np.uint32)
+    np.bitwise_or.at(masks, owner[gone], np.uint32(1) << j[gone].astype(np.uint32))
+    return masks
+
+
+def answer_suffixes(window: int, gram: int):
+    """Of each record's windows, those that a smaller document than the record's has: 32-bit masks.
+
+    Records of one text are one suffix with the least of their documents. Distinct suffixes
+    are sorted by their gram; only where suffixes with equal grams differ further out are
+    their windows sorted, a bounded number of windows at a time.
+    """
+
     def run(bucket: pa.Table) -> pa.Table:
-        """Of each record's windows, those that a smaller document than the record's has: 32-bit masks."""
         got = received(bucket)
-        sizes, docs, texts = [], [], []
+        known: dict[bytes, int] = {}
+        texts: list[bytes] = []
+        grams: list[bytes] = []
+        which, docs, counts = [], [], []
         for _, body in got:
-            n = int.from_bytes(body[:4], "little")
-            sizes.append(np.frombuffer(body, np.uint32, count=n, offset=4))
-            docs.append(np.frombuffer(body, np.int64, count=n, offset=4 + 4 * n))
-            texts.append(body[4 + 12 * n :])
-        size, doc, data = np.concatenate(sizes).astype(np.int64), np.concatenate(docs), b"".join(texts)
-        count = size - window + 1
-        first = np.concatenate([[0], np.cumsum(count)])
-        starts = np.cumsum(size) - size
-        record = np.repeat(np.arange(len(size)), count)
-        j = np.arange(first[-1]) - first[record]
-        group = multikey_groups(data, starts[record] + j, window)
-        _, rank = np.unique(group, return_inverse=True)
-        least = np.full(rank.max() + 1, NO_DOC, dtype=np.int64)
-        np.minimum.at(least, rank, doc[record])
-        gone = doc[record] > least[rank]
-        masks = np.zeros(len(size), dtype=np.uint32)
-        np.bitwise_or.at(masks, record[gone], np.uint32(1) << j[gone].astype(np.uint32))
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sizes])])
-        return told(bucket, 1, got, [masks[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)])
+            sizes, places, doc, data = read_records(body)
+            at = 0
+            for size, place in zip(sizes.tolist(), places.tolist(), strict=True):
+                text = data[at : at + size]
+                at += size
+                i = known.setdefault(text, len(texts))
+                if i == len(texts):
+                    texts.append(text)
+                    grams.append(text[place : place + gram])
+                which.append(i)
+            docs.append(doc)
+            counts.append(len(sizes))
+        which, docs = np.array(which), np.concatenate(docs)
+        least = np.full(len(texts), NO_DOC, dtype=np.int64)
+        np.minimum.at(least, which, docs)
+        masks = np.zeros(len(texts), dtype=np.uint32)
+        group = multikey_groups(b"".join(grams), np.arange(len(texts)) * gram, gram)
+        by = np.argsort(group, kind="stable")
+        ends = np.concatenate([np.flatnonzero(np.diff(group[by])) + 1, [len(by)]])
+        held: list[int] = []
+        start, windows = 0, 0
+        for end in ends.tolist():
+            if end - start > 1:
+                own = by[start:end].tolist()
+                held += own
+                windows += sum(len(texts[i]) for i in own) - len(own) * (window - 1)
+            start = end
+            if held and (windows >= SORT_WINDOWS or end == len(by)):
+                masks[held] = earlier_windows([texts[i] for i in held], least[held], window)
+                held, windows = [], 0
+        every = np.array([(1 << (len(t) - window + 1)) - 1 for t in texts], dtype=np.uint32)
+        out = np.where(docs > least[which], every[which], masks[which])
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        return told(bucket, 1, got, [out[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)])
 
     return run
 
@@ -272,12 +322,12 @@ def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str =
         raise ValueError("a window is at most 55 bytes")
     source = keyed(documents, id_col, text_col)
     chunks, n = dealt(source, chunk_bytes)
-    buckets = bucket_count(n * chunk_bytes / 14)
+    buckets = bucket_count(n * chunk_bytes / 14, 1 << 18)
     splitters = source.sparkSession.sparkContext.broadcast(sample_splitters(source, window, max(1, n * chunk_bytes // bucket_bytes)))
     grouped = chunks.groupBy("chunk")
     repeated = grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS)
     asked = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(ask_suffixes(window, buckets, splitters), MESSAGES)
-    sorted_out = asked.groupBy("bucket").applyInArrow(answer_suffixes(window), ANSWERS)
+    sorted_out = asked.groupBy("bucket").applyInArrow(answer_suffixes(window, min(GRAM, window)), ANSWERS)
     return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(finish(window, buckets, splitters), RESULT)
 
 
