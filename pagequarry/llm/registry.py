@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, langmodel, packing, quality, repeats, simhash, suffixes, topk, toxicity
+from pagequarry.llm import decontaminate, langmodel, packing, quality, repeats, simhash, suffixes, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_warc": warc.op2_warc,
     "op3_quality": quality.op3_quality,
     "op4_topk": topk.op4_topk,
     "op5_packing": packing.op5_packing,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_langmodel": langmodel.op10_langmodel,
 }
 ORACLES = {
+    "op2_warc": warc.ORACLE_SQL,
     "op4_topk": topk.ORACLE_SQL,
     "op6_repeats": repeats.ORACLE_SQL,
     "op1_decontaminate": decontaminate.ORACLE_SQL,

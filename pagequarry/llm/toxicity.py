@@ -1,6 +1,6 @@
 """Operator 8, toxicity by cumulative-link ordinal regression on sparse text features.
 
-Words that tell toxic from clean labelled texts are counted across the training rows and the
+Words and word beginnings that tell toxic from clean labelled texts are counted across the training rows and the
 most telling are the features. Severity has ordered grades: 0 for clean, and 1 to 3 for
 toxic texts by thirds of how dense telling words are in them. One weight vector is shared by
 all thresholds, P(grade <= k) = logistic(threshold_k - w.x), and the result is the expected
@@ -14,23 +14,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import Words, as_bytes, keyed, slices, table
+from pagequarry.llm.common import U64, Words, as_bytes, grams, keyed, mix, prefix, slices, table
 from pagequarry.llm.decontaminate import WORD_BYTES
 from pagequarry.llm.quality import held_out
 
 #: Labelled rows and feature words that a model has at most.
 TRAIN_ROWS, VOCABULARY = 20_000, 2048
 GRADES = 4
+#: Bytes of the word beginnings that are features besides whole words: inflected and compound forms share them.
+BEGINNINGS = (4, 5, 6, 7)
 LEAST_TEXTS = 3
 
 
 def word_counts(texts: list[bytes]):
-    """(text, word hash, count) arrays of distinct words of each text, a slice at a time, with the slice's first text."""
+    """(text, hash, count) arrays of the distinct words and word beginnings of each text, a slice at a time, with the slice's first text."""
     for lo, hi in slices(texts):
         words = Words(texts[lo:hi], WORD_BYTES, lower=True)
-        hashes = words.hashes()
-        by = np.lexsort((hashes, words.doc))
-        h, d = hashes[by], words.doc[by]
+        sums = prefix(words.data)
+        found, owner = [grams(sums, words.starts, words.ends)], [words.doc]
+        for size in BEGINNINGS:
+            long = words.ends - words.starts > size
+            found.append(mix(grams(sums, words.starts[long], words.starts[long] + size) + U64(size)))
+            owner.append(words.doc[long])
+        h, d = np.concatenate(found), np.concatenate(owner)
+        by = np.lexsort((h, d))
+        h, d = h[by], d[by]
         new = np.ones(len(by), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         at = np.flatnonzero(new)
