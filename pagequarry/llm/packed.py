@@ -39,10 +39,15 @@ def bucket_count(entries: float, per_bucket: int = 1 << 20) -> int:
     return 1 << max(4, math.ceil(math.log2(max(1.0, entries / per_bucket))))
 
 
-def in_order(chunk: pa.Table) -> tuple[int, list, list[bytes]]:
-    """Chunk number, ids and texts in an order of their own, whatever order the rows came in; null ids last."""
+def own_order(chunk: pa.Table) -> list[int]:
+    """A chunk's rows in an order of their own, by id and text, whatever order they came in; null ids last."""
     ids, texts = chunk.column("doc_id").to_pylist(), as_bytes(chunk.column("text"))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+
+
+def in_order(chunk: pa.Table) -> tuple[int, list, list[bytes]]:
+    """Chunk number, ids and texts in the chunk's own order."""
+    ids, texts, order = chunk.column("doc_id").to_pylist(), as_bytes(chunk.column("text")), own_order(chunk)
     return chunk.column("chunk")[0].as_py(), [ids[i] for i in order], [texts[i] for i in order]
 
 

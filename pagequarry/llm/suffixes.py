@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import U64, as_bytes, covered, every_gram, keyed, prefix, runs, slices, table
-from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, pack_keys, received, split_levels, told
+from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, own_order, pack_keys, received, split_levels, told
 from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
 
 #: Bytes of the grams that stand for windows.
@@ -257,7 +257,7 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def finish(window: int, buckets: int, splitters):
+def finish(window: int, buckets: int, splitters, carried: list[str]):
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean_text")}
         if chunk.num_rows:
@@ -285,7 +285,12 @@ def finish(window: int, buckets: int, splitters):
                 out["n_spans"].append(len(spans))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["clean_text"].append(None if (c.ids[d], text) in nulls else whole_characters(text, spans).decode())
-        return pa.table({k: pa.array(v, {"kept_sha256": pa.string(), "clean_text": pa.string()}.get(k, pa.int64())) for k, v in out.items()})
+        table = pa.table({k: pa.array(v, {"kept_sha256": pa.string(), "clean_text": pa.string()}.get(k, pa.int64())) for k, v in out.items()})
+        if carried:
+            rows = chunk.take(pa.array(own_order(chunk) if chunk.num_rows else [], pa.int64()))
+            for c in carried:
+                table = table.append_column(c, rows.column(c))
+        return table
 
     return run
 
@@ -307,7 +312,7 @@ def sample_splitters(source: DataFrame, window: int, buckets: int) -> list[bytes
     return sorted({found[len(found) * i // buckets] for i in range(1, buckets)}) if found else []
 
 
-def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Bytes covered by a ``window``-byte string that also starts in a document with a smaller id.
 
     Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
@@ -316,21 +321,33 @@ def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str =
     cross documents; overlaps count; strings are judged on the input. Equal ids don't remove
     each other's bytes; a null id counts as larger than any id. Other columns are not read.
     Windows of at most 55 bytes are supported (32 windows a suffix). Memory is bounded by a
-    chunk or the longest text.
+    chunk or the longest text. The columns named in ``carry`` come along as c_ and their name.
     """
     if window - min(GRAM, window) + 1 > 32:
         raise ValueError("a window is at most 55 bytes")
     source = keyed(documents, id_col, text_col)
-    chunks, n = dealt(source, chunk_bytes)
+    _, n = dealt(source, chunk_bytes)
+    named = [f"c_{c}" for c in carry or []]
+    whole = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], named, strict=True)))
+    chunks, _ = dealt(whole, chunk_bytes, n * chunk_bytes)
     buckets = bucket_count(n * chunk_bytes / 14, 1 << 18)
     splitters = source.sparkSession.sparkContext.broadcast(sample_splitters(source, window, max(1, n * chunk_bytes // bucket_bytes)))
     grouped = chunks.groupBy("chunk")
     repeated = grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS)
     asked = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(ask_suffixes(window, buckets, splitters), MESSAGES)
     sorted_out = asked.groupBy("bucket").applyInArrow(answer_suffixes(window, min(GRAM, window)), ANSWERS)
-    return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(finish(window, buckets, splitters), RESULT)
+    return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(finish(window, buckets, splitters, named), ", ".join([RESULT, *(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in named)]))
 
 
 def op7_suffixes(spark, sf_dir: str) -> DataFrame:
     found = remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def cut_repeats(documents: DataFrame) -> DataFrame:
+    """``documents`` with their texts without repeated bytes; n_chars follows; rows whose text nothing is left of go. Other columns are kept."""
+    names = documents.columns
+    found = remove_repeated_bytes(documents, carry=names)
+    kept = found.where("n_removed = 0 OR trim(clean_text) <> ''")
+    new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("c_n_chars"))} if "n_chars" in names else {"text": F.col("clean_text")}
+    return kept.select(*(new.get(c, F.col(f"`c_{c}`")).alias(c) for c in names))
