@@ -1,4 +1,5 @@
 """Registered queries over the driver's tables and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pagequarry.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
