@@ -2,7 +2,7 @@
 
 Words and word beginnings that tell toxic from clean labelled texts are counted across the training rows and the
 most telling are the features. Severity has ordered grades: 0 for clean, and 1 to 3 for
-toxic texts by thirds of how dense telling words are in them. One weight vector is shared by
+toxic texts by thirds of how much telling words they hold. One weight vector is shared by
 all thresholds, P(grade <= k) = logistic(threshold_k - w.x), and the result is the expected
 grade.
 """
@@ -24,6 +24,8 @@ GRADES = 4
 #: Bytes of the word beginnings that are features besides whole words: inflected and compound forms share them.
 BEGINNINGS = (4, 5, 6, 7)
 LEAST_TEXTS = 3
+#: Likelihood ratio that a feature needs; chance alone gives one word in ten thousand as much.
+LEAST_EVIDENCE = 15.0
 
 
 def word_counts(texts: list[bytes]):
@@ -55,11 +57,16 @@ def telling_words(chosen: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
                 t = toxic[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t), pa.array(1 - t)], names=["word", "toxic", "clean"])
 
-    toxic, clean = (chosen.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first())
+    toxic, clean = chosen.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
+    if not toxic or not clean:
+        return np.empty(0, np.uint64), np.empty(0)
     counted = chosen.mapInArrow(run, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counted.where(F.col("a") + F.col("b") >= LEAST_TEXTS).withColumn("odds", odds).orderBy(F.desc(F.abs(F.col("odds") / error)), "word").limit(limit).toArrow()
+    share = toxic / max(1, toxic + clean)
+    n = F.col("a") + F.col("b")
+    # the likelihood ratio of the word's texts against their expected shares
+    evidence = 2 * (F.when(F.col("a") > 0, F.col("a") * F.log(F.col("a") / (n * share))).otherwise(0.0) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n * (1 - share)))).otherwise(0.0))
+    best = counted.where(n >= LEAST_TEXTS).withColumn("odds", odds).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "word").limit(limit).toArrow()
     words = best.column("word").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(words)
     return words[order], best.column("odds").to_numpy()[order]
@@ -150,9 +157,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocab
     x.column = found.column("columns").combine_chunks().flatten().to_numpy() if found.num_rows else np.empty(0, np.int64)
     x.value = found.column("values").combine_chunks().flatten().to_numpy() if found.num_rows else np.empty(0)
     toxic = found.column("label").to_numpy()
-    density = x.dot(np.maximum(odds, 0)) / np.maximum(found.column("words").to_numpy(), 1) if len(odds) else np.zeros(x.n)
-    cuts = np.quantile(density[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
-    grade = np.where(toxic == 1, 1 + (density > cuts[0]).astype(np.int64) + (density > cuts[1]), 0)
+    weight = x.dot(np.maximum(odds, 0))
+    cuts = np.quantile(weight[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
+    grade = np.where(toxic == 1, 1 + (weight > cuts[0]).astype(np.int64) + (weight > cuts[1]), 0)
     return words, OrdinalModel.fit(x, grade, len(words))
 
 
