@@ -126,7 +126,7 @@ class Levels:
             if level == upto:
                 return windows, at
             keys, rank, _, _ = self.ask(corpus, at, size)
-            repeated = self.flags(keys, replies[level])
+            repeated = self.flags(keys, replies.get(level, []))
             alive = np.zeros(len(corpus.hashes) + 1, dtype=bool)
             alive[at[repeated[rank]]] = True
             windows = windows[alive[place]]
