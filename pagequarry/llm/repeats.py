@@ -205,13 +205,14 @@ def finisher(levels: Levels):
                 out["n_words"].append(int(hi - lo))
                 out["n_removed"].append(int(mask[lo:hi].sum()))
                 out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                null = (ids[d], text) in nulls
                 if out["n_removed"][-1]:
                     cut, at = [], 0
                     for s, e in zip(*runs(mask[lo:hi]), strict=True):
                         cut.append(text[at : corpus.starts[lo + s]])
                         at = corpus.ends[lo + e - 1]
                     text = b"".join([*cut, text[at:]])
-                out["clean_text"].append(None if (ids[d], text) in nulls else text.decode())
+                out["clean_text"].append(None if null else text.decode())
         return pa.table({k: pa.array(v, {"kept_sha256": pa.string(), "clean_text": pa.string()}.get(k, pa.int64())) for k, v in out.items()})
 
     return run
