@@ -12,14 +12,14 @@ def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")
 
 
-def joined(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+def joined(candidates: DataFrame, answers: DataFrame, keys: tuple[str, ...] = ("index",)) -> DataFrame:
     """Full outer join by number: the first candidate of a number, and the answers with most entries, the first among equals.
 
-    ``candidates`` has index and pos, ``answers`` index, pos and answers.
+    ``candidates`` has the keys and pos, ``answers`` the keys, pos and answers.
     """
-    c = first_by(candidates, ["index"], "pos").withColumn("has_candidate", F.lit(True))
-    a = first_by(answers, ["index"], F.desc(F.size("answers")), "pos").drop("pos")
-    out = c.join(a, "index", "full_outer")
+    c = first_by(candidates, list(keys), "pos").withColumn("has_candidate", F.lit(True))
+    a = first_by(answers, list(keys), F.desc(F.size("answers")), "pos").drop("pos")
+    out = c.join(a, list(keys), "full_outer")
     return out.withColumn("has_candidate", F.coalesce("has_candidate", F.lit(False))).withColumn("answers", F.coalesce("answers", F.array().cast("array<string>")))
 
 
