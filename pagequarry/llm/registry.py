@@ -17,6 +17,7 @@ QUERIES = {
     "op10_langmodel": langmodel.op10_langmodel,
 }
 ORACLES = {
+    "op7_suffixes": suffixes.ORACLE_SQL,
     "op2_warc": warc.ORACLE_SQL,
     "op4_topk": topk.ORACLE_SQL,
     "op6_repeats": repeats.ORACLE_SQL,

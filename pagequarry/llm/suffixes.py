@@ -351,3 +351,20 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     kept = found.where("n_removed = 0 OR trim(clean_text) <> ''")
     new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("c_n_chars"))} if "n_chars" in names else {"text": F.col("clean_text")}
     return kept.select(*(new.get(c, F.col(f"`c_{c}`")).alias(c) for c in names))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, 1000 * k AS base, substr(h, 2000 * k + 1, 2098) AS p FROM d, unnest(generate_series(0, (length(h) // 2 - 50) // 1000)) AS t(k) WHERE length(h) >= 100),
+w AS (SELECT doc_id, base + j AS i, md5_number(substr(p, 2 * j - 1, 100)) AS g FROM parts, unnest(generate_series(1, length(p) // 2 - 49)) AS t(j)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT w.doc_id, i, lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) AS before FROM w JOIN f ON w.g = f.g AND w.doc_id > first),
+r AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 49 AS hi FROM r GROUP BY ALL),
+cut AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_hi FROM spans),
+kept AS (
+  SELECT c.doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * from_hi + 1, 2 * (lo - 1 - from_hi)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS k
+  FROM cut c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
