@@ -118,7 +118,8 @@ class Rule:
 
 
 def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, least: int = 20, seed: int = 7) -> list[Rule]:
-    """Every root path of gradient-boosted trees for ``y`` in 0, 1, each tree grown on half of the rows."""
+    """Every root path of gradient-boosted trees for ``y`` in 0, 1, each tree grown on half of the rows. A leaf has ``least`` rows, or a fortieth of them if they are few."""
+    least = max(2, min(least, len(y) // 40))
     rng = np.random.default_rng(seed)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.int64)
