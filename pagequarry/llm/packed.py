@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, as_bytes
+from pagequarry.llm.common import U64, as_bytes, release
 
 MESSAGES = "bucket long, chunk long, body binary"
 ANSWERS = "level long, bucket long, chunk long, body binary"
@@ -108,6 +108,7 @@ def answer_keys(level: int):
     """A bit for each key that was asked: in several documents, as chunks share no document."""
 
     def run(bucket: pa.Table) -> pa.Table:
+        release()
         got = received(bucket)
         parts = [unpack_keys(body) for _, body in got]
         distinct, rank, count = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)

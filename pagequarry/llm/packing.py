@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import as_bytes, slices, table
+from pagequarry.llm.common import as_bytes, release, slices, table
 
 CAPACITY = 2048
 GROUP = 2048
 #: Bytes of text that are tokenized at once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 END_ID = 1
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -154,6 +154,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACIT
     def run(batches):
         from pagequarry.llm.wordbpe import WordBpe
 
+        release()
         packer, bpe = Packer(capacity, group, TaskContext.get().partitionId() << 36), None
         for batch in batches:
             bpe = bpe or WordBpe(tokenizer)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import NONSPACE, U64, Words, as_bytes, mix, slices, table
+from pagequarry.llm.common import NONSPACE, U64, Words, as_bytes, mix, release, slices, table
 
 #: Labelled rows that a model learns from at most: those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -83,6 +83,7 @@ def with_statistics(documents: DataFrame, keep: list[str], text_col: str = "text
 
     def run(batches):
         for batch in batches:
+            release()
             found = statistics(as_bytes(batch.column("q_text")))
             arrays = [batch.column(f.name) for f in kept] + [pa.array(np.ascontiguousarray(found[:, i])) for i in range(found.shape[1])]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f"q_{s}" for s in STATISTICS])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, as_bytes, covered, every_gram, keyed, prefix, runs, slices, table
+from pagequarry.llm.common import U64, as_bytes, covered, every_gram, keyed, prefix, release, runs, slices, table
 from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, own_order, pack_keys, received, split_levels, told
 from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
 
@@ -113,6 +113,7 @@ class Chunk:
 
 def ask_grams(window: int, buckets: int):
     def run(chunk: pa.Table) -> pa.Table:
+        release()
         c = Chunk(chunk, window)
         # bits below a bucket's are what is sent: the top 16 are the bucket's and may be cut off
         return messages([(b, c.number, pack_keys(c.distinct[lo:hi], c.several[lo:hi])) for b, lo, hi in by_bucket(c.distinct, buckets)])
@@ -122,6 +123,7 @@ def ask_grams(window: int, buckets: int):
 
 def ask_suffixes(window: int, buckets: int, splitters):
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         if not chunk.num_rows:
             return messages([])
         c = Chunk(chunk, window)
@@ -200,6 +202,7 @@ def answer_suffixes(window: int, gram: int):
     """
 
     def run(bucket: pa.Table) -> pa.Table:
+        release()
         got = received(bucket)
         known: dict[bytes, int] = {}
         texts: list[bytes] = []
@@ -259,6 +262,7 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def finish(window: int, buckets: int, splitters, carried: list[str]):
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean_text")}
         if chunk.num_rows:
             nulls = null_ids(chunk)
