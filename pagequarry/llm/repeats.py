@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagequarry.llm.common import NONSPACE, U64, Words, covered, every_gram, grams, keyed, power, prefix, runs, slices, table
+from pagequarry.llm.common import NONSPACE, U64, Words, covered, every_gram, grams, keyed, power, prefix, release, runs, slices, table
 from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, pack, pack_keys, received, split_levels, told, unpack
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 4 << 20
+#: Keys that a bucket holds at most on average.
+BUCKET_KEYS = 1 << 18
 #: A second base: 128 bits decide the last level.
 BASE_2 = 0xD1342543DE82EF95
 INVERSE_2 = pow(BASE_2, -1, 1 << 64)
@@ -101,7 +103,7 @@ def group_heads(keys: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray,
 class Levels:
     """What a chunk asks and decides at each level; every step is computed afresh from the texts and the answers so far."""
 
-    def __init__(self, window: int, sizes: list[int], buckets: int):
+    def __init__(self, window: int, sizes: list[int], buckets: list[int]):
         self.window, self.sizes, self.buckets = window, sizes, buckets
 
     def ask(self, corpus: Corpus, at: np.ndarray, size: int):
@@ -126,16 +128,16 @@ class Levels:
             if level == upto:
                 return windows, at
             keys, rank, _, _ = self.ask(corpus, at, size)
-            repeated = self.flags(keys, replies.get(level, []))
+            repeated = self.flags(keys, replies.get(level, []), level)
             alive = np.zeros(len(corpus.hashes) + 1, dtype=bool)
             alive[at[repeated[rank]]] = True
             windows = windows[alive[place]]
         raise AssertionError
 
-    def flags(self, keys: list[np.ndarray], replies: list[tuple[int, bytes]]) -> np.ndarray:
+    def flags(self, keys: list[np.ndarray], replies: list[tuple[int, bytes]], level: int) -> np.ndarray:
         out = np.zeros(len(keys[0]), dtype=bool)
         found = dict(replies)
-        for bucket, lo, hi in by_bucket(keys[0], self.buckets):
+        for bucket, lo, hi in by_bucket(keys[0], self.buckets[level]):
             out[lo:hi] = np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=hi - lo).astype(bool)
         return out
 
@@ -145,6 +147,7 @@ def asker(levels: Levels, level: int):
     size = levels.sizes[level]
 
     def run(chunk: pa.Table, replies: pa.Table | None) -> pa.Table:
+        release()
         if not chunk.num_rows:
             return messages([])
         number, ids, texts = in_order(chunk)
@@ -152,8 +155,8 @@ def asker(levels: Levels, level: int):
         _, at = levels.state(corpus, split_levels(replies), level)
         keys, _, least, several = levels.ask(corpus, at, size)
         if size < levels.window:
-            return messages([(b, number, pack_keys(keys[0][lo:hi], several[lo:hi])) for b, lo, hi in by_bucket(keys[0], levels.buckets)])
-        return messages([(b, number, pack(*(k[lo:hi] for k in keys), least[lo:hi])) for b, lo, hi in by_bucket(keys[0], levels.buckets)])
+            return messages([(b, number, pack_keys(keys[0][lo:hi], several[lo:hi])) for b, lo, hi in by_bucket(keys[0], levels.buckets[level])])
+        return messages([(b, number, pack(*(k[lo:hi] for k in keys), least[lo:hi])) for b, lo, hi in by_bucket(keys[0], levels.buckets[level])])
 
     return run
 
@@ -171,6 +174,7 @@ def answer_windows(level: int):
     """For each window that was asked, whether a smaller document than the chunk's least holds it."""
 
     def run(bucket: pa.Table) -> pa.Table:
+        release()
         got = received(bucket)
         parts = [unpack(body, U64, U64, np.int64) for _, body in got]
         first, second, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -187,6 +191,7 @@ def finisher(levels: Levels):
     last = len(levels.sizes) - 1
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "clean_text": []}
         if chunk.num_rows:
             _, ids, texts = in_order(chunk)
@@ -195,7 +200,7 @@ def finisher(levels: Levels):
             found = split_levels(replies)
             windows, _ = levels.state(corpus, found, last)
             keys, rank, least, _ = levels.ask(corpus, windows, levels.window)
-            elsewhere = levels.flags(keys, found.get(last, []))
+            elsewhere = levels.flags(keys, found.get(last, []), last)
             gone = windows[elsewhere[rank] | (corpus.order[corpus.doc[windows]] > least[rank])]
             mask = covered(len(corpus.hashes), gone, levels.window)
             for d, text in enumerate(texts):
@@ -243,7 +248,8 @@ def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id
     chunks, n = dealt(source, chunk_bytes)
     sizes = level_sizes(window)
     words = n * chunk_bytes / 6
-    levels = Levels(window, sizes, bucket_count(words / 10))
+    # about one gram in ten words is asked before the last level; there it may be every word
+    levels = Levels(window, sizes, [bucket_count(words / (1 if size == window else 10), BUCKET_KEYS) for size in sizes])
     grouped = chunks.groupBy("chunk")
     replies = None
     for level in range(len(sizes)):
