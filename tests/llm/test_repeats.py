@@ -161,3 +161,15 @@ def test_large_buckets_of_copies_stay_together():
     sigs = np.repeat(base, 9000, axis=0)
     sigs[np.arange(9000), rng.integers(0, neardup.LANES, 9000)] ^= np.uint64(1) << rng.integers(0, 64, 9000).astype(np.uint64)
     assert (neardup.groups(sigs, 20) == 0).all()
+
+
+def test_close_pairs_meet_in_large_buckets_of_distant_rows():
+    rng = np.random.default_rng(2)
+    sigs = rng.integers(0, 2**63, (8194, neardup.LANES), dtype=np.uint64)
+    want = np.arange(len(sigs))
+    bits = [np.array([mask] + [0] * (neardup.LANES - 1), dtype=np.uint64) for mask in (0xFFFF, 0xFFFF0000)]
+    for chain in ((10, 8000), (5000, 5001), (20, 4500, 8190)):
+        for k, at in enumerate(chain[1:]):
+            sigs[at] = sigs[chain[k]] ^ bits[k]
+            want[at] = chain[0]
+    assert (neardup.groups(sigs, 20) == want).all()
