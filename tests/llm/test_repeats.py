@@ -173,3 +173,41 @@ def test_close_pairs_meet_in_large_buckets_of_distant_rows():
             sigs[at] = sigs[chain[k]] ^ bits[k]
             want[at] = chain[0]
     assert (neardup.groups(sigs, 20) == want).all()
+
+
+def edited(rng, similarity, n=300):
+    """Two texts of n five-word shingles and about the similarity, and the exact one."""
+    a = ["w%d" % rng.randrange(10**6) for _ in range(n + 4)]
+    b, sets = list(a), []
+    while True:
+        sets = [{tuple(x[i : i + 5]) for i in range(n)} for x in (a, b)]
+        exact = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if exact <= similarity:
+            return " ".join(a), " ".join(b), exact
+        b[rng.randrange(n + 4)] = "x%d" % rng.randrange(10**6)
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = random.Random(4)
+    rows, want = [], set()
+    for i in range(200):
+        a, b, exact = edited(rng, 0.74 + 0.002 * (i % 60))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want |= {2 * i + 1} if exact >= 0.8 else set()
+    got = {r.doc_id for r in neardup.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 50 < len(want) < 150 and got == want
+
+
+def test_exact_groups_are_those_of_all_pairs():
+    rng = random.Random(6)
+    for _ in range(60):
+        base = [rng.sample(range(60), rng.randrange(1, 25)) for _ in range(3)]
+        sets = [np.unique(np.array([x for x in rng.choice(base) if rng.random() < 0.93] + rng.sample(range(60), rng.choice([0, 1])) + [99], dtype=np.uint64)) for _ in range(rng.randrange(2, 40))]
+        want = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((want[i], want[j]))
+                    want = [a if x == b else x for x in want]
+        assert neardup.exact_groups(sets, 0.8).tolist() == want
