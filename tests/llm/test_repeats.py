@@ -211,3 +211,16 @@ def test_exact_groups_are_those_of_all_pairs():
                     a, b = sorted((want[i], want[j]))
                     want = [a if x == b else x for x in want]
         assert neardup.exact_groups(sets, 0.8).tolist() == want
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    rng = random.Random(7)
+    a, b, c, d, e, f = (" ".join("w%d" % rng.randrange(10**6) for _ in range(80)) for _ in range(6))
+    near = a + " more"
+    rows = [(1, a), (1, a), (2, near), (3, b), (3, near), (None, c), (None, c), (None, c + " more"), (None, d), (9, d), (4, e), (4, e), (5, f), (6, f.upper()), (6, f), (7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, own long").repartition(3)
+    kept = [(r.doc_id, r.text) for r in neardup.keep_first(docs).collect()]
+    lost_one = [x for x in kept if x[0] is None]
+    assert len(lost_one) == 1 and lost_one[0][1] in (c, c + " more")
+    assert sorted((x for x in kept if x[0] is not None), key=str) == sorted([(1, a), (3, b), (9, d), (4, e), (5, f), (7, None)], key=str)
+    assert neardup.keep_first(docs).columns == docs.columns
