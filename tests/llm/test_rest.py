@@ -160,3 +160,22 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, SF).count() == pieces.count()
+
+
+def test_pipeline_keeps_the_first_of_near_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = []
+    for _, t in rows:
+        w = ["".join(c.lower() if c.isascii() else c for c in x) for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if x == b else x for x in group]
+    want = [rows[i] for i in range(len(rows)) if group[i] == i]
+    assert len({d for d, _ in rows}) == len(rows) > len(want)
+    kept = corpus_pipeline.first_copies(spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
