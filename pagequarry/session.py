@@ -37,6 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def discard(*settled: DataFrame) -> None:
+    """Delete what settle() wrote for these, once nothing will read it again."""
+    for df in settled:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back: a lineage cut that outlives executors.
 
@@ -52,4 +60,6 @@ def settle(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
