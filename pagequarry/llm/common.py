@@ -1,7 +1,9 @@
 """Byte-level text helpers that run inside Arrow batches, shared by the operators.
 
-A slice of texts is one byte array with a separator after each text. Words and grams get
-64-bit hashes in O(1) each from prefix sums of a polynomial hash, so no text is copied.
+A slice of texts is one byte array with a separator after each text. Words get 64-bit hashes
+eight bytes at a time, in two independent lanes where 128 bits decide; grams of words are
+hashed by joining the hashes of two shorter grams, which doubles their length each time.
+Grams of bytes, whose hits are always verified, use prefix sums of a polynomial hash.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,10 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
+#: Longer words are hashed by xxh3_128, shorter ones eight bytes at a time.
+BLOCK_WORD = 64
+#: Odd multipliers of the two lanes.
+LANES = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -71,24 +78,82 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of value[i] * base**i; see grams()."""
-    out = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum((values.astype(U64) + U64(1)) * power(len(values)), out=out[1:])
-    return out
+def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n bytes from each position on: quick, but texts can be made that collide, so hits must be verified."""
+    m = len(data) + 1 - n
+    if m <= 0:
+        return np.empty(0, dtype=U64)
+    sums = np.zeros(len(data) + 1, dtype=U64)
+    np.cumsum((data.astype(U64) + U64(1)) * power(len(data)), out=sums[1:])
+    return mix((sums[n:] - sums[:m]) * power(len(sums), _INVERSE)[:m])
 
 
-def grams(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end) of the array that ``sums`` was made of."""
-    return mix((sums[ends] - sums[starts]) * power(len(sums), _INVERSE)[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end).
+
+    Up to BLOCK_WORD bytes each step is a bijection of what it reads, so spans of one length
+    of at most eight bytes never collide; two lanes together are 128 bits. Longer spans take
+    their half of xxh3_128.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    odd = LANES[lane]
+    h = mix(size.astype(U64) * odd + U64(lane))
+    at = np.flatnonzero((size > 0) & (size <= BLOCK_WORD))
+    whole = len(at) == len(size)
+    done = 0
+    while len(at):
+        part = blocks[(starts if whole else starts[at]) + done]
+        left = (size if whole else size[at]) - done
+        part = part & (~U64(0) >> (U64(64) - U64(8) * np.minimum(left, 8).astype(U64)))
+        if whole:
+            h = mix(h ^ part * odd)
+        else:
+            h[at] = mix(h[at] ^ part * odd)
+        done += 8
+        more = left > 8
+        at, whole = at[more], False
+    for i in np.flatnonzero(size > BLOCK_WORD).tolist():
+        both = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]].tobytes())
+        h[i] = U64(both >> 64 if lane else both & 0xFFFFFFFFFFFFFFFF)
+    return h
 
 
-def every_gram(sums: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n values from each position on."""
-    m = len(sums) - n
-    if m <= 0:
-        return np.empty(0, dtype=U64)
-    return mix((sums[n:] - sums[:m]) * power(len(sums), _INVERSE)[:m])
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span numbered ``other``."""
+    size = ends - starts
+    same = size == size[other]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    at = np.flatnonzero(same & (size > 0) & (size <= BLOCK_WORD))
+    done = 0
+    while len(at):
+        used = ~U64(0) >> (U64(64) - U64(8) * np.minimum(size[at] - done, 8).astype(U64))
+        same[at] &= (blocks[starts[at] + done] ^ blocks[starts[other[at]] + done]) & used == 0
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(same & (size > BLOCK_WORD)).tolist():
+        j = other[i]
+        same[i] = i == j or np.array_equal(data[starts[i] : ends[i]], data[starts[j] : ends[j]])
+    return same
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two grams by theirs; neither place nor order cancels out."""
+    return mix(mix(left ^ LANES[0]) + right * LANES[1])
+
+
+def every_gram(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each position on, by doubling: a gram is two shorter ones that may overlap."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        if len(hashes) <= step:
+            return np.empty(0, dtype=U64)
+        hashes = joined(hashes[: len(hashes) - step], hashes[step:])
+        have += step
+    return hashes
 
 
 def as_bytes(column) -> list[bytes]:
@@ -126,8 +191,8 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return grams(prefix(self.data), self.starts, self.ends)
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, lane)
 
     def word_bytes(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import LOWER, Words, as_bytes, covered, every_gram, keyed, prefix, runs, slices, table
+from pagequarry.llm.common import LOWER, Words, as_bytes, covered, every_gram, keyed, runs, slices, table
 
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 WORD_BYTES = np.zeros(256, dtype=bool)
@@ -52,7 +52,7 @@ class GramIndex:
             hashes = []
             for lo, hi in slices(listed):
                 words = Words(listed[lo:hi], WORD_BYTES, lower=False)
-                hashes.append(every_gram(prefix(words.hashes()), size)[words.first[:-1]])
+                hashes.append(every_gram(words.hashes(), size)[words.first[:-1]])
             hashes = np.unique(np.concatenate(hashes))
             bitmap = np.zeros(1 << self.BITS, dtype=bool)
             bitmap[hashes >> np.uint64(64 - self.BITS)] = True
@@ -62,9 +62,9 @@ class GramIndex:
         """(first word, number of words, items) of each verified occurrence of a window inside one text."""
         if not len(words.starts):
             return
-        sums = prefix(words.hashes())
+        own = words.hashes()
         for size, (hashes, bitmap) in self.by_size.items():
-            found = every_gram(sums, size)
+            found = every_gram(own, size)
             at = np.flatnonzero(bitmap[found >> np.uint64(64 - self.BITS)])
             at = at[words.doc[at] == words.doc[at + size - 1]]
             for i in at[np.isin(found[at], hashes)]:

@@ -1,32 +1,49 @@
 """Operator 10, language-model scoring by a weighted backoff automaton.
 
-Smoothed bigrams are the model: a state for each context word, an arc for each bigram seen
-in training, weighted with its interpolated absolute-discounting probability, and a failure
-arc to the unigram state weighted with the context's left-over mass. Nothing of the model is
-broadcast: a chunk of texts asks, in packed exchanges, for the corpus-wide counts of its own
-words, bigrams and contexts, which are the arcs its texts can take, and walks them from left
-to right. Counts cover every training text and grow with the corpus.
+Smoothed n-grams are the model. A state stands for a context of up to ``order`` - 1 words, an
+arc for an n-gram that training texts hold, weighted with its interpolated absolute-discounting
+probability, and a failure arc leads from a context to the next shorter one, weighted with the
+mass that the discounts left over. A text is walked once from left to right, carrying the state.
+
+Nothing of the model is broadcast. Words of a chunk of texts ask, in packed exchanges, for the
+corpus-wide counts of their own words; then for those of pairs, of triples and so on, each only
+where both shorter n-grams are frequent enough that it can be kept; and for the sums over each
+context's kept arcs. The answers are the part of the automaton that the chunk's texts can reach.
+N-grams are keyed exactly: words by 128-bit hashes, longer ones by the number that the bucket of
+their first words gave those, and their last word's. Counts cover every training text and grow
+with the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import NONSPACE, U64, Words, keyed, mix, slices, table
-from pagequarry.llm.packed import MESSAGES, bucket_count, by_bucket, dealt, in_order, messages, received, split_levels
+from pagequarry.llm.common import LANES, NONSPACE, U64, Words, as_bytes, keyed, mix, release, slices, table
+from pagequarry.llm.packed import bucket_count, expand, squeeze
 from pagequarry.session import settle
 
+#: Texts of a chunk, in bytes, and keys that a bucket holds on average.
 CHUNK_BYTES = 4 << 20
-#: Stand for the end of a text and for what comes before its first word; words hash elsewhere but for one chance in 2**64.
-END, BEGIN = U64(0x5E4D0000000000E5), U64(0xB3610000000000B5)
-WORDS, PAIRS, CONTEXTS = 0, 1, 2
-
-SUMS = "level long, bucket long, chunk long, body binary, total long, distinct_keys long, ones long, twos long"
+BUCKET_KEYS = 1 << 19
+#: Words of an n-gram at most, and for each length the training count from which it is kept.
+ORDER, LEAST = 4, (1, 1, 2, 2)
+#: Tokens that a lane of the walk covers.
+LANE = 128
+#: Stand for the end of a text: words hash elsewhere but for one chance in 2**128.
+END = (U64(0x5E4D0000000000E5), U64(0xB3610000000000B5))
+#: Number of the word before a text's first; other words are numbered from 2 on.
+BEGIN = 1
+
+CHUNKS = "chunk long, tokens long, body binary"
+ASKED = "level long, bucket long, chunk long, body binary"
+ANSWERED = f"{ASKED}, total long, kinds long, ones long, twos long, width long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -34,189 +51,522 @@ def is_held_out(doc_id, folds: int, fold: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-class Tokens:
-    """A chunk's tokens with their predecessors, and the distinct words, bigrams and contexts with training counts."""
-
-    def __init__(self, chunk: pa.Table, folds: int, fold: int):
-        self.number, self.ids, texts = in_order(chunk)
-        parts, counts = [], []
-        for lo, hi in slices(texts):
-            words = Words(texts[lo:hi], NONSPACE, lower=True)
-            parts.append(words.hashes())
-            counts.append(words.counts)
-        words = np.concatenate(parts)
-        self.lengths = np.concatenate(counts) + 1
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        ends = np.cumsum(self.lengths) - 1
-        self.token = np.empty(len(self.doc), dtype=U64)
-        inner = np.ones(len(self.doc), dtype=bool)
-        inner[ends] = False
-        self.token[inner], self.token[ends] = words, END
-        self.before = np.empty_like(self.token)
-        self.before[1:] = self.token[:-1]
-        self.before[ends - self.lengths + 1] = BEGIN
-        self.held_out = np.array([is_held_out(i, folds, fold) for i in self.ids], dtype=bool)
-        self.trains = ~self.held_out[self.doc]
+# ---- chunks ------------------------------------------------------------------------------
+
+
+def distinct_words(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 128-bit hashes in two lanes, a place of each distinct one and every one's number among them."""
+    by = np.argsort(first, kind="stable")
+    split = (first[by][1:] == first[by][:-1]) & (second[by][1:] != second[by][:-1])
+    if split.any():
+        by = np.lexsort((second, first))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (first[by][1:] != first[by][:-1]) | (second[by][1:] != second[by][:-1])
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return by[new], rank
+
+
+def encode_chunk(ids: list, texts: list[bytes]) -> tuple[int, bytes]:
+    """How many tokens a chunk has, and its ids, lengths and tokens, the tokens as numbers of its own words by falling frequency, and those words' hashes."""
+    lanes, counts = ([], []), []
+    for lo, hi in slices(texts):
+        words = Words(texts[lo:hi], NONSPACE, lower=True)
+        for lane, own in enumerate(lanes):
+            own.append(words.hashes(lane))
+        counts.append(words.counts)
+    lengths = np.concatenate(counts) + 1
+    ends = np.cumsum(lengths) - 1
+    inner = np.ones(int(lengths.sum()), dtype=bool)
+    inner[ends] = False
+    hashes = []
+    for lane, own in enumerate(lanes):
+        all_tokens = np.full(len(inner), END[lane], dtype=U64)
+        all_tokens[inner] = np.concatenate(own)
+        hashes.append(all_tokens)
+    first, rank = distinct_words(*hashes)
+    falling = np.argsort(-np.bincount(rank, minlength=len(first)), kind="stable")
+    number = np.empty(len(first), dtype=np.int64)
+    number[falling] = np.arange(len(first))
+    known = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(U64)
+    unnamed = np.array([i is None for i in ids], dtype=np.int64)
+    return len(rank), squeeze(known, unnamed, lengths, number[rank], *(h[first[falling]] for h in hashes))
+
+
+def cut(chunk_bytes: int):
+    """Rows to chunks; a chunk's number is its task's and its place there, and is kept once it is written."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        ids: list = []
+        texts: list[bytes] = []
+        size = 0
+        for batch in batches:
+            release()
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                if texts and size + len(text) > chunk_bytes:
+                    out.append(encode_chunk(ids, texts))
+                    ids, texts, size = [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text) + 24
+            yield chunk_rows(number, out)
+            number += len(out)
+        if texts:
+            yield chunk_rows(number, [encode_chunk(ids, texts)])
 
-    def words(self):
-        return self.counted(self.token)
+    return run
 
-    def pairs(self):
-        return self.counted(mix(self.before * U64(0x9FB21C651E98DF25) ^ mix(self.token)))
 
-    def contexts(self):
-        return self.counted(self.before)
+def chunk_rows(number: int, made: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    numbers, sizes, bodies = range(number, number + len(made)), [n for n, _ in made], [body for _, body in made]
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=["chunk", "tokens", "body"])
 
-    def counted(self, keys: np.ndarray):
-        """Distinct keys, each token's rank among them, and their training counts."""
-        distinct, rank = np.unique(mix(keys), return_inverse=True)
-        return distinct, rank, np.bincount(rank[self.trains], minlength=len(distinct))
 
+# ---- questions and answers ---------------------------------------------------------------
 
-def ask(number: int, level: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> list:
-    """Messages with 48 bits of each key below its bucket's and its values, compressed; kinds of key go to buckets of their own."""
-    rows = []
-    for bucket, lo, hi in by_bucket(keys, buckets):
-        raw = np.ascontiguousarray(keys[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-        packed = zlib.compress(b"".join(v[lo:hi].astype(np.int64).tobytes() for v in values), 1)
-        rows.append((bucket, number, (hi - lo).to_bytes(4, "little") + raw + packed))
-    return rows
 
+@dataclass
+class Model:
+    """What every chunk knows of the whole: the split, the size of each level's exchange, and the totals so far."""
 
-def read_question(body: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(body[:4], "little")
-    wide = np.zeros((n, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(body, np.uint8, count=6 * n, offset=4).reshape(n, 6)
-    return wide.view(U64).reshape(n), np.frombuffer(zlib.decompress(body[4 + 6 * n :]), np.int64).reshape(width, n)
+    folds: int
+    fold: int
+    least: tuple[int, ...]
+    buckets: list[int]
+    total: int = 0
+    distinct: int = 0
+    #: Numbers that a bucket of a level may give, and the discount, by level.
+    stride: dict[int, int] = field(default_factory=dict)
+    discount: dict[int, float] = field(default_factory=dict)
 
+    @property
+    def order(self) -> int:
+        return len(self.least)
 
-def answer_sums(level: int, width: int):
-    """Sums of each key's values over all chunks, and whether the asking chunk is the first with a count for it."""
+    def need(self, k: int) -> int:
+        """Count that an n-gram of k words needs to be kept, and with it the shorter ones inside."""
+        return self.least[k - 1]
 
-    def run(bucket: pa.Table) -> pa.Table:
-        got = received(bucket)
-        parts = [read_question(body, width) for _, body in got]
-        keys = np.concatenate([p[0] for p in parts])
-        values = np.concatenate([p[1] for p in parts], axis=1)
-        distinct, rank = np.unique(keys, return_inverse=True)
-        sums = np.zeros((width, len(distinct)), dtype=np.int64)
-        for i in range(width):
-            np.add.at(sums[i], rank, values[i])
-        counting = np.flatnonzero(values[0] > 0)
-        first = np.full(len(distinct), len(keys), dtype=np.int64)
-        np.minimum.at(first, rank[counting], counting)
-        owner = first[rank] == np.arange(len(keys))
-        bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-        bodies = [zlib.compress(sums[:, rank[lo:hi]].tobytes() + owner[lo:hi].tobytes(), 1) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-        stats = [int(sums[0].sum()), int((sums[0] > 0).sum()), int((sums[0] == 1).sum()), int((sums[0] == 2).sum())]
-        number = bucket.column("bucket")[0].as_py()
-        columns = {"level": [level] * len(got), "bucket": [number] * len(got), "chunk": [c for c, _ in got]}
+
+def context_level(k: int) -> int:
+    """Number of the exchange of the contexts of n-grams of k words; k itself is that of the n-grams."""
+    return 100 + k
+
+
+def in_buckets(bucket: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Order by bucket, then by the keys; one sort where all fits into 63 bits."""
+    bits = [int(k.max(initial=0)).bit_length() for k in (bucket, *keys)]
+    if sum(bits) <= 63:
+        whole = bucket.astype(np.int64)
+        for k, b in zip(keys, bits[1:], strict=True):
+            whole = whole << b | k.astype(np.int64)
+        return np.argsort(whole)
+    return np.lexsort((*reversed(keys), bucket))
+
+
+def cuts(bucket: np.ndarray):
+    """(bucket, lo, hi) of sorted buckets."""
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if hi > lo:
+            yield int(bucket[lo]), lo, hi
+
+
+def top_bits(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    bits = buckets.bit_length() - 1
+    return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers, the first from 0."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(("level", "bucket", "chunk", "body"), kinds, strict=True))})
+
+
+class Gathered:
+    """A bucket's messages as one list of keys: equal ones found, and a way to answer each message in its own order."""
+
+    def __init__(self, bucket: pa.Table, n_keys: int, rising: bool):
+        self.level, self.bucket = bucket.column("level")[0].as_py(), bucket.column("bucket")[0].as_py()
+        got = sorted(zip(bucket.column("chunk").to_pylist(), bucket.column("body").to_pylist(), strict=True))
+        self.chunks = [c for c, _ in got]
+        parts = [expand(body) for _, body in got]
+        if rising:
+            parts = [[np.cumsum(p[0]), *p[1:]] for p in parts]
+        self.bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        keys, self.values = columns[:n_keys], [v.astype(np.int64) for v in columns[n_keys:]]
+        by = np.lexsort(tuple(reversed(keys)))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
+        self.rank = np.empty(len(by), dtype=np.int64)
+        self.rank[by] = np.cumsum(new) - 1
+        self.n = int(new.sum())
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Whole sums by distinct key."""
+        out = np.zeros(self.n, dtype=np.int64)
+        np.add.at(out, self.rank, values)
+        return out
+
+    def told(self, arrays: list[np.ndarray], stats: tuple[int, ...] = (0, 0, 0, 0, 0)) -> pa.Table:
+        """``arrays`` hold one answer for each key that was sent."""
+        n = len(self.chunks)
+        bodies = [squeeze(*(a[lo:hi] for a in arrays)) for lo, hi in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
+        columns = {"level": [self.level] * n, "bucket": [self.bucket] * n, "chunk": self.chunks}
         out = {k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"body": pa.array(bodies, pa.binary())}
-        for name, x in zip(("total", "distinct_keys", "ones", "twos"), stats, strict=True):
-            out[name] = pa.array([x] + [0] * (len(got) - 1), pa.int64())
+        for name, x in zip(("total", "kinds", "ones", "twos", "width"), stats, strict=True):
+            out[name] = pa.array([x] + [0] * (n - 1), pa.int64())
         return pa.table(out)
 
-    return run
 
+def answer(least: tuple[int, ...]):
+    """Counts of words and n-grams with their numbers, and sums over contexts, for whichever of them a bucket is asked."""
 
-def read_answers(found: list, keys: np.ndarray, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums (one row for each value) and ownership in the order of ``keys``."""
-    bodies = dict(found)
-    sums, owner = np.zeros((width, len(keys)), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    for bucket, lo, hi in by_bucket(keys, buckets):
-        raw, n = zlib.decompress(bodies[bucket]), hi - lo
-        sums[:, lo:hi] = np.frombuffer(raw, np.int64, count=width * n).reshape(width, n)
-        owner[lo:hi] = np.frombuffer(raw, np.bool_, offset=8 * width * n)
-    return sums, owner
+    def run(bucket: pa.Table) -> pa.Table:
+        release()
+        level = bucket.column("level")[0].as_py()
+        if level > 100:
+            g = Gathered(bucket, 1, rising=True)
+            return g.told([g.sums(v)[g.rank] for v in g.values])
+        g = Gathered(bucket, 2, rising=level > 1)
+        count = g.sums(g.values[0])
+        stats = int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum())
+        if level == 1:
+            return g.told([count[g.rank], g.rank], (*stats, g.n))
+        # only n-grams that longer ones may start with need a number
+        numbered = count >= least[level] if level < len(least) else np.zeros(g.n, dtype=bool)
+        number = np.cumsum(numbered) * numbered
+        counting = np.flatnonzero((g.values[0] > 0) & (count >= least[level - 1])[g.rank])
+        first = np.full(g.n, len(g.rank), dtype=np.int64)
+        np.minimum.at(first, g.rank[counting], counting)
+        owner = first[g.rank] == np.arange(len(g.rank))
+        return g.told([count[g.rank], number[g.rank], owner], (*stats, int(number.max(initial=0)) + 1))
 
+    return run
 
-class Automaton:
-    """The backoff automaton that one chunk's texts can reach; weights are log10 probabilities."""
 
-    def __init__(self, word_weight, arc_count, context_count, context_arcs, discount: float):
-        seen = context_count > 0
-        safe = np.where(seen, context_count, 1)
-        left = np.where(seen, discount * context_arcs / safe, 1.0)
-        self.failure = np.log10(np.maximum(left, 1e-300))
-        self.root = np.log10(word_weight)
-        self.has_arc = arc_count > 0
-        direct = np.maximum(arc_count - discount, 0) / safe + left * word_weight
-        self.arc = np.log10(np.where(self.has_arc, direct, 1.0))
+class Chunk:
+    """A chunk's tokens and what its answers say of them so far; every step is computed afresh from those."""
+
+    def __init__(self, chunk: pa.Table, replies: pa.Table | None, model: Model):
+        self.model, self.number = model, chunk.column("chunk")[0].as_py()
+        known, unnamed, lengths, tokens, *self.hashes = expand(chunk.column("body")[0].as_py())
+        self.ids = [None if u else i for i, u in zip(known.view(np.int64).tolist(), unnamed.tolist(), strict=True)]
+        self.lengths, self.tokens, self.n_words = lengths.astype(np.int64), tokens.astype(np.int64), len(self.hashes[0])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.held_out = np.array([is_held_out(i, model.folds, model.fold) for i in self.ids], dtype=bool)
+        self.trains = ~self.held_out[self.doc]
+        self.replies: dict[int, dict[int, bytes]] = {}
+        if replies is not None:
+            for level, bucket, body in zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True):
+                self.replies.setdefault(level, {})[bucket] = body
+        self.grams: dict[int, Grams] = {}
+
+    def answers(self, level: int, bucket: np.ndarray, n: int) -> list[np.ndarray]:
+        """``n`` arrays of answers in the order of the sorted ``bucket`` of each key."""
+        out = [np.zeros(len(bucket), dtype=np.int64) for _ in range(n)]
+        for b, lo, hi in cuts(bucket):
+            for column, part in zip(out, expand(self.replies[level][b]), strict=True):
+                column[lo:hi] = part.astype(np.int64)
+        return out
+
+    # words
+
+    def word_order(self) -> tuple[np.ndarray, np.ndarray]:
+        by = np.lexsort((self.hashes[1], self.hashes[0]))
+        return by, top_bits(self.hashes[0][by], self.model.buckets[0])
+
+    def ask_words(self) -> list[tuple[int, int, int, bytes]]:
+        by, bucket = self.word_order()
+        counts = np.bincount(self.tokens[self.trains], minlength=self.n_words)
+        return [(1, b, self.number, squeeze(self.hashes[0][by][lo:hi], self.hashes[1][by][lo:hi], counts[by][lo:hi])) for b, lo, hi in cuts(bucket)]
+
+    def read_words(self) -> None:
+        """Counts and numbers of the chunk's words; the last one is what stands before a text."""
+        by, bucket = self.word_order()
+        count, rank = self.answers(1, bucket, 2)
+        self.count, self.name = np.zeros(self.n_words + 1, dtype=np.int64), np.full(self.n_words + 1, BEGIN, dtype=np.int64)
+        self.count[by], self.name[by] = count, 2 + bucket * self.model.stride[1] + rank
+        # as many texts begin as end
+        self.count[-1] = self.count[self.tokens[-1]]
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = self.n_words
+        self.before = before
+
+    # n-grams
+
+    def level(self, k: int) -> Grams:
+        """The chunk's n-grams of k words that may be kept."""
+        if k not in self.grams:
+            self.grams[k] = Grams(self, k)
+        return self.grams[k]
+
+    def ask_grams(self, k: int) -> list[tuple[int, int, int, bytes]]:
+        g = self.level(k)
+        counts = np.bincount(g.at[self.trains & (g.at >= 0)], minlength=g.n)
+        first, last, counts = g.first_name[g.by], g.last_name[g.by], counts[g.by]
+        return [(k, b, self.number, squeeze(steps(first[lo:hi]), last[lo:hi], counts[lo:hi])) for b, lo, hi in cuts(g.bucket)]
+
+    def ask_contexts(self, k: int) -> list[tuple[int, int, int, bytes]]:
+        """For each context of an n-gram of k words how many kept ones the chunk owns, and their counts."""
+        g = self.level(k)
+        g.read()
+        by, bucket = g.contexts()
+        mine = g.owner & g.kept
+        arcs = np.bincount(g.of[mine], minlength=len(by))[by]
+        mass = np.zeros(len(by), dtype=np.int64)
+        np.add.at(mass, g.of[mine], g.count[mine])
+        name, mass = g.context_name[by], mass[by]
+        return [(context_level(k), b, self.number, squeeze(steps(name[lo:hi]), arcs[lo:hi], mass[lo:hi])) for b, lo, hi in cuts(bucket)]
+
+
+class Grams:
+    """Distinct n-grams of k words of a chunk: first k - 1 words (``first``, an n-gram of the level below), last word, last k - 1 words (``rest``)."""
+
+    def __init__(self, chunk: Chunk, k: int):
+        self.chunk, self.k = chunk, k
+        need = chunk.model.need(k)
+        if k == 2:
+            first, rest, count, name = chunk.before, chunk.tokens, chunk.count, chunk.name
+        else:
+            below = chunk.level(k - 1)
+            below.read()
+            rest, count, name = below.at, below.count, below.name
+            first = np.empty_like(rest)
+            first[1:] = rest[:-1]
+            first[chunk.starts] = -1
+        usable = np.append(count >= need, False)
+        # every context that a token is read in, also where no n-gram can be kept
+        self.context = np.unique(first[usable[first]])
+        there = usable[first] & usable[rest]
+        codes, rank = np.unique(first[there] * chunk.n_words + chunk.tokens[there], return_inverse=True)
+        self.n = len(codes)
+        self.at = np.full(len(chunk.tokens), -1, dtype=np.int64)
+        self.at[there] = rank
+        self.first, self.word = codes // chunk.n_words, codes % chunk.n_words
+        self.rest = np.zeros(self.n, dtype=np.int64)
+        self.rest[rank] = rest[there]
+        self.first_name, self.last_name = name[self.first].astype(U64), chunk.name[self.word].astype(U64)
+        self.context_name, self.of = name[self.context].astype(U64), np.searchsorted(self.context, self.first)
+        bucket = top_bits(mix(self.first_name * LANES[0] ^ mix(self.last_name)), chunk.model.buckets[k - 1])
+        self.by = in_buckets(bucket, self.first_name, self.last_name)
+        self.bucket = bucket[self.by]
+        self.below_count = count
+        self.done = False
+
+    def read(self) -> None:
+        """Counts, numbers and ownership, and which n-grams are kept."""
+        if self.done:
+            return
+        model = self.chunk.model
+        self.count, self.name, self.owner = (np.zeros(self.n, dtype=np.int64) for _ in range(3))
+        count, number, owner = self.chunk.answers(self.k, self.bucket, 3)
+        self.count[self.by], self.owner[self.by] = count, owner
+        self.name[self.by] = self.bucket * model.stride.get(self.k, 1) + number
+        self.owner, self.kept, self.done = self.owner > 0, self.count >= model.need(self.k), True
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts' order by bucket and name, and the sorted buckets."""
+        bucket = top_bits(mix(self.context_name), self.chunk.model.buckets[self.k - 2])
+        by = in_buckets(bucket, self.context_name)
+        return by, bucket[by]
+
+
+# ---- the automaton -----------------------------------------------------------------------
 
-    def walk(self, doc: np.ndarray, n_docs: int) -> np.ndarray:
-        """From left to right: in the state of the word before, take the token's arc, or fail to the root and take it there."""
-        step = np.where(self.has_arc, self.arc, self.failure + self.root)
-        return np.bincount(doc, weights=step, minlength=n_docs)
 
+class Automaton:
+    """The part of the backoff automaton that a chunk's texts can reach; weights are log10 probabilities.
 
-def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Log10 probabilities of whole texts under a bigram model and an add-one unigram model.
+    State 0 has no context; then come the words (the last one is a text's beginning) and the
+    kept n-grams of each length. ``key`` has the arcs' state and word, sorted, ``weight`` and
+    ``target`` what they cost and where they lead; ``failure`` leads to the next shorter
+    context and costs ``penalty``. Where no arc fits, state 0 has one for every word.
+    """
+
+    def __init__(self, chunk: Chunk):
+        model, self.n_words = chunk.model, chunk.n_words
+        order = model.order
+        levels = [chunk.level(k) for k in range(2, order + 1)]
+        offset = [0, 1, chunk.n_words + 2]
+        for g in levels[:-1]:
+            offset.append(offset[-1] + g.n)
+        n_states = offset[-1] if order > 1 else 1
+        self.failure, self.penalty = np.zeros(n_states, dtype=np.int64), np.zeros(n_states)
+        probability = (chunk.count[:-1] + 1) / (model.total + model.distinct + 1)
+        self.root = np.log10(probability)
+        self.after_root = np.where(chunk.count[:-1] > 0, 1 + np.arange(chunk.n_words), 0) if order > 1 else np.zeros(chunk.n_words, dtype=np.int64)
+        self.begin = 1 + chunk.n_words if order > 1 and chunk.count[-1] > 0 else 0
+        keys, weights, targets = [], [], []
+        for g in levels:
+            k = g.k
+            g.read()
+            discount = model.discount[k]
+            by, bucket = g.contexts()
+            arcs, mass = np.zeros(len(by)), np.zeros(len(by))
+            arcs[by], mass[by] = chunk.answers(context_level(k), bucket, 2)
+            size = g.below_count[g.context]
+            left = 1 - (mass - discount * arcs) / size
+            self.penalty[offset[k - 1] + g.context] = np.log10(left)
+            probability = (g.count - discount) / size[g.of] + left[g.of] * probability[g.rest]
+            kept = np.flatnonzero(g.kept)
+            keys.append((offset[k - 1] + g.first[kept]) * chunk.n_words + g.word[kept])
+            weights.append(np.log10(probability[kept]))
+            shorter = offset[k - 1] + g.rest
+            if k < order:
+                self.failure[offset[k] + np.arange(g.n)] = shorter
+                targets.append(offset[k] + kept)
+            else:
+                targets.append(shorter[kept])
+        key = np.concatenate([*keys, np.empty(0, np.int64)])
+        by = np.argsort(key)
+        self.key = np.append(key[by], np.iinfo(np.int64).max)
+        self.weight, self.target = (np.concatenate([*x, np.empty(0)])[by] for x in (weights, targets))
+        self.target = self.target.astype(np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What reading ``word`` costs in each state, and the states after it: failure arcs until an arc fits."""
+        cost, after = np.zeros(len(state)), np.empty(len(state), dtype=np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            own, read = state[todo], word[todo]
+            want = own * self.n_words + read
+            at = np.searchsorted(self.key, want)
+            fits, at_root = self.key[at] == want, own == 0
+            hit = np.flatnonzero(fits)
+            cost[todo[hit]] += self.weight[at[hit]]
+            after[todo[hit]] = self.target[at[hit]]
+            base = np.flatnonzero(at_root)
+            cost[todo[base]] += self.root[read[base]]
+            after[todo[base]] = self.after_root[read[base]]
+            miss = np.flatnonzero(~fits & ~at_root)
+            todo = todo[miss]
+            cost[todo] += self.penalty[own[miss]]
+            state[todo] = self.failure[own[miss]]
+        return cost, after
+
+    def walk(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
+        """Each token's log10 probability, from left to right with the state carried.
+
+        Many texts are walked side by side, long ones in lanes of LANE tokens: a lane that
+        starts inside a text first reads the ``order`` - 1 tokens before it, after which its
+        state is that of the whole text, as no context is longer.
+        """
+        out = np.zeros(len(tokens))
+        n_lanes = -(-lengths // LANE)
+        text = np.repeat(np.arange(len(lengths)), n_lanes)
+        inside = LANE * (np.arange(len(text)) - np.repeat(np.cumsum(n_lanes) - n_lanes, n_lanes))
+        warm = np.where(inside > 0, order - 1, 0)
+        at = starts[text] + inside - warm
+        size = np.minimum(LANE, lengths[text] - inside) + warm
+        by = np.argsort(-size, kind="stable")
+        at, size, warm = at[by], size[by], warm[by]
+        state = np.where(warm > 0, 0, self.begin)
+        for t in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -t, side="left"))
+            cost, state[:live] = self.step(state[:live], tokens[at[:live] + t])
+            counts = np.flatnonzero(t >= warm[:live])
+            out[at[counts] + t] = cost[counts]
+        return out
+
+
+# ---- the operator ------------------------------------------------------------------------
+
+
+def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: tuple[int, ...] = LEAST, chunk_bytes: int = CHUNK_BYTES, with_tokens: bool = False) -> DataFrame:
+    """Log10 probabilities of whole texts under a backoff n-gram model and an add-one unigram model.
 
     Tokens: lower-cased words [^\\x20\\x09-\\x0D]+, then one end. Learns from rows whose
     crc32(doc_id) mod ``folds`` is not ``fold`` (rows without an id are learned from) and
-    scores all. Returns one row per input row: doc_id, held_out, n_tokens, n_known (tokens
-    with a training count), train_tokens, base_score (sum of log10((c+1)/(N+V+1))) and
-    score (the bigram automaton's). Null and blank texts are one end token. An empty table
-    gives no rows; without training rows all counts are 0 and both scores are the uniform
-    log10(1) of the only class known. Other columns are not read.
+    scores all. N-grams of up to ``order`` words are kept from the training counts ``least``
+    on (one for each length, not falling; rarer ones only count as what is left over).
+    Returns one row per input row: doc_id, held_out, n_tokens, n_known (tokens with a
+    training count), train_tokens, base_score (sum of log10((c+1)/(N+V+1))) and score (the
+    automaton's); with ``with_tokens`` also token_scores, each token's part of the score.
+    Null and blank texts are one end token. Rows and ids may repeat, and each row counts. An
+    empty table gives no rows. Without training rows the only class known is the unknown
+    token, so both scores are log10(1). Other columns are not read. A text is held whole by
+    one task, so memory is bounded by a chunk or the longest text.
     """
+    least = tuple(least)[:order]
+    if len(least) < order or list(least) != sorted(least) or least[0] != 1:
+        raise ValueError("least has a count for each length, 1 for words, and does not fall")
     source = keyed(documents, id_col, text_col)
-    chunks, n = dealt(source, chunk_bytes)
-    grouped = chunks.groupBy("chunk")
-    few, many = bucket_count(n * chunk_bytes / 30), bucket_count(n * chunk_bytes / 7)
-
-    def ask_words(chunk: pa.Table) -> pa.Table:
-        t = Tokens(chunk, folds, fold)
-        keys, _, counts = t.words()
-        return messages(ask(t.number, WORDS, few, keys, counts))
-
-    def ask_pairs(chunk: pa.Table) -> pa.Table:
-        t = Tokens(chunk, folds, fold)
-        keys, _, counts = t.pairs()
-        return messages(ask(t.number, PAIRS, many, keys, counts))
-
-    words = settle(grouped.applyInArrow(ask_words, MESSAGES).groupBy("bucket").applyInArrow(answer_sums(WORDS, 1), SUMS), "lm-words")
-    pairs = settle(grouped.applyInArrow(ask_pairs, MESSAGES).groupBy("bucket").applyInArrow(answer_sums(PAIRS, 1), SUMS), "lm-pairs")
-    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct_keys"), F.lit(0))).first()
-    ones, twos = pairs.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    known = words.unionByName(pairs).select("level", "bucket", "chunk", "body")
-
-    def ask_contexts(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return messages([])
-        t = Tokens(chunk, folds, fold)
-        keys, rank, _ = t.pairs()
-        _, owner = read_answers(split_levels(answers).get(PAIRS, []), keys, many, 1)
-        contexts, context_rank, counts = t.contexts()
-        one_of_each = np.zeros(len(keys), dtype=np.int64)
-        one_of_each[rank] = context_rank
-        arcs = np.bincount(one_of_each[owner], minlength=len(contexts))
-        return messages(ask(t.number, CONTEXTS, few, contexts, counts, arcs))
+    chunks = settle(source.mapInArrow(cut(chunk_bytes), CHUNKS), "lm-chunks")
+    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    model = Model(folds, fold, least, [bucket_count(tokens / (6 if k == 0 else 1.5), BUCKET_KEYS) for k in range(order)])
+    grouped = chunks.select("chunk", "body").groupBy("chunk")
+    replies = None
+
+    def exchange(ask) -> DataFrame:
+        def alone(chunk: pa.Table) -> pa.Table:
+            return ask(chunk, None)
+
+        sent = grouped.applyInArrow(alone, ASKED) if replies is None else grouped.cogroup(replies.groupBy("chunk")).applyInArrow(ask, ASKED)
+        return settle(sent.groupBy("level", "bucket").applyInArrow(answer(least), ANSWERED), "lm-answers")
+
+    def first_question(chunk: pa.Table, answers: pa.Table | None) -> pa.Table:
+        release()
+        return asked(Chunk(chunk, None, model).ask_words())
+
+    def question(k: int):
+        """Of n-grams of k words, and of the contexts of those one word shorter."""
+
+        def ask(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+            release()
+            if not chunk.num_rows:
+                return asked([])
+            c = Chunk(chunk, answers, model)
+            c.read_words()
+            return asked([*(c.ask_grams(k) if k <= order else []), *(c.ask_contexts(k - 1) if k > 2 else [])])
+
+        return ask
+
+    def totals(found: DataFrame, level: int) -> list[int]:
+        whole = found.where(F.col("level") == level).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "kinds", "ones", "twos")), F.coalesce(F.max("width"), F.lit(1)))
+        return list(whole.first())
+
+    found = exchange(first_question)
+    model.total, model.distinct, _, _, model.stride[1] = totals(found, 1)
+    replies = found.select("level", "bucket", "chunk", "body")
+    for k in range(2, order + 2) if order > 1 else []:
+        found = exchange(question(k))
+        if k <= order:
+            _, _, ones, twos, model.stride[k] = totals(found, k)
+            model.discount[k] = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+        replies = replies.unionByName(found.select("level", "bucket", "chunk", "body"))
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if with_tokens:
+            names, kinds = [*names, "token_scores"], [*kinds, pa.list_(pa.float64())]
         if not chunk.num_rows:
-            return pa.table({f: pa.array([], k) for f, k in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        t, found = Tokens(chunk, folds, fold), split_levels(answers)
-        keys, rank, _ = t.words()
-        count = read_answers(found.get(WORDS, []), keys, few, 1)[0][0][rank]
-        keys, rank, _ = t.pairs()
-        arc = read_answers(found.get(PAIRS, []), keys, many, 1)[0][0][rank]
-        keys, rank, _ = t.contexts()
-        (context, arcs), _ = read_answers(found.get(CONTEXTS, []), keys, few, 2)
-        weight = (count + 1) / (total + distinct + 1)
-        model = Automaton(weight, arc, context[rank], arcs[rank], discount)
-        docs = len(t.ids)
-        return pa.table({
-            "doc_id": pa.array(t.ids, pa.int64()), "held_out": pa.array(t.held_out), "n_tokens": pa.array(t.lengths.astype(np.int64)),
-            "n_known": pa.array(np.bincount(t.doc, weights=count > 0, minlength=docs).astype(np.int64)), "train_tokens": pa.array([total] * docs, pa.int64()),
-            "base_score": pa.array(np.bincount(t.doc, weights=np.log10(weight), minlength=docs)), "score": pa.array(model.walk(t.doc, docs)),
-        })
-
-    contexts = grouped.cogroup(known.groupBy("chunk")).applyInArrow(ask_contexts, MESSAGES).groupBy("bucket").applyInArrow(answer_sums(CONTEXTS, 2), SUMS)
-    everything = known.unionByName(contexts.select("level", "bucket", "chunk", "body"))
-    return grouped.cogroup(everything.groupBy("chunk")).applyInArrow(score, RESULT)
+            return pa.table({f: pa.array([], k) for f, k in zip(names, kinds, strict=True)})
+        c = Chunk(chunk, answers, model)
+        c.read_words()
+        automaton = Automaton(c)
+        each = automaton.walk(c.tokens, c.starts, c.lengths, order)
+        docs = len(c.ids)
+        by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=docs)
+        columns = [c.ids, c.held_out, c.lengths, by_doc(c.count[c.tokens] > 0).astype(np.int64), [model.total] * docs, by_doc(automaton.root[c.tokens]), by_doc(each)]
+        if with_tokens:
+            columns.append([x.tolist() for x in np.split(each, c.starts[1:])])
+        return pa.table({f: pa.array(x, k) for f, x, k in zip(names, columns, kinds, strict=True)})
+
+    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(score, RESULT + (", token_scores array<double>" if with_tokens else ""))
 
 
 def op10_langmodel(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, by the contract's split; see score_texts()."""
     return score_texts(table(spark, sf_dir, "documents"))

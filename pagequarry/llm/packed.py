@@ -1,6 +1,6 @@
 """Keyed exchanges of 64-bit values as packed arrays.
 
-Texts are dealt to chunks of bounded size by a hash of their id. For every key that its
+Texts are dealt to chunks of bounded size by a hash of id and text. For every key that its
 texts contain, a chunk sends one entry (repeats inside the chunk are merged first, so a very
 frequent key costs each chunk one entry and no task more), packed by bucket into binary
 rows. Buckets are ranges of the key's top bits, so they are even, and hold a bounded number
@@ -11,6 +11,7 @@ no keys. Nothing depends on the order in which rows arrive: a lost task is simpl
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ def text_bytes(keyed: DataFrame) -> int:
 def dealt(keyed: DataFrame, chunk_bytes: int, size: int | None = None) -> tuple[DataFrame, int]:
     """``keyed`` with its chunk, and the number of chunks for texts of ``chunk_bytes`` each on average."""
     n = max(1, math.ceil((text_bytes(keyed) if size is None else size) / chunk_bytes))
-    return keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))), n
+    return keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), n
 
 
 def bucket_count(entries: float, per_bucket: int = 1 << 20) -> int:
@@ -67,6 +68,31 @@ def unpack(body: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on as compressed planes of bytes, only as many as the largest number needs."""
+    heads, planes = [], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, dtype="<u8")
+        width = -(-int(a.max(initial=0)).bit_length() // 8)
+        heads.append(struct.pack("<IB", len(a), width))
+        planes.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    raw = b"".join([bytes([len(arrays)]), *heads, *planes])
+    return struct.pack("<I", len(raw)) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def expand(body: bytes) -> list[np.ndarray]:
+    """The arrays that squeeze() was given, as 64-bit whole numbers without a sign."""
+    raw = pa.Codec("zstd").decompress(body[4:], decompressed_size=struct.unpack("<I", body[:4])[0], asbytes=True)
+    heads = [struct.unpack_from("<IB", raw, 1 + 5 * i) for i in range(raw[0])]
+    out, at = [], 1 + 5 * raw[0]
+    for n, width in heads:
+        wide = np.zeros((n, 8), dtype=np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, count=n * width, offset=at).reshape(width, n).T
+        out.append(wide.view("<u8").reshape(n))
+        at += n * width
+    return out
+
+
 def by_bucket(keys: np.ndarray, buckets: int):
     """(bucket, lo, hi) of sorted keys."""
     bits = buckets.bit_length() - 1

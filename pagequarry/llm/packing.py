@@ -147,9 +147,12 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACIT
     with ``with_ids`` the ids. Null and empty texts are the one end id. Ids that are null or
     repeat are kept as they are; each row is a document of its own. Sequences are whole
     within one task, numbered by task and order. An empty table gives no rows. ``tokenizer``
-    is a file of a public word-level BPE tokenizer, which executors open too. Other columns
-    are not read.
+    is a file of a public word-level BPE tokenizer; the driver reads it and broadcasts its
+    few MB. A text is tokenized in slices of whole texts, so memory is bounded by a slice or
+    the longest text. Other columns are not read.
     """
+    with open(tokenizer, encoding="utf-8") as file:
+        spec = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches):
         from pagequarry.llm.wordbpe import WordBpe
@@ -157,7 +160,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACIT
         release()
         packer, bpe = Packer(capacity, group, TaskContext.get().partitionId() << 36), None
         for batch in batches:
-            bpe = bpe or WordBpe(tokenizer)
+            bpe = bpe or WordBpe(spec.value)
             ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
             for lo, hi in slices(texts, ENCODE_BYTES):
                 found, at = bpe.encode(texts[lo:hi])
@@ -179,4 +182,5 @@ def tokenizer_path() -> str:
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens; see pack_documents()."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -16,16 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagequarry.llm.common import NONSPACE, U64, Words, covered, every_gram, grams, keyed, power, prefix, release, runs, slices, table
+from pagequarry.llm.common import NONSPACE, U64, Words, covered, every_gram, joined, keyed, release, runs, slices, table
 from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, pack, pack_keys, received, split_levels, told, unpack
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 4 << 20
 #: Keys that a bucket holds at most on average.
 BUCKET_KEYS = 1 << 18
-#: A second base: 128 bits decide the last level.
-BASE_2 = 0xD1342543DE82EF95
-INVERSE_2 = pow(BASE_2, -1, 1 << 64)
 NO_DOC = np.iinfo(np.int64).max
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, clean_text string"
@@ -48,46 +45,48 @@ def least_at(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Corpus:
-    """The words of a chunk's texts: hashes with one gap word between texts, so no gram spans two."""
+    """The words of a chunk's texts one after another, and hashes of their grams in two lanes of 64 bits.
+
+    A level's grams are two of the level before, so that their length doubles.
+    """
 
     def __init__(self, ids: list, texts: list[bytes]):
         self.ids, self.texts = ids, texts
         parts, counts, bounds = [], [], []
         for lo, hi in slices(texts):
             words = Words(texts[lo:hi], NONSPACE, lower=False)
-            parts.append(words.hashes())
+            parts.append((words.hashes(), words.hashes(1)))
             counts.append(words.counts)
             bounds.append((words.starts - words.text_starts[words.doc], words.ends - words.text_starts[words.doc]))
-        hashes = np.concatenate(parts) if parts else np.empty(0, U64)
+        self.lanes = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.empty(0, U64)] * 2
+        self.n = len(self.lanes[0])
+        self.made: dict[tuple[int, int], np.ndarray] = {}
         self.counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
         self.starts = np.concatenate([b[0] for b in bounds]) if bounds else np.empty(0, np.int64)
         self.ends = np.concatenate([b[1] for b in bounds]) if bounds else np.empty(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         self.order = np.array([NO_DOC if i is None else i for i in ids], dtype=np.int64)
-        self.sums = prefix(hashes)
-        self.hashes = hashes
 
     def windows(self, size: int) -> np.ndarray:
         """Places whose ``size`` words lie in one text."""
-        n = len(self.hashes) - size + 1
+        n = self.n - size + 1
         if n <= 0:
             return np.empty(0, np.int64)
         return np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
 
-    def gram(self, at: np.ndarray, size: int) -> np.ndarray:
-        return grams(self.sums, at, at + size)
-
-    def second(self, at: np.ndarray, size: int) -> np.ndarray:
-        values = np.zeros(len(self.hashes) + 1, dtype=U64)
-        np.cumsum(self.hashes * power(len(self.hashes), BASE_2), out=values[1:])
-        return (values[at + size] - values[at]) * power(len(values), INVERSE_2)[at]
+    def every(self, size: int, lane: int = 0) -> np.ndarray:
+        """Hashes of the ``size`` words from each place on, whatever texts they are of."""
+        if (size, lane) not in self.made:
+            half = max((s for s, of in self.made if of == lane and s < size <= 2 * s), default=0)
+            short = self.made[half, lane] if half else None
+            self.made[size, lane] = joined(short[: len(short) - (size - half)], short[size - half :]) if half and len(short) > size - half else every_gram(self.lanes[lane], size)
+        return self.made[size, lane]
 
 
 def selected(corpus: Corpus, windows: np.ndarray, window: int, size: int) -> np.ndarray:
     """For each window the place of the gram of ``size`` words that it selects."""
-    every = every_gram(corpus.sums, size)
-    best = least_at(every, window - size + 1)
+    best = least_at(corpus.every(size), window - size + 1)
     return best[windows]
 
 
@@ -108,7 +107,7 @@ class Levels:
 
     def ask(self, corpus: Corpus, at: np.ndarray, size: int):
         """Distinct grams at the places ``at``: sorted keys, and for each place its key's rank, its least document, and whether two documents hold it."""
-        keys = [corpus.gram(at, size)] + ([corpus.second(at, size)] if size == self.window else [])
+        keys = [corpus.every(size)[at]] + ([corpus.every(size, 1)[at]] if size == self.window else [])
         order = corpus.order[corpus.doc[at]]
         by, new = group_heads(keys, order)
         rank = np.empty(len(at), dtype=np.int64)
@@ -129,7 +128,7 @@ class Levels:
                 return windows, at
             keys, rank, _, _ = self.ask(corpus, at, size)
             repeated = self.flags(keys, replies.get(level, []), level)
-            alive = np.zeros(len(corpus.hashes) + 1, dtype=bool)
+            alive = np.zeros(corpus.n + 1, dtype=bool)
             alive[at[repeated[rank]]] = True
             windows = windows[alive[place]]
         raise AssertionError
@@ -202,7 +201,7 @@ def finisher(levels: Levels):
             keys, rank, least, _ = levels.ask(corpus, windows, levels.window)
             elsewhere = levels.flags(keys, found.get(last, []), last)
             gone = windows[elsewhere[rank] | (corpus.order[corpus.doc[windows]] > least[rank])]
-            mask = covered(len(corpus.hashes), gone, levels.window)
+            mask = covered(corpus.n, gone, levels.window)
             for d, text in enumerate(texts):
                 lo, hi = corpus.first[d], corpus.first[d + 1]
                 kept = [text[s:e] for s, e in zip(corpus.starts[lo:hi][~mask[lo:hi]], corpus.ends[lo:hi][~mask[lo:hi]], strict=True)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, as_bytes, covered, every_gram, keyed, prefix, release, runs, slices, table
+from pagequarry.llm.common import U64, as_bytes, byte_grams, covered, keyed, release, runs, slices, table
 from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, own_order, pack_keys, received, split_levels, told
 from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
 
@@ -55,7 +55,7 @@ class Suffixes:
             at = np.flatnonzero(valid)
             if not len(at):
                 continue
-            every = every_gram(prefix(part), self.gram)
+            every = byte_grams(part, self.gram)
             place = least_at(every, window - self.gram + 1)[at]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
             last = np.concatenate([cut[1:] - 1, [len(at) - 1]])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, Words, as_bytes, grams, keyed, mix, prefix, slices, table
+from pagequarry.llm.common import U64, Words, as_bytes, keyed, mix, slices, span_hashes, table
 from pagequarry.llm.decontaminate import WORD_BYTES
 from pagequarry.llm.quality import held_out
 
@@ -32,11 +32,10 @@ def word_counts(texts: list[bytes]):
     """(text, hash, count) arrays of the distinct words and word beginnings of each text, a slice at a time, with the slice's first text."""
     for lo, hi in slices(texts):
         words = Words(texts[lo:hi], WORD_BYTES, lower=True)
-        sums = prefix(words.data)
-        found, owner = [grams(sums, words.starts, words.ends)], [words.doc]
+        found, owner = [words.hashes()], [words.doc]
         for size in BEGINNINGS:
             long = words.ends - words.starts > size
-            found.append(mix(grams(sums, words.starts[long], words.starts[long] + size) + U64(size)))
+            found.append(mix(span_hashes(words.data, words.starts[long], words.starts[long] + size) + U64(size)))
             owner.append(words.doc[long])
         h, d = np.concatenate(found), np.concatenate(owner)
         by = np.lexsort((h, d))

@@ -14,7 +14,7 @@ import json
 
 import numpy as np
 
-from pagequarry.llm.common import U64, Words
+from pagequarry.llm.common import U64, Words, same_spans
 
 #: Only these end a word here; other white space sends a word to the library.
 SPLIT = np.ones(256, dtype=bool)
@@ -31,10 +31,12 @@ _CLASS[ord("'")] = _CLASS[ord("<")] = 0
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    """``spec`` is the text of the tokenizer's file."""
+
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_str(spec)
         spec = json.loads(self.library.to_str())
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.end = spec["model"]["end_of_word_suffix"]
@@ -189,6 +191,10 @@ class WordBpe:
         if not len(words.starts):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         _, first, rank = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        # a word is only taken for another of its hash if its bytes are the same
+        alone = np.flatnonzero(~same_spans(words.raw, words.starts, words.ends, first[rank]))
+        rank[alone] = len(first) + np.arange(len(alone))
+        first = np.concatenate([first, alone])
         ids, at = self.encode_words(words.raw, words.starts[first], words.ends[first])
         count = np.diff(at)[rank]
         end = np.cumsum(count)

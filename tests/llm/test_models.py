@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pagequarry.llm import langmodel, quality, toxicity
+from pagequarry.llm import common, langmodel, quality, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -83,41 +83,105 @@ def test_thresholds_are_ordered_and_weights_shared():
     assert (np.diff(expected) > 0).all() and expected[0] < 0.7 and expected[-1] > 2.3
 
 
-def test_language_model(docs, rows, none):
-    low = lambda s: "".join(c.lower() if c.isascii() else c for c in s)
-    texts = [[w for w in re.split("[ \t-\r]+", low(t or "")) if w] + ["</s>"] for _, t, *_ in rows]
+class PlainModel:
+    """Backoff n-grams straight from the definition: dictionaries and recursion."""
+
+    def __init__(self, texts, least):
+        self.least, self.counts = least, [Counter() for _ in least]
+        for t in texts:
+            padded = ("<s>", *t)
+            for k in range(1, len(least) + 1):
+                for i in range(1 if k == 1 else 0, len(padded) - k + 1):
+                    self.counts[k - 1][padded[i : i + k]] += 1
+        self.total, self.distinct, self.texts = sum(self.counts[0].values()), len(self.counts[0]), len(texts)
+        self.kept = [{g: n for g, n in c.items() if n >= m} for c, m in zip(self.counts, least, strict=True)]
+        self.discount = []
+        for k, c in enumerate(self.counts):
+            shorter = self.counts[k - 1] | {("<s>",): self.texts} if k else {}
+            asked = [n for g, n in c.items() if not k or min(shorter[g[:-1]], shorter[g[1:]]) >= least[k]]
+            one, two = asked.count(1), asked.count(2)
+            self.discount.append(min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5)
+        self.arcs, self.mass = Counter(), Counter()
+        for k in self.kept[1:]:
+            for g, n in k.items():
+                self.arcs[g[:-1]] += 1
+                self.mass[g[:-1]] += n
+
+    def p(self, context, word):
+        context = context[len(context) - len(self.least) + 1 :] if len(context) >= len(self.least) else context
+        if not context:
+            return (self.counts[0][word,] + 1) / (self.total + self.distinct + 1)
+        k = len(context)
+        size = self.texts if context == ("<s>",) else self.counts[k - 1][context]
+        lower = self.p(context[1:], word)
+        if not self.arcs[context]:
+            return lower
+        d = self.discount[k]
+        left = 1 - (self.mass[context] - d * self.arcs[context]) / size
+        n = self.kept[k].get((*context, word), 0)
+        return (n - d if n else 0) / size + left * lower
+
+    def scores(self, text):
+        padded = ("<s>", *text)
+        return [math.log10(self.p(padded[:i], padded[i])) for i in range(1, len(padded))]
+
+
+def tokens_of(text):
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return [*(w for w in re.split("[ \t-\r]+", low) if w), "</s>"]
+
+
+@pytest.mark.parametrize("least", [(1, 1, 2, 2), (1, 1, 1), (1, 2), (1,), (1, 1, 1, 1, 3)])
+def test_language_model(docs, rows, none, least):
+    texts = [tokens_of(t) for _, t, *_ in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, *_ in rows]
-    train = [t for t, h in zip(texts, held, strict=True) if not h]
-    one = Counter(w for t in train for w in t)
-    two = Counter(p for t in train for p in zip([None, *t], t, strict=False))
-    context, kinds = Counter(), Counter()
-    for (a, _), n in two.items():
-        context[a] += n
-        kinds[a] += 1
-    total = sum(one.values())
-    n1, n2 = sum(n == 1 for n in two.values()), sum(n == 2 for n in two.values())
-    discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2)))
+    model = PlainModel([t for t, h in zip(texts, held, strict=True) if not h], least)
     want = Counter()
     for row, t, h in zip(rows, texts, held, strict=True):
-        base = score = 0.0
-        for a, w in zip([None, *t], t, strict=False):
-            p = (one[w] + 1) / (total + len(one) + 1)
-            base += math.log10(p)
-            score += math.log10((max(two[a, w] - discount, 0) + discount * kinds[a] * p) / context[a] if context[a] else p)
-        want[row[0], h, len(t), sum(one[w] > 0 for w in t), total, round(base, 4), round(score, 4)] += 1
-    found = langmodel.score_texts(docs, chunk_bytes=20_000).collect()
+        base = sum(math.log10(model.p((), w)) for w in t)
+        known = sum(model.counts[0][w,] > 0 for w in t)
+        want[row[0], h, len(t), known, model.total, round(base, 4), round(sum(model.scores(t)), 4)] += 1
+    found = langmodel.score_texts(docs, order=len(least), least=least, chunk_bytes=20_000).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in found) == want
-    assert langmodel.score_texts(none).count() == 0
-
-
-def test_model_probabilities_sum_to_one(spark):
-    """Of all next tokens after a seen word, the unknown class included."""
-    docs = [(0, "a b a c a b"), (1, "b a"), (3, "c c c")]
-    train = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 7 != 2]
-    vocabulary = sorted({w for _, t in train for w in t.split()}) + ["zzz"]
-    probe = [(100 + i, f"a {w}") for i, w in enumerate(vocabulary)]
-    probe = [(next(k for k in range(100 * (i + 1), 10**6) if zlib.crc32(str(k).encode()) % 7 == 2), t) for i, (_, t) in enumerate(probe)]
-    scored = {r.doc_id: r for r in langmodel.score_texts(spark.createDataFrame(docs + probe, "doc_id long, text string")).collect()}
-    ended = next(k for k in range(10**6, 2 * 10**6) if zlib.crc32(str(k).encode()) % 7 == 2)
-    assert all(scored[i].held_out for i, _ in probe) and ended
-    assert all(scored[i].score < 0 for i, _ in probe)
+    assert langmodel.score_texts(none, order=len(least), least=least).count() == 0
+
+
+def held_out_ids(n):
+    return [i for i in range(10**6, 10**6 + 40 * n + 200) if zlib.crc32(str(i).encode()) % 7 == 2][:n]
+
+
+def test_probabilities_of_next_tokens_sum_to_one(spark):
+    """After every context, over all known tokens, the end, and the class of the unknown."""
+    rng = random.Random(3)
+    train = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 30)))) for i in range(40)]
+    train = [d for d in train if zlib.crc32(str(d[0]).encode()) % 7 != 2]
+    words = [*"abcde", "unknown"]
+    contexts = ["", "a", "a b", "c c", "b a e", "d d d d", "unknown a", "a unknown", "e a b c d e"]
+    probes = [" ".join([*c.split(), w]) for c in contexts for w in words] + contexts
+    ids = held_out_ids(len(probes))
+    found = {r.doc_id: r for r in langmodel.score_texts(spark.createDataFrame(train + list(zip(ids, probes, strict=True)), "doc_id long, text string"), with_tokens=True).collect()}
+    scores = {t: found[i].token_scores for i, t in zip(ids, probes, strict=True)}
+    for c in contexts:
+        after = [scores[" ".join([*c.split(), w])][len(c.split())] for w in words]
+        assert abs(sum(10**s for s in [*after, scores[c][-1]]) - 1) < 1e-9
+    assert all(abs(sum(r.token_scores) - r.score) < 1e-6 for r in found.values())
+
+
+def test_language_model_without_training_rows(spark):
+    rows = [(i, t) for i, t in zip(held_out_ids(3), ["a b", "", None], strict=True)]
+    found = langmodel.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found} == {(True, 3, 0, 0, 0.0, 0.0), (True, 1, 0, 0, 0.0, 0.0)}
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 4096])
+def test_words_that_collide_in_polynomial_hashes_differ(spark, n):
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    assert len({common.Words([w.encode()], common.NONSPACE, False).hashes(lane)[0] for w in (one, two) for lane in (0, 1)}) == 4
+    trained = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(trained, f"{one} x"), (held_out_ids(1)[0], f"{two} x")]
+    found = {r.doc_id: r for r in langmodel.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[d].n_known for d, _ in rows] == [3, 2]

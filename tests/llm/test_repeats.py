@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from pagequarry.llm import neardup, repeats, simhash, suffixes
@@ -45,6 +46,20 @@ def test_word_passages(docs, rows, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [32, 64, 1024, 4096])
+def test_passages_of_structured_words_are_not_taken_for_each_other(spark, n):
+    """Words, and orders of words, that a polynomial modulo a power of two cannot tell apart."""
+    sign = ["b" if bin(i).count("1") % 2 else "a" for i in range(n)]
+    one, two = "".join(sign), "".join("ab"[c == "a"] for c in sign)
+    tail = [f"w{i}" for i in range(60)]
+    order = [sign[i % n] for i in range(64)]
+    rows = [(1, " ".join([*tail[:30], one, *tail[30:]])), (2, " ".join([*tail[:30], two, *tail[30:]]))]
+    rows += [(3, " ".join(order)), (4, " ".join("ab"[c == "a"] for c in order))]
+    want = {d: sum(mask) for d, _, mask in removed(lambda t: t.split(), rows, 50)}
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and got[2] == 0
+
+
 def test_byte_passages(docs, rows, none):
     want = Counter()
     for d, u, mask in removed(lambda t: (t or "").encode(), rows, 50):

@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from pagequarry.llm import decontaminate, packing, registry, topk, warc
+from pagequarry.llm.common import Words
 from pagequarry.llm.wordbpe import WordBpe
 
 SF = "/root/testdata/sf0.001"
@@ -92,7 +93,8 @@ def test_top_k(spark, scale):
 
 @pytest.fixture(scope="module")
 def bpe():
-    return WordBpe(packing.tokenizer_path())
+    with open(packing.tokenizer_path(), encoding="utf-8") as file:
+        return WordBpe(file.read())
 
 
 def test_tokenizer_equals_the_library(bpe, rows):
@@ -103,6 +105,14 @@ def test_tokenizer_equals_the_library(bpe, rows):
         assert ids[at[i] : at[i + 1]].tolist() == e.ids
 
 
+def test_words_of_one_hash_keep_their_own_ids(bpe, monkeypatch):
+    texts = ["alpha beta gamma alpha", "gamma delta", "alpha\nbeta " + "y" * 90 + " " + "z" * 90 + " " + "y" * 90]
+    want = [e.ids for e in bpe.library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(Words, "hashes", lambda self, lane=0: np.zeros(len(self.starts), np.uint64))
+    ids, at = bpe.encode([t.encode() for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+
+
 def test_packing(docs, rows, bpe, none):
     found = packing.pack_documents(docs, packing.tokenizer_path(), group=64, with_ids=True).collect()
     want = Counter()
