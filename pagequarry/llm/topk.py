@@ -1,9 +1,10 @@
 """Operator 4, exact top-k search by distributed histogram selection.
 
-Queries come in blocks of bounded size. For a block every candidate is scored, and global
-score histograms are refined round by round until each query's k-th score is known exactly:
-a round splits the range that holds it into at most ``BINS`` parts and counts the scores in
-each. A last pass keeps what lies above that score and, of what equals it, the smallest ids.
+Queries come in blocks of bounded size and one vector length. For a block every candidate is
+scored, and global score histograms are refined round by round until each query's k-th score is
+known exactly: a round splits the range that holds it into equal bins, counts the scores of all
+queries in one pass of array operations, and keeps the bin in which the count from above reaches
+k. A last pass keeps what lies above that score and, of what equals it, the smallest ids.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import table
+from pagequarry.llm.common import U64, table
 from pagequarry.session import settle
 
-BINS = 1024
-#: Components of query vectors that a block broadcasts (8 bytes each).
-BLOCK_VALUES = 1 << 20
-#: Scores that are held at once.
-SCORES = 1 << 20
+#: Counters of a block's histogram, shared by its queries, and scores that are held at once.
+COUNTERS, SCORES = 1 << 20, 1 << 22
+#: Queries of a block, and components of its vectors that are broadcast (8 bytes each).
+BLOCK_QUERIES, BLOCK_VALUES = 4096, 1 << 20
 SCALE = 1024
-EXACT = 2**53
+SIGN = U64(1 << 63)
+LONG = np.iinfo(np.int64)
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -30,7 +31,15 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     x = F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     kept = vectors.where(F.col(f"`{id_col}`").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)))
-    return kept.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(SCALE))).cast("long")).alias("v"))
+    whole = F.transform(x, lambda c: F.floor(c * F.lit(float(SCALE))).cast("long"))
+    return kept.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), whole.alias("v"))
+
+
+def size_class(vectors: np.ndarray) -> np.ndarray:
+    """0 where products with each other are exact in doubles, 1 where they are in longs, 2 beyond."""
+    largest = np.abs(vectors.astype(np.float64)).max(axis=1, initial=0.0)
+    width = max(1, vectors.shape[1])
+    return (largest**2 * width >= 2.0**53).astype(np.int64) + (largest**2 * width >= 2.0**62)
 
 
 class Block:
@@ -39,16 +48,26 @@ class Block:
     def __init__(self, ids: list[int], rows: list[list[int]]):
         self.ids = np.array(ids, dtype=np.int64)
         self.vectors = np.array(rows, dtype=np.int64).reshape(len(rows), -1)
-        self.largest = float(np.abs(self.vectors.astype(np.float64)).max(initial=0.0))
+        self.classes = size_class(self.vectors)
 
     def scores(self, candidates: np.ndarray) -> np.ndarray:
-        """One row for each query. Products that doubles cannot hold exactly are done with whole numbers, and must fit a long."""
-        top = self.largest * float(np.abs(candidates.astype(np.float64)).max(initial=0.0)) * max(1, candidates.shape[1])
-        if top < EXACT:
-            return (self.vectors.astype(np.float64) @ candidates.T.astype(np.float64)).astype(np.int64)
-        if top < 2.0**62:
-            return self.vectors @ candidates.T
-        return (self.vectors.astype(object) @ candidates.T.astype(object)).astype(np.int64)
+        """One row for each query; products are exact, and what no long can hold becomes the largest or smallest long."""
+        classes = size_class(candidates)
+        out = np.empty((len(self.ids), len(candidates)), dtype=np.int64)
+        for a in np.unique(self.classes):
+            for b in np.unique(classes):
+                q, c = np.flatnonzero(self.classes == a), np.flatnonzero(classes == b)
+                out[np.ix_(q, c)] = products(self.vectors[q], candidates[c], max(a, b))
+        return out
+
+
+def products(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    if size == 0:
+        return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
+    if size == 1:
+        return left @ right.T
+    exact = left.astype(object) @ right.T.astype(object)
+    return np.clip(exact, int(LONG.min), int(LONG.max)).astype(np.int64)
 
 
 def parts(batches, block: Block):
@@ -67,67 +86,77 @@ def parts(batches, block: Block):
             yield ids[at], block.scores(candidates), ids[at][None, :] != block.ids[:, None]
 
 
-def counts_by_bin(block: Block, low: np.ndarray, step: np.ndarray, k: int):
-    """Counts of scores by bin (low + i * step); of each partition only bins down to its own k-th score, below which the k-th of all cannot lie."""
+def in_order(scores: np.ndarray) -> np.ndarray:
+    """Scores as numbers without a sign, in the same order."""
+    return scores.view(U64) ^ SIGN
+
+
+def counts_by_bin(block: Block, low: np.ndarray, step: int, bins: int, k: int):
+    """Counts of scores by bin (low + i * step; the last bin has all above); of each partition only bins down to its own k-th score, below which the k-th of all cannot lie."""
 
     def run(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        n = len(block.ids)
+        held = np.zeros(n * (bins + 1), dtype=np.int64)
         for _, scores, counts in parts(batches, block):
-            for q in range(len(block.ids)):
-                own = scores[q][counts[q]]
-                own = own[own >= low[q]]
-                bins, n = np.unique((own - low[q]) // step[q], return_counts=True)
-                if q in held:
-                    bins, where = np.unique(np.concatenate([held[q][0], bins]), return_inverse=True)
-                    n = np.bincount(where, weights=np.concatenate([held[q][1], n])).astype(np.int64)
-                above = np.cumsum(n[::-1])[::-1] - n
-                held[q] = (bins[above < k], n[above < k])
-        query = np.concatenate([np.full(len(b), q) for q, (b, _) in held.items()]) if held else np.empty(0, np.int64)
-        bins = np.concatenate([b for b, _ in held.values()]) if held else np.empty(0, np.int64)
-        n = np.concatenate([c for _, c in held.values()]) if held else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(bins.astype(np.int64)), pa.array(n.astype(np.int64))], names=["query", "bin", "n"])
+            key = in_order(scores)
+            query, at = np.nonzero(counts & (key >= low[:, None]))
+            if len(query):
+                place = np.minimum((key[query, at] - low[query]) // U64(step), U64(bins)).astype(np.int64)
+                held += np.bincount(query * (bins + 1) + place, minlength=len(held))
+        held = held.reshape(n, bins + 1)
+        above = np.cumsum(held[:, ::-1], axis=1)[:, ::-1] - held
+        query, place = np.nonzero((held > 0) & (above < k))
+        arrays = [pa.array(x.astype(np.int64)) for x in (query, place, held[query, place])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["query", "bin", "n"])
 
     return run
 
 
 def kth_scores(candidates: DataFrame, block: Block, k: int) -> np.ndarray:
-    """Each query's k-th best score, or the least score if it has fewer candidates. The driver holds the block's bins, at most k for each query and partition merged."""
+    """Each query's k-th best score, or the least score if it has fewer candidates. The driver gets one bin for each query of the block and round."""
     n = len(block.ids)
-    span = float(np.abs(block.vectors.astype(np.float64)).sum(axis=1).max(initial=0.0))
-    largest = candidates.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()[0] or 0
-    bound = int(min(span * float(largest) + 1, 2.0**62))
-    low = np.full(n, -bound, dtype=np.int64)
-    width = 2 * bound + 1
+    span = sum(abs(int(x)) for x in max(block.vectors.tolist(), key=lambda v: sum(map(abs, v)), default=[]))
+    most, least = candidates.agg(F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    bound = min(span * max(abs(most or 0), abs(least or 0)) + 1, int(LONG.max))
+    low = np.full(n, in_order(np.array([-bound]))[0], dtype=U64)
+    if bound == LONG.max:
+        low[:] = 0
+    width = min(2 * bound + 2, 1 << 64)
+    bins = max(16, COUNTERS // max(1, n))
     while width > 1:
-        step = -(-width // BINS)
-        counted = candidates.mapInArrow(counts_by_bin(block, low, np.full(n, step, dtype=np.int64), k), "query long, bin long, n long")
+        step = -(-width // bins)
+        counted = candidates.mapInArrow(counts_by_bin(block, low, step, bins, k), "query long, bin long, n long")
         # of each query, the bin in which the running count from the top reaches k
         down = Window.partitionBy("query").orderBy(F.desc("bin"))
         summed = counted.groupBy("query", "bin").agg(F.sum("n").alias("n"))
-        reached = summed.withColumn("above", F.sum("n").over(down) - F.col("n")).where(F.col("above") < k).groupBy("query").agg(F.min("bin").alias("bin"))
-        for row in reached.collect():
-            low[row["query"]] += row["bin"] * step
+        running = summed.withColumn("above", F.sum("n").over(down) - F.col("n"))
+        for row in running.where(F.col("above") < k).groupBy("query").agg(F.min("bin").alias("bin")).collect():
+            low[row["query"]] += U64(row["bin"] * step)
         width = step
-    return low
+    return (low ^ SIGN).view(np.int64)
 
 
 def best(block: Block, floor: np.ndarray, k: int):
     """Of one partition, each query's scores from its k-th on: those above it, and the smallest ids of those that equal it."""
 
+    def first(query, score, vec):
+        by = np.lexsort((vec, ~score, query))
+        query, score, vec = query[by], score[by], vec[by]
+        start = np.searchsorted(query, query, side="left")
+        keep = np.arange(len(query)) - start < k
+        return query[keep], score[keep], vec[keep]
+
     def run(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = [np.empty(0, np.int64)] * 3
+        new: list[tuple] = []
         for ids, scores, counts in parts(batches, block):
-            for q in np.flatnonzero(((scores >= floor[:, None]) & counts).any(axis=1)):
-                keep = np.flatnonzero((scores[q] >= floor[q]) & counts[q])
-                s, v = scores[q][keep], ids[keep]
-                if q in held:
-                    s, v = np.concatenate([held[q][0], s]), np.concatenate([held[q][1], v])
-                by = np.lexsort((v, -s))[:k]
-                held[q] = (s[by], v[by])
-        query = np.concatenate([np.full(len(s), block.ids[q]) for q, (s, _) in held.items()]) if held else np.empty(0, np.int64)
-        score = np.concatenate([s for s, _ in held.values()]) if held else np.empty(0, np.int64)
-        vec = np.concatenate([v for _, v in held.values()]) if held else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(vec.astype(np.int64)), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+            query, at = np.nonzero((scores >= floor[:, None]) & counts)
+            new.append((query, scores[query, at], ids[at]))
+            if sum(len(x[0]) for x in new) > SCORES:
+                held, new = first(*(np.concatenate(x) for x in zip(held, *new, strict=True))), []
+        query, score, vec = first(*(np.concatenate(x) for x in zip(held, *new, strict=True)))
+        arrays = [pa.array(x.astype(np.int64)) for x in (block.ids[query], vec, score)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -135,13 +164,14 @@ def best(block: Block, floor: np.ndarray, k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_values: int = BLOCK_VALUES) -> DataFrame:
     """Each query's ``k`` candidates of highest integer inner product, but for its own id: (query_id, rank, vec_id, score).
 
-    Components become floor(1024 * x). Ties go to the smaller vec_id; all candidates, if
-    there are fewer than k. Vectors that are null or hold null or non-finite components, and
+    Components become floor(1024 * x), and where that is beyond a long the largest or
+    smallest one; a score beyond a long likewise. Ties go to the smaller vec_id; all
+    candidates, if there are fewer than k. Vectors that are null or hold null or non-finite components, and
     rows without an id, take no part; vectors of different lengths are not compared. Query
     ids that repeat are one query, of the vector that comes first in order; candidates that
     repeat count as often as they occur. Empty tables give no rows. Other columns are not read.
     """
-    wanted = quantized(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
+    wanted = quantized(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     pool = settle(quantized(candidates, id_col, vector_col), "topk-candidates")
     found = None
     for block in blocks(wanted, block_values):
@@ -155,19 +185,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str =
 
 
 def blocks(wanted: DataFrame, block_values: int):
-    """Query vectors in blocks of one length, each of at most ``block_values`` components (one vector at least)."""
-    held: dict[int, tuple[list, list]] = {}
-    for row in wanted.toLocalIterator():
-        ids, rows = held.setdefault(len(row["v"]), ([], []))
+    """Query vectors in blocks of one length, each of at most ``block_values`` components (one vector at least); the driver holds one block."""
+    ids: list[int] = []
+    rows: list[list[int]] = []
+    for row in wanted.orderBy(F.size("v"), "vec_id").toLocalIterator():
+        if ids and (len(row["v"]) != len(rows[0]) or len(ids) >= BLOCK_QUERIES or (len(ids) + 1) * len(row["v"]) > block_values):
+            yield Block(ids, rows)
+            ids, rows = [], []
         ids.append(row["vec_id"])
         rows.append(row["v"])
-        if len(ids) * max(1, len(row["v"])) >= block_values:
-            yield Block(*held.pop(len(row["v"])))
-    for ids, rows in held.values():
+    if ids:
         yield Block(ids, rows)
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
+    """The ten best of all other rows for each row whose id is divisible by 100; see top_k()."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 

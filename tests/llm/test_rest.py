@@ -91,6 +91,24 @@ def test_top_k(spark, scale):
     assert topk.top_k(df.where("false"), df).count() == 0 and topk.top_k(df.where("vec_id = 0"), df.where("false")).count() == 0
 
 
+def test_top_k_of_values_beyond_longs(spark):
+    rng = random.Random(5)
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
+    values = [1e300, -1e300, 1e17, -1e17, 1e9, 0.5, -3.0, 0.0, 1.7e308, 9e15]
+    rows = [(i, [rng.choice(values) for _ in range(3)]) for i in range(230)] + [(i, [rng.choice(values), 1.0]) for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    scaled = [float("inf") if 1024 * x == float("inf") else 1024 * x for _, v in rows for x in v]
+    assert float("inf") in scaled
+    whole = {i: [long(int(np.floor(x * 1024.0)) if np.isfinite(x * 1024.0) else (2**64 if x > 0 else -(2**64))) for x in v] for i, v in rows}
+    want = set()
+    for q in whole:
+        if q % 100 == 0:
+            scores = sorted((-long(sum(x * y for x, y in zip(whole[q], b, strict=True))), i) for i, b in whole.items() if i != q and len(b) == len(whole[q]))
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])}
+    for block in (1 << 20, 3):
+        assert {tuple(r) for r in topk.top_k(df.where("vec_id % 100 = 0"), df, block_values=block).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def bpe():
     with open(packing.tokenizer_path(), encoding="utf-8") as file:
