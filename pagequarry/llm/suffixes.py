@@ -4,16 +4,17 @@ Each window of ``window`` bytes selects one 24-byte gram inside it, the least by
 equal windows select equal grams at equal places and about one suffix in fourteen stands for
 its neighbours. A first exchange asks of each selected gram whether another document has it;
 only suffixes that survive are sorted. Those are range-partitioned by their leading bytes at
-splitters taken from a sample, carrying the text of the windows they stand for; each bucket
-sorts its windows by multikey quicksort (eight bytes at a time, only what is still tied goes
-on) and finds each string's least document. Splitters fall between different grams, so a run
-of equal suffixes never crosses a bucket's boundary.
+splitters taken from a sample that grows with the number of buckets. Where one gram is so
+frequent that several splitters fall on it, splitters read on beyond the gram, and its windows
+are dealt one by one by all of their bytes. Each bucket sorts by multikey quicksort and finds
+each string's least document. A splitter never parts equal strings: what is compared across
+boundaries is only the splitters themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 2 << 20
 #: Windows that are sorted at once.
 SORT_WINDOWS = 1 << 17
-#: Documents and grams of each that are sampled for splitters; they decide only how even the buckets are.
-SAMPLE_DOCS, SAMPLE_GRAMS = 4000, 8
+#: Buckets at most (beyond, each takes more bytes), sampled strings for each bucket, and strings of one sampled document.
+MOST_BUCKETS, SAMPLE_EACH, SAMPLE_OF_DOC = 1 << 16, 16, 8
+LEAST_SAMPLE = 32_000
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string"
 
@@ -89,26 +91,57 @@ class Chunk:
         return np.flatnonzero(repeated[self.rank])
 
     def records(self, alive: np.ndarray, splitters: list[bytes]):
-        """Distinct window texts of the surviving suffixes by bucket, the least document first; which record each suffix has."""
+        """What the surviving suffixes send, and what each asks.
+
+        A record is (text, place of the gram, document): the distinct texts of the suffixes'
+        windows, or, where splitters part the windows of a gram, each distinct window by itself.
+        Returns the records by bucket, the least document first; of each distinct text its
+        windows as (bucket, record, bit, document of that record); and each suffix's text.
+        """
         data, s = self.s.data, self.s
         seen: dict[bytes, int] = {}
+        single: dict[tuple[bytes, int], tuple[int, int, int]] = {}
         mine = np.empty(len(alive), dtype=np.int64)
         buckets: dict[int, list[tuple[bytes, int, int]]] = {}
-        where: list[tuple[int, int]] = []
-        firsts: list[int] = []
+        asked: list[tuple] = []
+        counts: list[int] = []
+
+        def send(bucket: int, text: bytes, place: int, doc: int) -> tuple[int, int, int]:
+            own = buckets.setdefault(bucket, [])
+            own.append((text, place, doc))
+            return bucket, len(own) - 1, doc
+
         low, stop, place, docs = (x[alive].tolist() for x in (s.low, s.high + s.window, s.place, self.docs))
         for i in range(len(alive)):
             text = data[low[i] : stop[i]]
             r = seen.get(text)
             if r is None:
-                r = seen[text] = len(where)
-                bucket = bisect_right(splitters, data[place[i] : place[i] + s.gram])
-                own = buckets.setdefault(bucket, [])
-                where.append((bucket, len(own)))
-                own.append((text, place[i] - low[i], docs[i]))
-                firsts.append(docs[i])
+                r = seen[text] = len(counts)
+                at, doc, n = place[i] - low[i], docs[i], len(text) - s.window + 1
+                gram = text[at : at + s.gram]
+                bucket, last = bisect_right(splitters, gram), bisect_left(splitters, gram + LARGEST)
+                if bucket == last:
+                    b, k, _ = send(bucket, text, at, doc)
+                    asked += [(b, k, j, doc) for j in range(n)]
+                else:
+                    for j in range(n):
+                        window = text[j : j + s.window]
+                        found = single.get((window, at - j))
+                        if found is None:
+                            found = single[window, at - j] = send(bisect_right(splitters, window_key(window, at - j, s.gram)), window, at - j, doc)
+                        asked.append((found[0], found[1], 0, found[2]))
+                counts.append(n)
             mine[i] = r
-        return buckets, where, mine, np.array(firsts, dtype=np.int64)
+        return buckets, np.array(asked, dtype=np.int64).reshape(-1, 4), np.array(counts, dtype=np.int64), mine
+
+
+#: Sorts after what may follow a gram in a splitter.
+LARGEST = b"\xff" * 64
+
+
+def window_key(window: bytes, place: int, gram: int) -> bytes:
+    """A window's bytes as it is sorted: its gram, the place of that, what follows and what precedes it."""
+    return b"".join([window[place : place + gram], bytes([place]), window[place + gram :], window[:place]])
 
 
 def ask_grams(window: int, buckets: int):
@@ -140,34 +173,54 @@ def ask_suffixes(window: int, buckets: int, splitters):
     return run
 
 
-def multikey_groups(data: bytes, at: np.ndarray, width: int) -> np.ndarray:
-    """Equal numbers for equal strings of ``width`` bytes at the places ``at``: multikey quicksort, eight bytes a level.
+def multikey_sort(data: bytes, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings of ``width`` bytes at the places ``at``, and which of them, so sorted, differ from the one before.
 
-    A level sorts only strings that are still tied with another by what was read so far.
+    Multikey quicksort with eight bytes as a character: every unfinished group is parted in
+    three by a pivot, and only what equals the pivot goes on to the next eight bytes. All
+    groups of a round are parted together.
     """
     padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
     words = np.ndarray((len(data) + 1,), dtype=">u8", buffer=padded, strides=(1,))
-    group = np.zeros(len(at), dtype=np.int64)
-    tied = np.arange(len(at))
-    fresh = 1
-    offsets = [*range(0, width - 7, 8)]
-    if width % 8 or not offsets:
-        offsets.append(max(0, width - 8))
-    for offset in offsets:
-        key = words[at[tied] + offset].astype(U64)
+    offsets = np.array([*range(0, width - 7, 8), *([max(0, width - 8)] if width % 8 or width < 8 else [])])
+    order, head = np.arange(len(at)), np.zeros(len(at), dtype=bool)
+    head[:1] = True
+    start, size, depth = np.zeros(1, np.int64), np.array([len(at)]), np.zeros(1, np.int64)
+    if len(at) < 2:
+        return order, head
+    while len(start):
+        first = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(start)), size)
+        place = np.arange(len(group)) - first[group] + start[group]
+        own = order[place]
+        key = words[at[own] + offsets[depth[group]]].astype(U64)
         if width < 8:
             key >>= U64(8 * (8 - width))
-        by = np.lexsort((key, group[tied]))
-        own, key = group[tied][by], key[by]
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-        number = np.cumsum(new) - 1
-        group[tied[by]] = fresh + number
-        size = np.bincount(number) if len(number) else np.empty(0, np.int64)
-        fresh += len(size)
-        tied = tied[by][size[number] > 1]
-        if not len(tied):
-            break
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        low, equal = key < pivot, key == pivot
+        below, same = np.cumsum(low), np.cumsum(equal)
+        n_low = below[first + size - 1] - below[first] + low[first]
+        n_equal = same[first + size - 1] - same[first] + equal[first]
+        before_low, before_equal = (below[first] - low[first])[group], (same[first] - equal[first])[group]
+        inside = np.arange(len(group)) - first[group]
+        to_low, to_equal = below - 1 - before_low, n_low[group] + same - 1 - before_equal
+        to_high = n_equal[group] + n_low[group] + inside - (below - before_low) - (same - before_equal)
+        order[start[group] + np.where(low, to_low, np.where(equal, to_equal, to_high))] = own
+        after = n_low + n_equal
+        head[(start + n_low)[n_equal > 0]] = True
+        head[(start + after)[after < size]] = True
+        deeper = (n_equal > 1) & (depth + 1 < len(offsets))
+        parts = [(start, n_low, depth, n_low > 1), (start + n_low, n_equal, depth + 1, deeper), (start + after, size - after, depth, size - after > 1)]
+        start, size, depth = (np.concatenate([p[i][p[3]] for p in parts]) for i in range(3))
+    return order, head
+
+
+def multikey_groups(data: bytes, at: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of the strings of ``width`` bytes at the places ``at``, in their order, equal for equal ones."""
+    order, head = multikey_sort(data, at, width)
+    group = np.empty(len(at), dtype=np.int64)
+    group[order] = np.cumsum(head) - 1
     return group
 
 
@@ -184,10 +237,9 @@ def earlier_windows(texts: list[bytes], least: np.ndarray, window: int) -> np.nd
     owner = np.repeat(np.arange(len(texts)), count)
     j = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     group = multikey_groups(b"".join(texts), np.repeat(np.cumsum(size) - size, count) + j, window)
-    _, rank = np.unique(group, return_inverse=True)
-    first = np.full(rank.max() + 1, NO_DOC, dtype=np.int64)
-    np.minimum.at(first, rank, least[owner])
-    gone = least[owner] > first[rank]
+    first = np.full(len(group), NO_DOC, dtype=np.int64)
+    np.minimum.at(first, group, least[owner])
+    gone = least[owner] > first[group]
     masks = np.zeros(len(texts), dtype=np.uint32)
     np.bitwise_or.at(masks, owner[gone], np.uint32(1) << j[gone].astype(np.uint32))
     return masks
@@ -247,6 +299,12 @@ def answer_suffixes(window: int, gram: int):
     return run
 
 
+def runs_of(values: np.ndarray) -> tuple[list, list, list]:
+    """Value, start and end of each run of equal values."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
+    return values[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist()
+
+
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """``text`` without spans, each drawn in to whole UTF-8 characters."""
     out, at = [], 0
@@ -269,16 +327,20 @@ def finish(window: int, buckets: int, splitters, carried: list[str]):
             c = Chunk(chunk, window)
             found = split_levels(replies)
             alive = c.surviving(found.get(0, []), buckets)
-            _, where, mine, firsts = c.records(alive, splitters.value)
-            masks = {b: np.frombuffer(body, np.uint32) for b, body in found.get(1, [])}
-            record_mask = np.array([masks[b][i] for b, i in where], dtype=np.uint32)
-            gone = []
-            low, high = c.s.low[alive], c.s.high[alive]
-            local = c.docs[alive] > firsts[mine] if len(alive) else np.empty(0, bool)
-            for j in range(int((high - low).max()) + 1 if len(alive) else 0):
-                hit = (low + j <= high) & (local | (record_mask[mine] >> np.uint32(j) & np.uint32(1)).astype(bool))
-                gone.append(low[hit] + j)
-            mask = covered(int(c.s.starts[-1]), np.concatenate(gone) if gone else np.empty(0, np.int64), window)
+            _, asked, counts, mine = c.records(alive, splitters.value)
+            elsewhere = np.zeros(len(asked), dtype=bool)
+            by = np.argsort(asked[:, 0], kind="stable")
+            masks = dict(found.get(1, []))
+            for bucket, lo, hi in zip(*runs_of(asked[by, 0]), strict=True):
+                own = asked[by[lo:hi]]
+                elsewhere[by[lo:hi]] = np.frombuffer(masks[bucket], np.uint32)[own[:, 1]] >> own[:, 2].astype(np.uint32) & np.uint32(1)
+            # every window of every surviving suffix, and the question that was asked for it
+            size = counts[mine]
+            suffix = np.repeat(np.arange(len(alive)), size)
+            j = np.arange(len(suffix)) - np.repeat(np.cumsum(size) - size, size)
+            question = (np.cumsum(counts) - counts)[mine][suffix] + j
+            gone = elsewhere[question] | (c.docs[alive][suffix] > asked[question, 3])
+            mask = covered(int(c.s.starts[-1]), (c.s.low[alive][suffix] + j)[gone], window)
             for d, text in enumerate(c.texts):
                 own = mask[c.s.starts[d] : c.s.starts[d + 1]]
                 spans = [(int(s), int(e)) for s, e in zip(*runs(own), strict=True)]
@@ -299,21 +361,31 @@ def finish(window: int, buckets: int, splitters, carried: list[str]):
     return run
 
 
-def sample_splitters(source: DataFrame, window: int, buckets: int) -> list[bytes]:
-    """Grams that cut a sample of the suffixes into equal parts; bounded by SAMPLE_DOCS * SAMPLE_GRAMS."""
+def sampled_keys(source: DataFrame, window: int, wanted: int) -> list[bytes]:
+    """About ``wanted`` windows of a sample of documents, as they are sorted, one for each of some selected suffixes."""
 
     def batches(rows):
         for batch in rows:
-            grams = []
+            keys = []
             for text in as_bytes(batch.column("text")):
                 s = Suffixes([text], window)
-                grams += [s.data[p : p + s.gram] for p in s.place[:: max(1, len(s.place) // SAMPLE_GRAMS)][:SAMPLE_GRAMS]]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary())], names=["gram"])
+                for k in range(0, len(s.place), max(1, len(s.place) // SAMPLE_OF_DOC)):
+                    low, place = s.low[k], s.place[k]
+                    keys.append(window_key(s.data[low : low + window], int(place - low), s.gram))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
+
+    docs = wanted // SAMPLE_OF_DOC
+    part = source.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(max(1, source.count() // docs))) == 0)
+    return sorted(bytes(r[0]) for r in part.limit(2 * docs).mapInArrow(batches, "key binary").toLocalIterator())
+
 
-    n = source.count()
-    part = source.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
-    found = sorted(bytes(r[0]) for r in part.limit(2 * SAMPLE_DOCS).mapInArrow(batches, "gram binary").toLocalIterator())
-    return sorted({found[len(found) * i // buckets] for i in range(1, buckets)}) if found else []
+def chosen_splitters(keys: list[bytes], buckets: int, gram: int) -> list[bytes]:
+    """Strings that cut sorted keys into equal parts: the gram alone, and beyond it only where several cuts fall on one gram."""
+    out: list[bytes] = []
+    for i in range(1, buckets):
+        key = keys[len(keys) * i // buckets]
+        out.append(key if out and out[-1][:gram] == key[:gram] else key[:gram])
+    return sorted(set(out))
 
 
 def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: list[str] | None = None) -> DataFrame:
@@ -335,7 +407,9 @@ def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str =
     whole = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], named, strict=True)))
     chunks, _ = dealt(whole, chunk_bytes, n * chunk_bytes)
     buckets = bucket_count(n * chunk_bytes / 14, 1 << 18)
-    splitters = source.sparkSession.sparkContext.broadcast(sample_splitters(source, window, max(1, n * chunk_bytes // bucket_bytes)))
+    parts = min(MOST_BUCKETS, max(1, n * chunk_bytes // bucket_bytes))
+    keys = sampled_keys(source, window, max(LEAST_SAMPLE, SAMPLE_EACH * parts))
+    splitters = source.sparkSession.sparkContext.broadcast(chosen_splitters(keys, parts, min(GRAM, window)) if keys else [])
     grouped = chunks.groupBy("chunk")
     repeated = grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS)
     asked = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(ask_suffixes(window, buckets, splitters), MESSAGES)
@@ -344,6 +418,7 @@ def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str =
 
 
 def op7_suffixes(spark, sf_dir: str) -> DataFrame:
+    """What strings of 50 bytes remove from all documents; see remove_repeated_bytes()."""
     found = remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 
 from pagequarry.llm import neardup, repeats, simhash, suffixes
+from pagequarry.llm.common import byte_grams
 from pagequarry.llm.graph import components
 
 LAST = float("inf")
@@ -79,6 +81,40 @@ def test_bytes_with_small_windows(spark):
         assert {r.doc_id: r.n_removed for r in got.collect()} == want
 
 
+def test_multikey_sort_is_a_sort():
+    rng = random.Random(11)
+    for width in (1, 3, 8, 9, 24, 50):
+        data = "".join(rng.choice("ab") for _ in range(400)).encode() + b"a" * 200 + bytes(rng.randrange(256) for _ in range(200))
+        at = np.array([rng.randrange(len(data) - width + 1) for _ in range(rng.choice([0, 1, 2, 700]))], dtype=np.int64)
+        order, head = suffixes.multikey_sort(data, at, width)
+        strings = [data[i : i + width] for i in at[order]]
+        assert sorted(order.tolist()) == list(range(len(at))) and strings == sorted(strings)
+        assert head.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
+
+
+def test_a_gram_of_a_third_of_all_suffixes_is_split(spark):
+    """Splitters that read on beyond a gram part its windows, and no bucket gets them all."""
+    rng = random.Random(12)
+    # of a run of each letter the one of least hash, which many windows select
+    gram = min((chr(c) * 24 for c in range(0x21, 0x7F)), key=lambda g: int(byte_grams(np.frombuffer(g.encode(), np.uint8), 24)[0]))
+    rows = [(i, "".join("%s%s" % (gram, "".join(rng.choice("ab") for _ in range(9))) for _ in range(20))) for i in range(60)]
+    keys = sorted(k for _, t in rows for k in window_keys(t.encode()))
+    splitters = suffixes.chosen_splitters(keys, 40, 24)
+    assert sum(k[:24] == gram.encode() for k in keys) > 0.35 * len(keys) and sum(len(x) > 24 for x in splitters) > 10
+    sizes = Counter(bisect_right(splitters, k) for k in keys)
+    assert max(sizes.values()) < 0.2 * len(keys)
+    want = {d: sum(mask) for d, _, mask in removed(lambda t: t.encode(), rows, 50)}
+    got = suffixes.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=3000, bucket_bytes=600)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want and 0 < sum(want.values())
+
+
+def window_keys(text):
+    s = suffixes.Suffixes([text], 50)
+    for low, high, place in zip(s.low.tolist(), s.high.tolist(), s.place.tolist(), strict=True):
+        for at in range(low, high + 1):
+            yield suffixes.window_key(text[at : at + 50], place - at, 24)
+
+
 def test_pipeline_stage_keeps_columns_and_characters(docs, rows, none):
     cut = suffixes.cut_repeats(docs)
     assert cut.columns == docs.columns
