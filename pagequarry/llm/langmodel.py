@@ -20,6 +20,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import LANES, NONSPACE, U64, Words, as_bytes, keyed, mix, release, slices, table
 from pagequarry.llm.packed import bucket_count, expand, squeeze
-from pagequarry.session import settle
+from pagequarry.session import discard, settle
 
 #: Texts of a chunk, in bytes, and keys that a bucket holds on average.
 CHUNK_BYTES = 4 << 20
-BUCKET_KEYS = 1 << 19
+BUCKET_KEYS = 1 << 21
 #: Words of an n-gram at most, and for each length the training count from which it is kept.
 ORDER, LEAST = 4, (1, 1, 2, 2)
 #: Tokens that a lane of the walk covers.
@@ -41,14 +42,14 @@ END = (U64(0x5E4D0000000000E5), U64(0xB3610000000000B5))
 #: Number of the word before a text's first; other words are numbered from 2 on.
 BEGIN = 1
 
-CHUNKS = "chunk long, tokens long, body binary"
+CHUNKS = "chunk long, tokens long, body binary, words binary"
 ASKED = "level long, bucket long, chunk long, body binary"
 ANSWERED = f"{ASKED}, total long, kinds long, ones long, twos long, width long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def is_held_out(doc_id, folds: int, fold: int) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
+def held_out_rows(ids: list, folds: int, fold: int) -> np.ndarray:
+    return np.array([i is not None and zlib.crc32(str(i).encode()) % folds == fold for i in ids], dtype=bool)
 
 
 # ---- chunks ------------------------------------------------------------------------------
@@ -67,8 +68,12 @@ def distinct_words(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, n
     return by[new], rank
 
 
-def encode_chunk(ids: list, texts: list[bytes]) -> tuple[int, bytes]:
-    """How many tokens a chunk has, and its ids, lengths and tokens, the tokens as numbers of its own words by falling frequency, and those words' hashes."""
+def encode_chunk(ids: list, texts: list[bytes], folds: int, fold: int) -> tuple[int, bytes, bytes]:
+    """How many tokens a chunk has; its ids, lengths and tokens; and its words' sorted hashes with their training counts.
+
+    Tokens are numbers of the chunk's own words by falling frequency; the body also has the
+    order of these numbers by hash.
+    """
     lanes, counts = ([], []), []
     for lo, hi in slices(texts):
         words = Words(texts[lo:hi], NONSPACE, lower=True)
@@ -76,24 +81,25 @@ def encode_chunk(ids: list, texts: list[bytes]) -> tuple[int, bytes]:
             own.append(words.hashes(lane))
         counts.append(words.counts)
     lengths = np.concatenate(counts) + 1
-    ends = np.cumsum(lengths) - 1
     inner = np.ones(int(lengths.sum()), dtype=bool)
-    inner[ends] = False
+    inner[np.cumsum(lengths) - 1] = False
     hashes = []
     for lane, own in enumerate(lanes):
-        all_tokens = np.full(len(inner), END[lane], dtype=U64)
-        all_tokens[inner] = np.concatenate(own)
-        hashes.append(all_tokens)
+        tokens = np.full(len(inner), END[lane], dtype=U64)
+        tokens[inner] = np.concatenate(own)
+        hashes.append(tokens)
     first, rank = distinct_words(*hashes)
+    trains = np.repeat(~held_out_rows(ids, folds, fold), lengths)
     falling = np.argsort(-np.bincount(rank, minlength=len(first)), kind="stable")
     number = np.empty(len(first), dtype=np.int64)
     number[falling] = np.arange(len(first))
     known = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(U64)
     unnamed = np.array([i is None for i in ids], dtype=np.int64)
-    return len(rank), squeeze(known, unnamed, lengths, number[rank], *(h[first[falling]] for h in hashes))
+    words = squeeze(*(h[first] for h in hashes), np.bincount(rank[trains], minlength=len(first)))
+    return len(rank), squeeze(known, unnamed, lengths, number[rank], number), words
 
 
-def cut(chunk_bytes: int):
+def cut(chunk_bytes: int, folds: int, fold: int):
     """Rows to chunks; a chunk's number is its task's and its place there, and is kept once it is written."""
 
     def run(batches):
@@ -106,7 +112,7 @@ def cut(chunk_bytes: int):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 if texts and size + len(text) > chunk_bytes:
-                    out.append(encode_chunk(ids, texts))
+                    out.append(encode_chunk(ids, texts, folds, fold))
                     ids, texts, size = [], [], 0
                 ids.append(doc_id)
                 texts.append(text)
@@ -114,14 +120,15 @@ def cut(chunk_bytes: int):
             yield chunk_rows(number, out)
             number += len(out)
         if texts:
-            yield chunk_rows(number, [encode_chunk(ids, texts)])
+            yield chunk_rows(number, [encode_chunk(ids, texts, folds, fold)])
 
     return run
 
 
-def chunk_rows(number: int, made: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    numbers, sizes, bodies = range(number, number + len(made)), [n for n, _ in made], [body for _, body in made]
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=["chunk", "tokens", "body"])
+def chunk_rows(number: int, made: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    numbers, columns = range(number, number + len(made)), zip(CHUNKS.split(", ")[1:], (pa.int64(), pa.binary(), pa.binary()), strict=True)
+    arrays = [pa.array([m[i] for m in made], kind) for i, (_, kind) in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *arrays], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
 # ---- questions and answers ---------------------------------------------------------------
@@ -189,6 +196,28 @@ def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(("level", "bucket", "chunk", "body"), kinds, strict=True))})
 
 
+def ask_words(buckets: int):
+    """A chunk's words to messages."""
+
+    def run(batches):
+        for batch in batches:
+            release()
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                first, second, counts = expand(body)
+                bucket = top_bits(first, buckets)
+                rows = [(1, b, chunk, squeeze(first[lo:hi], second[lo:hi], counts[lo:hi])) for b, lo, hi in cuts(bucket)]
+                yield from asked(rows).to_batches()
+
+    return run
+
+
+def added(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Whole sums of ``values`` by place, whatever their size."""
+    out = np.zeros(n, dtype=np.int64)
+    np.add.at(out, place, values)
+    return out
+
+
 class Gathered:
     """A bucket's messages as one list of keys: equal ones found, and a way to answer each message in its own order."""
 
@@ -201,24 +230,29 @@ class Gathered:
             parts = [[np.cumsum(p[0]), *p[1:]] for p in parts]
         self.bounds = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        keys, self.values = columns[:n_keys], [v.astype(np.int64) for v in columns[n_keys:]]
-        by = np.lexsort(tuple(reversed(keys)))
+        self.keys, self.values = columns[:n_keys], [v.astype(np.int64) for v in columns[n_keys:]]
+        del parts, columns
+        by = in_buckets(np.zeros(len(self.keys[0]), np.int64), *self.keys)
         new = np.ones(len(by), dtype=bool)
-        new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
+        new[1:] = False
+        for k in self.keys:
+            new[1:] |= k[by][1:] != k[by][:-1]
         self.rank = np.empty(len(by), dtype=np.int64)
         self.rank[by] = np.cumsum(new) - 1
-        self.n = int(new.sum())
+        self.heads = by[new]
+        self.n = len(self.heads)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Whole sums by distinct key."""
-        out = np.zeros(self.n, dtype=np.int64)
-        np.add.at(out, self.rank, values)
-        return out
+        return np.rint(np.bincount(self.rank, weights=values, minlength=self.n)).astype(np.int64) if values.sum() < 2**52 else added(self.rank, values, self.n)
 
-    def told(self, arrays: list[np.ndarray], stats: tuple[int, ...] = (0, 0, 0, 0, 0)) -> pa.Table:
-        """``arrays`` hold one answer for each key that was sent."""
+    def told(self, arrays: list[np.ndarray], stats: tuple[int, ...] = (0, 0, 0, 0, 0), number: np.ndarray | None = None) -> pa.Table:
+        """``arrays`` hold one answer for each key that was sent; so does ``number``, of which those that aren't 0 rise with the keys, and their steps are sent."""
         n = len(self.chunks)
-        bodies = [squeeze(*(a[lo:hi] for a in arrays)) for lo, hi in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
+        bodies = []
+        for lo, hi in zip(self.bounds[:-1], self.bounds[1:], strict=True):
+            rising = [] if number is None else [steps(number[lo:hi][number[lo:hi] > 0])]
+            bodies.append(squeeze(*(a[lo:hi] for a in arrays), *rising))
         columns = {"level": [self.level] * n, "bucket": [self.bucket] * n, "chunk": self.chunks}
         out = {k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"body": pa.array(bodies, pa.binary())}
         for name, x in zip(("total", "kinds", "ones", "twos", "width"), stats, strict=True):
@@ -226,49 +260,64 @@ class Gathered:
         return pa.table(out)
 
 
-def answer(least: tuple[int, ...]):
-    """Counts of words and n-grams with their numbers, and sums over contexts, for whichever of them a bucket is asked."""
+def answer(model: Model):
+    """Counts and numbers of the words or n-grams that a bucket is asked for; of n-grams also what each context's kept arcs add up to there, for the buckets of contexts."""
 
     def run(bucket: pa.Table) -> pa.Table:
         release()
         level = bucket.column("level")[0].as_py()
-        if level > 100:
-            g = Gathered(bucket, 1, rising=True)
-            return g.told([g.sums(v)[g.rank] for v in g.values])
         g = Gathered(bucket, 2, rising=level > 1)
         count = g.sums(g.values[0])
         stats = int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum())
         if level == 1:
-            return g.told([count[g.rank], g.rank], (*stats, g.n))
+            return g.told([count[g.rank]], (*stats, g.n + 1), g.rank + 1)
         # only n-grams that longer ones may start with need a number
-        numbered = count >= least[level] if level < len(least) else np.zeros(g.n, dtype=bool)
+        numbered = count >= model.need(level + 1) if level < model.order else np.zeros(g.n, dtype=bool)
         number = np.cumsum(numbered) * numbered
-        counting = np.flatnonzero((g.values[0] > 0) & (count >= least[level - 1])[g.rank])
-        first = np.full(g.n, len(g.rank), dtype=np.int64)
-        np.minimum.at(first, g.rank[counting], counting)
-        owner = first[g.rank] == np.arange(len(g.rank))
-        return g.told([count[g.rank], number[g.rank], owner], (*stats, int(number.max(initial=0)) + 1))
+        told = g.told([count[g.rank]], (*stats, int(number.max(initial=0)) + 1), number[g.rank])
+        kept = count >= model.need(level)
+        context = g.keys[0][g.heads[kept]]
+        # distinct n-grams are in the order of their contexts
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.empty(0, np.int64)
+        name, mass, arcs = context[first], np.add.reduceat(count[kept], first) if len(first) else first, np.diff(np.append(first, len(context)))
+        to = top_bits(mix(name), model.buckets[level - 2])
+        by = in_buckets(to, name)
+        # the sender is told from chunks by its sign
+        sent = [(context_level(level), b, -1 - g.bucket, squeeze(steps(name[by[lo:hi]]), arcs[by[lo:hi]], mass[by[lo:hi]])) for b, lo, hi in cuts(to[by])]
+        extra = asked(sent)
+        for column in ANSWERED.split(", ")[4:]:
+            extra = extra.append_column(column.split()[0], pa.array([0] * len(sent), pa.int64()))
+        return pa.concat_tables([told, extra])
 
     return run
 
 
+def answer_contexts(bucket: pa.Table) -> pa.Table:
+    """How many kept arcs each context has, and what their counts add up to: chunks ask, buckets of n-grams bring their parts."""
+    release()
+    g = Gathered(bucket, 1, rising=True)
+    n = int(np.searchsorted(g.chunks, 0))
+    out = g.told([g.sums(v)[g.rank] for v in g.values])
+    return out.slice(n)
+
+
 class Chunk:
     """A chunk's tokens and what its answers say of them so far; every step is computed afresh from those."""
 
-    def __init__(self, chunk: pa.Table, replies: pa.Table | None, model: Model):
+    def __init__(self, chunk: pa.Table, replies: pa.Table, model: Model):
         self.model, self.number = model, chunk.column("chunk")[0].as_py()
-        known, unnamed, lengths, tokens, *self.hashes = expand(chunk.column("body")[0].as_py())
+        known, unnamed, lengths, tokens, by_hash = expand(chunk.column("body")[0].as_py())
         self.ids = [None if u else i for i, u in zip(known.view(np.int64).tolist(), unnamed.tolist(), strict=True)]
-        self.lengths, self.tokens, self.n_words = lengths.astype(np.int64), tokens.astype(np.int64), len(self.hashes[0])
+        self.lengths, self.tokens, self.n_words = lengths.astype(np.int64), tokens.astype(np.int64), len(by_hash)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
-        self.held_out = np.array([is_held_out(i, model.folds, model.fold) for i in self.ids], dtype=bool)
+        self.held_out = held_out_rows(self.ids, model.folds, model.fold)
         self.trains = ~self.held_out[self.doc]
         self.replies: dict[int, dict[int, bytes]] = {}
-        if replies is not None:
-            for level, bucket, body in zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True):
-                self.replies.setdefault(level, {})[bucket] = body
+        for level, bucket, body in zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True):
+            self.replies.setdefault(level, {})[bucket] = body
         self.grams: dict[int, Grams] = {}
+        self.read_words(by_hash.astype(np.int64))
 
     def answers(self, level: int, bucket: np.ndarray, n: int) -> list[np.ndarray]:
         """``n`` arrays of answers in the order of the sorted ``bucket`` of each key."""
@@ -278,31 +327,21 @@ class Chunk:
                 column[lo:hi] = part.astype(np.int64)
         return out
 
-    # words
-
-    def word_order(self) -> tuple[np.ndarray, np.ndarray]:
-        by = np.lexsort((self.hashes[1], self.hashes[0]))
-        return by, top_bits(self.hashes[0][by], self.model.buckets[0])
-
-    def ask_words(self) -> list[tuple[int, int, int, bytes]]:
-        by, bucket = self.word_order()
-        counts = np.bincount(self.tokens[self.trains], minlength=self.n_words)
-        return [(1, b, self.number, squeeze(self.hashes[0][by][lo:hi], self.hashes[1][by][lo:hi], counts[by][lo:hi])) for b, lo, hi in cuts(bucket)]
-
-    def read_words(self) -> None:
+    def read_words(self, by_hash: np.ndarray) -> None:
         """Counts and numbers of the chunk's words; the last one is what stands before a text."""
-        by, bucket = self.word_order()
-        count, rank = self.answers(1, bucket, 2)
         self.count, self.name = np.zeros(self.n_words + 1, dtype=np.int64), np.full(self.n_words + 1, BEGIN, dtype=np.int64)
-        self.count[by], self.name[by] = count, 2 + bucket * self.model.stride[1] + rank
+        # the answers of rising buckets are in the order of the words' hashes
+        lo = 0
+        for bucket, body in sorted(self.replies[1].items()):
+            count, rising = expand(body)
+            own = by_hash[lo : lo + len(count)]
+            self.count[own], self.name[own] = count, 2 + bucket * self.model.stride[1] + np.cumsum(rising).astype(np.int64)
+            lo += len(count)
         # as many texts begin as end
         self.count[-1] = self.count[self.tokens[-1]]
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = self.n_words
-        self.before = before
-
-    # n-grams
+        self.before = np.empty_like(self.tokens)
+        self.before[1:] = self.tokens[:-1]
+        self.before[self.starts] = self.n_words
 
     def level(self, k: int) -> Grams:
         """The chunk's n-grams of k words that may be kept."""
@@ -310,6 +349,13 @@ class Chunk:
             self.grams[k] = Grams(self, k)
         return self.grams[k]
 
+    def known(self, k: int) -> Grams:
+        """The same, once they are answered."""
+        g = self.level(k)
+        if g.count is None:
+            g.read(self.replies[k])
+        return g
+
     def ask_grams(self, k: int) -> list[tuple[int, int, int, bytes]]:
         g = self.level(k)
         counts = np.bincount(g.at[self.trains & (g.at >= 0)], minlength=g.n)
@@ -317,38 +363,36 @@ class Chunk:
         return [(k, b, self.number, squeeze(steps(first[lo:hi]), last[lo:hi], counts[lo:hi])) for b, lo, hi in cuts(g.bucket)]
 
     def ask_contexts(self, k: int) -> list[tuple[int, int, int, bytes]]:
-        """For each context of an n-gram of k words how many kept ones the chunk owns, and their counts."""
+        """For each context in which the chunk reads a word after k - 1 others."""
         g = self.level(k)
-        g.read()
         by, bucket = g.contexts()
-        mine = g.owner & g.kept
-        arcs = np.bincount(g.of[mine], minlength=len(by))[by]
-        mass = np.zeros(len(by), dtype=np.int64)
-        np.add.at(mass, g.of[mine], g.count[mine])
-        name, mass = g.context_name[by], mass[by]
-        return [(context_level(k), b, self.number, squeeze(steps(name[lo:hi]), arcs[lo:hi], mass[lo:hi])) for b, lo, hi in cuts(bucket)]
+        name, none = g.context_name[by], np.zeros(len(by), np.int64)
+        return [(context_level(k), b, self.number, squeeze(steps(name[lo:hi]), none[lo:hi], none[lo:hi])) for b, lo, hi in cuts(bucket)]
 
 
 class Grams:
     """Distinct n-grams of k words of a chunk: first k - 1 words (``first``, an n-gram of the level below), last word, last k - 1 words (``rest``)."""
 
     def __init__(self, chunk: Chunk, k: int):
-        self.chunk, self.k = chunk, k
+        # nothing here refers back to the chunk, so that both are freed as soon as they are done with
+        self.model, self.k, self.count = chunk.model, k, None
         need = chunk.model.need(k)
         if k == 2:
             first, rest, count, name = chunk.before, chunk.tokens, chunk.count, chunk.name
         else:
-            below = chunk.level(k - 1)
-            below.read()
+            below = chunk.known(k - 1)
             rest, count, name = below.at, below.count, below.name
             first = np.empty_like(rest)
             first[1:] = rest[:-1]
             first[chunk.starts] = -1
         usable = np.append(count >= need, False)
+        read = usable[first]
         # every context that a token is read in, also where no n-gram can be kept
-        self.context = np.unique(first[usable[first]])
-        there = usable[first] & usable[rest]
-        codes, rank = np.unique(first[there] * chunk.n_words + chunk.tokens[there], return_inverse=True)
+        seen = np.zeros(len(usable), dtype=bool)
+        seen[first[read]] = True
+        self.context = np.flatnonzero(seen)
+        there = np.flatnonzero(read & usable[rest])
+        rank, codes = pd.factorize(first[there] * chunk.n_words + chunk.tokens[there])
         self.n = len(codes)
         self.at = np.full(len(chunk.tokens), -1, dtype=np.int64)
         self.at[there] = rank
@@ -356,27 +400,27 @@ class Grams:
         self.rest = np.zeros(self.n, dtype=np.int64)
         self.rest[rank] = rest[there]
         self.first_name, self.last_name = name[self.first].astype(U64), chunk.name[self.word].astype(U64)
-        self.context_name, self.of = name[self.context].astype(U64), np.searchsorted(self.context, self.first)
+        self.context_name, self.of = name[self.context].astype(U64), (np.cumsum(seen) - 1)[self.first]
         bucket = top_bits(mix(self.first_name * LANES[0] ^ mix(self.last_name)), chunk.model.buckets[k - 1])
         self.by = in_buckets(bucket, self.first_name, self.last_name)
         self.bucket = bucket[self.by]
         self.below_count = count
-        self.done = False
-
-    def read(self) -> None:
-        """Counts, numbers and ownership, and which n-grams are kept."""
-        if self.done:
-            return
-        model = self.chunk.model
-        self.count, self.name, self.owner = (np.zeros(self.n, dtype=np.int64) for _ in range(3))
-        count, number, owner = self.chunk.answers(self.k, self.bucket, 3)
-        self.count[self.by], self.owner[self.by] = count, owner
-        self.name[self.by] = self.bucket * model.stride.get(self.k, 1) + number
-        self.owner, self.kept, self.done = self.owner > 0, self.count >= model.need(self.k), True
+
+    def read(self, replies: dict[int, bytes]) -> None:
+        """Takes the answers: counts, and so which n-grams are kept, and the numbers of those that longer ones may start with."""
+        self.count, self.name = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64)
+        for bucket, lo, hi in cuts(self.bucket):
+            count, rising = expand(replies[bucket])
+            own = self.by[lo:hi]
+            self.count[own] = count
+            if self.k < self.model.order:
+                numbered = own[count >= U64(self.model.need(self.k + 1))]
+                self.name[numbered] = bucket * self.model.stride[self.k] + np.cumsum(rising).astype(np.int64)
+        self.kept = self.count >= self.model.need(self.k)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """The contexts' order by bucket and name, and the sorted buckets."""
-        bucket = top_bits(mix(self.context_name), self.chunk.model.buckets[self.k - 2])
+        bucket = top_bits(mix(self.context_name), self.model.buckets[self.k - 2])
         by = in_buckets(bucket, self.context_name)
         return by, bucket[by]
 
@@ -388,15 +432,15 @@ class Automaton:
     """The part of the backoff automaton that a chunk's texts can reach; weights are log10 probabilities.
 
     State 0 has no context; then come the words (the last one is a text's beginning) and the
-    kept n-grams of each length. ``key`` has the arcs' state and word, sorted, ``weight`` and
-    ``target`` what they cost and where they lead; ``failure`` leads to the next shorter
-    context and costs ``penalty``. Where no arc fits, state 0 has one for every word.
+    kept n-grams of each length. An arc is found by its state and word in a hash table with
+    linear probing, whose slots hold what it costs and where it leads; ``failure`` leads to the
+    next shorter context and costs ``penalty``. State 0 has an arc for every word.
     """
 
     def __init__(self, chunk: Chunk):
         model, self.n_words = chunk.model, chunk.n_words
         order = model.order
-        levels = [chunk.level(k) for k in range(2, order + 1)]
+        levels = [chunk.known(k) for k in range(2, order + 1)]
         offset = [0, 1, chunk.n_words + 2]
         for g in levels[:-1]:
             offset.append(offset[-1] + g.n)
@@ -409,7 +453,6 @@ class Automaton:
         keys, weights, targets = [], [], []
         for g in levels:
             k = g.k
-            g.read()
             discount = model.discount[k]
             by, bucket = g.contexts()
             arcs, mass = np.zeros(len(by)), np.zeros(len(by))
@@ -427,11 +470,30 @@ class Automaton:
                 targets.append(offset[k] + kept)
             else:
                 targets.append(shorter[kept])
-        key = np.concatenate([*keys, np.empty(0, np.int64)])
-        by = np.argsort(key)
-        self.key = np.append(key[by], np.iinfo(np.int64).max)
-        self.weight, self.target = (np.concatenate([*x, np.empty(0)])[by] for x in (weights, targets))
-        self.target = self.target.astype(np.int64)
+        key, weight, target = (np.concatenate([*x, np.empty(0)]) for x in (keys, weights, targets))
+        # in the order of their first slots, arcs take the next free slot one after another
+        self.bits = max(4, int(2 * len(key)).bit_length())
+        slot = self.slot(key.astype(np.int64))
+        by = np.argsort(slot)
+        at = np.arange(len(by)) + np.maximum.accumulate(slot[by] - np.arange(len(by))) if len(by) else slot
+        size = (1 << self.bits) + len(key) + 1
+        self.key = np.full(size, -1, dtype=np.int64)
+        self.weight, self.target = np.zeros(size), np.zeros(size, dtype=np.int64)
+        self.key[at], self.weight[at], self.target[at] = key[by], weight[by], target[by]
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(U64) * LANES[0] >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each arc, or of none: a free one."""
+        at = self.slot(key)
+        held = self.key[at]
+        todo = np.flatnonzero((held != key) & (held != -1))
+        while len(todo):
+            at[todo] += 1
+            held = self.key[at[todo]]
+            todo = todo[(held != key[todo]) & (held != -1)]
+        return at
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What reading ``word`` costs in each state, and the states after it: failure arcs until an arc fits."""
@@ -440,7 +502,7 @@ class Automaton:
         while len(todo):
             own, read = state[todo], word[todo]
             want = own * self.n_words + read
-            at = np.searchsorted(self.key, want)
+            at = self.find(want)
             fits, at_root = self.key[at] == want, own == 0
             hit = np.flatnonzero(fits)
             cost[todo[hit]] += self.weight[at[hit]]
@@ -501,49 +563,45 @@ def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str
     if len(least) < order or list(least) != sorted(least) or least[0] != 1:
         raise ValueError("least has a count for each length, 1 for words, and does not fall")
     source = keyed(documents, id_col, text_col)
-    chunks = settle(source.mapInArrow(cut(chunk_bytes), CHUNKS), "lm-chunks")
-    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    made = settle(source.mapInArrow(cut(chunk_bytes, folds, fold), CHUNKS), "lm-made")
+    tokens = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     model = Model(folds, fold, least, [bucket_count(tokens / (6 if k == 0 else 1.5), BUCKET_KEYS) for k in range(order)])
-    grouped = chunks.select("chunk", "body").groupBy("chunk")
-    replies = None
-
-    def exchange(ask) -> DataFrame:
-        def alone(chunk: pa.Table) -> pa.Table:
-            return ask(chunk, None)
-
-        sent = grouped.applyInArrow(alone, ASKED) if replies is None else grouped.cogroup(replies.groupBy("chunk")).applyInArrow(ask, ASKED)
-        return settle(sent.groupBy("level", "bucket").applyInArrow(answer(least), ANSWERED), "lm-answers")
-
-    def first_question(chunk: pa.Table, answers: pa.Table | None) -> pa.Table:
-        release()
-        return asked(Chunk(chunk, None, model).ask_words())
 
     def question(k: int):
-        """Of n-grams of k words, and of the contexts of those one word shorter."""
+        """Of n-grams of k words and of their contexts."""
 
         def ask(chunk: pa.Table, answers: pa.Table) -> pa.Table:
             release()
             if not chunk.num_rows:
                 return asked([])
             c = Chunk(chunk, answers, model)
-            c.read_words()
-            return asked([*(c.ask_grams(k) if k <= order else []), *(c.ask_contexts(k - 1) if k > 2 else [])])
+            return asked([*c.ask_grams(k), *c.ask_contexts(k)])
 
         return ask
 
+    def answered(sent: DataFrame) -> DataFrame:
+        return settle(sent.groupBy("level", "bucket").applyInArrow(answer(model), ANSWERED), "lm-answers")
+
     def totals(found: DataFrame, level: int) -> list[int]:
         whole = found.where(F.col("level") == level).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "kinds", "ones", "twos")), F.coalesce(F.max("width"), F.lit(1)))
         return list(whole.first())
 
-    found = exchange(first_question)
+    found = answered(made.select("chunk", "words").mapInArrow(ask_words(model.buckets[0]), ASKED))
     model.total, model.distinct, _, _, model.stride[1] = totals(found, 1)
     replies = found.select("level", "bucket", "chunk", "body")
-    for k in range(2, order + 2) if order > 1 else []:
-        found = exchange(question(k))
-        if k <= order:
-            _, _, ones, twos, model.stride[k] = totals(found, k)
-            model.discount[k] = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-        replies = replies.unionByName(found.select("level", "bucket", "chunk", "body"))
+    chunks = settle(made.select("chunk", "body"), "lm-chunks")
+    discard(made)
+    grouped = chunks.groupBy("chunk")
+    for k in range(2, order + 1):
+        sent = settle(grouped.cogroup(replies.groupBy("chunk")).applyInArrow(question(k), ASKED), "lm-asked")
+        found = answered(sent.where(F.col("level") == k))
+        _, _, ones, twos, model.stride[k] = totals(found, k)
+        model.discount[k] = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+        plain = found.select("level", "bucket", "chunk", "body")
+        of_contexts = sent.where(F.col("level") == context_level(k)).unionByName(plain.where(F.col("level") == context_level(k)))
+        contexts = settle(of_contexts.groupBy("level", "bucket").applyInArrow(answer_contexts, ANSWERED), "lm-contexts")
+        discard(sent)
+        replies = replies.unionByName(plain.where(F.col("level") == k)).unionByName(contexts.select("level", "bucket", "chunk", "body"))
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         release()
@@ -554,7 +612,6 @@ def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str
         if not chunk.num_rows:
             return pa.table({f: pa.array([], k) for f, k in zip(names, kinds, strict=True)})
         c = Chunk(chunk, answers, model)
-        c.read_words()
         automaton = Automaton(c)
         each = automaton.walk(c.tokens, c.starts, c.lengths, order)
         docs = len(c.ids)
