@@ -24,7 +24,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 #: Longer words are hashed by xxh3_128, shorter ones eight bytes at a time.
-BLOCK_WORD = 64
+BLOCK_WORD = 128
 #: Odd multipliers of the two lanes.
 LANES = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))
 #: Lower-cases A-Z and leaves every other byte.
@@ -139,6 +139,18 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     return same
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct span and every one's number among them; equal numbers mean equal bytes.
+
+    Spans of one hash and other bytes than the first of it stay by themselves, so a span may
+    be listed twice, but never for another.
+    """
+    _, first, rank = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    alone = np.flatnonzero(~same_spans(data, starts, ends, first[rank])) if len(rank) else rank
+    rank[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate([first, alone]), rank
+
+
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of two grams by theirs; neither place nor order cancels out."""
     return mix(mix(left ^ LANES[0]) + right * LANES[1])

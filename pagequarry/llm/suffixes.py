@@ -14,14 +14,15 @@ boundaries is only the splitters themselves.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, as_bytes, byte_grams, covered, keyed, release, runs, slices, table
+from pagequarry.llm.common import U64, as_bytes, byte_grams, covered, distinct_spans, keyed, release, runs, slices, table
 from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, own_order, pack_keys, received, split_levels, told
 from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
 
@@ -90,53 +91,79 @@ class Chunk:
             repeated[lo:hi] = np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=hi - lo).astype(bool)
         return np.flatnonzero(repeated[self.rank])
 
-    def records(self, alive: np.ndarray, splitters: list[bytes]):
-        """What the surviving suffixes send, and what each asks.
-
-        A record is (text, place of the gram, document): the distinct texts of the suffixes'
-        windows, or, where splitters part the windows of a gram, each distinct window by itself.
-        Returns the records by bucket, the least document first; of each distinct text its
-        windows as (bucket, record, bit, document of that record); and each suffix's text.
-        """
-        data, s = self.s.data, self.s
-        seen: dict[bytes, int] = {}
-        single: dict[tuple[bytes, int], tuple[int, int, int]] = {}
-        mine = np.empty(len(alive), dtype=np.int64)
-        buckets: dict[int, list[tuple[bytes, int, int]]] = {}
-        asked: list[tuple] = []
-        counts: list[int] = []
-
-        def send(bucket: int, text: bytes, place: int, doc: int) -> tuple[int, int, int]:
-            own = buckets.setdefault(bucket, [])
-            own.append((text, place, doc))
-            return bucket, len(own) - 1, doc
-
-        low, stop, place, docs = (x[alive].tolist() for x in (s.low, s.high + s.window, s.place, self.docs))
-        for i in range(len(alive)):
-            text = data[low[i] : stop[i]]
-            r = seen.get(text)
-            if r is None:
-                r = seen[text] = len(counts)
-                at, doc, n = place[i] - low[i], docs[i], len(text) - s.window + 1
-                gram = text[at : at + s.gram]
-                bucket, last = bisect_right(splitters, gram), bisect_left(splitters, gram + LARGEST)
-                if bucket == last:
-                    b, k, _ = send(bucket, text, at, doc)
-                    asked += [(b, k, j, doc) for j in range(n)]
-                else:
-                    for j in range(n):
-                        window = text[j : j + s.window]
-                        found = single.get((window, at - j))
-                        if found is None:
-                            found = single[window, at - j] = send(bisect_right(splitters, window_key(window, at - j, s.gram)), window, at - j, doc)
-                        asked.append((found[0], found[1], 0, found[2]))
-                counts.append(n)
-            mine[i] = r
-        return buckets, np.array(asked, dtype=np.int64).reshape(-1, 4), np.array(counts, dtype=np.int64), mine
-
-
-#: Sorts after what may follow a gram in a splitter.
-LARGEST = b"\xff" * 64
+    def records(self, alive: np.ndarray, splitters: list[bytes]) -> Records:
+        """What the surviving suffixes send: the distinct texts of their windows, or, where splitters part the windows of a gram, each of its distinct windows by itself."""
+        data, s = np.frombuffer(self.s.data, dtype=np.uint8), self.s
+        low, stop, place = s.low[alive], s.high[alive] + s.window, s.place[alive]
+        # suffixes are in the order of their documents, so a text's first one has its least document
+        first, text = distinct_spans(data, low, stop)
+        start, size, at, doc = low[first], (stop - low)[first], (place - low)[first], self.docs[alive][first]
+        count = size - s.window + 1
+        grams = [self.s.data[p : p + s.gram] for p in place[first].tolist()]
+        bucket = np.array([bisect_right(splitters, g) for g in grams], dtype=np.int64)
+        parted = np.array([b < len(splitters) and splitters[b].startswith(g) for b, g in zip(bucket.tolist(), grams, strict=True)], dtype=bool)
+        entry = np.cumsum(~parted) - 1
+        whole = np.flatnonzero(~parted)
+        columns = [x[whole] for x in (bucket, start, size, at, doc)]
+        asks = np.repeat(entry, count)
+        bit = np.arange(len(asks)) - np.repeat(np.cumsum(count) - count, count)
+        single: dict[tuple[bytes, int], int] = {}
+        more: list[tuple] = []
+        question = np.cumsum(count) - count
+        # the least document first, so that a window's record has that
+        for r in sorted(np.flatnonzero(parted).tolist(), key=doc.__getitem__):
+            for j in range(count[r]):
+                window, own = self.s.data[start[r] + j : start[r] + j + s.window], int(at[r]) - j
+                e = single.get((window, own))
+                if e is None:
+                    e = single[window, own] = len(whole) + len(more)
+                    more.append((bisect_right(splitters, window_key(window, own, s.gram)), start[r] + j, s.window, own, doc[r]))
+                asks[question[r] + j], bit[question[r] + j] = e, 0
+        if more:
+            columns = [np.concatenate([c, x]) for c, x in zip(columns, np.array(more, dtype=np.int64).T, strict=True)]
+        return Records(*columns, text, count, question, asks, bit)
+
+
+@dataclass
+class Records:
+    """What is sent (bucket, start, size, place of the gram and document of each), and what each suffix asks."""
+
+    bucket: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    doc: np.ndarray
+    #: Each suffix's text; and of each text its number of windows, their first question, and for each question the record and its bit there.
+    text: np.ndarray
+    count: np.ndarray
+    question: np.ndarray
+    asks: np.ndarray
+    bit: np.ndarray
+
+    def __post_init__(self):
+        self.by = np.argsort(self.bucket, kind="stable")
+
+    def messages(self, data: bytes, number: int) -> list[tuple[int, int, bytes]]:
+        rows = []
+        for bucket, lo, hi in zip(*runs_of(self.bucket[self.by]), strict=True):
+            own = self.by[lo:hi]
+            start, size = self.start[own], self.size[own]
+            texts = b"".join([data[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
+            heads = size.astype(np.uint16).tobytes() + self.place[own].astype(np.uint8).tobytes() + self.doc[own].tobytes()
+            rows.append((bucket, number, len(own).to_bytes(4, "little") + heads + texts))
+        return rows
+
+    def gone(self, replies: dict[int, bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix, window) of each window that a smaller document than the suffix's has."""
+        masks = np.empty(len(self.bucket), dtype=np.uint32)
+        masks[self.by] = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(replies[b], np.uint32) for b, _, _ in zip(*runs_of(self.bucket[self.by]), strict=True))])
+        elsewhere = (masks[self.asks] >> self.bit.astype(np.uint32) & np.uint32(1)).astype(bool)
+        size = self.count[self.text]
+        suffix = np.repeat(np.arange(len(self.text)), size)
+        j = np.arange(len(suffix)) - np.repeat(np.cumsum(size) - size, size)
+        question = self.question[self.text][suffix] + j
+        hit = elsewhere[question] | (docs[suffix] > self.doc[self.asks[question]])
+        return suffix[hit], j[hit]
 
 
 def window_key(window: bytes, place: int, gram: int) -> bytes:
@@ -161,14 +188,7 @@ def ask_suffixes(window: int, buckets: int, splitters):
             return messages([])
         c = Chunk(chunk, window)
         alive = c.surviving(split_levels(replies).get(0, []), buckets)
-        parts, *_ = c.records(alive, splitters.value)
-        rows = []
-        for bucket, own in sorted(parts.items()):
-            sizes = np.array([len(t) for t, _, _ in own], dtype=np.uint16)
-            places = np.array([p for _, p, _ in own], dtype=np.uint8)
-            docs = np.array([d for _, _, d in own], dtype=np.int64)
-            rows.append((bucket, c.number, len(own).to_bytes(4, "little") + sizes.tobytes() + places.tobytes() + docs.tobytes() + b"".join(t for t, _, _ in own)))
-        return messages(rows)
+        return messages(c.records(alive, splitters.value).messages(c.s.data, c.number))
 
     return run
 
@@ -230,17 +250,16 @@ def read_records(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes
     return np.frombuffer(body, np.uint16, count=n, offset=4), np.frombuffer(body, np.uint8, count=n, offset=4 + 2 * n), np.frombuffer(body, np.int64, count=n, offset=4 + 3 * n), body[4 + 11 * n :]
 
 
-def earlier_windows(texts: list[bytes], least: np.ndarray, window: int) -> np.ndarray:
+def earlier_windows(data: bytes, start: np.ndarray, size: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
     """Of each text's windows, those that another of the texts has with a smaller document: 32-bit masks."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
     count = size - window + 1
-    owner = np.repeat(np.arange(len(texts)), count)
+    owner = np.repeat(np.arange(len(start)), count)
     j = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    group = multikey_groups(b"".join(texts), np.repeat(np.cumsum(size) - size, count) + j, window)
+    group = multikey_groups(data, np.repeat(start, count) + j, window)
     first = np.full(len(group), NO_DOC, dtype=np.int64)
     np.minimum.at(first, group, least[owner])
     gone = least[owner] > first[group]
-    masks = np.zeros(len(texts), dtype=np.uint32)
+    masks = np.zeros(len(start), dtype=np.uint32)
     np.bitwise_or.at(masks, owner[gone], np.uint32(1) << j[gone].astype(np.uint32))
     return masks
 
@@ -256,42 +275,30 @@ def answer_suffixes(window: int, gram: int):
     def run(bucket: pa.Table) -> pa.Table:
         release()
         got = received(bucket)
-        known: dict[bytes, int] = {}
-        texts: list[bytes] = []
-        grams: list[bytes] = []
-        which, docs, counts = [], [], []
-        for _, body in got:
-            sizes, places, doc, data = read_records(body)
-            at = 0
-            for size, place in zip(sizes.tolist(), places.tolist(), strict=True):
-                text = data[at : at + size]
-                at += size
-                i = known.setdefault(text, len(texts))
-                if i == len(texts):
-                    texts.append(text)
-                    grams.append(text[place : place + gram])
-                which.append(i)
-            docs.append(doc)
-            counts.append(len(sizes))
-        which, docs = np.array(which), np.concatenate(docs)
-        least = np.full(len(texts), NO_DOC, dtype=np.int64)
+        parts = [read_records(body) for _, body in got]
+        size, place, docs = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
+        data = b"".join(p[3] for p in parts)
+        counts = [len(p[0]) for p in parts]
+        del parts
+        start = np.cumsum(size) - size
+        first, which = distinct_spans(np.frombuffer(data, dtype=np.uint8), start, start + size)
+        least = np.full(len(first), NO_DOC, dtype=np.int64)
         np.minimum.at(least, which, docs)
-        masks = np.zeros(len(texts), dtype=np.uint32)
-        group = multikey_groups(b"".join(grams), np.arange(len(texts)) * gram, gram)
-        by = np.argsort(group, kind="stable")
-        ends = np.concatenate([np.flatnonzero(np.diff(group[by])) + 1, [len(by)]])
-        held: list[int] = []
-        start, windows = 0, 0
-        for end in ends.tolist():
-            if end - start > 1:
-                own = by[start:end].tolist()
-                held += own
-                windows += sum(len(texts[i]) for i in own) - len(own) * (window - 1)
-            start = end
-            if held and (windows >= SORT_WINDOWS or end == len(by)):
-                masks[held] = earlier_windows([texts[i] for i in held], least[held], window)
-                held, windows = [], 0
-        every = np.array([(1 << (len(t) - window + 1)) - 1 for t in texts], dtype=np.uint32)
+        start_of, size_of = start[first], size[first]
+        masks = np.zeros(len(first), dtype=np.uint32)
+        order, head = multikey_sort(data, start_of + place[first], gram)
+        # suffixes whose gram others have too, in as many sorts as their windows need; a gram's are never parted
+        run_start = np.flatnonzero(head)
+        length = np.diff(np.append(run_start, len(order)))
+        several = np.repeat(length > 1, length)
+        held, windows = order[several], np.cumsum((size_of - window + 1)[order[several]])
+        leads = head[several]
+        at = np.flatnonzero(leads)
+        batch = (windows[at] // SORT_WINDOWS)[np.cumsum(leads) - 1] if len(at) else np.empty(0, np.int64)
+        for _, lo, hi in zip(*runs_of(batch), strict=True):
+            own = held[lo:hi]
+            masks[own] = earlier_windows(data, start_of[own], size_of[own], least[own], window)
+        every = ((np.int64(1) << (size_of - window + 1)) - 1).astype(np.uint32)
         out = np.where(docs > least[which], every[which], masks[which])
         bounds = np.concatenate([[0], np.cumsum(counts)])
         return told(bucket, 1, got, [out[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)])
@@ -327,20 +334,8 @@ def finish(window: int, buckets: int, splitters, carried: list[str]):
             c = Chunk(chunk, window)
             found = split_levels(replies)
             alive = c.surviving(found.get(0, []), buckets)
-            _, asked, counts, mine = c.records(alive, splitters.value)
-            elsewhere = np.zeros(len(asked), dtype=bool)
-            by = np.argsort(asked[:, 0], kind="stable")
-            masks = dict(found.get(1, []))
-            for bucket, lo, hi in zip(*runs_of(asked[by, 0]), strict=True):
-                own = asked[by[lo:hi]]
-                elsewhere[by[lo:hi]] = np.frombuffer(masks[bucket], np.uint32)[own[:, 1]] >> own[:, 2].astype(np.uint32) & np.uint32(1)
-            # every window of every surviving suffix, and the question that was asked for it
-            size = counts[mine]
-            suffix = np.repeat(np.arange(len(alive)), size)
-            j = np.arange(len(suffix)) - np.repeat(np.cumsum(size) - size, size)
-            question = (np.cumsum(counts) - counts)[mine][suffix] + j
-            gone = elsewhere[question] | (c.docs[alive][suffix] > asked[question, 3])
-            mask = covered(int(c.s.starts[-1]), (c.s.low[alive][suffix] + j)[gone], window)
+            suffix, j = c.records(alive, splitters.value).gone(dict(found.get(1, [])), c.docs[alive])
+            mask = covered(int(c.s.starts[-1]), c.s.low[alive][suffix] + j, window)
             for d, text in enumerate(c.texts):
                 own = mask[c.s.starts[d] : c.s.starts[d + 1]]
                 spans = [(int(s), int(e)) for s, e in zip(*runs(own), strict=True)]

@@ -14,7 +14,7 @@ import json
 
 import numpy as np
 
-from pagequarry.llm.common import U64, Words, same_spans
+from pagequarry.llm.common import U64, Words, distinct_spans
 
 #: Only these end a word here; other white space sends a word to the library.
 SPLIT = np.ones(256, dtype=bool)
@@ -190,11 +190,8 @@ class WordBpe:
         words = Words(texts, SPLIT, lower=False)
         if not len(words.starts):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        _, first, rank = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        # a word is only taken for another of its hash if its bytes are the same
-        alone = np.flatnonzero(~same_spans(words.raw, words.starts, words.ends, first[rank]))
-        rank[alone] = len(first) + np.arange(len(alone))
-        first = np.concatenate([first, alone])
+        # a word is only taken for another if its bytes are the same
+        first, rank = distinct_spans(words.raw, words.starts, words.ends)
         ids, at = self.encode_words(words.raw, words.starts[first], words.ends[first])
         count = np.diff(at)[rank]
         end = np.cumsum(count)
