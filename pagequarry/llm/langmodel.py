@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import LANES, NONSPACE, U64, Words, as_bytes, keyed, mix, release, slices, table
-from pagequarry.llm.packed import bucket_count, expand, squeeze
+from pagequarry.llm.packed import bucket_count, expand, growth, squeeze
 from pagequarry.session import discard, settle
 
-#: Texts of a chunk, in bytes, and keys that a bucket holds on average.
+#: Texts of a chunk, in bytes, and keys that a bucket holds on average; both grow with very large inputs.
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 21
 #: Words of an n-gram at most, and for each length the training count from which it is kept.
@@ -544,7 +544,7 @@ class Automaton:
 # ---- the operator ------------------------------------------------------------------------
 
 
-def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: tuple[int, ...] = LEAST, chunk_bytes: int = CHUNK_BYTES, with_tokens: bool = False) -> DataFrame:
+def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: tuple[int, ...] = LEAST, chunk_bytes: int | None = None, with_tokens: bool = False) -> DataFrame:
     """Log10 probabilities of whole texts under a backoff n-gram model and an add-one unigram model.
 
     Tokens: lower-cased words [^\\x20\\x09-\\x0D]+, then one end. Learns from rows whose
@@ -563,9 +563,11 @@ def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str
     if len(least) < order or list(least) != sorted(least) or least[0] != 1:
         raise ValueError("least has a count for each length, 1 for words, and does not fall")
     source = keyed(documents, id_col, text_col)
-    made = settle(source.mapInArrow(cut(chunk_bytes, folds, fold), CHUNKS), "lm-made")
+    # the plan's estimate: it decides no result
+    scale = growth(documents.sparkSession, CHUNK_BYTES, int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    made = settle(source.mapInArrow(cut(chunk_bytes or int(CHUNK_BYTES * scale), folds, fold), CHUNKS), "lm-made")
     tokens = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    model = Model(folds, fold, least, [bucket_count(tokens / (6 if k == 0 else 1.5), BUCKET_KEYS) for k in range(order)])
+    model = Model(folds, fold, least, [bucket_count(tokens / (6 if k == 0 else 1.5), int(BUCKET_KEYS * min(scale, 4))) for k in range(order)])
 
     def question(k: int):
         """Of n-grams of k words and of their contexts."""

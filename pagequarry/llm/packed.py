@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import U64, as_bytes, release
@@ -25,6 +25,26 @@ MESSAGES = "bucket long, chunk long, body binary"
 ANSWERS = "level long, bucket long, chunk long, body binary"
 
 
+#: Input from which on chunks and buckets grow with its square root.
+STEADY_BYTES = 64 << 30
+
+
+def task_bytes(spark: SparkSession) -> int:
+    """Memory of an executor for each of its cores, as it is configured."""
+    conf = spark.sparkContext.getConf()
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.executor.memory", "1g"))
+    return int(size) // max(1, int(conf.get("spark.executor.cores", "1")))
+
+
+def growth(spark: SparkSession, least: int, total: int) -> float:
+    """How many times larger chunks of ``least`` bytes, and buckets, should be for ``total`` bytes of input.
+
+    Messages are as many as chunks times buckets, so both grow to keep messages filled, as
+    far as a task's memory allows: a chunk needs about 24 times its bytes.
+    """
+    return max(1.0, min(math.sqrt(total / STEADY_BYTES), task_bytes(spark) / 24 / least))
+
+
 def text_bytes(keyed: DataFrame) -> int:
     return keyed.agg(F.sum(F.octet_length("text") + 24)).first()[0] or 0
 

@@ -17,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagequarry.llm.common import NONSPACE, U64, Words, covered, every_gram, joined, keyed, release, runs, slices, table
-from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, pack, pack_keys, received, split_levels, told, unpack
+from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, growth, in_order, messages, pack, pack_keys, received, split_levels, text_bytes, told, unpack
 
-#: Bytes of text in a chunk.
+#: Bytes of text in a chunk, and keys that a bucket holds at most on average; both grow with very large inputs.
 CHUNK_BYTES = 4 << 20
-#: Keys that a bucket holds at most on average.
 BUCKET_KEYS = 1 << 18
 NO_DOC = np.iinfo(np.int64).max
 
@@ -233,22 +232,23 @@ def level_sizes(window: int) -> list[int]:
     return [*(s for s in (quarter, 2 * quarter) if s < window), window]
 
 
-def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None) -> DataFrame:
     """Words covered by a window of ``window`` words that also starts in a document with a smaller id.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Returns one row per input row: doc_id, n_words,
     n_removed, kept_sha256 (kept words joined by one space) and clean_text (the text without
     the removed runs). Null text has no words and stays null. Ids may repeat: equal ids don't
     remove each other's words. A null id counts as larger than any id. Windows are judged on
-    the input. Other columns are not read. A chunk holds whole texts, so memory is bounded by
-    the chunk size or the longest text.
+    the input. An empty table gives no rows. Other columns are not read. A chunk holds whole
+    texts, so memory is bounded by the chunk size or the longest text.
     """
     source = keyed(documents, id_col, text_col)
-    chunks, n = dealt(source, chunk_bytes)
+    total = text_bytes(source)
+    scale = growth(documents.sparkSession, CHUNK_BYTES, total)
+    chunks, n = dealt(source, chunk_bytes or int(CHUNK_BYTES * scale), total)
     sizes = level_sizes(window)
-    words = n * chunk_bytes / 6
     # about one gram in ten words is asked before the last level; there it may be every word
-    levels = Levels(window, sizes, [bucket_count(words / (1 if size == window else 10), BUCKET_KEYS) for size in sizes])
+    levels = Levels(window, sizes, [bucket_count(total / 6 / (1 if size == window else 10), int(BUCKET_KEYS * scale)) for size in sizes])
     grouped = chunks.groupBy("chunk")
     replies = None
     for level in range(len(sizes)):
@@ -261,6 +261,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
+    """What windows of 50 words remove from all documents; see remove_repeats()."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 

@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import U64, as_bytes, byte_grams, covered, distinct_spans, keyed, release, runs, slices, table
-from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, in_order, messages, own_order, pack_keys, received, split_levels, told
+from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, growth, in_order, messages, own_order, pack_keys, received, split_levels, text_bytes, told
 from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
 
 #: Bytes of the grams that stand for windows.
 GRAM = 24
-#: Bytes of text in a chunk, and of text for each bucket of the suffix sort.
+#: Bytes of text in a chunk, and for each bucket of the suffix sort, and keys of a bucket of the first exchange; all grow with very large inputs.
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 2 << 20
+BUCKET_KEYS = 1 << 18
 #: Windows that are sorted at once.
 SORT_WINDOWS = 1 << 17
 #: Buckets at most (beyond, each takes more bytes), sampled strings for each bucket, and strings of one sampled document.
@@ -383,26 +384,28 @@ def chosen_splitters(keys: list[bytes], buckets: int, gram: int) -> list[bytes]:
     return sorted(set(out))
 
 
-def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: list[str] | None = None) -> DataFrame:
+def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """Bytes covered by a ``window``-byte string that also starts in a document with a smaller id.
 
     Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 and clean_text: the text without those runs, each drawn in where it
     would cut a character in two. Null text counts as empty and stays null. Matches never
     cross documents; overlaps count; strings are judged on the input. Equal ids don't remove
-    each other's bytes; a null id counts as larger than any id. Other columns are not read.
+    each other's bytes; a null id counts as larger than any id. An empty table gives no rows.
+    Other columns are not read.
     Windows of at most 55 bytes are supported (32 windows a suffix). Memory is bounded by a
     chunk or the longest text. The columns named in ``carry`` come along as c_ and their name.
     """
     if window - min(GRAM, window) + 1 > 32:
         raise ValueError("a window is at most 55 bytes")
     source = keyed(documents, id_col, text_col)
-    _, n = dealt(source, chunk_bytes)
+    total = text_bytes(source)
+    scale = growth(documents.sparkSession, CHUNK_BYTES, total)
     named = [f"c_{c}" for c in carry or []]
     whole = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], named, strict=True)))
-    chunks, _ = dealt(whole, chunk_bytes, n * chunk_bytes)
-    buckets = bucket_count(n * chunk_bytes / 14, 1 << 18)
-    parts = min(MOST_BUCKETS, max(1, n * chunk_bytes // bucket_bytes))
+    chunks, _ = dealt(whole, chunk_bytes or int(CHUNK_BYTES * scale), total)
+    buckets = bucket_count(total / 14, int(BUCKET_KEYS * scale))
+    parts = min(MOST_BUCKETS, max(1, total // (bucket_bytes or int(BUCKET_BYTES * scale))))
     keys = sampled_keys(source, window, max(LEAST_SAMPLE, SAMPLE_EACH * parts))
     splitters = source.sparkSession.sparkContext.broadcast(chosen_splitters(keys, parts, min(GRAM, window)) if keys else [])
     grouped = chunks.groupBy("chunk")
@@ -419,7 +422,11 @@ def op7_suffixes(spark, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(documents: DataFrame) -> DataFrame:
-    """``documents`` with their texts without repeated bytes; n_chars follows; rows whose text nothing is left of go. Other columns are kept."""
+    """``documents`` with their texts without repeated bytes; n_chars follows; rows whose text nothing is left of go.
+
+    All columns and their names are kept. Null texts stay null and stay; rows that repeat in
+    id and text are cut alike; an empty table stays empty.
+    """
     names = documents.columns
     found = remove_repeated_bytes(documents, carry=names)
     kept = found.where("n_removed = 0 OR trim(clean_text) <> ''")
