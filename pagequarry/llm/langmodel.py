@@ -353,7 +353,7 @@ class Chunk:
         """The same, once they are answered."""
         g = self.level(k)
         if g.count is None:
-            g.read(self.replies[k])
+            g.read(self.replies.get(k, {}))
         return g
 
     def ask_grams(self, k: int) -> list[tuple[int, int, int, bytes]]:
@@ -564,7 +564,7 @@ def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str
         raise ValueError("least has a count for each length, 1 for words, and does not fall")
     source = keyed(documents, id_col, text_col)
     # the plan's estimate: it decides no result
-    scale = growth(documents.sparkSession, CHUNK_BYTES, int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    scale = growth(documents.sparkSession, CHUNK_BYTES, int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     made = settle(source.mapInArrow(cut(chunk_bytes or int(CHUNK_BYTES * scale), folds, fold), CHUNKS), "lm-made")
     tokens = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     model = Model(folds, fold, least, [bucket_count(tokens / (6 if k == 0 else 1.5), int(BUCKET_KEYS * min(scale, 4))) for k in range(order)])
