@@ -4,7 +4,7 @@ Each window of ``window`` bytes selects one 24-byte gram inside it, the least by
 equal windows select equal grams at equal places and about one suffix in fourteen stands for
 its neighbours. A first exchange asks of each selected gram whether another document has it;
 only suffixes that survive are sorted. Those are range-partitioned by their leading bytes at
-splitters taken from a sample that grows with the number of buckets. Where one gram is so
+splitters taken from a sample of what survives, which grows with the number of buckets. Where one gram is so
 frequent that several splitters fall on it, splitters read on beyond the gram, and its windows
 are dealt one by one by all of their bytes. Each bucket sorts by multikey quicksort and finds
 each string's least document. A splitter never parts equal strings: what is compared across
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pagequarry.llm.common import U64, as_bytes, byte_grams, covered, distinct_spans, keyed, release, runs, slices, table
 from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, growth, in_order, messages, own_order, pack_keys, received, split_levels, text_bytes, told
 from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
+from pagequarry.session import settle
 
 #: Bytes of the grams that stand for windows.
 GRAM = 24
@@ -34,9 +35,9 @@ BUCKET_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 18
 #: Windows that are sorted at once.
 SORT_WINDOWS = 1 << 17
-#: Buckets at most (beyond, each takes more bytes), sampled strings for each bucket, and strings of one sampled document.
-MOST_BUCKETS, SAMPLE_EACH, SAMPLE_OF_DOC = 1 << 16, 16, 8
-LEAST_SAMPLE = 32_000
+#: Buckets at most (beyond, each takes more bytes), sampled records for each, and chunks to sample at least and records of each.
+MOST_BUCKETS, SAMPLE_EACH = 1 << 16, 16
+SAMPLE_CHUNKS, SAMPLE_OF_CHUNK, LEAST_SAMPLE = 16, 2000, 32_000
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string"
 
@@ -357,22 +358,29 @@ def finish(window: int, buckets: int, splitters, carried: list[str]):
     return run
 
 
-def sampled_keys(source: DataFrame, window: int, wanted: int) -> list[bytes]:
-    """About ``wanted`` windows of a sample of documents, as they are sorted, one for each of some selected suffixes."""
+def sample_records(window: int, buckets: int, wanted: int):
+    """About ``wanted`` of the records that a chunk will send, evenly among them, as they are sorted."""
 
-    def batches(rows):
-        for batch in rows:
-            keys = []
-            for text in as_bytes(batch.column("text")):
-                s = Suffixes([text], window)
-                for k in range(0, len(s.place), max(1, len(s.place) // SAMPLE_OF_DOC)):
-                    low, place = s.low[k], s.place[k]
-                    keys.append(window_key(s.data[low : low + window], int(place - low), s.gram))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
+        keys: list[bytes] = []
+        if chunk.num_rows:
+            c = Chunk(chunk, window)
+            records = c.records(c.surviving(split_levels(replies).get(0, []), buckets), [])
+            own = np.arange(0, len(records.start), max(1, len(records.start) // wanted))
+            for start, place in zip(records.start[own].tolist(), records.place[own].tolist(), strict=True):
+                keys.append(window_key(c.s.data[start : start + window], place, c.s.gram))
+        return pa.table({"key": pa.array(keys, pa.binary())})
 
-    docs = wanted // SAMPLE_OF_DOC
-    part = source.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(max(1, source.count() // docs))) == 0)
-    return sorted(bytes(r[0]) for r in part.limit(2 * docs).mapInArrow(batches, "key binary").toLocalIterator())
+    return run
+
+
+def sampled_keys(chunks: DataFrame, n: int, repeated: DataFrame, window: int, buckets: int, wanted: int) -> list[bytes]:
+    """About ``wanted`` sorted records of all that is sent, from as many chunks as that takes."""
+    some = min(n, max(SAMPLE_CHUNKS, wanted // SAMPLE_OF_CHUNK))
+    mine = F.col("chunk") % max(1, n // some) == 0
+    sampled = chunks.where(mine).groupBy("chunk").cogroup(repeated.where(mine).groupBy("chunk")).applyInArrow(sample_records(window, buckets, -(-wanted // some)), "key binary")
+    return sorted(bytes(r[0]) for r in sampled.toLocalIterator())
 
 
 def chosen_splitters(keys: list[bytes], buckets: int, gram: int) -> list[bytes]:
@@ -403,13 +411,13 @@ def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str =
     scale = growth(documents.sparkSession, CHUNK_BYTES, total)
     named = [f"c_{c}" for c in carry or []]
     whole = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], named, strict=True)))
-    chunks, _ = dealt(whole, chunk_bytes or int(CHUNK_BYTES * scale), total)
+    chunks, n = dealt(whole, chunk_bytes or int(CHUNK_BYTES * scale), total)
     buckets = bucket_count(total / 14, int(BUCKET_KEYS * scale))
     parts = min(MOST_BUCKETS, max(1, total // (bucket_bytes or int(BUCKET_BYTES * scale))))
-    keys = sampled_keys(source, window, max(LEAST_SAMPLE, SAMPLE_EACH * parts))
-    splitters = source.sparkSession.sparkContext.broadcast(chosen_splitters(keys, parts, min(GRAM, window)) if keys else [])
     grouped = chunks.groupBy("chunk")
-    repeated = grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS)
+    repeated = settle(grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS), "suffix-grams")
+    keys = sampled_keys(chunks, n, repeated, window, buckets, max(LEAST_SAMPLE, SAMPLE_EACH * parts))
+    splitters = source.sparkSession.sparkContext.broadcast(chosen_splitters(keys, parts, min(GRAM, window)) if keys else [])
     asked = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(ask_suffixes(window, buckets, splitters), MESSAGES)
     sorted_out = asked.groupBy("bucket").applyInArrow(answer_suffixes(window, min(GRAM, window)), ANSWERS)
     return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(finish(window, buckets, splitters, named), ", ".join([RESULT, *(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in named)]))
