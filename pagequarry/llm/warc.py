@@ -1,10 +1,11 @@
 """Operator 2, resolution of not-modified revisits in web archives.
 
 Each revisit takes the latest earlier full response of its canonical URL, an as-of join that
-is one ordered window over the captures of a URL. A URL's captures are cut into equal spans
-of time, so that a URL with a large share of all captures is spread over many tasks: within a
-span the latest response comes from the window, and before the span's first one from the
-latest of the spans before. Validators are checked, and headers that a 304 may change are merged.
+is one ordered window over the captures of a URL. The captures of a URL that has very many are
+cut into spans at quantiles of its own times, so that it is spread over many tasks however its
+captures cluster: within a span the latest response comes from the window, and before the
+span's first one from the latest of the spans before. Where the cuts lie changes no result.
+Validators are checked, and headers that a 304 may change are merged.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pagequarry.llm.common import table
 FIXED_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 #: Query parameters that say where a visitor came from.
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid)="
-#: Spans of time into which all captures are cut.
-SPANS = 64
+#: A URL of more captures is cut into spans, and into so many at most.
+SPAN_ROWS, SPANS = 4096, 256
 
 
 def canonical_url(url: Column) -> Column:
@@ -37,7 +38,15 @@ def weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(captures: DataFrame, spans: int = SPANS) -> DataFrame:
+def span_cuts(usable: DataFrame, span_rows: int, spans: int) -> DataFrame:
+    """(url_key, cuts): of each URL with more captures than a span should have, the times at which its spans begin."""
+    many = usable.groupBy("url_key").agg(F.count("*").alias("n")).where(F.col("n") > span_rows).select("url_key")
+    shares = [i / spans for i in range(1, spans)]
+    times = usable.select("url_key", "ts").join(many, "url_key", "left_semi")
+    return times.groupBy("url_key").agg(F.array_distinct(F.percentile_approx("ts", shares, 10 * spans)).alias("cuts"))
+
+
+def resolve_revisits(captures: DataFrame, span_rows: int = SPAN_ROWS, spans: int = SPANS) -> DataFrame:
     """Each revisit with the response that it stands for.
 
     ``captures`` has record_id (long), url, ts (long), kind ('response', 'revisit', others
@@ -49,17 +58,18 @@ def resolve_revisits(captures: DataFrame, spans: int = SPANS) -> DataFrame:
     the same ts is not earlier; of several at one ts the largest record_id counts. Headers
     are the response's, overridden by those of the revisit that a 304 may change, and only
     when resolved, else the response's own; null headers count as none. Records that repeat
-    are each resolved. Other columns are not read.
+    are each resolved; an empty table gives no rows. Other columns are not read.
     """
     none = F.create_map().cast("map<string,string>")
     rows = captures.where(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "response").alias("full"),
         F.struct(F.col("etag"), F.col("last_modified"), F.coalesce(F.col("headers"), none).alias("headers")).alias("r"),
     )
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // spans))
-    rows = rows.withColumn("span", F.coalesce(F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
     usable = rows.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
+    # the span of a capture is how many of its URL's cuts are not after it
+    usable = usable.join(span_cuts(usable, span_rows, spans), "url_key", "left")
+    span = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))))
+    usable = usable.withColumn("span", span).drop("cuts")
     stored = F.when(F.col("full"), F.struct("ts", "record_id", "r"))
     # one row for each URL and span that has captures: the span's latest response, null if it has none
     ends = usable.groupBy("url_key", "span").agg(F.max_by(stored, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("own"))
@@ -79,51 +89,73 @@ def resolve_revisits(captures: DataFrame, spans: int = SPANS) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """An archive's records from pages: each page is fetched twice, the second time conditionally.
-
-    The first fetch of page i is a full response at ts 2i with an entity tag of its content.
-    The second, at ts 2i + 1 by https and without the fragment, is a revisit; its tag is weak
-    where the page's digest starts with 0 to 7, and another page's (the digest's own digest)
-    where it starts with f.
+    """An archive's records from pages: each page is fetched twice, and then the front page of its section.
+
+    The first fetch of page i is record 3i at ts 3i, a full response with an entity tag of its
+    content, but where the page's digest has a second digit of 0 to 3 a revisit, which only
+    an earlier page of the same canonical URL can resolve. The second, 3i + 1, goes by https
+    and without the fragment and is a revisit; its tag is weak where the digest starts with 0
+    to 7, and another page's (the digest's own digest) where it starts with f. The front page
+    is the URL's host and first path segment; its fetch, 3i + 2, is a full response where the
+    digest's third digit is 0 or 1, else a revisit, often many captures later. Its tag changes
+    every 64 pages and its modification date every 256; where the third digit is e a
+    revisit sends the date alone, and where it is f nothing.
     """
     digest = F.md5(F.coalesce(F.col("html"), F.lit("")))
-    tag = F.concat(F.lit('"'), digest, F.lit('"'))
-    base = pages.select("page_id", "url", digest.alias("digest"), tag.alias("tag"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
-    full = base.select(
-        (2 * F.col("page_id")).alias("record_id"), "url", (2 * F.col("page_id")).alias("ts"), F.lit("response").alias("kind"), F.col("tag").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-length"), F.col("size"), F.lit("content-type"), F.lit("text/html"), F.lit("date"), (2 * F.col("page_id")).cast("string")).alias("headers"),
-    )
-    first = F.substring("digest", 1, 1)
-    sent = F.when(first == "f", F.concat(F.lit('"'), F.md5("digest"), F.lit('"'))).when(first < "8", F.concat(F.lit("W/"), F.col("tag"))).otherwise(F.col("tag"))
-    again = base.select(
-        (2 * F.col("page_id") + 1).alias("record_id"), F.regexp_replace(F.regexp_replace("url", "^http:", "https:"), "#.*$", "").alias("url"), (2 * F.col("page_id") + 1).alias("ts"), F.lit("revisit").alias("kind"), sent.alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), (2 * F.col("page_id") + 1).cast("string")).alias("headers"),
-    )
-    return full.unionByName(again)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    nothing = F.lit(None).cast("string")
+    base = pages.select("page_id", "url", digest.alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
+    first, second, third = (F.substring("digest", k, 1) for k in (1, 2, 3))
+    tag = quoted(F.col("digest"))
+    i = F.col("page_id")
+
+    def record(n: int, url, full, etag, modified, size):
+        at = 3 * i + n
+        response = F.create_map(F.lit("content-length"), size, F.lit("content-type"), F.lit("text/html"), F.lit("date"), at.cast("string"))
+        revisit = F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), at.cast("string"))
+        return base.select(
+            at.alias("record_id"), url.alias("url"), at.alias("ts"), F.when(full, "response").otherwise("revisit").alias("kind"),
+            etag.alias("etag"), modified.alias("last_modified"), F.when(full, response).otherwise(revisit).alias("headers"),
+        )
+
+    sent = F.when(first == "f", quoted(F.md5("digest"))).when(first < "8", F.concat(F.lit("W/"), tag)).otherwise(tag)
+    secure = F.regexp_replace(F.regexp_replace("url", "^http:", "https:"), "#.*$", "")
+    front = F.regexp_replace("url", "^([a-z]+://[^/?#]*/[^/?#]*).*$", "$1/")
+    whole = third < "2"
+    version = quoted(F.floor(i / 64).cast("string"))
+    fetched = record(0, F.col("url"), second > "3", tag, nothing, F.col("size"))
+    again = record(1, secure, F.lit(False), sent, nothing, F.col("size"))
+    section = record(2, front, whole, F.when(third < "e", version), F.when(third < "f", F.floor(i / 256).cast("string")), F.lit("7"))
+    return fetched.unionByName(again).unionByName(section)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
+    """All revisits among the captures of all pages; see captures_of() and resolve_revisits()."""
     found = resolve_revisits(captures_of(table(spark, sf_dir, "pages")))
     pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.select("record_id", "url_key", "response_id", "status", F.array_join(pairs, ";").alias("headers"))
 
 
 ORACLE_SQL = r"""
-WITH bare AS (
-  SELECT page_id, md5(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size,
-    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+WITH base AS (SELECT page_id AS i, url, md5(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::VARCHAR AS size FROM pages),
+captures AS (
+  SELECT 3 * i AS id, url, left(substr(digest, 2), 1) > '3' AS whole, digest AS tag, NULL AS modified, size FROM base
+  UNION ALL SELECT 3 * i + 1, regexp_replace(regexp_replace(url, '^http:', 'https:'), '#.*$', ''), false, CASE WHEN left(digest, 1) = 'f' THEN md5(digest) ELSE digest END, NULL, size FROM base
+  UNION ALL SELECT 3 * i + 2, regexp_replace(url, '^([a-z]+://[^/?#]*/[^/?#]*).*$', '\1/'), substr(digest, 3, 1) < '2', CASE WHEN substr(digest, 3, 1) < 'e' THEN (i // 64)::VARCHAR END, CASE WHEN substr(digest, 3, 1) < 'f' THEN (i // 256)::VARCHAR END, '7' FROM base),
+bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM captures),
 keyed AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(u, '^[^/?]*'), '^.*@', '')), ':(80|443)$', ''), '^(www|m)\.', '')
     || regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', ''), '\.html$', '') AS place,
     list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)='))) AS q FROM bare),
-k AS (SELECT page_id, digest, size, place || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM keyed),
-joined AS (
-  SELECT v.page_id, v.url_key, v.digest, max(s.page_id) AS sid FROM k v LEFT JOIN k s ON s.url_key = v.url_key AND s.page_id <= v.page_id GROUP BY ALL),
-j AS (SELECT a.*, s.size AS s_size, s.digest AS s_digest, CASE WHEN left(a.digest, 1) = 'f' THEN md5(a.digest) ELSE a.digest END AS sent FROM joined a LEFT JOIN k s ON s.page_id = a.sid)
-SELECT 2 * page_id + 1 AS record_id, url_key, 2 * sid AS response_id,
-  CASE WHEN sid IS NULL THEN 'no_earlier_response' WHEN sent = s_digest THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+k AS (SELECT id, whole, tag, modified, size, place || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM keyed),
+runs AS (SELECT *, max(CASE WHEN whole THEN id END) OVER (PARTITION BY url_key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sid FROM k),
+j AS (
+  SELECT v.*, s.size AS s_size, CASE WHEN v.tag IS NOT NULL AND s.tag IS NOT NULL THEN v.tag = s.tag WHEN v.modified IS NOT NULL AND s.modified IS NOT NULL THEN v.modified = s.modified END AS agrees
+  FROM runs v LEFT JOIN k s ON s.id = v.sid WHERE NOT v.whole)
+SELECT id AS record_id, url_key, sid AS response_id,
+  CASE WHEN sid IS NULL THEN 'no_earlier_response' WHEN agrees IS NULL THEN 'no_validator' WHEN agrees THEN 'resolved' ELSE 'validator_mismatch' END AS status,
   CASE WHEN sid IS NULL THEN NULL
-    WHEN sent = s_digest THEN 'cache-control=max-age=60;content-length=' || s_size || ';content-type=text/html;date=' || (2 * page_id + 1)
-    ELSE 'content-length=' || s_size || ';content-type=text/html;date=' || (2 * sid) END AS headers
+    WHEN agrees THEN 'cache-control=max-age=60;content-length=' || s_size || ';content-type=text/html;date=' || id
+    ELSE 'content-length=' || s_size || ';content-type=text/html;date=' || sid END AS headers
 FROM j
 """
