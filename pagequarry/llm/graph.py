@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.session import settle
+from pagequarry.session import discard, settle
+
+#: Keys at most that are broadcast as too frequent for one task, and rows from which a key may be one.
+HOT_KEYS, HOT_ROWS = 4096, 256
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with a written table of one row for each key, which says how many rows the key has.
+
+    Keys with more than their share, of which there can be no more than HOT_KEYS, are
+    broadcast, so their rows stay where they lie; all others are dealt by key.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = table.where(F.col(weight) > limit).drop(weight), table.where(F.col(weight) <= limit).drop(weight)
+    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(apart.join(rest, key))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +49,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), label)
     seen = None
     while True:
-        now = settle(_small_star(_large_star(now)), label)
+        before, now = now, settle(_small_star(_large_star(now)), label)
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return now

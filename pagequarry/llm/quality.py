@@ -247,12 +247,19 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % folds == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleEnsemble:
-    """A model from at most ``rows`` labelled rows that are not held out: those of the smallest hash of their id."""
+def labelled_texts(documents: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(k_id, k_label, text) of at most ``rows`` labelled ids that are not held out: those of the smallest hash; of an id with several texts the least one."""
     usable = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull() & ~held_out(id_col))
-    sample = usable.select(F.col(f"`{id_col}`").alias("k_id"), F.col(f"`{label_col}`").cast("int").alias("k_label")).orderBy(F.xxhash64("k_id"), "k_id", "k_label").limit(rows)
-    chosen = documents.select(F.col(f"`{id_col}`").alias("k_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "k_id")
-    found = with_statistics(chosen, ["k_id", "k_label"]).orderBy("k_k_id", "k_k_label", "q_log_bytes").limit(2 * rows).toArrow()
+    pairs = usable.select(F.col(f"`{id_col}`").cast("long").alias("k_id"), F.col(f"`{label_col}`").cast("int").alias("k_label")).distinct()
+    sample = pairs.orderBy(F.xxhash64("k_id"), "k_id", "k_label").limit(rows)
+    own = documents.select(F.col(f"`{id_col}`").cast("long").alias("k_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return own.join(F.broadcast(sample), "k_id").groupBy("k_id", "k_label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleEnsemble:
+    """A model from at most ``rows`` labelled ids; see labelled_texts()."""
+    chosen = labelled_texts(documents, labels, rows, id_col, text_col, label_col)
+    found = with_statistics(chosen, ["k_id", "k_label"]).toArrow().sort_by([("k_k_id", "ascending"), ("k_k_label", "ascending")])
     x = np.stack([found.column(f"q_{s}").to_numpy() for s in STATISTICS], axis=1) if found.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, found.column("k_k_label").to_numpy().astype(np.float64))
 
@@ -264,7 +271,8 @@ def classify(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
     crc32(doc_id) mod 5 is 0 are never learned from. Null and empty texts have the score of
     zero statistics. Labels that are null or not 0 or 1 are ignored; without labels of both
     kinds the score is their smoothed share. Rows may repeat, and each is scored; a null id
-    is scored too. Other columns are not read.
+    is scored too. An empty table gives no rows. A text is read whole by one task, a slice of
+    texts at a time. Other columns are not read.
     """
     model = train(documents, labels, rows, id_col, text_col, label_col)
     scored = with_statistics(documents, [id_col], text_col).withColumn("score", model.column())
@@ -272,11 +280,17 @@ def classify(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from their labels; see classify()."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """``documents`` without rows whose score is below the threshold, all columns kept. Learns from ``reference`` (the same documents if none)."""
+    """``documents`` without rows whose score is below the threshold, all columns and their names kept.
+
+    Learns from ``reference`` (the same documents if none). Null, empty and blank texts have
+    the score of zero statistics and stay or go by it; rows that repeat are each judged; an
+    empty table stays empty.
+    """
     model = train(documents if reference is None else reference, labels)
     names = documents.columns
     inner = [f"k_{c}" for c in names]

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import as_bytes, keyed, table
-from pagequarry.llm.graph import components
+from pagequarry.llm.graph import components, spread_join
+from pagequarry.llm.hamming import groups
 from pagequarry.session import settle
 
 SEED = 42
@@ -76,13 +77,7 @@ def star(fps: np.ndarray, free: int, distance: int) -> np.ndarray:
     n = len(fps)
     label = np.arange(n)
     if n <= SMALL_RUN or distance != 2:
-        close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
-        while True:
-            new = np.where(close, label[None, :], n).min(axis=1)
-            new = new[new]
-            if (new == label).all():
-                return label
-            label = new
+        return groups(fps[:, None], distance)
     places = [i for i in range(64) if free >> i & 1]
     at = np.zeros(n, dtype=np.int64)
     for k, i in enumerate(places):
@@ -158,14 +153,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2, i
     component id is the smallest doc_id reachable, itself included. Null or blank texts have
     fingerprint zero and link like any other. A document with a null id is reported, and
     belongs to the component of its fingerprint (null if no document with an id does). Rows
-    that repeat are reported as often as they occur. Other columns are not read.
+    that repeat are reported as often as they occur. An empty table gives no rows. A text is
+    hashed whole by one task. Other columns are not read.
     """
     prints = settle(fingerprints(documents, shingle, id_col, text_col), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     moved = components(links(nodes.where("node IS NOT NULL"), distance), "simhash-links")
-    owners = nodes.join(moved, F.col("node") == F.col("u"), "left").select("fp", F.coalesce("v", "node").alias("component_id"))
-    return prints.join(owners, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    owners = settle(nodes.join(moved, F.col("node") == F.col("u"), "left").select("fp", F.coalesce("v", "node").alias("component_id"), "n"), "simhash-owners")
+    return spread_join(prints, owners, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))

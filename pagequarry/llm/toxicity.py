@@ -1,10 +1,11 @@
 """Operator 8, toxicity by cumulative-link ordinal regression on sparse text features.
 
-Words and word beginnings that tell toxic from clean labelled texts are counted across the training rows and the
-most telling are the features. Severity has ordered grades: 0 for clean, and 1 to 3 for
-toxic texts by thirds of how much telling words they hold. One weight vector is shared by
-all thresholds, P(grade <= k) = logistic(threshold_k - w.x), and the result is the expected
-grade.
+Words and word beginnings that tell toxic from clean labelled texts are counted across the
+training rows, and those that do so beyond chance are the features. Severity has ordered
+grades: 0 for clean, and 1 to 3 for toxic texts by thirds of what the other half of the
+training texts says about their words, so that no text is graded by its own evidence. One
+weight vector is shared by all thresholds, P(grade <= k) = logistic(threshold_k - w.x), and
+the result is the expected grade.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import U64, Words, as_bytes, keyed, mix, slices, span_hashes, table
 from pagequarry.llm.decontaminate import WORD_BYTES
-from pagequarry.llm.quality import held_out
+from pagequarry.llm.quality import held_out, labelled_texts
+from pagequarry.session import settle
 
-#: Labelled rows and feature words that a model has at most.
-TRAIN_ROWS, VOCABULARY = 20_000, 2048
+#: Labelled ids that a model learns from at most.
+TRAIN_ROWS = 20_000
 GRADES = 4
 #: Bytes of the word beginnings that are features besides whole words: inflected and compound forms share them.
 BEGINNINGS = (4, 5, 6, 7)
-LEAST_TEXTS = 3
 #: Likelihood ratio that a feature needs; chance alone gives one word in ten thousand as much.
 LEAST_EVIDENCE = 15.0
 
@@ -46,29 +47,31 @@ def word_counts(texts: list[bytes]):
         yield d[at] + lo, h[at], np.diff(np.concatenate([at, [len(by)]])), words.counts, lo
 
 
-def telling_words(chosen: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that tell the label best, sorted, and their smoothed log odds."""
+def log_odds(a, b, toxic, clean, log):
+    """How much likelier a word of ``a`` toxic and ``b`` clean texts makes toxicity, smoothed."""
+    return log((a + 0.5) / (toxic - a + 0.5)) - log((b + 0.5) / (clean - b + 0.5))
+
+
+def telling_words(chosen: DataFrame) -> np.ndarray:
+    """Hashes of the words and beginnings that tell the label beyond chance, sorted; as many as the bounded sample has."""
 
     def run(batches):
         for batch in batches:
-            toxic = np.asarray(batch.column("label").to_pylist(), dtype=np.int64)
+            toxic = np.asarray(batch.column("k_label").to_pylist(), dtype=np.int64)
             for doc, word, _, _, _ in word_counts(as_bytes(batch.column("text"))):
                 t = toxic[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t), pa.array(1 - t)], names=["word", "toxic", "clean"])
 
-    toxic, clean = chosen.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
+    toxic, clean = chosen.agg(F.coalesce(F.sum("k_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("k_label")), F.lit(0))).first()
     if not toxic or not clean:
-        return np.empty(0, np.uint64), np.empty(0)
+        return np.empty(0, np.uint64)
     counted = chosen.mapInArrow(run, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
-    share = toxic / max(1, toxic + clean)
+    share = toxic / (toxic + clean)
     n = F.col("a") + F.col("b")
     # the likelihood ratio of the word's texts against their expected shares
-    evidence = 2 * (F.when(F.col("a") > 0, F.col("a") * F.log(F.col("a") / (n * share))).otherwise(0.0) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n * (1 - share)))).otherwise(0.0))
-    best = counted.where(n >= LEAST_TEXTS).withColumn("odds", odds).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "word").limit(limit).toArrow()
-    words = best.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], best.column("odds").to_numpy()[order]
+    part = lambda x, s: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * s))).otherwise(0.0)
+    best = counted.where(2 * (part("a", share) + part("b", 1 - share)) >= LEAST_EVIDENCE).select("word").toArrow()
+    return np.sort(best.column("word").to_numpy().astype(np.int64).view(np.uint64))
 
 
 class Features:
@@ -134,12 +137,25 @@ class OrdinalModel:
         return cls(free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:k]))]), free[k:])
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, OrdinalModel]:
-    """Feature words and the model, from at most ``rows`` labelled rows that are not held out: those of the smallest hash of their id."""
-    usable = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull() & ~held_out(id_col))
-    sample = usable.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    chosen = keyed(documents, id_col, text_col).join(F.broadcast(sample), "doc_id")
-    words, odds = telling_words(chosen, vocabulary)
+def grades_of(x: Features, toxic: np.ndarray, half: np.ndarray, width: int) -> np.ndarray:
+    """0 for clean texts, and 1 to 3 for toxic ones by thirds of the log odds that the words have in the texts of the other half."""
+    weight = np.zeros(x.n)
+    for own in (0, 1):
+        others = half != own
+        rows = others[x.row]
+        a = np.bincount(x.column[rows & (toxic[x.row] == 1)], minlength=width)
+        b = np.bincount(x.column[rows & (toxic[x.row] == 0)], minlength=width)
+        odds = log_odds(a, b, (toxic[others] == 1).sum(), (toxic[others] == 0).sum(), np.log)
+        mine = half == own
+        weight[mine] = x.dot(np.maximum(odds, 0))[mine]
+    cuts = np.quantile(weight[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
+    return np.where(toxic == 1, 1 + (weight > cuts[0]).astype(np.int64) + (weight > cuts[1]), 0)
+
+
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, OrdinalModel]:
+    """Feature words and the model, from at most ``rows`` labelled ids that are not held out: those of the smallest hash."""
+    chosen = settle(labelled_texts(documents, labels, rows, id_col, text_col, label_col), "toxicity-sample")
+    words = telling_words(chosen)
 
     def rowwise(batches):
         for batch in batches:
@@ -147,30 +163,31 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocab
             at = np.searchsorted(x.row, np.arange(x.n + 1))
             columns = [x.column[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
             values = [x.value[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x.words.astype(np.int64)), pa.array(columns, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "label", "words", "columns", "values"])
+            arrays = [batch.column("k_id"), batch.column("k_label"), pa.array(columns, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k_id", "k_label", "columns", "values"])
 
-    found = chosen.mapInArrow(rowwise, "doc_id long, label long, words long, columns array<long>, values array<double>").limit(2 * rows).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("words", "ascending")])
+    # one row for each of a bounded number of ids
+    found = chosen.mapInArrow(rowwise, "k_id long, k_label int, columns array<long>, values array<double>").toArrow().sort_by([("k_id", "ascending"), ("k_label", "ascending")])
     x = Features(words, [])
     sizes = found.column("columns").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if found.num_rows else np.empty(0, np.int64)
     x.n, x.row = found.num_rows, np.repeat(np.arange(found.num_rows), sizes)
     x.column = found.column("columns").combine_chunks().flatten().to_numpy() if found.num_rows else np.empty(0, np.int64)
     x.value = found.column("values").combine_chunks().flatten().to_numpy() if found.num_rows else np.empty(0)
-    toxic = found.column("label").to_numpy()
-    weight = x.dot(np.maximum(odds, 0))
-    cuts = np.quantile(weight[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
-    grade = np.where(toxic == 1, 1 + (weight > cuts[0]).astype(np.int64) + (weight > cuts[1]), 0)
-    return words, OrdinalModel.fit(x, grade, len(words))
+    toxic = found.column("k_label").to_numpy().astype(np.int64)
+    half = (mix(found.column("k_id").to_numpy().astype(np.int64).view(U64).copy()) & U64(1)).astype(np.int64)
+    return words, OrdinalModel.fit(x, grades_of(x, toxic, half, len(words)), len(words))
 
 
-def severity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> DataFrame:
+def severity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, expected_severity 0 to 3, grade, toxic_probability, toxic) of every whole text.
 
-    The grade is the likeliest; toxic is 1 if P(grade >= 1) is at least a half. Null and
-    empty texts have no features. Labels that are null or not 0 or 1 are ignored; rows whose
-    crc32(doc_id) mod 5 is 0 are never learned from. Rows may repeat and each is scored.
-    Without labels nothing is toxic. Other columns are not read.
+    The grade is the likeliest, of equally likely ones the lowest; toxic is 1 if P(grade >= 1)
+    is at least a half. Null and empty texts have no features. Labels that are null or not 0
+    or 1 are ignored; rows whose crc32(doc_id) mod 5 is 0 are never learned from. Rows may
+    repeat and each is scored; an empty table gives no rows. Without labels nothing is toxic.
+    A text is read whole by one task, a slice of texts at a time. Other columns are not read.
     """
-    words, model = train(documents, labels, rows, vocabulary, id_col, text_col, label_col)
+    words, model = train(documents, labels, rows, id_col, text_col, label_col)
 
     def run(batches):
         for batch in batches:
@@ -183,4 +200,5 @@ def severity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Severity of all documents, learned from their labels; see severity()."""
     return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

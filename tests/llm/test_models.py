@@ -74,6 +74,117 @@ def test_toxicity(labelled, none, spark):
     assert {r.toxic for r in toxicity.severity(docs, spark.createDataFrame([], LABELS)).collect()} == {0}
 
 
+def test_severity_follows_what_the_binary_labels_do_not_say(spark):
+    """Texts with one, three or nine toxic words have the same label; held-out ones are still ordered."""
+    rng = random.Random(16)
+    docs, labels, level = [], [], {}
+    for i in range(900):
+        words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 7))) for _ in range(80)]
+        level[i] = rng.choice([0, 0, 0, 1, 3, 9])
+        for _ in range(level[i]):
+            words[rng.randrange(80)] = rng.choice(["moron", "scum", "idiot", "vermin", "filth"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(level[i] > 0)))
+    found = toxicity.severity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)).where("held_out").collect()
+    mean = [np.mean([r.expected_severity for r in found if level[r.doc_id] == k]) for k in (0, 1, 3, 9)]
+    assert mean[0] < 0.3 and all(b - a > 0.3 for a, b in zip(mean, mean[1:], strict=False))
+    toxic = [r for r in found if level[r.doc_id]]
+    pairs = [(a.expected_severity > b.expected_severity) for a in toxic for b in toxic if level[a.doc_id] > level[b.doc_id]]
+    assert np.mean(pairs) > 0.85
+
+
+def test_grades_come_from_the_other_half():
+    rng = np.random.default_rng(3)
+    n, width = 60, 8
+    counts = rng.integers(0, 3, (n, width))
+    toxic, half = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    x = toxicity.Features(np.arange(width, dtype=np.uint64), [])
+    x.n, (x.row, x.column) = n, np.nonzero(counts)
+    x.value = np.log1p(counts[x.row, x.column])
+    weight = []
+    for i in range(n):
+        total = 0.0
+        for w in range(width):
+            a = sum(counts[j, w] > 0 and toxic[j] == 1 and half[j] != half[i] for j in range(n))
+            b = sum(counts[j, w] > 0 and toxic[j] == 0 and half[j] != half[i] for j in range(n))
+            t, c = (sum(half[j] != half[i] and toxic[j] == k for j in range(n)) for k in (1, 0))
+            total += max(0.0, math.log((a + 0.5) / (t - a + 0.5)) - math.log((b + 0.5) / (c - b + 0.5))) * math.log1p(counts[i, w])
+        weight.append(total)
+    cuts = np.quantile([w for w, t in zip(weight, toxic, strict=True) if t], [1 / 3, 2 / 3])
+    want = [0 if not t else 1 + int(w > cuts[0]) + int(w > cuts[1]) for w, t in zip(weight, toxic, strict=True)]
+    assert toxicity.grades_of(x, toxic, half, width).tolist() == want
+
+
+def test_ordinal_fit_is_where_the_likelihood_is_highest():
+    rng = np.random.default_rng(5)
+    n, width = 300, 3
+    dense = rng.random((n, width)) * (rng.random((n, width)) < 0.6)
+    grade = np.digitize(dense @ [2.0, -1.0, 0.5] + rng.logistic(0, 0.3, n), [0.2, 0.8, 1.4])
+    x = toxicity.Features(np.arange(width, dtype=np.uint64), [])
+    x.n, (x.row, x.column) = n, np.nonzero(dense)
+    x.value = dense[x.row, x.column]
+    model = toxicity.OrdinalModel.fit(x, grade, width, ridge=0.0, rounds=4000)
+
+    def loss(thresholds, weights):
+        above = 1 / (1 + np.exp(-(dense @ weights)[:, None] + thresholds[None, :]))
+        each = -np.diff(np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1), axis=1)
+        return -np.log(each[np.arange(n), grade]).mean()
+
+    best = loss(model.thresholds, model.weights)
+    for k in range(3 + width):
+        for d in (-0.02, 0.02):
+            step = np.zeros(3 + width)
+            step[k] = d
+            assert loss(model.thresholds + step[:3], model.weights + step[3:]) >= best - 1e-6
+
+
+def test_lasso_meets_the_conditions_of_its_optimum():
+    rng = np.random.default_rng(4)
+    z = (rng.random((500, 12)) < rng.random(12)).astype(np.float64)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * z[:, 0] - 1.5 * z[:, 3] + 0.3)))).astype(np.float64)
+    for penalty in (0.001, 0.02, 0.2):
+        b, w = quality.lasso_logistic(z, y, penalty, 5000)
+        error = 1 / (1 + np.exp(-(z @ w + b))) - y
+        slope = ((z - z.mean(axis=0)) / z.std(axis=0)).T @ error / len(y)
+        assert abs(error.mean()) < 1e-6
+        zero = np.abs(w) < 1e-9
+        assert (np.abs(slope[zero]) <= penalty + 1e-6).all() and np.allclose(slope[~zero], -penalty * np.sign(w[~zero]), atol=1e-6)
+    assert zero.all()
+
+
+def test_splits_are_the_best_of_all():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random((120, 4)), 2)
+    gradient, hessian = rng.normal(size=120) + (x[:, 2] > 0.4), rng.random(120) + 0.1
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(4)]
+    bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    use = np.flatnonzero(rng.random(120) < 0.7)
+    f, b = quality._split(bins, gradient, hessian, use, edges, np.arange(4), 10)
+
+    def gain(f, cut):
+        left = x[use, f] <= cut
+        g, h = gradient[use], hessian[use]
+        if min(left.sum(), (~left).sum()) < 10:
+            return -1.0
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(left) + part(~left) - g.sum() ** 2 / (h.sum() + 1)
+
+    every = {(i, cut): gain(i, cut) for i in range(4) for cut in edges[i]}
+    assert abs(every[f, edges[f][b]] - max(every.values())) < 1e-9
+    # every rule is a path whose terms are bounds of the tree, and trees separate what one cut can
+    rules = quality.tree_rules(x, (x[:, 2] > 0.4).astype(float), trees=3)
+    assert any(r.holds(x).tolist() == (x[:, 2] > 0.4).tolist() or r.holds(x).tolist() == (x[:, 2] <= 0.4).tolist() for r in rules if len(r.terms) == 1) or max(abs(np.corrcoef(r.holds(x), x[:, 2] > 0.4)[0, 1]) for r in rules) > 0.95
+
+
+def test_one_text_of_each_labelled_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "c"), (4, "d"), (None, "e")], "doc_id long, text string")
+    kept = [i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 0, 1), (2, 1, 1), (3, 7, 1), (4, 1, 1), (9, 1, 1)], LABELS)
+    got = sorted((r.k_id, r.k_label, r.text) for r in quality.labelled_texts(docs, labels, 100, "doc_id", "text", "quality").collect())
+    assert got == [x for x in [(1, 0, "a"), (1, 1, "a"), (2, 1, ""), (4, 1, "d")] if x[0] in kept]
+    assert quality.labelled_texts(docs, labels, 2, "doc_id", "text", "quality").count() <= 2
+
+
 def test_thresholds_are_ordered_and_weights_shared():
     x = toxicity.Features(np.sort(np.unique(np.arange(3, dtype=np.uint64))), [])
     x.n, x.row, x.column, x.value = 40, np.arange(40), np.zeros(40, np.int64), np.linspace(0, 4, 40)

@@ -9,10 +9,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from pagequarry.llm import neardup, repeats, simhash, suffixes
+from pagequarry.llm import hamming, neardup, packed, repeats, simhash, suffixes
 from pagequarry.llm.common import byte_grams
-from pagequarry.llm.graph import components
+from pagequarry.llm.graph import components, spread_join
+from pagequarry.session import settle
 
 LAST = float("inf")
 
@@ -132,6 +134,19 @@ def reference_print(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_chunks_grow_with_the_input_and_the_memory_of_a_task(spark):
+    assert packed.growth(spark, 2 << 20, 1 << 30) == 1.0
+    assert packed.task_bytes(spark) > 0
+    most = packed.task_bytes(spark) / 24 / (1 << 10)
+    assert packed.growth(spark, 1 << 10, 1 << 40) == min(4.0, most) and packed.growth(spark, 1 << 10, 1 << 80) == most
+
+
+def test_planes_of_whole_numbers_come_back():
+    rng = np.random.default_rng(8)
+    arrays = [rng.integers(0, 2**bits, n, dtype=np.uint64) for bits, n in ((1, 100), (17, 0), (33, 5), (64, 7), (8, 1))] + [np.zeros(9, np.int64), np.empty(0, np.int64)]
+    assert [a.tolist() for a in packed.expand(packed.squeeze(*arrays))] == [a.tolist() for a in arrays]
+
+
 def test_simhash(docs, rows, none):
     prints = [reference_print(t) for _, t, *_ in rows]
     parent = list(range(len(rows)))
@@ -168,6 +183,27 @@ def test_bucket_stars_are_complete():
         assert (label == reach.argmax(axis=1)).all()
 
 
+@pytest.mark.parametrize("distance", [0, 1, 3, 6])
+def test_stars_of_other_distances_in_large_buckets(distance, monkeypatch):
+    monkeypatch.setattr(hamming, "TILE", 64)
+    rng = random.Random(distance)
+    fps = np.unique(np.array([rng.getrandbits(9) for _ in range(150)], dtype=np.uint64))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
+    reach = near
+    for _ in range(9):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    assert (simhash.star(fps, 0, distance) == reach.argmax(axis=1)).all()
+
+
+def test_rows_of_hot_keys_are_joined_where_they_lie(spark):
+    rows = [(i, 1 if i % 3 else i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, k long")
+    table = settle(df.groupBy("k").agg(F.count("*").alias("n"), F.max("doc_id").alias("most")), "test-hot")
+    got = spread_join(df, table, "k", "n")
+    assert Counter((r.doc_id, r.k) for r in got.collect()) == Counter(rows) and got.columns == ["k", "doc_id", "most"]
+    assert {r.most for r in got.where("k = 1").collect()} == {1999}
+
+
 def test_every_close_pair_shares_a_key():
     masks = simhash.block_masks(2)
     rng = random.Random(3)
@@ -211,7 +247,7 @@ def test_large_buckets_of_copies_stay_together():
     base = rng.integers(0, 2**63, (1, neardup.LANES), dtype=np.uint64)
     sigs = np.repeat(base, 9000, axis=0)
     sigs[np.arange(9000), rng.integers(0, neardup.LANES, 9000)] ^= np.uint64(1) << rng.integers(0, 64, 9000).astype(np.uint64)
-    assert (neardup.groups(sigs, 20) == 0).all()
+    assert (hamming.groups(sigs, 20) == 0).all()
 
 
 def test_close_pairs_meet_in_large_buckets_of_distant_rows():
@@ -223,7 +259,7 @@ def test_close_pairs_meet_in_large_buckets_of_distant_rows():
         for k, at in enumerate(chain[1:]):
             sigs[at] = sigs[chain[k]] ^ bits[k]
             want[at] = chain[0]
-    assert (neardup.groups(sigs, 20) == want).all()
+    assert (hamming.groups(sigs, 20) == want).all()
 
 
 def edited(rng, similarity, n=300):

@@ -1,6 +1,7 @@
 """Operators 1, 2, 4 and 5, and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,11 +9,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagequarry.llm import decontaminate, packing, registry, topk, warc
-from pagequarry.llm.common import Words
+from pagequarry.llm import common, decontaminate, packing, quality, registry, topk, warc
 from pagequarry.llm.wordbpe import WordBpe
 
 SF = "/root/testdata/sf0.001"
@@ -47,15 +49,39 @@ def test_decontamination(docs, rows, items, none, spark):
                     found |= ids
         listed = sorted(str(i) for i in found if i is not None)
         want[d, len(w), len(hit), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bool(hit)] += 1
-    for shard in (500_000, 3):
-        found = decontaminate.decontaminate(docs, benchmark, shard_grams=shard).collect()
+    # broadcast whole, or as a bitmap alone and joined
+    for limits in ((500_000, 1 << 26), (500_000, 10), (3, 1 << 26)):
+        found = decontaminate.decontaminate(docs, benchmark, limits=limits).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found) == want
-        assert all(not r.contaminated or len(r.clean_text) < len(next(t for d, t, *_ in rows if d == r.doc_id and t)) or r.doc_id in (3, 12) for r in found)
-        kept = decontaminate.drop_contaminated(docs, benchmark, shard_grams=shard)
-        assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
-    assert decontaminate.decontaminate(none, benchmark).count() == 0
+        texts = Counter((d, t) for d, t, *_ in rows)
+        whole = Counter((r.doc_id, restored(r)) for r in found)
+        assert {k: n for k, n in whole.items() if k[1] is not None and k not in texts} == {}
+        kept = decontaminate.drop_contaminated(docs, benchmark, limits=limits)
+        dirty = Counter(k for k, n in want.items() for _ in range(n) if k[-1])
+        assert kept.columns == docs.columns and kept.count() == len(rows) - sum(dirty.values())
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) <= texts and kept.where("text IS NULL").count() == docs.where("text IS NULL").count()
+        assert decontaminate.decontaminate(none, benchmark, limits=limits).count() == 0 and decontaminate.drop_contaminated(none, benchmark, limits=limits).count() == 0
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, nothing).collect())
+    assert decontaminate.drop_contaminated(docs, nothing).count() == len(rows)
+
+
+def restored(row):
+    """The text, if nothing was hit; else its clean text has the length that the spans leave."""
+    if row.clean_text is None:
+        return None
+    if row.spans:
+        assert all(s.start < s.end for s in row.spans) and sum(s.end - s.start for s in row.spans) > 0
+        return None
+    return row.clean_text
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(common, "span_hashes", lambda data, starts, ends, lane=0: np.zeros(len(starts), np.uint64))
+    grams = pa.table({"gram": pa.array([b"a b", b"c d", b"cc d"], pa.binary()), "size": pa.array([2, 2, 2], pa.int32()), "items": [["1"], ["2", "3"], []]})
+    index = decontaminate.GramIndex.of(grams)
+    found = [(n, sorted(i), spans, hit) for n, i, spans, hit in decontaminate.scan(index.hits, [b"x A b c D", b"cc-d", b"", b"c"])]
+    assert found == [(5, ["1", "2", "3"], [(2, 9)], 4), (2, [], [(0, 4)], 2), (0, [], [], 0), (1, [], [], 0)]
 
 
 def test_revisits(spark):
@@ -66,14 +92,35 @@ def test_revisits(spark):
         (8, "http://a.com/x?a=1&b=2", 33, "revisit", None, None, None), (9, None, 33, "revisit", None, None, None), (10, "http://a.com/x?a=1&b=2", None, "revisit", '"e1"', None, None), (11, "http://b.com", 1, "request", None, None, None), (6, "http://a.com/x?a=1&b=2", 31, "revisit", '"e1"', None, None), (12, "http://a.com/x?a=1&b=2", 30, "response", '"e1"', None, {}),
     ]
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>").selectExpr("*", "1 AS span", "2 AS r", "3 AS url_key")
-    for spans in (1, 3, 64):
-        found = warc.resolve_revisits(df, spans).collect()
+    for span_rows, spans in ((1, 2), (2, 5), (4096, 256)):
+        found = warc.resolve_revisits(df, span_rows, spans).collect()
         got = Counter((r.record_id, r.response_id, r.status) for r in found)
         assert got == Counter({(2, 1, "resolved"): 1, (3, None, "no_earlier_response"): 1, (5, 1, "resolved"): 1, (6, 12, "resolved"): 2, (7, 12, "no_validator"): 1, (8, 12, "no_validator"): 1, (9, None, "no_earlier_response"): 1, (10, None, "no_earlier_response"): 1})
         assert next(r.headers for r in found if r.record_id == 2) == {"content-type": "text/html", "date": "2", "content-length": "9", "etag": "n"}
     assert warc.resolve_revisits(df.where("false")).count() == 0
 
 
+def test_revisits_of_a_hot_url_whose_captures_cluster(spark):
+    """One capture lies far from all others, half of them share a few moments, and the hot URL is cut where its own captures are."""
+    rng = random.Random(14)
+    rows = [(0, "http://hot.org/", -(10**15), "response", "0", None, None)]
+    for i in range(1, 700):
+        ts = rng.choice([5, 6, 7]) if rng.random() < 0.5 else rng.randrange(1000)
+        rows.append((i, "http://hot.org/" if i % 4 else f"http://cold.org/{i % 12}", ts, rng.choice(["response", "revisit", "revisit"]), str(rng.randrange(3)), None, None))
+    want = {}
+    for r in rows:
+        if r[3] == "revisit":
+            earlier = [(o[2], o[0], o[4]) for o in rows if o[3] == "response" and o[1] == r[1] and o[2] < r[2]]
+            last = max(earlier, default=None)
+            want[r[0]] = (None, "no_earlier_response") if last is None else (last[1], "resolved" if last[2] == r[4] else "validator_mismatch")
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>").repartition(4)
+    for span_rows, spans in ((30, 20), (4096, 256)):
+        assert {r.record_id: (r.response_id, r.status) for r in warc.resolve_revisits(df, span_rows, spans).collect()} == want
+    usable = df.select(warc.canonical_url(F.col("url")).alias("url_key"), "ts")
+    cuts = {r.url_key: r.cuts for r in warc.span_cuts(usable, 100, 20).collect()}
+    assert set(cuts) == {"hot.org"} and len(cuts["hot.org"]) > 8 and min(cuts["hot.org"]) >= 0
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6])
 def test_top_k(spark, scale):
     rng = random.Random(8)
@@ -126,7 +173,7 @@ def test_tokenizer_equals_the_library(bpe, rows):
 def test_words_of_one_hash_keep_their_own_ids(bpe, monkeypatch):
     texts = ["alpha beta gamma alpha", "gamma delta", "alpha\nbeta " + "y" * 90 + " " + "z" * 90 + " " + "y" * 90]
     want = [e.ids for e in bpe.library.encode_batch(texts, add_special_tokens=False)]
-    monkeypatch.setattr(Words, "hashes", lambda self, lane=0: np.zeros(len(self.starts), np.uint64))
+    monkeypatch.setattr(common, "span_hashes", lambda data, starts, ends, lane=0: np.zeros(len(starts), np.uint64))
     ids, at = bpe.encode([t.encode() for t in texts])
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
 
@@ -190,6 +237,70 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == pieces.count()
 
 
+def plain_statistics(text):
+    raw = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    own = [w for w in re.split(rb"[\x20\x09-\x0d]+", low) if w]
+    n, size = max(1, len(own)), max(1, len(raw))
+    pairs = list(zip(own, own[1:], strict=False))
+    count = {k: sum(int(mask[b]) for b in raw) for k, mask in quality.BYTE_SHARES.items()}
+    return [
+        np.log1p(len(raw)), np.log1p(len(own)), sum(map(len, own)) / n, np.log1p(count["lines"]), len(set(own)) / n, len(set(pairs)) / max(1, len(own) - 1),
+        sum(a == b for a, b in pairs) / n, max(Counter(own).values(), default=0) / n, sum(len(w) == 1 for w in own) / n,
+        *(count[k] / size for k in quality.BYTE_SHARES), *(count[k] / n for k in ("stops", "shouts", "bars", "signs", "upper")),
+    ]
+
+
+def test_every_stage_is_its_brute_force(spark):
+    """Each stage's rows and texts on its own input; that of near copies has a test of its own."""
+    stages = dict(corpus_pipeline.STAGES)
+    texts_of = lambda df: sorted((r.doc_id, r.text or "") for r in df.collect())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = texts_of(docs)
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    x = np.array([plain_statistics(t) for _, t in rows])
+    assert np.allclose(x, quality.statistics([t.encode() for _, t in rows]))
+    score = [1 / (1 + math.exp(-model.intercept - sum(w for w, r in model.rules if all((a is None or v[f] > a) and (b is None or v[f] <= b) for f, a, b in r.terms)))) for v in x]
+    good = corpus_pipeline.settle(stages["quality"](spark, docs, SF), "test")
+    assert texts_of(good) == [r for r, s in zip(rows, score, strict=True) if s >= quality.THRESHOLD]
+    firsts = corpus_pipeline.settle(stages["near_duplicates"](spark, good, SF), "test")
+    rows, first = texts_of(firsts), {}
+    for d, t in rows:
+        for i in range(len(t.encode()) - 49):
+            first.setdefault(t.encode()[i : i + 50], d)
+    want = []
+    for d, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw), dtype=bool)
+        for i in range(len(raw) - 49):
+            if first[raw[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        # a character that is cut in two stays whole
+        kept, at = [], 0
+        for c in t:
+            width = len(c.encode())
+            if not gone[at : at + width].all():
+                kept.append(c)
+            at += width
+        if not gone.any() or "".join(kept).strip(" "):
+            want.append((d, "".join(kept)))
+    single = corpus_pipeline.settle(stages["repeated_bytes"](spark, firsts, SF), "test")
+    assert texts_of(single) == want and want != rows
+    grams = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r.text)
+        grams |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
+    clean = corpus_pipeline.settle(stages["benchmark"](spark, single, SF), "test")
+    hit = lambda w: any(tuple(w[i : i + n]) in grams for n in {len(g) for g in grams} for i in range(len(w) - n + 1))
+    assert texts_of(clean) == [(d, t) for d, t in want if not hit(words(t))]
+    with open(packing.tokenizer_path(), encoding="utf-8") as file:
+        library = WordBpe(file.read()).library
+    sizes = {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts_of(clean)}
+    pieces = stages["packing"](spark, clean, SF).collect()
+    assert {r.doc_id: r.doc_tokens for r in pieces} == sizes
+    assert Counter(i for r in pieces for i in [r.doc_id] * r.length) == Counter(sizes)
+
+
 def test_pipeline_keeps_the_first_of_near_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
