@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Patterns and words that decide which lines are headings.
 STRICT_HEADING = r"(?U)^\s*(?:[Qq]\s*)?(?:(?:제|문항|문제)\s*)?(\d{1,3})\s*(?:[.)\]\-:：]|\s|$)"
 PERMISSIVE_HEADING = r"(?U)^\s*(?:[Qq]\s*)?(?:(?:제|문항|문제)\s*)?(\d{1,3}|[①-⑳]|[가-하]|[A-Za-z])\s*(?:[.)\]\-:：]|\s|$)"
-EXACT_HEADING = r"(?U)^\s*(?:[Qq]\s*)?(?:(?:제|문항|문제)\s*)?{n}(?!\d)"
 SUBJECT_LINE = r"(?U)^\s*제\s*\d+\s*과목\s*$"
 TERM_LINE = r"(?U)^\s*\d+\s*(?:학기|과목|교시)\s*$"
 RANGE_LINE = r"(?U)^\s*\(?\d+\s*[-~〜]\s*.*번\)?\s*$"
@@ -22,6 +21,11 @@ CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 RANGE_HINT = r"(?U)(?<!\d)(\d{1,3})\s*[-~〜]\s*(\d{1,3})\s*(?:번|문항|문제)?(?!\d)"
 RANGE_START = r"(?U)(?<!\d)(\d{1,3})\s*[-~〜]"
 RANGE_END = r"(?U)[-~〜]\s*(\d{1,3})(?:번|문항|문제)?(?!\d)"
+MARKER_WORDS = ["다음", "답하라", "보고"]
+# What stands for texts that are lacking.
+INFERRED = "[추정] "
+QUESTION = "문항 "
+NO_DIAGNOSTICS = "저장된 분석 진단 파일이 없습니다."
 INVALID_NAME = r'[<>:"/\\|?*\x00-\x1F]'
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.functions.text import clamp
+from pagequarry.session import settle
 
 # Crop sizes as shares of a page, and view sizes by kind of device.
 PADDING, MIN_HEIGHT, MIN_WIDTH = 0.015, 0.02, 0.08
@@ -15,27 +16,42 @@ WIDE_ANCHOR, CENTRE_DISTANCE, MARGIN, OVERLAP, RIGHT_COLUMN = 0.55, 0.20, 0.08,
 SHARED_QUESTIONS = 3
 
 
-def same_column(left: Column, right: Column, anchor_left: Column, anchor_right: Column) -> Column:
-    """A line belongs to its anchor's column."""
+def crop_line(left: Column, right: Column, anchor_left: Column, anchor_right: Column) -> Column:
+    """A line that counts for the width of its anchor's crop: the anchor is wide, the centres are near, or the two overlap."""
     wide = F.greatest(F.lit(0.0), anchor_right - anchor_left) >= WIDE_ANCHOR
     centre, anchor = (left + right) / 2, (anchor_left + anchor_right) / 2
     low, high = clamp(anchor_left - MARGIN), clamp(anchor_right + MARGIN)
-    near = F.abs(centre - anchor) <= CENTRE_DISTANCE
-    overlaps = F.least(right, high) - F.greatest(left, low) >= OVERLAP
-    return wide | near | overlaps | ((anchor >= RIGHT_COLUMN) & (left >= low))
+    return wide | (F.abs(centre - anchor) <= CENTRE_DISTANCE) | (F.least(right, high) - F.greatest(left, low) >= OVERLAP)
+
+
+def same_column(left: Column, right: Column, anchor_left: Column, anchor_right: Column) -> Column:
+    """A line belongs to its anchor's column: a crop line, or any that starts in a right column."""
+    starts_right = ((anchor_left + anchor_right) / 2 >= RIGHT_COLUMN) & (left >= clamp(anchor_left - MARGIN))
+    return crop_line(left, right, anchor_left, anchor_right) | starts_right
+
+
+def beside(line: Column, anchor: Column) -> Column:
+    """same_column() of two structs."""
+    return same_column(line["left_ratio"], line["right_ratio"], anchor["left_ratio"], anchor["right_ratio"])
 
 
 def at_least(start: Column, end: Column, size: float) -> Column:
     """The end of a span of at least ``size``, within the page."""
+    start, end = clamp(start), clamp(end)
     return F.when(end - start >= size, end).otherwise(F.least(F.lit(1.0), start + size))
 
 
 def line_top(line: Column, lines: Column) -> Column:
-    return clamp((line - 1) / F.greatest(F.lit(1), lines))
+    """Where a line starts on a page of so many lines; lines beyond them count as the last."""
+    n = F.greatest(F.lit(1), F.coalesce(lines, F.lit(1)))
+    return clamp((F.least(n, F.greatest(F.lit(1), line)) - 1) / n)
 
 
 def line_bottom(line: Column, lines: Column, top: Column) -> Column:
-    return clamp(F.greatest(line / F.greatest(F.lit(1), lines), top + 0.0))
+    """Where a line ends, not above ``top`` and at least the least height below it."""
+    n = F.greatest(F.lit(1), F.coalesce(lines, F.lit(1)))
+    bottom = F.least(n, F.greatest(line, F.greatest(F.lit(1), F.ceil(top * n)))) / n
+    return clamp(F.when(bottom - top < MIN_HEIGHT, F.least(F.lit(1.0), top + MIN_HEIGHT)).otherwise(bottom))
 
 
 def bounding_box(lines: DataFrame, *keys: str) -> DataFrame:
@@ -54,69 +70,210 @@ def to_ratio(x0: str, x1: str, size: str) -> tuple[Column, Column]:
     return clamp(F.col(x0) / whole), clamp(F.col(x1) / whole)
 
 
-def next_heading_top(headings: DataFrame) -> DataFrame:
-    """For each heading the top of the next one below in its column and page: of another number, the topmost, then by line."""
-    h, o = headings.alias("h"), headings.alias("o")
-    on = (F.col("h.source_file") == F.col("o.source_file")) & (F.col("h.page_index") == F.col("o.page_index"))
-    later = (F.col("o.index") != F.col("h.index")) & (F.col("o.line_in_page") > F.col("h.line_in_page"))
-    column = same_column(F.col("o.left_ratio"), F.col("o.right_ratio"), F.col("h.left_ratio"), F.col("h.right_ratio"))
-    found = h.join(o, on & later & column, "left")
-    return found.groupBy("h.source_file", "h.page_index", "h.index", "h.line_in_page").agg(F.min_by(F.col("o.top_ratio"), F.when(F.col("o.index").isNotNull(), F.struct(F.col("o.top_ratio"), F.col("o.line_in_page")))).alias("next_top"))
+# ---- pages with their lines and the questions that start on them -------------------------
 
+LINE = ["line_in_page", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio"]
 
-def question_segments(spans: DataFrame, lines: DataFrame) -> DataFrame:
-    """One crop box for each page of each question's span.
 
-    ``spans`` has source_file, index, start_page, end_page, start_line, end_line and pages'
-    line counts. Lines of the heading's column from its top to the next heading's top make
-    the box, padded and of a minimum size; without such lines, the lines' numbers do.
+def with_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pages`` with an array ``lines`` of the rows of ``lines`` on each, in order."""
+    gathered = lines.groupBy("source_file", "page_index").agg(F.array_sort(F.collect_list(F.struct(*LINE))).alias("lines"))
+    return pages.join(gathered, ["source_file", "page_index"], "left")
+
+
+def page_table(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pages that have an image, their lines in order, and the questions that start on each.
+
+    ``lines`` also say which numbers a line's text names (see named()); ``starts`` are the
+    candidates by line, ``heads`` those of them whose line exists, with that line. A page's
+    lines and questions are one row's arrays, so what follows compares them in place. The
+    table is written, as it is joined more than once.
     """
-    pages = spans.withColumn("page_index", F.explode(F.sequence("start_page", "end_page")))
-    anchor = lines.select("source_file", F.col("page_index").alias("start_page"), F.col("line_in_page").alias("start_line"), F.col("left_ratio").alias("al"), F.col("right_ratio").alias("ar"), F.col("top_ratio").alias("at"))
-    placed = pages.join(anchor, ["source_file", "start_page", "start_line"], "left")
-    heads = placed.where("al IS NOT NULL AND page_index = start_page").select("source_file", "page_index", "index", F.col("start_line").alias("line_in_page"), F.col("al").alias("left_ratio"), F.col("ar").alias("right_ratio"), F.col("at").alias("top_ratio"))
-    below = next_heading_top(heads).select("source_file", "page_index", "index", "next_top")
-    placed = placed.join(below, ["source_file", "page_index", "index"], "left")
-    top = F.when(F.col("page_index") == F.col("start_page"), F.coalesce("at", F.lit(0.0))).otherwise(0.0)
-    own = placed.withColumn("top_limit", top).join(lines.select("source_file", "page_index", "line_in_page", "left_ratio", "right_ratio", "top_ratio", "bottom_ratio"), ["source_file", "page_index"], "left")
-    inside = same_column(F.col("left_ratio"), F.col("right_ratio"), F.col("al"), F.col("ar")) & (F.col("bottom_ratio") >= F.col("top_limit")) & (F.col("next_top").isNull() | (F.col("top_ratio") < F.col("next_top")))
-    keys = ["source_file", "index", "page_index", "start_page", "end_page", "start_line", "end_line", "start_page_line_count", "end_page_line_count"]
-    pick = lambda c: F.when(inside, F.col(c))
-    box = own.groupBy(*keys).agg(F.min(pick("left_ratio")).alias("l"), F.min(pick("top_ratio")).alias("t"), F.max(pick("right_ratio")).alias("r"), F.max(pick("bottom_ratio")).alias("b"))
+    starts = candidates.groupBy("source_file", F.col("start_page").alias("page_index")).agg(
+        F.array_sort(F.collect_list(F.struct("start_line", "index"))).alias("starts"))
+    if "lines" not in pages.columns:
+        pages = pages.withColumn("lines", F.lit(None).cast("array<struct<line_in_page:int,text:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double>>"))
+    ordered = F.array_sort(F.transform(F.coalesce("lines", F.array().cast(pages.schema["lines"].dataType)), lambda l: F.struct(*(l[c].alias(c) for c in LINE))))
+    x = pages.where(T.nonblank("image_path")).join(starts, ["source_file", "page_index"], "left")
+    x = x.withColumn("lines", F.transform(ordered, lambda l: F.struct(*(l[c].alias(c) for c in LINE), named(l["text"]).alias("named"))))
+    x = x.withColumn("starts", F.coalesce("starts", F.array().cast(x.schema["starts"].dataType)))
+    found = F.transform("starts", lambda s: F.struct(s["start_line"].alias("start_line"), s["index"].alias("index"), at_line("lines", s["start_line"]).alias("line")))
+    return settle(x.withColumn("heads", F.filter(found, lambda h: h["line"].isNotNull())), "layout-pages")
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often they are used: a generator of one row, which the optimizer doesn't dissolve."""
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("pinned")
+    return df.select("*", made).select("*", *(F.col(f"pinned.{name}").alias(name) for name in columns)).drop("pinned")
+
+
+def at_line(lines: str, number: Column) -> Column:
+    """The first line of this number, null if there is none."""
+    return F.get(F.filter(lines, lambda l: l["line_in_page"] == number), F.lit(0))
+
+
+def on_pages(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """Each candidate on each page of its span that has an image, with its anchor: its first line, if that page has one."""
+    anchors = table.select("source_file", F.col("page_index").alias("start_page"), F.col("lines").alias("start_lines"))
+    anchored = candidates.join(anchors, ["source_file", "start_page"], "left").withColumn("anchor", at_line("start_lines", F.col("start_line"))).drop("start_lines")
+    return anchored.withColumn("page_index", F.explode(F.sequence("start_page", "end_page"))).join(table, ["source_file", "page_index"])
+
+
+def next_top() -> Column:
+    """The padded top of the first heading by line below the question, or on a later page of its span, that has another number and the anchor's column; null without one."""
+    anchor = F.col("anchor")
+    below = F.filter("heads", lambda h: (h["index"] != F.col("index")) & ((F.col("page_index") != F.col("start_page")) | (h["start_line"] > F.col("start_line"))) & beside(h["line"], anchor))
+    top = F.get(F.transform(below, lambda h: h["line"]["top_ratio"]), F.lit(0))
+    # the least and the greatest of a null and a number are the number
+    return F.when(top.isNotNull(), clamp(top - PADDING))
+
+
+def next_heading_tops(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """(source_file, index, start_page, start_line, page_index, next_top) of each question on each page of its span."""
+    return on_pages(candidates, table).where("anchor IS NOT NULL").select("source_file", "index", "start_page", "start_line", "page_index", next_top().alias("next_top"))
+
+
+def edge(lines: Column, name: str, largest: bool) -> Column:
+    values = F.transform(lines, lambda l: l[name])
+    return F.array_max(values) if largest else F.array_min(values)
+
+
+def padded_box(lines: Column, crop: Column) -> Column:
+    """Struct of ratios around lines, as wide as those of ``crop``, padded."""
+    low = lambda own, name: clamp(edge(own, name, False) - PADDING)
+    high = lambda own, name: clamp(edge(own, name, True) + PADDING)
+    return F.struct(low(crop, "left_ratio").alias("left_ratio"), low(lines, "top_ratio").alias("top_ratio"), high(crop, "right_ratio").alias("right_ratio"), high(lines, "bottom_ratio").alias("bottom_ratio"))
+
+
+def narrow(lines: Column, anchor: Column) -> Column:
+    """The crop lines, all if there are none."""
+    kept = F.filter(lines, lambda l: crop_line(l["left_ratio"], l["right_ratio"], anchor["left_ratio"], anchor["right_ratio"]))
+    return F.when(F.size(kept) > 0, kept).otherwise(lines)
+
+
+def finished(df: DataFrame, box: Column) -> DataFrame:
+    """Segments of at least the least size, with the page's image."""
+    x = pinned(df, box=box)
+    return x.select(
+        "source_file", "index", "start_page", "start_line", "page_index", "image_path", F.col("box.left_ratio").alias("left_ratio"), F.col("box.top_ratio").alias("top_ratio"),
+        at_least(F.col("box.left_ratio"), F.col("box.right_ratio"), MIN_WIDTH).alias("right_ratio"), at_least(F.col("box.top_ratio"), F.col("box.bottom_ratio"), MIN_HEIGHT).alias("bottom_ratio"),
+        "pixel_width", "pixel_height",
+    )
+
+
+def question_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """One crop for each page of each question's span.
+
+    ``candidates`` has source_file, index, start_page, end_page, start_line, end_line and the
+    two pages' line counts; ``table`` is page_table()'s. Where the question's first line is
+    known, lines of its column from its padded top to the next heading's make the crop; a
+    later page without any has none. Where it isn't, the lines of the span's numbers do. What
+    is left is cut by line numbers.
+    """
+    x = on_pages(candidates, table)
     first, last = F.col("page_index") == F.col("start_page"), F.col("page_index") == F.col("end_page")
-    by_line_top = F.when(first, line_top(F.col("start_line"), F.col("start_page_line_count"))).otherwise(0.0)
-    by_line_bottom = F.when(last, line_bottom(F.col("end_line"), F.col("end_page_line_count"), by_line_top)).otherwise(1.0)
-    left, right = clamp(F.coalesce(F.col("l") - PADDING, F.lit(0.0))), clamp(F.coalesce(F.col("r") + PADDING, F.lit(1.0)))
-    y0, y1 = clamp(F.coalesce(F.col("t") - PADDING, by_line_top)), clamp(F.coalesce(F.col("b") + PADDING, by_line_bottom))
-    return box.select("source_file", "index", "page_index", left.alias("left_ratio"), y0.alias("top_ratio"), at_least(left, right, MIN_WIDTH).alias("right_ratio"), at_least(y0, y1, MIN_HEIGHT).alias("bottom_ratio"))
+    upper = F.when(first, line_top(F.col("start_line"), F.col("start_page_line_count"))).otherwise(0.0)
+    lines_at_end = F.when(F.coalesce("end_page_line_count", F.lit(0)) > 0, F.col("end_page_line_count")).otherwise(F.col("start_page_line_count"))
+    lower = F.when(last, line_bottom(F.col("end_line"), lines_at_end, upper)).otherwise(1.0)
+    by_number = F.struct(F.lit(0.0).alias("left_ratio"), upper.alias("top_ratio"), F.lit(1.0).alias("right_ratio"), lower.alias("bottom_ratio"))
+    limit = F.when(first, clamp(F.col("anchor.top_ratio") - PADDING)).otherwise(0.0)
+    x = pinned(x, by_number=by_number, limit=limit, next_top=next_top())
+    anchor = F.col("anchor")
+    below = lambda l: F.col("next_top").isNull() | (l["top_ratio"] < F.col("next_top"))
+    own = F.filter("lines", lambda l: T.nonblank(l["text"]) & beside(l, anchor) & (l["bottom_ratio"] >= F.col("limit")) & below(l))
+    low_line = F.when(first, F.col("start_line")).otherwise(1)
+    counted = F.filter("lines", lambda l: (l["line_in_page"] >= low_line) & (last.eqNullSafe(F.lit(False)) | (l["line_in_page"] <= F.col("end_line"))))
+    x = pinned(x, own=F.when(anchor.isNotNull(), own).otherwise(counted))
+    x = x.where(first | anchor.isNull() | (F.size("lines") == 0) | (F.size("own") > 0))
+    crop = F.when(anchor.isNotNull(), narrow(F.col("own"), anchor)).otherwise(F.col("own"))
+    x = pinned(x, crop=crop)
+    return finished(x, F.when(F.size("own") > 0, padded_box(F.col("own"), F.col("crop"))).otherwise(F.col("by_number")))
 
 
-def distinct_segments(segments: DataFrame, order: str = "pos") -> DataFrame:
-    """Segments that are equal to four decimals are one, the first."""
+def distinct_segments(segments: DataFrame, order: str = "pos", of: list[str] | None = None) -> DataFrame:
+    """Segments that are equal to four decimals are one, the first, within each file or what ``of`` names."""
     key = F.concat_ws(":", F.col("page_index").cast("string"), *(F.format_string("%.4f", F.col(c)) for c in ("left_ratio", "top_ratio", "right_ratio", "bottom_ratio")))
-    w = Window.partitionBy("source_file", "key").orderBy(order)
+    w = Window.partitionBy(*(of or ["source_file"]), "key").orderBy(order)
     return segments.withColumn("key", key).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "key")
 
 
-def shared_range(x: str, fallback: Column) -> Column:
-    """Struct (start_index, end_index) that a shared passage's marker names: both ends; the start alone means three questions; the end alone starts at ``fallback``."""
-    start, end = F.regexp_extract(x, T.RANGE_HINT, 1).try_cast("int"), F.regexp_extract(x, T.RANGE_HINT, 2).try_cast("int")
-    only_start, only_end = F.regexp_extract(x, T.RANGE_START, 1).try_cast("int"), F.regexp_extract(x, T.RANGE_END, 1).try_cast("int")
-    make = lambda a, b: F.struct(a.alias("start_index"), b.alias("end_index"))
-    return F.when((start > 0) & (end >= start), make(start, end)).when(only_start > 0, make(only_start, only_start + F.lit(SHARED_QUESTIONS - 1))).when(only_end >= fallback, make(fallback, only_end))
+def named(x: Column) -> Column:
+    """Which questions a passage's marker names: struct of start and end of a range, the start alone, the end alone; null if it is no marker."""
+    t = T.utrim(F.coalesce(x, F.lit("")))
+    marks = (t.contains(T.MARKER_WORDS[0]) | t.contains(T.MARKER_WORDS[1]) | t.contains(T.MARKER_WORDS[2])) & t.rlike("[-~〜]")
+    number = lambda pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
+    low, high = number(T.RANGE_HINT, 1), number(T.RANGE_HINT, 2)
+    whole = (low > 0) & (high >= low)
+    return F.when(marks, F.struct(F.when(whole, low).alias("low"), F.when(whole, high).alias("high"), number(T.RANGE_START, 1).alias("start"), number(T.RANGE_END, 1).alias("end")))
 
 
-def shared_context(questions: DataFrame, markers: DataFrame) -> DataFrame:
-    """Each question's nearest marker before it on its page whose range contains its number."""
-    q, m = questions.alias("q"), markers.alias("m")
-    on = (F.col("q.source_file") == F.col("m.source_file")) & (F.col("q.page_index") == F.col("m.page_index")) & (F.col("m.line_in_page") < F.col("q.line_in_page")) & F.col("q.index").between(F.col("m.start_index"), F.col("m.end_index"))
-    return q.join(m, on).groupBy("q.source_file", "q.page_index", "q.index", "q.line_in_page").agg(F.max("m.line_in_page").alias("marker_line"))
+def range_for(name: Column, index: Column, fallback: Column | None = None) -> Column:
+    """Struct (low, high) that named() means for a question, null if that isn't in it.
+
+    A range of both ends decides alone. A start alone means three questions; where those
+    don't hold the question and ``fallback`` is given, an end alone reaches back to that.
+    """
+    make = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
+    three = name["start"] + F.lit(SHARED_QUESTIONS - 1)
+    out = F.when(name["low"].isNotNull(), F.when(index.between(name["low"], name["high"]), make(name["low"], name["high"])))
+    out = out.when((name["start"] > 0) & index.between(name["start"], three), make(name["start"], three))
+    if fallback is not None:
+        out = out.when((fallback > 0) & (name["end"] >= fallback) & index.between(fallback, name["end"]), make(fallback, name["end"]))
+    return out
+
+
+def shared_contexts(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """(source_file, index, start_page, start_line, context_line, question_line): the passage that a question shares with others.
+
+    The nearest line above the question in its column that names a range with its number,
+    and below which the first question of that range starts: the passage is what is between
+    those two. Without one, the nearest earlier question of the page in the same column whose
+    own line names such a range: the passage then reaches down to the question itself.
+    """
+    x = on_pages(candidates.where("index > 0").withColumn("end_page", F.col("start_page")), table).where("anchor IS NOT NULL")
+    anchor, index = F.col("anchor"), F.col("index")
+    first_in = lambda r: F.get(F.filter("starts", lambda s: (s["index"] > 0) & s["index"].between(r["low"], r["high"])), F.lit(0))["start_line"]
+    above = F.filter("lines", lambda l: (l["line_in_page"] < F.col("start_line")) & (l["line_in_page"] >= 1) & l["named"].isNotNull() & beside(l, anchor))
+    named_by = lambda l: F.struct(l["line_in_page"].alias("line"), first_in(range_for(l["named"], index)).alias("question"))
+    earlier = lambda h: (h["index"] > 0) & (h["start_line"] < F.col("start_line")) & (h["index"] < index) & beside(h["line"], anchor)
+    prior = F.filter("heads", lambda h: earlier(h) & range_for(h["line"]["named"], index, h["index"]).isNotNull())
+    x = pinned(x, marks=F.transform(above, named_by))
+    x = pinned(x, mark=F.try_element_at(F.filter("marks", lambda m: m["question"] > m["line"]), F.lit(-1)), prior=F.try_element_at(prior, F.lit(-1)))
+    question = F.when(F.col("mark").isNotNull(), F.col("mark.question")).otherwise(F.col("start_line"))
+    x = pinned(x, context_line=F.coalesce("mark.line", "prior.start_line"), question_line=question)
+    return x.where("context_line IS NOT NULL")
+
+
+def shared_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """The crop of each question's shared passage: its non-blank lines in the question's column, as wide as those of its first line's crop."""
+    x = shared_contexts(candidates, table)
+    own = F.filter("lines", lambda l: (l["line_in_page"] >= F.col("context_line")) & (l["line_in_page"] < F.col("question_line")) & T.nonblank(l["text"]) & beside(l, F.col("anchor")))
+    x = pinned(pinned(x, own=own).where(F.size("own") > 0), first=F.get("own", F.lit(0)))
+    x = pinned(x, crop=narrow(F.col("own"), F.col("first")))
+    return finished(x, padded_box(F.col("own"), F.col("crop")))
+
+
+def image_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """All crops of each question in order: the shared passage's, then its pages'; those equal to four decimals are one. ``pos`` is the place."""
+    shared = shared_segments(candidates, table).withColumn("pos", F.lit(0))
+    own = question_segments(candidates, table).withColumn("pos", F.col("page_index"))
+    both = distinct_segments(shared.unionByName(own), "pos", ["source_file", "index", "start_page", "start_line"])
+    return both
 
 
 def slice_view(segments: DataFrame, device: str = "phone") -> DataFrame:
-    """Sizes and shift that show a segment at the width of a device's view."""
-    width, _ = VIEWS[device]
-    across, down = F.greatest(F.col("right_ratio") - F.col("left_ratio"), F.lit(MIN_WIDTH)), F.greatest(F.col("bottom_ratio") - F.col("top_ratio"), F.lit(MIN_HEIGHT))
-    content = F.lit(width) / across
-    tall = content * F.col("pixel_height") / F.col("pixel_width")
-    return segments.withColumns({"content_width": content, "content_height": tall, "visible_width": F.lit(width), "visible_height": tall * down, "shift_x": -(content * F.col("left_ratio")), "shift_y": -(tall * F.col("top_ratio"))})
+    """Sizes and shift that show a segment in a device's view: the page is as wide as the view, and only the segment is visible.
+
+    Pages without pixel sizes are taken to be as large as the view.
+    """
+    width, height = VIEWS[device]
+    left, top = clamp("left_ratio"), clamp("top_ratio")
+    right = F.when(clamp("right_ratio") <= left, F.least(F.lit(1.0), left + MIN_WIDTH)).otherwise(clamp("right_ratio"))
+    bottom = F.when(clamp("bottom_ratio") <= top, F.least(F.lit(1.0), top + MIN_HEIGHT)).otherwise(clamp("bottom_ratio"))
+    sized = (F.col("pixel_width") > 0) & (F.col("pixel_height") > 0)
+    tall = F.when(sized, F.lit(width) * F.col("pixel_height") / F.col("pixel_width")).otherwise(F.lit(height))
+    return segments.withColumns({
+        "content_width": F.lit(width), "content_height": tall,
+        "visible_width": F.greatest(F.lit(width * MIN_WIDTH), (right - left) * width), "visible_height": F.greatest(tall * MIN_HEIGHT, (bottom - top) * tall),
+        "shift_x": 0.0 - left * width, "shift_y": 0.0 - top * tall,
+    })
