@@ -47,3 +47,28 @@ def heading_index(x, following, low=None, high=None, pattern: str = T.STRICT_HEA
 def with_following(lines: DataFrame, order: str = "line_in_page") -> DataFrame:
     """``next_text``: the next line on the same page."""
     return lines.withColumn("next_text", F.lead("text").over(Window.partitionBy("source_file", "page_index").orderBy(order)))
+
+
+def marked(lines: DataFrame, order: str = "line_in_page", low: str | None = None, high: str | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
+    """heading_index() of every line by the next one of its page, as ``index`` or under the names of ``patterns``.
+
+    What a line says by itself is a column below the window, so that each pattern is
+    matched once a line; what the next line says comes from there too.
+    """
+    patterns = patterns or {"index": T.STRICT_HEADING}
+    text = F.coalesce("text", F.lit(""))
+    x = lines.withColumns({"m_bad": disallowed("text"), "m_reads": continues("text")})
+    for name, pattern in patterns.items():
+        suffix = utrim(F.regexp_replace(text, pattern, ""))
+        x = x.withColumns({f"m_{name}": heading_number(F.regexp_extract(text, pattern, 1)), f"m_{name}_suffix": suffix})
+        own = F.col(f"m_{name}_suffix")
+        shape = F.when(own.rlike(T.TERM_SUFFIX) | code_like(own), 0).when(nonblank(own) & ((hangul_count(own) >= 2) | own.contains("?")), 2).otherwise(1)
+        x = x.withColumn(f"m_{name}_shape", F.when(F.col(f"m_{name}").isNotNull() & ~F.col("m_bad") & text.rlike(pattern), shape).otherwise(0))
+    x = x.withColumn("m_next", F.coalesce(F.lead("m_reads").over(Window.partitionBy("source_file", "page_index").orderBy(order)), F.lit(False)))
+    for name in patterns:
+        number, shape = F.col(f"m_{name}"), F.col(f"m_{name}_shape")
+        ok = (shape == 2) | ((shape == 1) & F.col("m_next"))
+        if low is not None:
+            ok = ok & (F.col(low).isNull() | number.between(F.col(low), F.col(high)))
+        x = x.withColumn(name, F.when(ok, number))
+    return x.drop("m_bad", "m_reads", "m_next", *(f"m_{n}{tail}" for n in patterns for tail in ("", "_suffix", "_shape")))

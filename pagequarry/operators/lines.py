@@ -18,11 +18,27 @@ def text_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     return exploded.select("source_file", "page_index", (F.col("at") + 1).alias("line_in_page"), utrim("raw").alias("text"), *(F.lit(v).alias(k) for k, v in box.items())).where(nonblank("text"))
 
 
-def box_lines(pages: DataFrame) -> DataFrame:
-    """One row for each line with a box, in reading order, without blank lines."""
-    x = pages.select("source_file", "page_index", F.explode("lines").alias("l")).select("source_file", "page_index", "l.*")
-    ordered = reading_order(x)
-    return ordered.withColumn("text", utrim("text")).where(nonblank("text"))
+def raw_lines(pages: DataFrame) -> DataFrame:
+    """One row for each line of a page: its lines with boxes if it has any, blank ones included, else those of its text without the blank ones."""
+    plain = text_lines(pages)
+    if "lines" not in pages.columns:
+        return plain.withColumn("boxed", F.lit(False))
+    has_boxes = F.size(F.coalesce("lines", F.array().cast(pages.schema["lines"].dataType))) > 0
+    boxed = pages.where(has_boxes).select("source_file", "page_index", F.explode("lines").alias("l"))
+    columns = [F.col(f"l.{c}").alias(c) for c in ("line_in_page", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio")]
+    found = boxed.select("source_file", "page_index", *columns).withColumn("line_in_page", F.col("line_in_page").cast("int"))
+    without = text_lines(pages.where(~has_boxes))
+    return found.withColumn("boxed", F.lit(True)).unionByName(without.withColumn("boxed", F.lit(False)))
+
+
+def hint_lines(pages: DataFrame) -> DataFrame:
+    """What a range may be named in: every page's lines as they are, those of a plain text trimmed and numbered without the blank ones."""
+    plain = pages if "lines" not in pages.columns else pages.where(F.size(F.coalesce("lines", F.array().cast(pages.schema["lines"].dataType))) == 0)
+    whole = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), utrim), lambda t: t != "")
+    own = plain.select("source_file", "page_index", F.posexplode(whole).alias("at", "text")).select("source_file", "page_index", (F.col("at") + 1).alias("line_in_page"), "text", F.lit(False).alias("boxed"))
+    if "lines" not in pages.columns:
+        return own
+    return own.unionByName(raw_lines(pages).where("boxed").select(own.columns))
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -47,6 +63,17 @@ def page_stats(pages: DataFrame) -> DataFrame:
     return pages.groupBy("source_file").agg(F.count("*").alias("pages"), F.sum("word_count").alias("words"), F.bool_or(nonblank("text")).alias("has_text"))
 
 
+def pages_per_second(processed: Column, began: Column, now: Column) -> Column:
+    """Throughput so far: 0 before the first page."""
+    elapsed = F.greatest(F.lit(1e-6), seconds_between(began, now))
+    return F.when(processed > 0, processed / elapsed).otherwise(0.0)
+
+
+def seconds_between(began: Column, now: Column) -> Column:
+    """Elapsed seconds of two timestamps."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(began.cast("timestamp"))) / 1e6
+
+
 def leading_lines(lines: DataFrame, k: int = 8) -> DataFrame:
     """The first ``k`` lines of each page."""
     page = Window.partitionBy("source_file", "page_index").orderBy("line_in_page")

@@ -43,8 +43,8 @@ def inferred(candidates: DataFrame, expected: str = "expected_count", file: str
     expected).
     """
     c = candidates.where((F.col("index") > 0) & (F.col(expected) > 0)).select(file, expected, "index").distinct()
-    starts = c.select(file, expected, F.explode(F.sequence(F.greatest(F.lit(1), F.col("index") - F.col(expected) + 1), F.col("index"))).alias("s")).distinct()
-    hits = starts.join(c.drop(expected), file).where(F.col("index").between(F.col("s"), F.col("s") + F.col(expected) - 1))
+    # a number is a hit of each range that starts at most expected - 1 before it
+    hits = c.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("index") - F.col(expected) + 1), F.col("index"))).alias("s"))
     scored = hits.groupBy(file, expected, "s").agg(F.count("*").alias("hits"), F.min("index").alias("lo"), F.max("index").alias("hi"))
     scored = scored.withColumn("score", 1000 * F.col("hits") - 10 * (F.col("lo") - F.col("s")) - (F.col("hi") - F.col("lo")) - F.col("s"))
     best = Window.partitionBy(file).orderBy(F.desc("score"), "lo", F.col("hi") - F.col("lo"), "s")

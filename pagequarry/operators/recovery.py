@@ -1,101 +1,152 @@
-"""Recovery of headings that a document should have but its strict headings lack.
+"""Recovery of headings that a document should have but its headings as read lack.
 
 Everything that a line says by itself is computed as columns: the number it shows whatever
 follows, and how much it looks like a heading without a number. Only the search is
-sequential, as each found marker moves the bounds of the next, and runs once per file over
-the few lines that qualify.
+sequential, as each found marker moves the bounds of the next. It runs once per file, only
+for files in which numbers are missing, over the few lines that qualify.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.functions.text import hangul_count, utrim
-from pagequarry.operators.headings import code_like, continues, disallowed, heading_index, plausible
-from pagequarry.operators.segments import accept_rising
+from pagequarry.operators.headings import code_like, continues, disallowed, marked, plausible
+from pagequarry.operators.segments import accept_rising, positioned
 
-# What a line must look like to be taken for a heading without a number, and how far scores may be apart.
+# What a line must look like to be taken for a heading without a number, how
+# much each sign counts, and how far scores may be apart.
 SHOWN_NUMBER = r"(?U)^\s*(?:[Qq]\s*)?(?:(?:제|문항|문제)\s*)?(\d+)"
 LIST_MARK = r"(?U)^(?:0\s|O\s|[㉠-㉻]|[①-⑳])"
 SHORT_PREFIX = r"(?U)^[^\d\s]{1,4}[.)\]•·\-~〜]*\s+"
+LEADING_WORD = "다음"
 LEAST_SCORE, SCORE_RANGE = 40, 25
-SCHEMA = "source_file long, pos long, index int, inferred boolean"
-
-
-def clues(lines: DataFrame, low: int, high: int) -> DataFrame:
-    """Each line's accepted heading number, shown number, and score as a numberless heading but for its indent."""
-    file = Window.partitionBy("source_file").orderBy("page_index", "line_in_page")
-    page = Window.partitionBy("source_file", "page_index").orderBy("line_in_page")
-    x = lines.withColumn("pos", F.row_number().over(file).cast("long")).withColumn("next_text", F.lead("text").over(page)).withColumn("indent", F.lag("left_ratio").over(page) - F.col("left_ratio"))
-    x = accept_rising(x.withColumn("index", heading_index("text", "next_text", F.lit(low), F.lit(high))))
-    t = utrim("text")
-    shown = F.regexp_extract("text", SHOWN_NUMBER, 1)
-    suffix = utrim(F.regexp_replace("text", SHOWN_NUMBER, ""))
-    asks = t.contains("?")
-    eligible = ~disallowed("text") & ~t.rlike(r"(?U)^\d") & ~code_like(t) & ~t.rlike(LIST_MARK) & ((hangul_count(t) >= 4) | asks) & (continues("next_text") | asks)
-    near = F.position(F.lit("다음"), t).between(1, 11)
-    score = F.least(F.lit(30), 3 * hangul_count(t)) + 20 * asks.cast("int") + 25 * t.rlike(SHORT_PREFIX).cast("int") + 20 * near.cast("int") + 10 * F.coalesce(F.col("indent") > 0.02, F.lit(False)).cast("int")
-    return x.select(
-        "source_file", "pos", "left_ratio", F.when(F.col("accepted"), F.col("index")).cast("int").alias("index"),
-        F.when(~disallowed("text") & ~shown.rlike("^0") & plausible(suffix, F.col("next_text")), shown.try_cast("int")).alias("shown"), F.when(eligible, score).alias("score"),
-    ).where("index IS NOT NULL OR shown IS NOT NULL OR score IS NOT NULL")
-
-
-def search(rows: list[tuple], low: int, high: int) -> list[tuple[int, int, bool]]:
-    """(pos, number, inferred) of a file's headings. ``rows``: (pos, left, accepted number, shown number, score) in order, None for what is lacking."""
-    start = [(pos, index, False) for pos, _, index, _, _ in rows if index is not None]
+LEAST_SYLLABLES, EACH_SYLLABLE, MOST_OF_SYLLABLES = 4, 3, 30
+OF_QUESTION_MARK, OF_SHORT_PREFIX, OF_LEADING_WORD, LEADING_PLACES = 20, 25, 20, 11
+OF_INDENT, LEAST_INDENT = 10, 0.02
+MOST_OF_LEFT, EACH_LEFT = 50, 400
+SCHEMA = "pos long, index int, inferred boolean, guessed boolean"
+
+
+def bound(x: int | str) -> Column:
+    return F.col(x) if isinstance(x, str) else F.lit(x)
+
+
+def read_markers(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
+    """(source_file, pos, index) of the headings as read, within the bounds; ``lines`` are positioned."""
+    x = lines.withColumns({"m_low": bound(low), "m_high": bound(high)})
+    found = accept_rising(marked(x, "pos", "m_low", "m_high"))
+    return found.where("accepted").select("source_file", "pos", F.col("index").cast("int").alias("index"))
+
+
+def clues(lines: DataFrame, markers: DataFrame, low: int | str, high: int | str) -> DataFrame:
+    """Each line's heading number, shown number, and score as a numberless heading but for its place; ``lines`` are positioned."""
+    page = Window.partitionBy("source_file", "page_index").orderBy("pos")
+    t, text = utrim("text"), F.coalesce("text", F.lit(""))
+    x = lines.select("source_file", "page_index", "pos", "left_ratio", text.alias("text"), bound(low).cast("int").alias("low"), bound(high).cast("int").alias("high"))
+    # what a line says by itself, below the window
+    x = x.withColumns({
+        "t": t, "bad": disallowed("text"), "reads": continues("text"), "shown": F.regexp_extract("text", SHOWN_NUMBER, 1),
+        "suffix": utrim(F.regexp_replace("text", SHOWN_NUMBER, "")), "syllables": hangul_count(t), "asks": t.contains("?"),
+    })
+    x = x.withColumns({"next_text": F.lead("text").over(page), "next_reads": F.coalesce(F.lead("reads").over(page), F.lit(False)), "indent": F.lag("left_ratio").over(page) - F.col("left_ratio")})
+    t, asks = F.col("t"), F.col("asks")
+    eligible = ~F.col("bad") & ~t.rlike(r"(?U)^\d") & ~code_like(t) & ~t.rlike(LIST_MARK) & ((F.col("syllables") >= LEAST_SYLLABLES) | asks) & (F.col("next_reads") | asks)
+    score = (
+        F.least(F.lit(MOST_OF_SYLLABLES), EACH_SYLLABLE * F.col("syllables")) + OF_QUESTION_MARK * asks.cast("int")
+        + OF_SHORT_PREFIX * t.rlike(SHORT_PREFIX).cast("int") + OF_LEADING_WORD * F.position(F.lit(LEADING_WORD), t).between(1, LEADING_PLACES).cast("int")
+        + OF_INDENT * F.coalesce(F.col("indent") > LEAST_INDENT, F.lit(False)).cast("int")
+    )
+    shows = ~F.col("bad") & (F.col("shown") != "") & ~F.col("shown").rlike("^0") & plausible(F.col("suffix"), F.col("next_text"))
+    found = x.join(markers.select("source_file", "pos", "index"), ["source_file", "pos"], "left").select(
+        "source_file", "pos", "left_ratio", "index", "low", "high", F.when(shows, F.col("shown").try_cast("int")).alias("shown"), F.when(eligible, score).cast("int").alias("score"),
+    )
+    return found.where("index IS NOT NULL OR shown BETWEEN low AND high OR score IS NOT NULL")
+
+
+def search(rows: list[tuple], low: int, high: int) -> list[tuple[int, int, bool, bool]]:
+    """(pos, number, inferred, guessed) of a file's headings.
+
+    ``rows``: (pos, left, heading number, shown number, score) in order, None for what is
+    lacking. Lines that show a missing number between its neighbours' lines are taken first,
+    then the likeliest lines of each gap are numbered through.
+    """
+    start = [(pos, index, False, False) for pos, _, index, _, _ in rows if index is not None]
     markers = [m for m in start if low <= m[1] <= high]
     if not markers:
         return start
-    left = {pos: x for pos, x, *_ in rows}
+    by_index = sorted((m[1], m[0]) for m in markers)
+    known = {m[1] for m in markers}
+    shown: dict[int, list[int]] = {}
+    for pos, _, _, number, _ in rows:
+        if number is not None and low <= number <= high:
+            shown.setdefault(number, []).append(pos)
     found = 0
-    for n in range(low, high + 1):
-        if any(m[1] == n for m in markers):
-            continue
-        after = max((m for m in markers if m[1] < n), key=lambda m: m[1], default=(0,))[0]
-        before = min((m for m in markers if m[1] > n), key=lambda m: m[1], default=(float("inf"),))[0]
-        at = next((pos for pos, _, _, shown, _ in rows if shown == n and after < pos < before), None)
-        if at is not None:
-            markers.append((at, n, True))
+    for n in sorted(shown.keys() - known):
+        at = bisect_left(by_index, (n,))
+        after = by_index[at - 1][1] if at else 0
+        before = by_index[at][1] if at < len(by_index) else float("inf")
+        first = bisect_right(shown[n], after)
+        if first < len(shown[n]) and shown[n][first] < before:
+            insort(by_index, (n, shown[n][first]))
+            known.add(n)
+            markers.append((shown[n][first], n, True, False))
             found += 1
     markers.sort()
-    while new := _next_gap(rows, left, markers, low, high):
-        markers = sorted(markers + new)
-        found += len(new)
+    scored = [(pos, x, score) for pos, x, _, _, score in rows if score is not None]
+    places = [s[0] for s in scored]
+    left = {pos: x for pos, x, *_ in rows}
+    at = 0
+    while at < len(markers) - 1:
+        a, b = markers[at], markers[at + 1]
+        new = []
+        if b[1] - a[1] > 1:
+            inside = scored[bisect_right(places, a[0]) : bisect_left(places, b[0])]
+            new = [(pos, n, True, True) for n, pos in enumerate(likeliest(inside, left[a[0]], b[1] - a[1] - 1), a[1] + 1) if low <= n <= high and n not in known]
+        if new:
+            # the gaps before this one stay as they are, as they lie between other lines
+            markers = sorted(markers + new)
+            known |= {m[1] for m in new}
+            found += len(new)
+        else:
+            at += 1
     return markers if found else start
 
 
-def _next_gap(rows, left, markers, low, high) -> list[tuple[int, int, bool]]:
-    """Markers for the first gap in place that any can be found for."""
-    known = {m[1] for m in markers}
-    for a, b in zip(markers, markers[1:], strict=False):
-        missing = b[1] - a[1] - 1
-        if missing <= 0:
-            continue
-        scored = [(pos, score + max(0, 50 - int(abs(x - left[a[0]]) * 400))) for pos, x, _, _, score in rows if score is not None and a[0] < pos < b[0]]
-        scored = [s for s in scored if s[1] >= LEAST_SCORE]
-        if not scored:
-            continue
-        top = max(s for _, s in scored)
-        chosen = [pos for pos, s in scored if s >= top - SCORE_RANGE][:missing]
-        new = [(pos, a[1] + 1 + i, True) for i, pos in enumerate(chosen) if low <= a[1] + 1 + i <= high and a[1] + 1 + i not in known]
-        if new:
-            return new
-    return []
+def likeliest(scored: list[tuple], left: float, missing: int) -> list[int]:
+    """The first ``missing`` lines in place of those that score nearly as high as the best."""
+    whole = [(pos, score + max(0, MOST_OF_LEFT - int(abs(x - left) * EACH_LEFT))) for pos, x, score in scored]
+    whole = [s for s in whole if s[1] >= LEAST_SCORE]
+    top = max((s for _, s in whole), default=0)
+    return [pos for pos, s in whole if s >= top - SCORE_RANGE][:missing]
+
 
+def recover(lines: DataFrame, low: int | str, high: int | str, markers: DataFrame | None = None) -> DataFrame:
+    """(source_file, pos, index, inferred, guessed) of each file's headings between ``low`` and ``high``, numbers or columns.
 
-def recover(lines: DataFrame, low: int, high: int) -> DataFrame:
-    """(source_file, pos, index, inferred) of each file's headings between ``low`` and ``high``."""
+    ``markers`` are the headings as read, strict ones of ``lines`` if not given. Files that
+    lack no number, or have no heading to go by, keep those.
+    """
+    placed = lines if "pos" in lines.columns else positioned(lines)
+    kind = placed.schema["source_file"].dataType.simpleString()
+    found = clues(placed, read_markers(placed, low, high) if markers is None else markers, low, high)
+    have = F.count_if(F.col("index").between(F.col("low"), F.col("high"))).over(Window.partitionBy("source_file"))
+    found = found.withColumn("have", have).withColumn("gaps", (F.col("have") > 0) & (F.col("have") < F.col("high") - F.col("low") + 1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         value = lambda v: None if pd.isna(v) else int(v)
-        rows = [(int(r.pos), float(r.left_ratio), value(r.index_), value(r.shown), value(r.score)) for r in pdf.rename(columns={"index": "index_"}).itertuples(index=False)]
-        out = pd.DataFrame(search(rows, low, high), columns=["pos", "index", "inferred"])
+        columns = (pdf[c] for c in ("pos", "left_ratio", "index", "shown", "score"))
+        rows = [(int(pos), float(x), value(index), value(shown), value(score)) for pos, x, index, shown, score in zip(*columns, strict=True)]
+        out = pd.DataFrame(search(rows, int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])), columns=["pos", "index", "inferred", "guessed"])
         out.insert(0, "source_file", pdf["source_file"].iloc[0])
         return out
 
-    return clues(lines, low, high).groupBy("source_file").applyInPandas(run, SCHEMA)
+    searched = found.where("gaps").groupBy("source_file").applyInPandas(run, f"source_file {kind}, {SCHEMA}")
+    whole = found.where("NOT gaps AND index IS NOT NULL").select("source_file", F.col("pos").cast("long").alias("pos"), "index", F.lit(False).alias("inferred"), F.lit(False).alias("guessed"))
+    return searched.unionByName(whole)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.functions.text import clip, utrim
-from pagequarry.operators.headings import heading_index, with_following
+from pagequarry.operators.headings import marked
 
 CHUNK_LINES = 10
 
@@ -25,36 +25,41 @@ def span_numbers(lines: DataFrame, file: str = "source_file", order: str = "pos"
 
 
 def positioned(lines: DataFrame) -> DataFrame:
-    """``pos``: the line's place in its file."""
+    """``pos``: the line's place in its file, in reading order where that is known."""
     order = ["page_index", "read_at" if "read_at" in lines.columns else "line_in_page"]
     return lines.withColumn("pos", F.row_number().over(Window.partitionBy("source_file").orderBy(*order)))
 
 
-def spans(lines: DataFrame, inferred: bool = False) -> DataFrame:
+def page_line_counts(lines: DataFrame) -> DataFrame:
+    """(source_file, page_index, page_lines): the largest line number of each page, 1 at least."""
+    return lines.groupBy("source_file", "page_index").agg(F.greatest(F.lit(1), F.max("line_in_page")).alias("page_lines"))
+
+
+def spans(lines: DataFrame, separator: str = "\n") -> DataFrame:
     """One row for each segment of lines with ``segment`` and, on its first line, ``index``: place, heading and preview of the body."""
     body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("accepted"), F.struct("pos", "text")))), lambda r: r["text"])
-    counts = lines.groupBy("source_file", "page_index").agg(F.greatest(F.lit(1), F.max("line_in_page")).alias("page_lines"))
-    rows = lines.join(counts, ["source_file", "page_index"]).where(F.col("segment") > 0)
+    counts = [] if "page_lines" in lines.columns else [page_line_counts(lines)]
+    rows = (lines.join(counts[0], ["source_file", "page_index"]) if counts else lines).where(F.col("segment") > 0)
     return rows.groupBy("source_file", "segment").agg(
         F.max(F.when(F.col("accepted"), F.col("index"))).alias("index"), F.max(F.when(F.col("accepted"), F.col("text"))).alias("header"),
-        F.min_by("page_index", "pos").alias("start_page"), F.max_by("page_index", "pos").alias("end_page"), F.min_by("line_in_page", "pos").alias("start_line"), F.max_by("line_in_page", "pos").alias("end_line"),
-        F.min_by("page_lines", "pos").alias("start_page_line_count"), F.max_by("page_lines", "pos").alias("end_page_line_count"), clip(utrim(F.array_join(body, "\n"))).alias("preview"),
+        F.min_by("page_index", "pos").alias("start_page"), F.max_by("page_index", "pos").alias("end_page"),
+        F.min_by("line_in_page", "pos").alias("start_line"), F.max_by("line_in_page", "pos").alias("end_line"),
+        F.min_by("page_lines", "pos").alias("start_page_line_count"), F.max_by("page_lines", "pos").alias("end_page_line_count"),
+        clip(utrim(F.array_join(body, separator))).alias("preview"),
     )
 
 
 def by_heading(lines: DataFrame, pattern: str = T.STRICT_HEADING, low: str | None = None, high: str | None = None) -> DataFrame:
     """Spans that start at accepted headings."""
-    marked = with_following(lines, "pos").withColumn("index", heading_index("text", "next_text", low, high, pattern))
-    return spans(span_numbers(accept_rising(marked)))
+    return spans(span_numbers(accept_rising(marked(lines, "pos", low, high, {"index": pattern}))))
 
 
 def by_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
-    """Spans of ``size`` lines, numbered from 1, for files without headings."""
+    """Spans of ``size`` lines, numbered from 1, for files without headings; their previews are all lines with blanks between."""
     chunk = lines.withColumn("segment", (F.floor((F.col("pos") - 1) / size) + 1).cast("int"))
-    first = (F.col("pos") - 1) % size == 0
-    marked = chunk.withColumn("index", F.col("segment")).withColumn("accepted", F.lit(False))
-    found = spans(marked.drop("index").withColumn("index", F.lit(None).cast("int")).withColumn("accepted", F.lit(False)).withColumn("first", first))
-    return found.withColumn("index", F.col("segment")).withColumn("header", F.concat(F.col("segment").cast("string"), F.lit(". ")))
+    found = spans(chunk.withColumn("index", F.lit(None).cast("int")).withColumn("accepted", F.lit(False)), " ")
+    header = F.concat(F.lit(T.INFERRED + T.QUESTION), F.col("segment").cast("string"))
+    return found.withColumn("index", F.col("segment")).withColumn("header", header)
 
 
 def best_tier(tiers: list[DataFrame], file: str = "source_file") -> DataFrame:
@@ -68,10 +73,21 @@ def best_tier(tiers: list[DataFrame], file: str = "source_file") -> DataFrame:
 
 def segment_documents(lines: DataFrame, low: str | None = None, high: str | None = None) -> DataFrame:
     """Strict headings, else permissive ones, else chunks, by file. Files without lines have no rows."""
-    placed = positioned(lines)
+    placed = lines if "pos" in lines.columns else positioned(lines)
     return best_tier([by_heading(placed, T.STRICT_HEADING, low, high), by_heading(placed, T.PERMISSIVE_HEADING, low, high), by_chunks(placed)])
 
 
+def rebuilt(markers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Candidates from markers (source_file, pos, index, guessed): each reaches to just before the next one's line.
+
+    ``lines`` are positioned. The header of a line that shows no number says that it was guessed.
+    """
+    x = lines.join(markers.select("source_file", "pos", "index", "guessed"), ["source_file", "pos"], "left").withColumn("accepted", F.col("index").isNotNull())
+    number = F.concat(F.lit(T.INFERRED), F.col("index").cast("string"), F.lit(". "), F.col("text"))
+    shown = x.withColumn("text", F.when(F.col("guessed"), number).otherwise(F.col("text")))
+    return spans(span_numbers(shown.drop("guessed")))
+
+
 def rebuilt_spans(markers: DataFrame, lines: DataFrame) -> DataFrame:
     """Spans from each marker's position to just before the next one's, the last to the file's end."""
     after = F.lead("pos").over(Window.partitionBy("source_file").orderBy("pos"))

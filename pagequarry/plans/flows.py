@@ -2,59 +2,119 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.operators import answers, diagnostics, grading, headings, importer, lines, practice, ranges, recovery, segments
+from pagequarry.functions.text import QUESTION, nonblank, utrim
+from pagequarry.operators import answers, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, segments
 from pagequarry.session import settle
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """Lines with boxes in reading order where pages have them, else lines of the text; what stands before a page's first heading goes."""
-    found = lines.box_lines(pages) if "lines" in pages.columns else lines.text_lines(pages).withColumn("read_at", F.col("line_in_page"))
-    marked = headings.with_following(found, "read_at").withColumn("heading", headings.heading_index("text", "next_text"))
-    kept = lines.trim_boilerplate(marked, F.col("heading").isNotNull(), "read_at")
-    return kept.select("source_file", "page_index", "line_in_page", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio", "read_at")
+def page_lines(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Positioned lines of every file, without what stands before a page's first heading and without blank ones.
 
+    ``bounds`` (source_file, low, high) limit the numbers that headings may have; they come
+    along. Lines with boxes are first trimmed in line order, then put in reading order.
+    ``page_lines`` is the largest line number of the page.
+    """
+    raw = lines.raw_lines(pages)
+    raw = raw.withColumns({"low": F.lit(None).cast("int"), "high": F.lit(None).cast("int")}) if bounds is None else raw.join(bounds, "source_file", "left")
+    page = Window.partitionBy("source_file", "page_index")
+    read = headings.marked(raw, "line_in_page", "low", "high", {"heading": headings.T.STRICT_HEADING}).withColumn("all_lines", F.max("line_in_page").over(page))
+    kept = lines.reading_order(lines.trim_boilerplate(read, F.col("heading").isNotNull()))
+    shown = kept.withColumn("text", utrim("text")).where(nonblank("text"))
+    counted = shown.withColumn("page_lines", F.when(F.col("boxed"), F.greatest(F.lit(1), F.max("line_in_page").over(page))).otherwise(F.col("all_lines")))
+    return segments.positioned(counted).select("source_file", "page_index", "line_in_page", "pos", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio", "page_lines", "low", "high")
+
+
+def split(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Candidates of every file: by headings, with those recovered that the bounds ask for, else by chunks.
+
+    Where headings were recovered, all of the file's candidates are rebuilt from them.
+    """
+    found = settle(page_lines(pages, bounds), "split-lines")
+    read = settle(segments.segment_documents(found, "low", "high"), "split-read")
+    if bounds is None:
+        return read
+    # a candidate's first line is its heading
+    starts = read.where("tier < 2").select("source_file", "index", F.col("start_page").alias("page_index"), F.col("start_line").alias("line_in_page"))
+    bounded = found.where("low IS NOT NULL").join(starts.select("source_file").distinct(), "source_file", "left_semi")
+    markers = bounded.join(starts, ["source_file", "page_index", "line_in_page"]).select("source_file", "pos", F.col("index").cast("int").alias("index"))
+    every = settle(recovery.recover(bounded, "low", "high", markers), "split-markers")
+    changed = every.where("inferred").select("source_file").distinct()
+    rebuilt = segments.rebuilt(every, found.join(changed, "source_file", "left_semi"))
+    tiers = read.select("source_file", "tier").distinct()
+    return read.join(changed, "source_file", "left_anti").unionByName(rebuilt.join(tiers, "source_file"))
 
-def expected_ranges(found: DataFrame, first: DataFrame, expected: DataFrame) -> DataFrame:
-    """Each file's (range, origin): ``expected`` has source_file and what the user typed."""
-    typed = expected.withColumn("e", ranges.expected_input("expected")).select("source_file", "e.*").where("kind <> 'error'")
+
+def expected_ranges(pages: DataFrame, first: DataFrame, expected: DataFrame) -> DataFrame:
+    """Each file's (range, origin, asked): ``expected`` has source_file and what the user typed; ``asked`` is whether that says anything."""
+    typed = expected.withColumn("e", ranges.expected_input("expected")).select("source_file", "e.*")
     given = typed.where("kind = 'range'").select("source_file", "start_index", "end_index")
     counts = typed.where("kind = 'count'").select("source_file", F.col("count").alias("expected_count"))
-    hint = ranges.hinted(found.join(counts, "source_file"))
+    hint = ranges.hinted(lines.hint_lines(pages).join(counts, "source_file"))
     inference = ranges.inferred(first.join(counts, "source_file"))
-    return ranges.resolved(found, given, hint, inference)
+    found = ranges.resolved(pages, given, hint, inference)
+    return found.join(typed.select("source_file", (F.col("kind") != "none").alias("asked")), "source_file", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
+def judged(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The diagnosis of every file, also of those without candidates: where numbers were asked for, a range that isn't known or isn't filled is a mismatch."""
+    bounds = resolved.select("source_file", F.col("range.start_index").alias("start_index"), F.col("range.end_index").alias("end_index"))
+    found = diagnostics.diagnose(candidates.where("index > 0").join(bounds, "source_file"))
+    x = bounds.join(resolved.select("source_file", "asked"), "source_file").join(found.drop("start_index", "end_index"), "source_file", "left")
+    whole = F.when(F.col("start_index").isNotNull(), F.sequence("start_index", "end_index")).otherwise(F.array().cast("array<int>"))
+    none = lambda c, other: F.coalesce(c, other.cast(found.schema[c].dataType)).alias(c)
+    off = F.col("asked") & (F.col("start_index").isNull() | F.coalesce("mismatch", F.lit(True)))
+    return x.select("source_file", "start_index", "end_index", none("distinct_indexes", F.array()), none("repeated", F.array()), none("missing", whole), none("unexpected", F.array()), off.alias("mismatch"))
 
 
-def import_files(pages: DataFrame, keys: DataFrame, stored: DataFrame, expected: DataFrame, category: str, overwrite: bool = False) -> dict[str, DataFrame]:
+def import_files(pages: DataFrame, keys: DataFrame, stored: DataFrame, expected: DataFrame, category: str, overwrite: bool = False, category_name: str | None = None) -> dict[str, DataFrame]:
     """Pages and answer keys to questions in the store.
 
-    ``pages``: source_file, page_index, text (and lines with boxes); ``keys``: key_id (the
-    source file) and key_text; ``stored``: the questions so far; ``expected``: source_file
-    and expected. Files are segmented, their expected ranges resolved, and segmented again
-    with them, each pass written to the shared folder. Files whose numbers don't fit their range are not imported. Returns the
-    candidates, ranges, diagnosis, errors of the keys, and the new store.
+    ``pages``: source_file, page_index, text (and lines with boxes, image_path, pixel_width and
+    pixel_height); ``keys``: key_id (the source file) and key_text; ``stored``: the questions
+    so far; ``expected``: source_file and what was typed. Files are split, their expected
+    ranges resolved, and split again with them, each pass written to the shared folder. Files
+    whose numbers don't fit what was asked for are not imported. Returns the candidates,
+    ranges, diagnosis, page diagnostics, errors of the keys, and the new store.
     """
-    found = settle(page_lines(pages), "import-lines")
-    first = settle(segments.segment_documents(found), "import-first")
-    resolved = settle(expected_ranges(found, first, expected), "import-ranges")
-    bounds = resolved.select("source_file", F.col("range.start_index").alias("low"), F.col("range.end_index").alias("high"))
-    candidates = settle(segments.segment_documents(found.join(bounds, "source_file"), "low", "high"), "import-candidates")
-    diagnosis = diagnostics.diagnose(candidates.join(bounds, "source_file").withColumnsRenamed({"low": "start_index", "high": "end_index"}))
+    typed = expected.withColumn("e", ranges.expected_input("expected")).where("e.kind = 'range'")
+    first = split(pages, typed.select("source_file", F.col("e.start_index").alias("low"), F.col("e.end_index").alias("high")))
+    resolved = settle(expected_ranges(pages, first, expected), "import-ranges")
+    bounds = resolved.where("range IS NOT NULL").select("source_file", F.col("range.start_index").alias("low"), F.col("range.end_index").alias("high"))
+    candidates = settle(split(pages, bounds), "import-candidates")
+    diagnosis = settle(judged(candidates, resolved), "import-diagnosis")
     good = diagnostics.passing(candidates, diagnosis)
     key = answers.answer_map(keys).select(F.col("key_id").alias("source_file"), "index", "answers", "type", F.col("index").alias("pos"))
-    key = diagnostics.passing(key, diagnosis)
-    both = importer.joined(good.select("source_file", "index", "preview", "header", F.col("segment").alias("pos")), key, ("source_file", "index"))
-    incoming = both.select(F.lit(category).alias("category_id"), "source_file", "index", F.coalesce("type", F.lit("MC")).alias("type"), F.coalesce(F.when(F.col("preview") != "", F.col("preview")), F.col("header"), F.lit("")).alias("prompt"), "answers", F.col("index").alias("pos"))
+    both = importer.joined(good.where("index > 0").select("source_file", "index", "preview", "header", F.col("segment").alias("pos")), diagnostics.passing(key, diagnosis), ("source_file", "index"))
+    name = F.lit(category_name or category)
+    shown = F.concat_ws(" ", F.col("header"), F.when(nonblank("preview"), F.col("preview")))
+    prompt = F.concat(name, F.lit(" - "), F.when(F.col("header").isNotNull(), shown).otherwise(F.concat(F.lit(QUESTION), F.col("index").cast("string"))))
+    incoming = both.select(F.lit(category).alias("category_id"), "source_file", "index", F.coalesce("type", F.lit("MC")).alias("type"), prompt.alias("prompt"), "answers", F.col("index").alias("pos"))
+    if "image_path" in pages.columns:
+        incoming = incoming.join(question_images(pages, good), ["source_file", "index"], "left")
     store = importer.overwritten(stored, incoming) if overwrite else importer.merged(stored, incoming)
-    return {"candidates": candidates, "ranges": resolved, "diagnosis": diagnosis, "key_errors": answers.key_errors(keys), "questions": store}
+    return {
+        "candidates": candidates, "ranges": resolved, "diagnosis": diagnosis, "pages": diagnostics.page_diagnostics(pages, candidates), "key_errors": answers.key_errors(keys), "questions": store,
+    }
+
+
+def question_images(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(source_file, index, image_segments, image_path, image_top_ratio, image_bottom_ratio) of each number's first candidate."""
+    first = importer.first_by(candidates.where("index > 0"), ["source_file", "index"], "segment")
+    found = layout.image_segments(first, layout.page_table(pages, candidates))
+    fields = [F.col(c).cast("int").alias(c) if c in ("page_index", "pixel_width", "pixel_height") else F.col(c) for c in ("page_index", "image_path", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio", "pixel_width", "pixel_height")]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("s")))), lambda r: r["s"])
+    x = found.groupBy("source_file", "index").agg(listed.alias("image_segments"))
+    primary = F.get("image_segments", F.lit(0))
+    return x.select("source_file", "index", "image_segments", primary["image_path"].alias("image_path"), primary["top_ratio"].alias("image_top_ratio"), primary["bottom_ratio"].alias("image_bottom_ratio"))
 
 
 def recovered_spans(found: DataFrame, low: int, high: int) -> DataFrame:
-    """Spans of files in which headings between ``low`` and ``high`` were missed, after their recovery."""
-    markers = recovery.recover(found, low, high)
-    return segments.rebuilt_spans(markers, segments.positioned(found))
+    """Candidates of files of which some headings between ``low`` and ``high`` were missed, after their recovery."""
+    placed = found if "pos" in found.columns else segments.positioned(found)
+    return segments.rebuilt(recovery.recover(placed, low, high), placed)
 
 
 def practise(questions: DataFrame, attempts: DataFrame, category: str, n: int, seed: int) -> dict[str, DataFrame]:
