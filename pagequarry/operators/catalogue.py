@@ -21,6 +21,17 @@ def file_count(questions: DataFrame, category: str, file: str) -> DataFrame:
     return questions.agg(F.count_if(same).alias("questions"))
 
 
+def listed(categories: DataFrame) -> DataFrame:
+    """Categories by name, in the order of a language's users rather than of code points."""
+    return categories.orderBy(F.collate("name", "UNICODE"), "id")
+
+
+def review(questions: DataFrame, category: str, file: str) -> DataFrame:
+    """A category's questions of one file, without regard to the case of its name, by number."""
+    same = F.lower(source_name("source_file")) == F.lower(source_name(F.lit(file)))
+    return questions.where((F.col("category_id") == category) & same).orderBy("index", "id")
+
+
 def categories_with(stored: DataFrame, names: DataFrame) -> DataFrame:
     """``stored`` (id, name) and a new row for each trimmed, non-blank name that none has, without regard to case; the first spelling by order of ``pos`` counts."""
     asked = names.withColumn("name", utrim("name")).where("name <> ''").withColumn("k", F.lower("name"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.functions.text import nonblank, source_name, utrim
+from pagequarry.functions.text import QUESTION, nonblank, source_name, utrim
+from pagequarry.sources.store import SEGMENT, stored_segments
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -23,11 +24,25 @@ def joined(candidates: DataFrame, answers: DataFrame, keys: tuple[str, ...] = ("
     return out.withColumn("has_candidate", F.coalesce("has_candidate", F.lit(False))).withColumn("answers", F.coalesce("answers", F.array().cast("array<string>")))
 
 
+#: What a stored question has besides its number, type, prompt and answers; replaced as a whole, and the defaults where a table lacks them.
+CARRIED = {
+    "choices": ("array<string>", F.array), "image_segments": (f"array<{SEGMENT}>", F.array), "image_path": ("string", lambda: F.lit(None)),
+    "image_top_ratio": ("double", lambda: F.lit(0.0)), "image_bottom_ratio": ("double", lambda: F.lit(1.0)),
+}
+STORED = ["id", "category_id", "source_file", "index", "type", "prompt", "answers", *CARRIED]
+
+
+def with_carried(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: F.coalesce(F.col(name), make().cast(kind)) if name in df.columns else make().cast(kind) for name, (kind, make) in CARRIED.items()})
+
+
 def prepared(incoming: DataFrame) -> DataFrame:
-    """Trimmed answers without blanks, a prompt for every question, a name for every file, and the key they are matched by."""
+    """Trimmed answers without blanks, a prompt for every question, a name for every file, the key they are matched by, and all that is stored."""
+    rows = with_carried(incoming)
     answers = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), utrim), lambda a: a != "")
-    prompt = F.when(nonblank("prompt"), F.col("prompt")).otherwise(F.concat(F.lit("Question "), F.col("index").cast("string")))
-    return incoming.withColumn("answers", answers).withColumn("prompt", prompt).withColumn("source_file", source_name("source_file")).withColumn("file_key", F.lower("source_file"))
+    prompt = F.when(nonblank("prompt"), utrim("prompt")).otherwise(F.concat(F.lit(QUESTION), F.col("index").cast("string")))
+    segments = stored_segments(F.col("image_segments"), F.col("image_path"), F.col("image_top_ratio"), F.col("image_bottom_ratio"))
+    return rows.withColumns({"answers": answers, "prompt": prompt, "source_file": source_name("source_file"), "image_segments": segments}).withColumn("file_key", F.lower("source_file"))
 
 
 def question_id(*keys: str):
@@ -38,7 +53,8 @@ def question_id(*keys: str):
 def merged(stored: DataFrame, incoming: DataFrame, replace_answers: bool = True) -> DataFrame:
     """Upsert by (category_id, file without case, index); ``incoming`` comes in the order of ``pos``.
 
-    A stored row keeps its id (the first of several, by id) and gets the last incoming prompt.
+    A stored row keeps its id (the first of several, by id) and gets the last incoming prompt,
+    choices, image and its segments.
     Its answers become the incoming ones, even none, and its type only changes if there are
     incoming answers or it had none. Of new rows with one key, the later ones merge into the
     first. With ``replace_answers`` off, the type is replaced and the answers stay.
@@ -55,7 +71,7 @@ def merged(stored: DataFrame, incoming: DataFrame, replace_answers: bool = True)
     final = last_before_none.where("n = 1").drop("n", "pos")
     heads = rows.withColumn("n", F.row_number().over(first)).where("n = 1").select(*key, F.col("type").alias("first_type"), F.col("source_file").alias("first_file"))
     new = final.join(heads, key).alias("i")
-    old = stored.withColumn("file_key", F.lower("source_file")).withColumn("n", F.row_number().over(Window.partitionBy("category_id", F.lower("source_file"), "index").orderBy("id"))).alias("s")
+    old = with_carried(stored).withColumn("file_key", F.lower("source_file")).withColumn("n", F.row_number().over(Window.partitionBy("category_id", F.lower("source_file"), "index").orderBy("id"))).alias("s")
     match = [F.col(f"s.{k}") == F.col(f"i.{k}") for k in key]
     both = old.join(new, [*match, F.col("s.n") == 1], "full_outer")
     hit, fresh = F.col("i.index").isNotNull() & F.col("s.index").isNotNull(), F.col("s.index").isNull()
@@ -67,12 +83,13 @@ def merged(stored: DataFrame, incoming: DataFrame, replace_answers: bool = True)
         F.when(fresh, F.when(F.size("i.answers") > 0, F.col("i.type")).otherwise(F.coalesce("i.typed", "i.first_type"))).when(hit, kept_type if replace_answers else F.col("i.type")).otherwise(F.col("s.type")).alias("type"),
         F.when(hit | fresh, F.col("i.prompt")).otherwise(F.col("s.prompt")).alias("prompt"),
         F.when(fresh, F.col("i.answers")).when(hit & F.lit(replace_answers), F.col("i.answers")).otherwise(F.col("s.answers")).alias("answers"),
+        *(F.when(hit | fresh, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in CARRIED),
     )
 
 
 def overwritten(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored rows of the incoming categories' files go; every incoming row is appended as new, repeats included."""
     rows = prepared(incoming)
-    kept = stored.withColumn("file_key", F.lower("source_file")).join(rows.select("category_id", "file_key").distinct(), ["category_id", "file_key"], "left_anti").drop("file_key")
+    kept = with_carried(stored).withColumn("file_key", F.lower("source_file")).join(rows.select("category_id", "file_key").distinct(), ["category_id", "file_key"], "left_anti").drop("file_key")
     fresh = rows.withColumn("id", question_id("category_id", "file_key", "index", "pos"))
-    return kept.select("id", "category_id", "source_file", "index", "type", "prompt", "answers").unionByName(fresh.select("id", "category_id", "source_file", "index", "type", "prompt", "answers"))
+    return kept.select(STORED).unionByName(fresh.select(STORED))

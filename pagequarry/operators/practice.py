@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.operators.catalogue import wrong_notes
 from pagequarry.operators.grading import has_answer
 
 
@@ -25,3 +26,17 @@ def practice_set(questions: DataFrame, category: str, n: int, seed: int, answere
     pool = pool.where(has_answer()) if answered_only else pool
     enough = pool.groupBy().agg(F.count("*").alias("available")).where(F.col("available") >= n)
     return sample(pool, n, seed).join(F.broadcast(enough)).drop("available")
+
+
+def random_questions(questions: DataFrame, category: str, n: int, seed: int, wrong: DataFrame | None = None) -> DataFrame:
+    """``n`` of a category's questions, of those in the wrong set (question_id) if it is given; all if there are fewer."""
+    pool = questions.where(F.col("category_id") == category)
+    if wrong is not None:
+        ids = wrong.select(F.lower("question_id").alias("k")).distinct()
+        pool = pool.join(ids, F.lower(F.col("id")) == F.col("k"), "left_semi")
+    return sample(pool, n, seed)
+
+
+def wrong_practice(questions: DataFrame, wrong: DataFrame, seed: int) -> DataFrame:
+    """A session of all questions in the wrong set, whatever their category, shuffled."""
+    return shuffled(wrong_notes(questions, wrong), seed)

@@ -6,17 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import base_name, extension, trailing_number
+from pagequarry.session import settle
 
 #: The eight bytes that a PNG file starts with.
 PNG = "89504E470D0A1A0A"
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with its place in a global order, from 1, without bringing all rows to one task.
+
+    The rows are range-partitioned by the order and written; a place is that inside its
+    part, and what the parts before hold.
+    """
+    dealt = settle(df.orderBy(*order).withColumn("part", F.spark_partition_id()), "numbered")
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows")).withColumn("before", before)
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn(name, inside).join(F.broadcast(sizes.select("part", "before")), "part").withColumn(name, F.col(name) + F.col("before")).drop("part", "before")
+
+
 def listing(files: DataFrame, ext: str = ".pdf") -> DataFrame:
     """Files (path, rank) with an extension, one of each name without regard to case, the lowest rank first found; ``place`` orders them by trailing number, then name."""
     named = files.withColumn("name", base_name("path")).where(F.lower(extension("path")) == ext)
-    first = named.withColumn("rn", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("rank"))).where("rn = 1").drop("rn")
-    # a listing is short: its places are numbered through in one ordered pass
-    return first.withColumn("place", F.row_number().over(Window.orderBy(trailing_number("name"), F.lower("name"))))
+    first = named.withColumn("rn", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("rank", "path"))).where("rn = 1").drop("rn")
+    return numbered(first, "place", trailing_number("name"), F.lower("name"))
 
 
 def first_existing(wanted: DataFrame, files: DataFrame) -> DataFrame:

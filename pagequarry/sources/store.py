@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.functions.text import NO_DIAGNOSTICS, safe_stem
+
 SEGMENT = "struct<page_index:int,image_path:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double,pixel_width:int,pixel_height:int>"
 CATEGORIES = "id string, name string"
 QUESTIONS = f"id string, index int, category_id string, source_file string, type string, prompt string, choices array<string>, correct_answers array<string>, image_segments array<{SEGMENT}>, image_path string, image_top_ratio double, image_bottom_ratio double"
@@ -46,29 +51,72 @@ def stored_segments(segments, path, top, bottom):
     return F.when(F.size(F.coalesce(cast, F.array().cast(f"array<{SEGMENT}>"))) > 0, cast).when(F.coalesce(path, F.lit("")).rlike(r"\S"), one).otherwise(F.array().cast(f"array<{SEGMENT}>"))
 
 
+POINTER = "current.json"
+
+
 def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> None:
-    """Each table as parquet in ``folder``; written aside first and moved into place, so readers see the old or the new one whole."""
+    """The tables as parquet in ``folder``, all or none of them replaced at once.
+
+    Each is written to a folder of its own; then one small file that names the folder of
+    every table is replaced by renaming, which is atomic. Readers see the old or the new
+    tables whole, and a failure leaves the old ones. Folders that no table has any more are
+    deleted a version later, so that readers that have begun can end.
+    """
+    old = current(spark, folder)
+    new = {name: f"{name}-{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
-        new, own, old = (f"{folder}/{n}" for n in (f"{name}.new", name, f"{name}.old"))
-        df.write.mode("overwrite").parquet(new)
-        fs, target = _filesystem(spark, own)
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs.delete(path(old), True)
-        if fs.exists(target):
-            fs.rename(target, path(old))
-        fs.rename(path(new), target)
-        fs.delete(path(old), True)
+        df.write.parquet(f"{folder}/{new[name]}")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs, pointer = _filesystem(spark, f"{folder}/{POINTER}")
+    written = path(f"{folder}/{POINTER}-{uuid.uuid4().hex}")
+    state = {"tables": {**old["tables"], **new}, "before": [old["tables"][n] for n in new if n in old["tables"]]}
+    out = fs.create(written, False)
+    out.write(json.dumps(state).encode())
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(written), fs.makeQualified(pointer), options)
+    for name in old["before"]:
+        if name not in state["tables"].values():
+            fs.delete(path(f"{folder}/{name}"), True)
+
+
+def current(spark: SparkSession, folder: str) -> dict:
+    """Which folder each table is in, and those that the last version replaced."""
+    fs, pointer = _filesystem(spark, f"{folder}/{POINTER}")
+    if not fs.exists(pointer):
+        return {"tables": {}, "before": []}
+    return json.loads(spark.read.text(f"{folder}/{POINTER}", wholetext=True).first()[0])
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/{current(spark, folder)['tables'][name]}")
 
 
 def key_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row for each answer-key file: key_id (its path) and key_text (all of it)."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("key_id"), F.col("value").alias("key_text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("key_id"), F.col("value").alias("key_text"))
 
 
 def write_by_file(df: DataFrame, folder: str, kind: str = "parquet") -> None:
     """An analysis or its diagnostics, one folder per source file."""
     df.write.mode("overwrite").partitionBy("source_file").format(kind).save(folder)
+
+
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """Diagnosis texts (source_file, text), one text file in a folder named by each file's safe stem."""
+    named = reports.select(safe_stem("source_file").alias("stem"), "text")
+    named.write.mode("overwrite").partitionBy("stem").option("lineSep", "\n").text(folder)
+
+
+def read_reports(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """(source_file, text) for each of ``files``: its written text, or what stands for none."""
+    wanted = files.select("source_file", safe_stem("source_file").alias("stem"))
+    fs, p = _filesystem(spark, folder)
+    if not fs.exists(p):
+        return wanted.select("source_file", F.lit(NO_DIAGNOSTICS).alias("text"))
+    found = spark.read.schema("value string, stem string").text(folder, wholetext=True).select(F.rtrim("value", F.lit("\n")).alias("text"), "stem")
+    return wanted.join(found, "stem", "left").select("source_file", F.coalesce("text", F.lit(NO_DIAGNOSTICS)).alias("text"))
