@@ -141,15 +141,14 @@ flagged AS (
 
 @query("heading_flags", f"WITH {FLAGGED} SELECT source_file, pos, index FROM flagged WHERE index IS NOT NULL")
 def q_heading_flags(spark, sf_dir):
-    x = headings.with_following(heading_texts(spark, sf_dir), "pos")
-    return x.withColumn("index", headings.heading_index("text", "next_text")).where("index IS NOT NULL").select("source_file", "pos", "index")
+    return headings.marked(heading_texts(spark, sf_dir), "pos").where("index IS NOT NULL").select("source_file", "pos", "index")
 
 
 @query("boilerplate_trim", f"""WITH {FLAGGED}, p AS (SELECT *, (pos - 1) // 50 + 1 AS page_index FROM flagged),
 f AS (SELECT *, min(CASE WHEN index IS NOT NULL THEN pos END) OVER (PARTITION BY source_file, page_index) AS first_heading FROM p)
 SELECT source_file, page_index::BIGINT AS page_index, count(*) AS kept, min(pos) AS first_pos FROM f WHERE first_heading IS NULL OR pos >= first_heading GROUP BY ALL""")
 def q_boilerplate_trim(spark, sf_dir):
-    x = headings.with_following(heading_texts(spark, sf_dir), "pos").withColumn("index", headings.heading_index("text", "next_text"))
+    x = headings.marked(heading_texts(spark, sf_dir), "pos")
     x = x.withColumn("page_index", F.floor((F.col("pos") - 1) / 50) + 1)
     return lines.trim_boilerplate(x, F.col("index").isNotNull(), "pos").groupBy("source_file", "page_index").agg(F.count("*").alias("kept"), F.min("pos").alias("first_pos"))
 
@@ -181,11 +180,13 @@ def q_inline_breaks(spark, sf_dir):
     return x.select("source_file", T.break_count("text").cast("long").alias("breaks"), F.size(F.split(T.with_breaks("text"), "\n")).cast("long").alias("lines"))
 
 
-@query("chunk_fallback", f"""WITH {DOC_LINES}, p AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_in_page) AS pos FROM doc_lines)
-SELECT source_file, ((pos - 1) // 10 + 1)::BIGINT AS index, min(line_in_page)::BIGINT AS start_line, max(line_in_page)::BIGINT AS end_line FROM p GROUP BY ALL""")
+@query("chunk_fallback", f"""WITH {DOC_LINES}, p AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_in_page) AS pos FROM doc_lines),
+c AS (SELECT source_file, (pos - 1) // 10 + 1 AS index, min(line_in_page) AS start_line, max(line_in_page) AS end_line, string_agg(text, ' ' ORDER BY pos) AS body FROM p GROUP BY ALL)
+SELECT source_file, index::BIGINT AS index, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, '[추정] 문항 ' || index AS header,
+  CASE WHEN length(body) > 150 THEN rtrim(left(body, 150)) || '...' ELSE body END AS preview FROM c""")
 def q_chunk_fallback(spark, sf_dir):
     found = segments.by_chunks(segments.positioned(lines.text_lines(document_pages(spark, sf_dir))))
-    return found.select("source_file", F.col("index").cast("long").alias("index"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+    return found.select("source_file", *(F.col(c).cast("long").alias(c) for c in ("index", "start_line", "end_line")), "header", "preview")
 
 
 @query("tier_choice", f"""WITH {FLAGGED},
@@ -193,15 +194,31 @@ m AS (SELECT 1000000 + source_file AS source_file, pos, index FROM flagged),
 a AS (SELECT *, index IS NOT NULL AND index > coalesce(max(index) OVER (PARTITION BY source_file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM m),
 strict AS (SELECT source_file, 0 AS tier, count(*) AS segments FROM a WHERE ok GROUP BY source_file),
 {DOC_LINES},
-chunks AS (SELECT source_file, 2 AS tier, (count(*) + 9) // 10 AS segments FROM doc_lines GROUP BY source_file)
-SELECT source_file, tier, segments::BIGINT AS segments FROM strict UNION ALL SELECT source_file, tier, segments::BIGINT FROM chunks""")
+chunks AS (SELECT source_file, 2 AS tier, (count(*) + 9) // 10 AS segments FROM doc_lines GROUP BY source_file),
+circled AS (SELECT 2000000 + o_custkey AS source_file, o_orderkey AS pos, 1 + o_orderkey % 20 AS index FROM orders),
+b AS (SELECT *, index > coalesce(max(index) OVER (PARTITION BY source_file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM circled),
+permissive AS (SELECT source_file, 1 AS tier, count(*) AS segments FROM b WHERE ok GROUP BY source_file)
+SELECT source_file, tier, segments::BIGINT AS segments FROM strict UNION ALL SELECT source_file, tier, segments::BIGINT FROM chunks UNION ALL SELECT source_file, tier, segments::BIGINT FROM permissive""")
 def q_tier_choice(spark, sf_dir):
     numbered = heading_texts(spark, sf_dir).withColumn("source_file", F.col("source_file") + 1000000).select("source_file", "page_index", F.col("pos").cast("int").alias("line_in_page"), "text")
     plain = lines.text_lines(document_pages(spark, sf_dir)).select("source_file", "page_index", "line_in_page", "text")
-    found = segments.segment_documents(numbered.unionByName(plain))
+    sign = F.substring(F.lit(T.CIRCLED), (1 + F.col("o_orderkey") % 20).cast("int"), F.lit(1))
+    circled = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 2000000).alias("source_file"), F.lit(1).alias("page_index"), F.col("o_orderkey").cast("int").alias("line_in_page"), F.concat(sign, F.lit(" 다음 중 옳은 것은?")).alias("text"))
+    found = segments.segment_documents(numbered.unionByName(plain).unionByName(circled))
     return found.groupBy("source_file", "tier").agg(F.count("*").alias("segments"))
 
 
+@query("page_diagnostics", f"""WITH {DOC_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_in_page) AS rank FROM doc_lines),
+f AS (SELECT source_file, string_agg(rank || ': ' || text, chr(10) ORDER BY rank) FILTER (rank <= 8) AS leading_lines, (max(rank) + 9) // 10 AS chunks FROM r GROUP BY source_file)
+SELECT doc_id AS source_file, len(list_filter(regexp_split_to_array(coalesce(documents.text, ''), '[\\r\\n ]'), lambda w: regexp_matches(w, '\\S')))::BIGINT AS word_count,
+  coalesce(leading_lines, '') AS leading_lines, coalesce(array_to_string(generate_series(1, chunks), ','), '') AS candidate_indexes FROM documents LEFT JOIN f ON source_file = doc_id""")
+def q_page_diagnostics(spark, sf_dir):
+    pages = document_pages(spark, sf_dir)
+    chunks = segments.by_chunks(segments.positioned(lines.text_lines(pages)))
+    x = diagnostics.page_diagnostics(pages, chunks)
+    return x.select("source_file", "word_count", F.array_join("leading_lines", "\n").alias("leading_lines"), F.array_join(F.col("candidate_indexes").cast("array<string>"), ",").alias("candidate_indexes"))
+
+
 @query("leading_lines", f"""WITH {DOC_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_in_page) AS rank FROM doc_lines)
 SELECT source_file, rank, line_in_page::BIGINT AS line_in_page, CASE WHEN length(text) > 40 THEN rtrim(left(text, 40)) || '...' ELSE text END AS text FROM r WHERE rank <= 8""")
 def q_leading_lines(spark, sf_dir):
@@ -209,10 +226,15 @@ def q_leading_lines(spark, sf_dir):
     return x.select("source_file", F.col("rank").cast("long").alias("rank"), F.col("line_in_page").cast("long").alias("line_in_page"), T.clip("text", 40).alias("text"))
 
 
+def gap_lines(spark, sf_dir) -> DataFrame:
+    """Lines of files whose headings lack numbers; every seventh line is indented."""
+    x = heading_texts(spark, sf_dir)
+    return x.select("source_file", "page_index", F.col("line_in_page").cast("int").alias("line_in_page"), "text", F.when(F.col("pos") % 7 == 0, 0.05).otherwise(0.0).alias("left_ratio"))
+
+
 @query("gap_markers")
 def q_gap_markers(spark, sf_dir):
-    x = heading_texts(spark, sf_dir).select("source_file", "page_index", F.col("line_in_page").cast("int").alias("line_in_page"), "text", F.lit(0.0).alias("left_ratio"))
-    return recovery.recover(x, low=1, high=120)
+    return recovery.recover(gap_lines(spark, sf_dir), low=1, high=120)
 
 
 @query("range_hint", f"""WITH {LINES}, r AS (SELECT source_file, (pos - 1) // 50 + 1 AS page_index, (pos - 1) % 50 + 1 AS line_in_page, coalesce(index, 0) AS a, coalesce(index, 0) + pos % 8 AS b FROM lines),
@@ -278,11 +300,11 @@ def q_answer_key_errors(spark, sf_dir):
     return answers.key_errors(order_keys(spark, sf_dir)).select("key_id", F.col("at").cast("long").alias("at"), "token", "error")
 
 
-@query("candidate_answer_join", """WITH c AS (SELECT * FROM (SELECT p_size AS index, p_partkey AS pos, p_name AS header, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rn FROM part WHERE p_size <= 40) WHERE rn = 1),
+@query("candidate_answer_join", """WITH c AS (SELECT * FROM (SELECT 2 * p_size AS index, p_partkey AS pos, p_name AS header, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1),
 a AS (SELECT * FROM (SELECT l_linenumber * 7 AS index, l_orderkey AS ok, l_partkey AS pk, l_quantity::INTEGER % 4 AS size, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_quantity::INTEGER % 4 DESC, l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM lineitem) WHERE rn = 1)
 SELECT coalesce(c.index, a.index) AS index, c.pos AS pos, c.header AS header, c.index IS NOT NULL AS has_candidate, coalesce(a.size, 0) AS n_answers FROM c FULL JOIN a ON c.index = a.index""")
 def q_candidate_answer_join(spark, sf_dir):
-    c = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_size").alias("index"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("header"))
+    c = table(spark, sf_dir, "part").select((2 * F.col("p_size")).alias("index"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("header"))
     a = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * 7).alias("index"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pos"), F.array_repeat(F.lit("1"), F.round("l_quantity").cast("int") % 4).alias("answers"))
     return importer.joined(c, a).select("index", "pos", "header", "has_candidate", F.size("answers").alias("n_answers"))
 
@@ -390,7 +412,7 @@ SELECT 'question' AS kind, id FROM kept UNION ALL SELECT 'wrong', question_id FR
 def q_cascade_delete(spark, sf_dir):
     q = questions(spark, sf_dir)
     file = q.agg(F.min("source_file")).first()[0]
-    kept = catalogue.without_file(catalogue.without_category(q, "Brand#12"), "BRAND#11", file.upper())
+    kept = catalogue.without_file(catalogue.without_category(q, "Brand#12"), "BRAND#11", (file or "").upper())
     wrong = catalogue.kept_wrong(wrong_ids(spark, sf_dir), kept)
     return kept.select(F.lit("question").alias("kind"), "id").unionByName(wrong.select(F.lit("wrong").alias("kind"), F.col("question_id").alias("id")))
 
@@ -407,25 +429,29 @@ def q_get_or_insert_category(spark, sf_dir):
     return catalogue.categories_with(stored, asked.unionByName(more))
 
 
-STORE = f"""{QUESTIONS}, stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category_id, lower(source_file), index ORDER BY id) AS n FROM questions WHERE id::BIGINT % 3 <> 0)),
-incoming AS (SELECT *, id::BIGINT AS pos FROM questions WHERE id::BIGINT % 2 = 0)"""
+STORE = f"""{QUESTIONS}, stored AS (SELECT *, row_number() OVER (PARTITION BY category_id, lower(source_file), index ORDER BY id) AS n, id || '.png' AS image_path FROM questions),
+incoming AS (SELECT id, category_id, source_file, index + 10 AS index, type, answers, 'new ' || prompt AS prompt, id::BIGINT AS pos, CASE WHEN id::BIGINT % 3 = 0 THEN 'p' || id END AS image_path FROM questions)"""
 
 
 def stored_and_incoming(spark, sf_dir):
+    """All parts as stored questions, and all of them again with other numbers: some match stored ones, the rest are new."""
     q = questions(spark, sf_dir)
     n = F.col("id").cast("long")
-    return q.where(n % 3 != 0), q.where(n % 2 == 0).withColumn("pos", n).withColumn("source_file", F.upper("source_file"))
+    stored = q.withColumn("image_path", F.concat("id", F.lit(".png")))
+    changed = {"index": F.col("index") + 10, "prompt": F.concat(F.lit("new "), "prompt"), "pos": n, "source_file": F.upper("source_file"), "image_path": F.when(n % 3 == 0, F.concat(F.lit("p"), "id"))}
+    return stored, q.withColumns(changed)
 
 
 @query("upsert_merge", f"""WITH {STORE}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category_id, lower(source_file), index ORDER BY pos DESC) AS r FROM incoming) WHERE r = 1)
 SELECT CASE WHEN s.id IS NULL THEN 'new' ELSE s.id END AS id, coalesce(s.category_id, i.category_id) AS category_id, lower(coalesce(s.source_file, i.source_file)) AS file, coalesce(s.index, i.index) AS index,
   CASE WHEN i.id IS NULL THEN s.type WHEN s.id IS NULL THEN i.type WHEN len(i.answers) > 0 OR len(s.answers) = 0 THEN i.type ELSE s.type END AS type,
-  coalesce(i.prompt, s.prompt) AS prompt, array_to_string(CASE WHEN i.id IS NULL THEN s.answers ELSE list_transform(i.answers, lambda a: trim(a)) END, '|') AS answers
+  coalesce(i.prompt, s.prompt) AS prompt, array_to_string(CASE WHEN i.id IS NULL THEN s.answers ELSE list_transform(i.answers, lambda a: trim(a)) END, '|') AS answers,
+  CASE WHEN i.id IS NULL THEN s.image_path ELSE i.image_path END AS image_path, CASE WHEN i.image_path IS NULL THEN 0 ELSE 1 END AS segments
 FROM stored s FULL JOIN last i ON s.category_id = i.category_id AND lower(s.source_file) = lower(i.source_file) AND s.index = i.index AND s.n = 1""")
 def q_upsert_merge(spark, sf_dir):
     stored, incoming = stored_and_incoming(spark, sf_dir)
     x = importer.merged(stored, incoming)
-    return x.select(F.when(F.length("id") == 64, "new").otherwise(F.col("id")).alias("id"), "category_id", F.lower("source_file").alias("file"), "index", "type", "prompt", F.array_join("answers", "|").alias("answers"))
+    return x.select(F.when(F.length("id") == 64, "new").otherwise(F.col("id")).alias("id"), "category_id", F.lower("source_file").alias("file"), "index", "type", "prompt", F.array_join("answers", "|").alias("answers"), "image_path", F.size("image_segments").alias("segments"))
 
 
 @query("upsert_overwrite", f"""WITH {STORE}, gone AS (SELECT DISTINCT category_id, lower(source_file) AS f FROM incoming)
@@ -464,13 +490,18 @@ def q_reading_order(spark, sf_dir):
     return lines.reading_order(boxes(spark, sf_dir)).select("source_file", "page_index", "line_in_page", "two_columns", F.col("read_at").cast("long").alias("read_at"))
 
 
-SAME_COLUMN = """(greatest(0.0, {h}.right_ratio - {h}.left_ratio) >= 0.55 OR abs(({o}.left_ratio + {o}.right_ratio) / 2 - ({h}.left_ratio + {h}.right_ratio) / 2) <= 0.20
-  OR least({o}.right_ratio, least(1.0, greatest(0.0, {h}.right_ratio + 0.08))) - greatest({o}.left_ratio, least(1.0, greatest(0.0, {h}.left_ratio - 0.08))) >= 0.12
-  OR (({h}.left_ratio + {h}.right_ratio) / 2 >= 0.55 AND {o}.left_ratio >= least(1.0, greatest(0.0, {h}.left_ratio - 0.08))))"""
+def crop_sql(line: str, left: str, right: str) -> str:
+    """Whether a line's box counts for the crop of an anchor from ``left`` to ``right``."""
+    return f"""(greatest(0.0, {right} - {left}) >= 0.55 OR abs(({line}.left_ratio + {line}.right_ratio) / 2 - ({left} + {right}) / 2) <= 0.20
+  OR least({line}.right_ratio, least(1.0, greatest(0.0, {right} + 0.08))) - greatest({line}.left_ratio, least(1.0, greatest(0.0, {left} - 0.08))) >= 0.12)"""
+
+
+def same_sql(line: str, left: str, right: str) -> str:
+    return f"({crop_sql(line, left, right)} OR (({left} + {right}) / 2 >= 0.55 AND {line}.left_ratio >= least(1.0, greatest(0.0, {left} - 0.08))))"
 
 
 @query("column_match", f"""WITH {BOXES}, a AS (SELECT * FROM boxes WHERE line_in_page = 1)
-SELECT b.source_file, b.page_index, count(*) AS n, count_if({SAME_COLUMN.format(h='a', o='b')})::BIGINT AS same FROM boxes b JOIN a ON a.source_file = b.source_file AND a.page_index = b.page_index GROUP BY ALL""")
+SELECT b.source_file, b.page_index, count(*) AS n, count_if({same_sql('b', 'a.left_ratio', 'a.right_ratio')})::BIGINT AS same FROM boxes b JOIN a ON a.source_file = b.source_file AND a.page_index = b.page_index GROUP BY ALL""")
 def q_column_match(spark, sf_dir):
     b = boxes(spark, sf_dir)
     a = b.where("line_in_page = 1").select("source_file", "page_index", F.col("left_ratio").alias("al"), F.col("right_ratio").alias("ar"))
@@ -478,22 +509,128 @@ def q_column_match(spark, sf_dir):
     return b.join(a, ["source_file", "page_index"]).groupBy("source_file", "page_index").agg(F.count("*").alias("n"), F.count_if(same).alias("same"))
 
 
-@query("next_header", f"""WITH {BOXES}, h AS (SELECT * FROM boxes WHERE l_returnflag = 'R' AND index <= 60)
-SELECT h.source_file, h.page_index, h.index, h.line_in_page, round(arg_min(o.top_ratio, (o.top_ratio, o.line_in_page)), 6) AS next_top
-FROM h LEFT JOIN h o ON o.source_file = h.source_file AND o.page_index = h.page_index AND o.index <> h.index AND o.line_in_page > h.line_in_page AND {SAME_COLUMN.format(h='h', o='o')} GROUP BY ALL""")
+# A page is what a supplier delivers at one line number. Its R lines are headings, some of
+# which span the next page or have a first line that doesn't exist; its A lines name the
+# questions of a shared passage; some N lines are blank; some pages have no image.
+
+PAGES = f"""{BOXES},
+texts AS (SELECT *, CASE WHEN l_returnflag = 'R' AND index % 7 = 0 THEN 'end' WHEN l_returnflag = 'A' AND line_in_page % 3 = 0 THEN 'both' WHEN l_returnflag = 'A' AND line_in_page % 3 = 1 THEN 'start' END AS names,
+  l_returnflag = 'N' AND line_in_page % 5 = 0 AS blank FROM boxes),
+counts AS (SELECT source_file, page_index, count(*) AS n FROM boxes GROUP BY ALL),
+pages AS (SELECT source_file, page_index FROM counts WHERE (source_file + page_index) % 13 <> 0),
+cand AS (
+  SELECT b.source_file, index, b.page_index AS start_page, CASE WHEN index % 5 = 0 THEN b.page_index + 1 ELSE b.page_index END AS end_page,
+    CASE WHEN index % 11 = 0 THEN line_in_page + 100000 ELSE line_in_page END AS start_line, line_in_page + index % 9 AS end_line, c.n AS start_count, CASE WHEN index % 5 = 0 THEN coalesce(e.n, 0) ELSE c.n END AS end_count
+  FROM boxes b JOIN counts c ON b.source_file = c.source_file AND b.page_index = c.page_index
+    LEFT JOIN counts e ON b.source_file = e.source_file AND b.page_index + 1 = e.page_index WHERE l_returnflag = 'R' AND index > 0),
+lines_of AS (SELECT t.* FROM texts t JOIN pages p ON t.source_file = p.source_file AND t.page_index = p.page_index),
+anchored AS (
+  SELECT c.*, a.left_ratio AS al, a.right_ratio AS ar, a.top_ratio AS at FROM cand c LEFT JOIN lines_of a ON a.source_file = c.source_file AND a.page_index = start_page AND a.line_in_page = start_line),
+placed AS (SELECT a.*, p.page_index FROM anchored a JOIN pages p ON a.source_file = p.source_file AND p.page_index BETWEEN start_page AND end_page),
+heads AS (SELECT c.source_file, c.start_page, c.start_line, c.index, l.left_ratio, l.right_ratio, l.top_ratio FROM cand c JOIN lines_of l ON l.source_file = c.source_file AND l.page_index = start_page AND l.line_in_page = start_line),
+tops AS (
+  SELECT p.source_file, p.index, p.start_page, p.start_line, p.page_index, CASE WHEN count(h.top_ratio) > 0 THEN least(1.0, greatest(0.0, arg_min(h.top_ratio, (h.start_line, h.index)) - 0.015)) END AS next_top
+  FROM placed p LEFT JOIN heads h ON h.source_file = p.source_file AND h.start_page = p.page_index AND h.index <> p.index AND (p.page_index <> p.start_page OR h.start_line > p.start_line) AND {same_sql("h", "p.al", "p.ar")}
+  WHERE p.al IS NOT NULL GROUP BY ALL)"""
+
+
+def placed_boxes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(candidates, pages) of layout's operators."""
+    n, k = F.col("line_in_page"), F.col("index")
+    b = boxes(spark, sf_dir).withColumn("line_in_page", n.cast("int"))
+    head = F.when(k % 7 == 0, F.concat(k.cast("string"), F.lit(". 다음을 보고 답하라 ~ "), (k + 3).cast("string"))).otherwise(F.concat(k.cast("string"), F.lit(". 다음 중")))
+    both = F.concat(F.lit("["), (k + 1).cast("string"), F.lit(" ~ "), (k + 4).cast("string"), F.lit("] 다음 글을 보고 답하라"))
+    mark = F.when(n % 3 == 0, both).when(n % 3 == 1, F.concat((k + 1).cast("string"), F.lit("- 다음 물음"))).otherwise("다음 설명")
+    text = F.when(F.col("l_returnflag") == "R", head).when(F.col("l_returnflag") == "A", mark).when(n % 5 == 0, " \t").otherwise("plain")
+    b = b.withColumn("text", text)
+    counts = b.groupBy("source_file", "page_index").agg(F.count("*").cast("int").alias("n"))
+    c = b.where("l_returnflag = 'R' AND index > 0").select(
+        "source_file", k.cast("int").alias("index"), F.col("page_index").alias("start_page"), (F.col("page_index") + F.when(k % 5 == 0, 1).otherwise(0)).alias("end_page"),
+        (n + F.when(k % 11 == 0, 100000).otherwise(0)).alias("start_line"), (n + k % 9).cast("int").alias("end_line"),
+    )
+    of_start = counts.select("source_file", F.col("page_index").alias("start_page"), F.col("n").alias("start_page_line_count"))
+    of_end = counts.select("source_file", F.col("page_index").alias("end_page"), F.col("n").alias("end_page_line_count"))
+    c = c.join(of_start, ["source_file", "start_page"]).join(of_end, ["source_file", "end_page"], "left")
+    image = F.when((F.col("source_file") + F.col("page_index")) % 13 != 0, "page.png")
+    pages = counts.select("source_file", "page_index", image.alias("image_path"), F.lit(1000).alias("pixel_width"), F.lit(2000).alias("pixel_height"))
+    return c, layout.with_lines(pages, b)
+
+
+def placed_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c, pages = placed_boxes(spark, sf_dir)
+    return c, layout.page_table(pages, c)
+
+
+@query("next_header", f"WITH {PAGES} SELECT source_file, index, start_page, start_line, page_index, round(next_top, 6) AS next_top FROM tops")
 def q_next_header(spark, sf_dir):
-    heads = boxes(spark, sf_dir).where("l_returnflag = 'R' AND index <= 60")
-    return rounded(layout.next_heading_top(heads), "next_top")
+    return rounded(layout.next_heading_tops(*placed_pages(spark, sf_dir)), "next_top")
+
+
+CONTEXTS = f"""{PAGES},
+marks AS (SELECT *, index + 1 AS low, CASE names WHEN 'both' THEN index + 4 ELSE index + 3 END AS high FROM lines_of WHERE names IN ('both', 'start')),
+firsts AS (SELECT m.source_file, m.page_index, m.line_in_page, min(c.start_line) AS question FROM marks m JOIN cand c ON c.source_file = m.source_file AND c.start_page = m.page_index AND c.index BETWEEN low AND high GROUP BY ALL),
+named AS (
+  SELECT a.source_file, a.index, a.start_page, a.start_line, max(m.line_in_page) AS line, arg_max(f.question, m.line_in_page) AS question FROM anchored a
+  JOIN marks m ON m.source_file = a.source_file AND m.page_index = a.start_page AND m.line_in_page < a.start_line AND a.index BETWEEN m.low AND m.high AND {same_sql("m", "a.al", "a.ar")}
+  JOIN firsts f ON f.source_file = m.source_file AND f.page_index = m.page_index AND f.line_in_page = m.line_in_page AND f.question > m.line_in_page GROUP BY ALL),
+prior AS (
+  SELECT a.source_file, a.index, a.start_page, a.start_line, max(h.start_line) AS line FROM anchored a
+  JOIN heads h ON h.source_file = a.source_file AND h.start_page = a.start_page AND h.start_line < a.start_line AND h.index < a.index AND h.index % 7 = 0 AND a.index <= h.index + 3 AND {same_sql("h", "a.al", "a.ar")} GROUP BY ALL),
+contexts AS (
+  SELECT a.*, coalesce(n.line, p.line) AS context_line, CASE WHEN n.line IS NOT NULL THEN n.question ELSE a.start_line END AS question_line FROM anchored a
+  LEFT JOIN named n ON n.source_file = a.source_file AND n.index = a.index AND n.start_page = a.start_page AND n.start_line = a.start_line
+  LEFT JOIN prior p ON p.source_file = a.source_file AND p.index = a.index AND p.start_page = a.start_page AND p.start_line = a.start_line WHERE a.al IS NOT NULL AND coalesce(n.line, p.line) IS NOT NULL)"""
+
+
+@query("as_of_context", f"WITH {CONTEXTS} SELECT source_file, index, start_page, start_line, context_line, question_line FROM contexts")
+def q_as_of_context(spark, sf_dir):
+    return layout.shared_contexts(*placed_pages(spark, sf_dir)).select("source_file", "index", "start_page", "start_line", "context_line", "question_line")
 
 
-@query("as_of_context", f"""WITH {BOXES}, q AS (SELECT * FROM boxes WHERE l_returnflag = 'R'), m AS (SELECT *, index AS a, index + 2 AS b FROM boxes WHERE l_returnflag = 'A')
-SELECT q.source_file, q.page_index, q.index, q.line_in_page, max(m.line_in_page) AS marker_line FROM q JOIN m ON q.source_file = m.source_file AND q.page_index = m.page_index AND m.line_in_page < q.line_in_page AND q.index BETWEEN a AND b GROUP BY ALL""")
-def q_as_of_context(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    text = F.concat(F.lit("※ ["), F.col("index").cast("string"), F.lit("-"))
-    m = b.where("l_returnflag = 'A'").withColumn("marker", text).withColumn("r", layout.shared_range("marker", F.lit(1000)))
-    m = m.where("r IS NOT NULL OR index = 0").select("source_file", "page_index", "line_in_page", F.coalesce("r.start_index", F.col("index")).alias("start_index"), F.coalesce("r.end_index", F.col("index") + 2).alias("end_index"))
-    return layout.shared_context(b.where("l_returnflag = 'R'"), m)
+CLAMPED = "least(1.0, greatest(0.0, {}))"
+#: A box of l, t, r, b to one of the least size.
+SIZED = """round(l, 6) AS left_ratio, round(t, 6) AS top_ratio, round(CASE WHEN r - l >= 0.08 THEN r ELSE least(1.0, l + 0.08) END, 6) AS right_ratio,
+  round(CASE WHEN b - t >= 0.02 THEN b ELSE least(1.0, t + 0.02) END, 6) AS bottom_ratio"""
+
+
+def box_sql(narrow: str) -> str:
+    """The padded box of grouped lines x, as wide as those that ``narrow`` holds for, or all."""
+    low = lambda c: CLAMPED.format(f"{c} - 0.015")
+    high = lambda c: CLAMPED.format(f"{c} + 0.015")
+    left, right = f"coalesce(min(x.left_ratio) FILTER ({narrow}), min(x.left_ratio))", f"coalesce(max(x.right_ratio) FILTER ({narrow}), max(x.right_ratio))"
+    return f"{low(left)} AS l, {low('min(x.top_ratio)')} AS t, {high(right)} AS r, {high('max(x.bottom_ratio)')} AS b"
+
+
+@query("shared_segments", f"""WITH {CONTEXTS},
+own AS (SELECT c.source_file, c.index, c.start_page, c.start_line, l.left_ratio, l.right_ratio, l.top_ratio, l.bottom_ratio, l.line_in_page FROM contexts c
+  JOIN lines_of l ON l.source_file = c.source_file AND l.page_index = c.start_page AND l.line_in_page >= context_line AND l.line_in_page < question_line AND NOT blank AND {same_sql("l", "c.al", "c.ar")}),
+x AS (SELECT *, first(left_ratio) OVER w AS fl, first(right_ratio) OVER w AS fr FROM own WINDOW w AS (PARTITION BY source_file, index, start_page, start_line ORDER BY line_in_page)),
+g AS (SELECT source_file, index, start_page, start_line, {box_sql(crop_sql("x", "x.fl", "x.fr"))} FROM x GROUP BY ALL)
+SELECT source_file, index, start_page, start_line, {SIZED} FROM g""")
+def q_shared_segments(spark, sf_dir):
+    x = layout.shared_segments(*placed_pages(spark, sf_dir)).select("source_file", "index", "start_page", "start_line", *RATIOS)
+    return rounded(x, *RATIOS)
+
+
+RATIOS = ("left_ratio", "top_ratio", "right_ratio", "bottom_ratio")
+
+
+@query("question_segments", f"""WITH {PAGES},
+k AS (SELECT p.*, t.next_top, CASE WHEN p.page_index = p.start_page THEN least(1.0, greatest(0.0, p.at - 0.015)) ELSE 0 END AS upper_limit,
+    CASE WHEN p.page_index = p.start_page THEN (least(start_count, greatest(1, p.start_line)) - 1) / start_count ELSE 0 END AS by_top, CASE WHEN end_count > 0 THEN end_count ELSE start_count END AS last_count
+  FROM placed p LEFT JOIN tops t ON t.source_file = p.source_file AND t.index = p.index AND t.start_page = p.start_page AND t.start_line = p.start_line AND t.page_index = p.page_index),
+x AS (SELECT k.*, l.left_ratio, l.right_ratio, l.top_ratio, l.bottom_ratio, l.line_in_page FROM k LEFT JOIN lines_of l ON l.source_file = k.source_file AND l.page_index = k.page_index AND CASE WHEN al IS NOT NULL
+    THEN NOT blank AND {same_sql("l", "k.al", "k.ar")} AND l.bottom_ratio >= upper_limit AND (next_top IS NULL OR l.top_ratio < next_top)
+    ELSE l.line_in_page >= CASE WHEN k.page_index = start_page THEN start_line ELSE 1 END AND (k.page_index <> end_page OR l.line_in_page <= end_line) END),
+g AS (SELECT source_file, index, start_page, start_line, page_index, end_page, end_line, by_top, last_count, al, count(line_in_page) AS n, {box_sql("x.al IS NULL OR " + crop_sql("x", "x.al", "x.ar"))} FROM x GROUP BY ALL),
+e AS (SELECT *, CASE WHEN page_index = end_page THEN least(last_count, greatest(end_line, 1, ceil(by_top * last_count))) / last_count ELSE 1 END AS raw_bottom FROM g),
+f AS (SELECT source_file, index, start_page, start_line, page_index, CASE WHEN n > 0 THEN l ELSE 0 END AS l, CASE WHEN n > 0 THEN t ELSE by_top END AS t, CASE WHEN n > 0 THEN r ELSE 1 END AS r,
+    CASE WHEN n > 0 THEN b WHEN page_index = end_page AND raw_bottom - by_top < 0.02 THEN least(1.0, by_top + 0.02) ELSE raw_bottom END AS b
+  FROM e WHERE n > 0 OR al IS NULL OR page_index = start_page)
+SELECT source_file, index, start_page, start_line, page_index, {SIZED} FROM f""")
+def q_question_segments(spark, sf_dir):
+    x = layout.question_segments(*placed_pages(spark, sf_dir)).select("source_file", "index", "start_page", "start_line", "page_index", *RATIOS)
+    return rounded(x, *RATIOS)
 
 
 @query("segment_dedupe", f"""WITH {BOXES}, k AS (SELECT *, row_number() OVER (PARTITION BY source_file, page_index, printf('%.4f:%.4f', left_ratio, right_ratio) ORDER BY line_in_page) AS rn FROM boxes)
@@ -503,12 +640,56 @@ def q_segment_dedupe(spark, sf_dir):
     return layout.distinct_segments(b, "line_in_page").select("source_file", "page_index", "line_in_page")
 
 
-@query("slice_view", f"""WITH {BOXES} SELECT source_file, page_index, line_in_page, round(320.0 / w, 4) AS content_width, round(640.0 / w, 4) AS content_height, round(640.0 / w * h, 4) AS visible_height, round(-(640.0 / w * top_ratio), 4) AS shift_y
-FROM (SELECT *, greatest(right_ratio - left_ratio, 0.08) AS w, greatest(bottom_ratio - top_ratio, 0.02) AS h FROM boxes)""")
+VIEW_SIZES = "(VALUES ('phone', 320.0::DOUBLE, 260.0::DOUBLE), ('tablet', 560, 440), ('desktop', 760, 620)) AS v(device, w, h)"
+
+
+@query("slice_view", f"""WITH {BOXES}, c AS (SELECT source_file, page_index, line_in_page, device, w, CASE WHEN page_index % 3 = 0 THEN h ELSE w * 2000 / 1000 END::DOUBLE AS tall, left_ratio AS l, top_ratio AS t, right_ratio AS r, bottom_ratio AS b FROM boxes, {VIEW_SIZES})
+SELECT source_file, page_index, line_in_page, device, round(w, 4) AS content_width, round(tall, 4) AS content_height, round(greatest(w * 0.08, (CASE WHEN r <= l THEN least(1.0, l + 0.08) ELSE r END - l) * w), 4) AS visible_width,
+  round(greatest(tall * 0.02, (CASE WHEN b <= t THEN least(1.0, t + 0.02) ELSE b END - t) * tall), 4) AS visible_height, round(0 - l * w, 4) AS shift_x, round(0 - t * tall, 4) AS shift_y FROM c""")
 def q_slice_view(spark, sf_dir):
-    b = boxes(spark, sf_dir).withColumns({"pixel_width": F.lit(1000), "pixel_height": F.lit(2000)})
-    x = layout.slice_view(b).select("source_file", "page_index", "line_in_page", "content_width", "content_height", "visible_height", "shift_y")
-    return x.withColumns({c: F.round(c, 4) for c in ("content_width", "content_height", "visible_height", "shift_y")})
+    b = boxes(spark, sf_dir).withColumns({"pixel_width": F.when(F.col("page_index") % 3 == 0, 0).otherwise(1000), "pixel_height": F.lit(2000)})
+    names = ("content_width", "content_height", "visible_width", "visible_height", "shift_x", "shift_y")
+    every = None
+    for device in layout.VIEWS:
+        x = layout.slice_view(b, device).select("source_file", "page_index", "line_in_page", F.lit(device).alias("device"), *names)
+        every = x if every is None else every.unionByName(x)
+    return every.withColumns({c: F.round(c, 4) for c in names})
+
+
+# ---- small operators of the catalogue and of practice --------------------------------------
+
+
+@query("category_list", "SELECT DISTINCT p_brand AS id, lower(p_brand) AS name FROM part")
+def q_category_list(spark, sf_dir):
+    return catalogue.listed(table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), F.lower("p_brand").alias("name")).distinct())
+
+
+@query("review", f"WITH {QUESTIONS} SELECT id, index FROM questions WHERE category_id = 'Brand#11' AND lower(source_file) = (SELECT lower(min(p_type)) FROM part WHERE p_brand = 'Brand#11')")
+def q_review(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    file = q.where("category_id = 'Brand#11'").agg(F.min("source_file")).first()[0]
+    return catalogue.review(q, "Brand#11", (file or "").upper()).select("id", "index")
+
+
+@query("random_questions", f"WITH {WRONG}, {QUESTIONS} SELECT id, index FROM questions WHERE category_id = 'Brand#11' AND id IN (SELECT question_id FROM wrong) ORDER BY md5(id || '|5'), id LIMIT 7")
+def q_random_questions(spark, sf_dir):
+    return practice.random_questions(questions(spark, sf_dir), "Brand#11", 7, 5, wrong_ids(spark, sf_dir)).select("id", "index")
+
+
+@query("wrong_practice", f"WITH {WRONG}, {QUESTIONS} SELECT row_number() OVER (ORDER BY md5(id || '|3'), id) AS place, id FROM questions WHERE id IN (SELECT question_id FROM wrong)")
+def q_wrong_practice(spark, sf_dir):
+    from pagequarry.sources.files import numbered
+
+    x = practice.wrong_practice(questions(spark, sf_dir), wrong_ids(spark, sf_dir), 3)
+    return numbered(x, "place", F.col("draw"), F.col("id")).select(F.col("place").cast("long").alias("place"), "id")
+
+
+@query("throughput", "SELECT event_id, round(CASE WHEN user_id % 7 > 0 THEN (user_id % 7) / greatest(1e-6, epoch_us(ts) / 1e6 - epoch_us((SELECT min(ts) FROM events)) / 1e6) ELSE 0 END, 6) AS pages_per_second FROM events")
+def q_throughput(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    began = F.broadcast(e.agg(F.min("ts").alias("began")))
+    x = lines.pages_per_second(F.col("user_id") % 7, F.col("began"), F.col("ts"))
+    return e.crossJoin(began).select("event_id", F.round(x, 6).alias("pages_per_second"))
 
 
 # ---- file names --------------------------------------------------------------------------

@@ -1,9 +1,11 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators import answers, grading, importer, layout, ranges, segments
+from pagequarry.functions import text as T
+from pagequarry.operators import answers, catalogue, diagnostics, grading, importer, layout, lines, practice, ranges, segments
 from pagequarry.sources import files, store
 from pagequarry.streaming.wrong_set import wrong_state
 
@@ -106,7 +108,7 @@ def upsert(spark, stored, incoming, **kw):
 def test_upsert(spark):
     s, i = upsert(spark, [("s1", "c", "a.pdf", 1, "MC", "p", ["3"]), ("s2", "c", "a.pdf", 2, "MC", "p", [])], [(1, "c", "A.PDF", 1, "SUBJ", "n", []), (2, "c", "a.pdf", 2, "SUBJ", "", ["abc "]), (3, "c", "a.pdf", 9, "MC", "x", ["1"]), (4, "c", "a.pdf", 9, "MC", "y", ["2"])])
     got = {(r.id if len(r.id) < 64 else "new", r["index"], r.type, r.prompt, tuple(r.answers)) for r in importer.merged(s, i).collect()}
-    assert got == {("s1", 1, "MC", "n", ()), ("s2", 2, "SUBJ", "Question 2", ("abc",)), ("new", 9, "MC", "y", ("2",))}
+    assert got == {("s1", 1, "MC", "n", ()), ("s2", 2, "SUBJ", "문항 2", ("abc",)), ("new", 9, "MC", "y", ("2",))}
     again = importer.merged(importer.merged(s, i), i)
     assert again.count() == 3
     over = importer.overwritten(s, i).collect()
@@ -125,6 +127,99 @@ def test_store_round_trip(spark, tmp_path):
     assert [r.question_id for r in store.load(spark, str(tmp_path / "db"), "wrong_questions").collect()] == ["ab"]
 
 
+def test_store_versions(spark, tmp_path):
+    """A table is replaced by one rename; the folder it was in lasts one version, so readers that have begun can end."""
+    one = spark.createDataFrame([("a",)], "question_id string")
+    folder = str(tmp_path / "db")
+    store.save(spark, folder, {"wrong_questions": one, "other": one})
+    reader, first = store.load(spark, folder, "wrong_questions"), store.current(spark, folder)["tables"]
+    store.save(spark, folder, {"wrong_questions": reader.unionAll(one)})
+    assert reader.count() == 1 and store.load(spark, folder, "wrong_questions").count() == 2
+    assert store.current(spark, folder)["tables"]["other"] == first["other"]
+    store.save(spark, folder, {"wrong_questions": one})
+    assert not (tmp_path / "db" / first["wrong_questions"]).exists() and store.load(spark, folder, "other").count() == 1
+    with pytest.raises(Exception, match="fails"):
+        store.save(spark, folder, {"wrong_questions": one.select(F.raise_error(F.lit("fails")).alias("question_id"))})
+    assert [r.question_id for r in store.load(spark, folder, "wrong_questions").collect()] == ["a"]
+
+
+def test_texts_and_reports(spark, tmp_path):
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "one.txt").write_text("1:3\n2:4")
+    assert [(r.key_id.rsplit("/", 1)[-1], r.key_text) for r in store.key_texts(spark, str(tmp_path / "k")).collect()] == [("one.txt", "1:3\n2:4")]
+    pages = spark.createDataFrame([("a.pdf", 1, "x y\n\nz"), ("a.pdf", 2, "")], "source_file string, page_index int, text string")
+    store.write_by_file(pages, str(tmp_path / "pages"), "json")
+    assert spark.read.json(str(tmp_path / "pages")).where("source_file = 'a.pdf'").count() == 2
+    c = spark.createDataFrame([("a.pdf", 2, "h2", 1, 2, 1, 3), ("a.pdf", 1, "h1", 1, 1, 1, 1)], "source_file string, index int, header string, start_page int, start_line int, end_page int, end_line int")
+    d = diagnostics.diagnose(c.withColumns({"start_index": F.lit(1), "end_index": F.lit(3)}))
+    by_page = diagnostics.page_diagnostics(pages, c)
+    assert {r.page_index: (r.word_count, r.leading_lines, r.candidate_indexes) for r in by_page.collect()} == {1: (3, ["1: x y", "2: z"], [1, 2]), 2: (0, [], [])}
+    folder = str(tmp_path / "reports")
+    files = spark.createDataFrame([("a.pdf",), ("b.pdf",)], "source_file string")
+    assert {r.text for r in store.read_reports(spark, folder, files).collect()} == {T.NO_DIAGNOSTICS}
+    store.write_reports(diagnostics.report(d, by_page, c), folder)
+    got = {r.source_file: r.text for r in store.read_reports(spark, folder, files).collect()}
+    assert got["b.pdf"] == T.NO_DIAGNOSTICS and got["a.pdf"].splitlines() == [
+        "file: a.pdf", "numbers: 1, 2", "missing: 3", "unexpected: -", "repeated: -", "mismatch: true", "",
+        "page 1 | 1, 2 | lines 0 | words 3", "  1: x y", "  2: z", "page 2 | - | lines 0 | words 0", "", "1 | 1:1 -> 1:1 | h1", "2 | 1:2 -> 1:3 | h2",
+    ]
+
+
+def test_practice_sets(spark):
+    q = spark.createDataFrame([(f"q{i}", "c" if i % 2 else "C", f"f{i % 3}", i, ["1"]) for i in range(12)], "id string, category_id string, source_file string, index int, answers array<string>")
+    wrong = spark.createDataFrame([("Q1",), ("q3",), ("q4",), ("gone",)], "question_id string")
+    pick = lambda *a: sorted(r.id for r in practice.random_questions(q, *a).collect())
+    assert pick("c", 99, 1) == ["q1", "q11", "q3", "q5", "q7", "q9"] and len(pick("c", 4, 1)) == 4 and pick("c", 0, 1) == [] and pick("c", 9, 1, wrong) == ["q1", "q3"]
+    session = [r.id for r in practice.wrong_practice(q, wrong, 2).collect()]
+    assert sorted(session) == ["q3", "q4"]
+    assert [r["index"] for r in catalogue.review(q, "c", "F1").collect()] == [1, 7]
+    names = spark.createDataFrame([("1", "b"), ("2", "B"), ("3", "a"), ("4", "A")], "id string, name string")
+    assert [r.name for r in catalogue.listed(names).collect()] == ["a", "A", "b", "B"]
+    uuid = "0123abcd-0123-0123-0123-0123456789ab"
+    some = spark.createDataFrame([(uuid, "c", "f", 1, ["1"]), ("x", "c", "f", 2, ["1"])], "id string, category_id string, source_file string, index int, answers array<string>")
+    assert [r.id for r in catalogue.wrong_notes(some, spark.createDataFrame([(uuid,), ("x",)], "question_id string"), uuids=True).collect()] == [uuid]
+    times = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS a, timestamp'2024-01-01 00:00:04' AS b")
+    one = times.select(lines.seconds_between(F.col("a"), F.col("b")), lines.pages_per_second(F.lit(6), F.col("a"), F.col("b")), lines.pages_per_second(F.lit(0), F.col("a"), F.col("b")), lines.pages_per_second(F.lit(2), F.col("a"), F.col("a"))).first()
+    assert list(one) == [4.0, 1.5, 0.0, 2e6]
+
+
+def test_stored_questions_keep_images_and_choices(spark):
+    segment = "struct<page_index:int,image_path:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double,pixel_width:int,pixel_height:int>"
+    more = f"choices array<string>, image_segments array<{segment}>, image_path string, image_top_ratio double, image_bottom_ratio double"
+    schema = f"id string, category_id string, source_file string, index int, type string, prompt string, answers array<string>, {more}"
+    s = spark.createDataFrame([("s", "c", "f", 1, "MC", "p", ["1"], ["x"], [(1, "old", 0.0, 0.0, 1.0, 1.0, 5, 6)], "old", 0.1, 0.2), ("t", "c", "g", 1, "MC", "p", ["1"], ["y"], [], "keep", 0.3, 0.4)], schema)
+    i = spark.createDataFrame([(1, "c", "F", 1, "MC", " n ", ["2"], ["z"], [], "new", 0.5, 0.6), (2, "c", "F", 2, "MC", "m", [], None, None, None, None, None)], schema.replace("id string", "pos int", 1))
+    got = {(r.source_file, r["index"]): r for r in importer.merged(s, i).collect()}
+    one = got["f", 1]
+    assert (one.prompt, one.choices, one.image_path, one.image_top_ratio) == ("n", ["z"], "new", 0.5)
+    assert [tuple(x)[:6] for x in one.image_segments] == [(1, "new", 0.0, 0.5, 1.0, 0.6)]
+    assert (got["g", 1].choices, got["g", 1].image_path, got["g", 1].image_bottom_ratio) == (["y"], "keep", 0.4)
+    assert (got["F", 2].choices, got["F", 2].image_segments, got["F", 2].image_path, got["F", 2].image_bottom_ratio) == ([], [], None, 1.0)
+    assert importer.overwritten(s, i).columns == importer.merged(s, i).columns
+
+
+def test_pixel_boxes(spark):
+    words = spark.createDataFrame([(1, 10, 20, 30, 5), (1, 50, 18, 20, 9), (1, 0, 0, 0, 9), (2, 5, 5, 5, 5)], "line int, x int, y int, w int, h int")
+    got = {r.line: (r.x0, r.y0, r.x1, r.y1) for r in layout.word_boxes(words, "line").collect()}
+    assert got == {1: (10, 18, 70, 27), 2: (5, 5, 10, 10)}
+    box = spark.createDataFrame([(-5, 70, 100), (10, 250, 200), (1, 2, 0)], "x0 int, x1 int, size int")
+    assert [tuple(r) for r in box.select(*layout.to_ratio("x0", "x1", "size")).collect()] == [(0.0, 0.7), (0.05, 1.0), (1.0, 1.0)]
+    lines_beyond = spark.range(1).select(layout.line_top(F.lit(30), F.lit(10)), layout.line_bottom(F.lit(99), F.lit(10), F.lit(0.2)), layout.line_bottom(F.lit(1), F.lit(10), F.lit(0.55)), layout.line_top(F.lit(0), F.lit(0))).first()
+    assert [round(x, 6) for x in lines_beyond] == [0.9, 1.0, 0.6, 0.0]
+
+
+def test_segments_of_a_question_once_each(spark):
+    """The shared passage first; a page without lines of the column has none; equal crops are one."""
+    c = spark.createDataFrame([("f", 3, 1, 2, 3, 4, 4, 2)], "source_file string, index int, start_page int, end_page int, start_line int, end_line int, start_page_line_count int, end_page_line_count int")
+    own = [(1, "[3~4] 다음 글을 보고 답하라", 0.05, 0.1, 0.45, 0.12), (2, "긴 글", 0.05, 0.15, 0.45, 0.17), (3, "3. 다음 중", 0.05, 0.3, 0.45, 0.32), (4, "보기", 0.05, 0.35, 0.45, 0.37)]
+    pages = spark.createDataFrame([("f", 1, "", "a", 1, 1, own), ("f", 2, "", "b", 1, 1, [(1, "다른 단", 0.9, 0.1, 0.95, 0.2)]), ("f", 3, "", None, 1, 1, own)], "source_file string, page_index int, text string, image_path string, pixel_width int, pixel_height int, lines array<struct<line_in_page:int,text:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double>>")
+    got = layout.image_segments(c, layout.page_table(pages, c)).orderBy("pos").collect()
+    assert [(r.page_index, round(r.top_ratio, 3), round(r.bottom_ratio, 3)) for r in got] == [(1, 0.085, 0.185), (1, 0.285, 0.385)]
+    existing = spark.createDataFrame([("/b/x.pdf", 2), ("/a/X.PDF", 1), ("/a/y.pdf", 1)], "path string, rank int")
+    assert {(r.name, r.path) for r in files.first_existing(spark.createDataFrame([("x.pdf",), ("z.pdf",)], "name string"), existing).collect()} == {("x.pdf", "/a/X.PDF")}
+    assert spark.range(1).select(files.page_image_name(F.lit(7))).first()[0] == "page-0007.png"
+
+
 def test_layout_and_files(spark):
     r = spark.range(1).select(layout.line_top(F.lit(3), F.lit(10)), layout.line_bottom(F.lit(5), F.lit(10), F.lit(0.2)), layout.at_least(F.lit(0.10), F.lit(0.11), 0.02)).first()
     assert [round(x, 6) for x in r] == [0.2, 0.5, 0.12]
