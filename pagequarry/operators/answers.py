@@ -11,7 +11,10 @@ from pagequarry.functions.text import inference_type, split_choices, split_token
 def tokens(keys: DataFrame, text: str = "key_text") -> DataFrame:
     """One row for each token of each key (``key_id``), and whether the key maps numbers to answers: any token has a colon."""
     split = keys.withColumn("all", split_tokens(text))
-    exploded = split.select("key_id", F.exists("all", lambda t: t.contains(":")).alias("maps"), F.posexplode("all").alias("at", "token"), F.forall("all", lambda t: t == "").alias("blank"))
+    exploded = split.select(
+        "key_id", F.exists("all", lambda t: t.contains(":")).alias("maps"), F.posexplode("all").alias("at", "token"),
+        F.forall("all", lambda t: t == "").alias("blank")
+    )
     return exploded.where("NOT blank").drop("blank")
 
 
@@ -23,17 +26,29 @@ def parsed(keys: DataFrame, text: str = "key_text") -> DataFrame:
     t = tokens(keys, text)
     parts = F.split("token", ":", 2)
     number = try_int(parts[0])
-    mapped = t.where("maps AND token <> ''").select("key_id", "at", "token", F.when(F.size(parts) < 2, "format").when(F.coalesce(number, F.lit(0)) <= 0, "number").alias("error"), number.alias("index"), F.when(F.size(parts) >= 2, split_choices(F.get(parts, F.lit(1)))).alias("answers"))
-    listed = t.where("NOT maps").select("key_id", "at", "token", F.lit(None).cast("string").alias("error"), (F.col("at") + 1).alias("index"), split_choices("token").alias("answers"))
+    mapped = t.where("maps AND token <> ''").select(
+        "key_id", "at", "token",
+        F.when(F.size(parts) < 2, "format").when(F.coalesce(number, F.lit(0)) <= 0, "number").alias("error"),
+        number.alias("index"), F.when(F.size(parts) >= 2, split_choices(F.get(parts, F.lit(1)))).alias("answers")
+    )
+    listed = t.where("NOT maps").select(
+        "key_id", "at", "token", F.lit(None).cast("string").alias("error"), (F.col("at") + 1).alias("index"),
+        split_choices("token").alias("answers")
+    )
     both = mapped.unionByName(listed)
-    return both.withColumn("error", F.when(F.col("error").isNull() & (F.size("answers") == 0) & F.col("token").contains(":"), "answer").otherwise(F.col("error")))
+    return both.withColumn(
+        "error",
+        F.when(F.col("error").isNull() & (F.size("answers") == 0) & F.col("token").contains(":"), "answer").otherwise(F.col("error"))
+    )
 
 
 def answer_map(keys: DataFrame, text: str = "key_text") -> DataFrame:
     """(key_id, index, answers, type): of a number's repeats the last counts."""
     good = parsed(keys, text).where("error IS NULL OR error = 'answer'")
     last = Window.partitionBy("key_id", "index").orderBy(F.desc("at"))
-    return good.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("key_id", "index", "answers", inference_type("answers").alias("type"))
+    return good.withColumn("rn", F.row_number().over(last)).where("rn = 1").select(
+        "key_id", "index", "answers", inference_type("answers").alias("type")
+    )
 
 
 def key_errors(keys: DataFrame, text: str = "key_text") -> DataFrame:

@@ -63,4 +63,9 @@ def wrong_notes(questions: DataFrame, wrong: DataFrame, uuids: bool = False) ->
 def neighbours(questions: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
     """The question before and after, the place, and how many there are."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return questions.withColumns({"previous": F.lag(key).over(w), "following": F.lead(key).over(w), "place": F.row_number().over(w), "of": F.count("*").over(Window.partitionBy(*group))})
+    return questions.withColumns(
+        {
+            "previous": F.lag(key).over(w), "following": F.lead(key).over(w), "place": F.row_number().over(w),
+            "of": F.count("*").over(Window.partitionBy(*group))
+        }
+    )

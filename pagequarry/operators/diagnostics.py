@@ -15,10 +15,18 @@ def diagnose(candidates: DataFrame, file: str = "source_file", low: str = "start
     ``candidates`` has the expected range on every row (null if there is none).
     """
     per = candidates.groupBy(file, low, high, "index").agg(F.count("*").alias("n"))
-    found = per.groupBy(file, low, high).agg(F.sort_array(F.collect_list("index")).alias("distinct_indexes"), F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("index")))).alias("repeated"))
+    found = per.groupBy(file, low, high).agg(
+        F.sort_array(F.collect_list("index")).alias("distinct_indexes"),
+        F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("index")))).alias("repeated")
+    )
     expected = F.when(F.col(low).isNotNull(), F.sequence(F.col(low), F.col(high))).otherwise(F.array().cast("array<int>"))
     out = found.withColumn("missing", F.array_except(expected, F.col("distinct_indexes").cast("array<int>")))
-    out = out.withColumn("unexpected", F.when(F.col(low).isNull(), F.array().cast("array<int>")).otherwise(F.filter(F.col("distinct_indexes").cast("array<int>"), lambda v: ~v.between(F.col(low), F.col(high)))))
+    out = out.withColumn(
+        "unexpected",
+        F.when(F.col(low).isNull(), F.array().cast("array<int>")).otherwise(
+            F.filter(F.col("distinct_indexes").cast("array<int>"), lambda v: ~v.between(F.col(low), F.col(high)))
+        )
+    )
     return out.withColumn("mismatch", F.col(low).isNotNull() & ((F.size("missing") > 0) | (F.size("unexpected") > 0) | (F.size("repeated") > 0)))
 
 
@@ -34,10 +42,17 @@ def page_diagnostics(pages: DataFrame, candidates: DataFrame, keep: int = 8) ->
     shown = F.concat(F.col("line_in_page").cast("string"), F.lit(": "), F.coalesce("text", F.lit("")))
     leading = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= keep, F.struct("rank", shown.alias("shown"))))), lambda r: r["shown"])
     first = lines.groupBy("source_file", "page_index").agg(F.count_if("boxed").alias("line_count"), leading.alias("leading_lines"))
-    numbers = candidates.where("index > 0").groupBy("source_file", F.col("start_page").alias("page_index")).agg(F.sort_array(F.collect_set("index")).alias("candidate_indexes"))
-    x = pages.select("source_file", "page_index", word_count("text").cast("long").alias("word_count")).join(first, ["source_file", "page_index"], "left").join(numbers, ["source_file", "page_index"], "left")
+    numbers = candidates.where("index > 0").groupBy("source_file", F.col("start_page").alias("page_index")).agg(
+        F.sort_array(F.collect_set("index")).alias("candidate_indexes")
+    )
+    x = pages.select(
+        "source_file", "page_index", word_count("text").cast("long").alias("word_count")
+    ).join(first, ["source_file", "page_index"], "left").join(numbers, ["source_file", "page_index"], "left")
     none = lambda c: F.coalesce(c, F.array().cast(x.schema[c].dataType)).alias(c)
-    return x.select("source_file", "page_index", "word_count", F.coalesce("line_count", F.lit(0)).alias("line_count"), none("leading_lines"), none("candidate_indexes"))
+    return x.select(
+        "source_file", "page_index", "word_count", F.coalesce("line_count", F.lit(0)).alias("line_count"), none("leading_lines"),
+        none("candidate_indexes")
+    )
 
 
 def report(diagnosis: DataFrame, pages: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -46,11 +61,25 @@ def report(diagnosis: DataFrame, pages: DataFrame, candidates: DataFrame) -> Dat
     numbers = lambda c: F.when(F.size(c) > 0, F.array_join(F.col(c).cast("array<string>"), ", ")).otherwise("-")
     head = F.concat_ws("\n", line("file", F.col("source_file").cast("string")), line("numbers", numbers("distinct_indexes")), line("missing", numbers("missing")), line("unexpected", numbers("unexpected")),
                        line("repeated", numbers("repeated")), line("mismatch", F.col("mismatch").cast("string")))
-    own = F.concat(F.lit("page "), F.col("page_index").cast("string"), F.lit(" | "), numbers("candidate_indexes"), F.lit(" | lines "), F.col("line_count").cast("string"), F.lit(" | words "), F.col("word_count").cast("string"))
+    own = F.concat(
+        F.lit("page "), F.col("page_index").cast("string"), F.lit(" | "), numbers("candidate_indexes"), F.lit(" | lines "),
+        F.col("line_count").cast("string"), F.lit(" | words "), F.col("word_count").cast("string")
+    )
     listed = F.array_join(F.concat(F.array(own), F.transform("leading_lines", lambda l: F.concat(F.lit("  "), l))), "\n")
-    by_page = pages.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", listed.alias("s")))), lambda r: r["s"]), "\n").alias("pages"))
-    place = F.concat(F.col("index").cast("string"), F.lit(" | "), F.col("start_page").cast("string"), F.lit(":"), F.col("start_line").cast("string"), F.lit(" -> "), F.col("end_page").cast("string"), F.lit(":"), F.col("end_line").cast("string"), F.lit(" | "), F.coalesce("header", F.lit("")))
-    by_place = candidates.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "start_page", "start_line", place.alias("s")))), lambda r: r["s"]), "\n").alias("places"))
+    by_page = pages.groupBy("source_file").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", listed.alias("s")))), lambda r: r["s"]), "\n").alias("pages")
+    )
+    place = F.concat(
+        F.col("index").cast("string"), F.lit(" | "), F.col("start_page").cast("string"), F.lit(":"),
+        F.col("start_line").cast("string"), F.lit(" -> "), F.col("end_page").cast("string"), F.lit(":"),
+        F.col("end_line").cast("string"), F.lit(" | "), F.coalesce("header", F.lit(""))
+    )
+    by_place = candidates.groupBy("source_file").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("index", "start_page", "start_line", place.alias("s")))), lambda r: r["s"]),
+            "\n"
+        ).alias("places")
+    )
     x = diagnosis.join(by_page, "source_file", "left").join(by_place, "source_file", "left")
     return x.select("source_file", F.concat_ws("\n\n", head, "pages", "places").alias("text"))
 
@@ -62,5 +91,10 @@ def passing(files: DataFrame, diagnosis: DataFrame) -> DataFrame:
 
 def count_status(parsed: DataFrame, detected: DataFrame, file: str = "source_file") -> DataFrame:
     """How many answers and candidates a file has, and which of them are more."""
-    both = parsed.groupBy(file).agg(F.count("*").alias("parsed")).join(detected.groupBy(file).agg(F.count("*").alias("detected")), file, "full_outer").na.fill(0, ["parsed", "detected"])
-    return both.withColumn("status", F.when(F.col("parsed") == F.col("detected"), "equal").when(F.col("parsed") > F.col("detected"), "more_answers").otherwise("more_questions"))
+    both = parsed.groupBy(file).agg(F.count("*").alias("parsed")).join(
+        detected.groupBy(file).agg(F.count("*").alias("detected")), file, "full_outer"
+    ).na.fill(0, ["parsed", "detected"])
+    return both.withColumn(
+        "status",
+        F.when(F.col("parsed") == F.col("detected"), "equal").when(F.col("parsed") > F.col("detected"), "more_answers").otherwise("more_questions")
+    )

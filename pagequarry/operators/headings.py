@@ -49,7 +49,10 @@ def with_following(lines: DataFrame, order: str = "line_in_page") -> DataFrame:
     return lines.withColumn("next_text", F.lead("text").over(Window.partitionBy("source_file", "page_index").orderBy(order)))
 
 
-def marked(lines: DataFrame, order: str = "line_in_page", low: str | None = None, high: str | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
+def marked(
+    lines: DataFrame, order: str = "line_in_page", low: str | None = None, high: str | None = None,
+    patterns: dict[str, str] | None = None
+) -> DataFrame:
     """heading_index() of every line by the next one of its page, as ``index`` or under the names of ``patterns``.
 
     What a line says by itself is a column below the window, so that each pattern is
@@ -62,7 +65,9 @@ def marked(lines: DataFrame, order: str = "line_in_page", low: str | None = None
         suffix = utrim(F.regexp_replace(text, pattern, ""))
         x = x.withColumns({f"m_{name}": heading_number(F.regexp_extract(text, pattern, 1)), f"m_{name}_suffix": suffix})
         own = F.col(f"m_{name}_suffix")
-        shape = F.when(own.rlike(T.TERM_SUFFIX) | code_like(own), 0).when(nonblank(own) & ((hangul_count(own) >= 2) | own.contains("?")), 2).otherwise(1)
+        shape = F.when(own.rlike(T.TERM_SUFFIX) | code_like(own), 0).when(
+            nonblank(own) & ((hangul_count(own) >= 2) | own.contains("?")), 2
+        ).otherwise(1)
         x = x.withColumn(f"m_{name}_shape", F.when(F.col(f"m_{name}").isNotNull() & ~F.col("m_bad") & text.rlike(pattern), shape).otherwise(0))
     x = x.withColumn("m_next", F.coalesce(F.lead("m_reads").over(Window.partitionBy("source_file", "page_index").orderBy(order)), F.lit(False)))
     for name in patterns:

@@ -21,7 +21,9 @@ def joined(candidates: DataFrame, answers: DataFrame, keys: tuple[str, ...] = ("
     c = first_by(candidates, list(keys), "pos").withColumn("has_candidate", F.lit(True))
     a = first_by(answers, list(keys), F.desc(F.size("answers")), "pos").drop("pos")
     out = c.join(a, list(keys), "full_outer")
-    return out.withColumn("has_candidate", F.coalesce("has_candidate", F.lit(False))).withColumn("answers", F.coalesce("answers", F.array().cast("array<string>")))
+    return out.withColumn("has_candidate", F.coalesce("has_candidate", F.lit(False))).withColumn(
+        "answers", F.coalesce("answers", F.array().cast("array<string>"))
+    )
 
 
 #: What a stored question has besides its number, type, prompt and answers; replaced as a whole, and the defaults where a table lacks them.
@@ -33,7 +35,9 @@ STORED = ["id", "category_id", "source_file", "index", "type", "prompt", "answer
 
 
 def with_carried(df: DataFrame) -> DataFrame:
-    return df.withColumns({name: F.coalesce(F.col(name), make().cast(kind)) if name in df.columns else make().cast(kind) for name, (kind, make) in CARRIED.items()})
+    return df.withColumns(
+        {name: F.coalesce(F.col(name), make().cast(kind)) if name in df.columns else make().cast(kind) for name, (kind, make) in CARRIED.items()}
+    )
 
 
 def prepared(incoming: DataFrame) -> DataFrame:
@@ -42,7 +46,9 @@ def prepared(incoming: DataFrame) -> DataFrame:
     answers = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), utrim), lambda a: a != "")
     prompt = F.when(nonblank("prompt"), utrim("prompt")).otherwise(F.concat(F.lit(QUESTION), F.col("index").cast("string")))
     segments = stored_segments(F.col("image_segments"), F.col("image_path"), F.col("image_top_ratio"), F.col("image_bottom_ratio"))
-    return rows.withColumns({"answers": answers, "prompt": prompt, "source_file": source_name("source_file"), "image_segments": segments}).withColumn("file_key", F.lower("source_file"))
+    return rows.withColumns(
+        {"answers": answers, "prompt": prompt, "source_file": source_name("source_file"), "image_segments": segments}
+    ).withColumn("file_key", F.lower("source_file"))
 
 
 def question_id(*keys: str):
@@ -69,18 +75,28 @@ def merged(stored: DataFrame, incoming: DataFrame, replace_answers: bool = True)
     before = F.lag(F.size("answers")).over(first)
     last_before_none = last_before_none.withColumn("emptied", F.coalesce(before == 0, F.lit(False)))
     final = last_before_none.where("n = 1").drop("n", "pos")
-    heads = rows.withColumn("n", F.row_number().over(first)).where("n = 1").select(*key, F.col("type").alias("first_type"), F.col("source_file").alias("first_file"))
+    heads = rows.withColumn("n", F.row_number().over(first)).where("n = 1").select(
+        *key, F.col("type").alias("first_type"), F.col("source_file").alias("first_file")
+    )
     new = final.join(heads, key).alias("i")
-    old = with_carried(stored).withColumn("file_key", F.lower("source_file")).withColumn("n", F.row_number().over(Window.partitionBy("category_id", F.lower("source_file"), "index").orderBy("id"))).alias("s")
+    old = with_carried(stored).withColumn("file_key", F.lower("source_file")).withColumn(
+        "n", F.row_number().over(Window.partitionBy("category_id", F.lower("source_file"), "index").orderBy("id"))
+    ).alias("s")
     match = [F.col(f"s.{k}") == F.col(f"i.{k}") for k in key]
     both = old.join(new, [*match, F.col("s.n") == 1], "full_outer")
     hit, fresh = F.col("i.index").isNotNull() & F.col("s.index").isNotNull(), F.col("s.index").isNull()
     had_none = (F.size("s.answers") == 0) | F.col("i.emptied")
-    kept_type = F.when(F.col("i.typed").isNotNull() & (F.size("i.answers") > 0), F.col("i.type")).when(had_none, F.col("i.type")).otherwise(F.coalesce("i.typed", "s.type"))
+    kept_type = F.when(
+        F.col("i.typed").isNotNull() & (F.size("i.answers") > 0), F.col("i.type")
+    ).when(had_none, F.col("i.type")).otherwise(F.coalesce("i.typed", "s.type"))
     return both.select(
         F.when(fresh, question_id("i.category_id", "i.file_key", "i.index")).otherwise(F.col("s.id")).alias("id"),
-        F.coalesce("s.category_id", "i.category_id").alias("category_id"), F.coalesce("s.source_file", "i.first_file").alias("source_file"), F.coalesce("s.index", "i.index").alias("index"),
-        F.when(fresh, F.when(F.size("i.answers") > 0, F.col("i.type")).otherwise(F.coalesce("i.typed", "i.first_type"))).when(hit, kept_type if replace_answers else F.col("i.type")).otherwise(F.col("s.type")).alias("type"),
+        F.coalesce(
+            "s.category_id", "i.category_id"
+        ).alias("category_id"), F.coalesce("s.source_file", "i.first_file").alias("source_file"), F.coalesce("s.index", "i.index").alias("index"),
+        F.when(
+            fresh, F.when(F.size("i.answers") > 0, F.col("i.type")).otherwise(F.coalesce("i.typed", "i.first_type"))
+        ).when(hit, kept_type if replace_answers else F.col("i.type")).otherwise(F.col("s.type")).alias("type"),
         F.when(hit | fresh, F.col("i.prompt")).otherwise(F.col("s.prompt")).alias("prompt"),
         F.when(fresh, F.col("i.answers")).when(hit & F.lit(replace_answers), F.col("i.answers")).otherwise(F.col("s.answers")).alias("answers"),
         *(F.when(hit | fresh, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in CARRIED),
@@ -90,6 +106,8 @@ def merged(stored: DataFrame, incoming: DataFrame, replace_answers: bool = True)
 def overwritten(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored rows of the incoming categories' files go; every incoming row is appended as new, repeats included."""
     rows = prepared(incoming)
-    kept = with_carried(stored).withColumn("file_key", F.lower("source_file")).join(rows.select("category_id", "file_key").distinct(), ["category_id", "file_key"], "left_anti").drop("file_key")
+    kept = with_carried(stored).withColumn("file_key", F.lower("source_file")).join(
+        rows.select("category_id", "file_key").distinct(), ["category_id", "file_key"], "left_anti"
+    ).drop("file_key")
     fresh = rows.withColumn("id", question_id("category_id", "file_key", "index", "pos"))
     return kept.select(STORED).unionByName(fresh.select(STORED))

@@ -56,12 +56,18 @@ def line_bottom(line: Column, lines: Column, top: Column) -> Column:
 
 def bounding_box(lines: DataFrame, *keys: str) -> DataFrame:
     """The box around each group's lines."""
-    return lines.groupBy(*keys).agg(F.min("left_ratio").alias("left_ratio"), F.min("top_ratio").alias("top_ratio"), F.max("right_ratio").alias("right_ratio"), F.max("bottom_ratio").alias("bottom_ratio"))
+    return lines.groupBy(*keys).agg(
+        F.min("left_ratio").alias("left_ratio"), F.min("top_ratio").alias("top_ratio"), F.max("right_ratio").alias("right_ratio"),
+        F.max("bottom_ratio").alias("bottom_ratio")
+    )
 
 
 def word_boxes(words: DataFrame, *keys: str) -> DataFrame:
     """The box around each line's words (x, y, w, h); boxes without a size don't count."""
-    return words.where("w > 0 AND h > 0").groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+    return words.where("w > 0 AND h > 0").groupBy(*keys).agg(
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"),
+        F.max(F.col("y") + F.col("h")).alias("y1")
+    )
 
 
 def to_ratio(x0: str, x1: str, size: str) -> tuple[Column, Column]:
@@ -92,12 +98,20 @@ def page_table(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     starts = candidates.groupBy("source_file", F.col("start_page").alias("page_index")).agg(
         F.array_sort(F.collect_list(F.struct("start_line", "index"))).alias("starts"))
     if "lines" not in pages.columns:
-        pages = pages.withColumn("lines", F.lit(None).cast("array<struct<line_in_page:int,text:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double>>"))
-    ordered = F.array_sort(F.transform(F.coalesce("lines", F.array().cast(pages.schema["lines"].dataType)), lambda l: F.struct(*(l[c].alias(c) for c in LINE))))
+        pages = pages.withColumn(
+            "lines",
+            F.lit(None).cast("array<struct<line_in_page:int,text:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double>>")
+        )
+    ordered = F.array_sort(
+        F.transform(F.coalesce("lines", F.array().cast(pages.schema["lines"].dataType)), lambda l: F.struct(*(l[c].alias(c) for c in LINE)))
+    )
     x = pages.where(T.nonblank("image_path")).join(starts, ["source_file", "page_index"], "left")
     x = x.withColumn("lines", F.transform(ordered, lambda l: F.struct(*(l[c].alias(c) for c in LINE), named(l["text"]).alias("named"))))
     x = x.withColumn("starts", F.coalesce("starts", F.array().cast(x.schema["starts"].dataType)))
-    found = F.transform("starts", lambda s: F.struct(s["start_line"].alias("start_line"), s["index"].alias("index"), at_line("lines", s["start_line"]).alias("line")))
+    found = F.transform(
+        "starts",
+        lambda s: F.struct(s["start_line"].alias("start_line"), s["index"].alias("index"), at_line("lines", s["start_line"]).alias("line"))
+    )
     return settle(x.withColumn("heads", F.filter(found, lambda h: h["line"].isNotNull())), "layout-pages")
 
 
@@ -115,14 +129,21 @@ def at_line(lines: str, number: Column) -> Column:
 def on_pages(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """Each candidate on each page of its span that has an image, with its anchor: its first line, if that page has one."""
     anchors = table.select("source_file", F.col("page_index").alias("start_page"), F.col("lines").alias("start_lines"))
-    anchored = candidates.join(anchors, ["source_file", "start_page"], "left").withColumn("anchor", at_line("start_lines", F.col("start_line"))).drop("start_lines")
+    anchored = candidates.join(anchors, ["source_file", "start_page"], "left").withColumn(
+        "anchor", at_line("start_lines", F.col("start_line"))
+    ).drop("start_lines")
     return anchored.withColumn("page_index", F.explode(F.sequence("start_page", "end_page"))).join(table, ["source_file", "page_index"])
 
 
 def next_top() -> Column:
     """The padded top of the first heading by line below the question, or on a later page of its span, that has another number and the anchor's column; null without one."""
     anchor = F.col("anchor")
-    below = F.filter("heads", lambda h: (h["index"] != F.col("index")) & ((F.col("page_index") != F.col("start_page")) | (h["start_line"] > F.col("start_line"))) & beside(h["line"], anchor))
+    below = F.filter(
+        "heads",
+        lambda h: (h["index"] != F.col("index")) & (
+            (F.col("page_index") != F.col("start_page")) | (h["start_line"] > F.col("start_line"))
+        ) & beside(h["line"], anchor)
+    )
     top = F.get(F.transform(below, lambda h: h["line"]["top_ratio"]), F.lit(0))
     # the least and the greatest of a null and a number are the number
     return F.when(top.isNotNull(), clamp(top - PADDING))
@@ -130,7 +151,9 @@ def next_top() -> Column:
 
 def next_heading_tops(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """(source_file, index, start_page, start_line, page_index, next_top) of each question on each page of its span."""
-    return on_pages(candidates, table).where("anchor IS NOT NULL").select("source_file", "index", "start_page", "start_line", "page_index", next_top().alias("next_top"))
+    return on_pages(candidates, table).where("anchor IS NOT NULL").select(
+        "source_file", "index", "start_page", "start_line", "page_index", next_top().alias("next_top")
+    )
 
 
 def edge(lines: Column, name: str, largest: bool) -> Column:
@@ -142,7 +165,10 @@ def padded_box(lines: Column, crop: Column) -> Column:
     """Struct of ratios around lines, as wide as those of ``crop``, padded."""
     low = lambda own, name: clamp(edge(own, name, False) - PADDING)
     high = lambda own, name: clamp(edge(own, name, True) + PADDING)
-    return F.struct(low(crop, "left_ratio").alias("left_ratio"), low(lines, "top_ratio").alias("top_ratio"), high(crop, "right_ratio").alias("right_ratio"), high(lines, "bottom_ratio").alias("bottom_ratio"))
+    return F.struct(
+        low(crop, "left_ratio").alias("left_ratio"), low(lines, "top_ratio").alias("top_ratio"),
+        high(crop, "right_ratio").alias("right_ratio"), high(lines, "bottom_ratio").alias("bottom_ratio")
+    )
 
 
 def narrow(lines: Column, anchor: Column) -> Column:
@@ -156,7 +182,9 @@ def finished(df: DataFrame, box: Column) -> DataFrame:
     x = pinned(df, box=box)
     return x.select(
         "source_file", "index", "start_page", "start_line", "page_index", "image_path", F.col("box.left_ratio").alias("left_ratio"), F.col("box.top_ratio").alias("top_ratio"),
-        at_least(F.col("box.left_ratio"), F.col("box.right_ratio"), MIN_WIDTH).alias("right_ratio"), at_least(F.col("box.top_ratio"), F.col("box.bottom_ratio"), MIN_HEIGHT).alias("bottom_ratio"),
+        at_least(F.col("box.left_ratio"), F.col("box.right_ratio"), MIN_WIDTH).alias("right_ratio"), at_least(
+            F.col("box.top_ratio"), F.col("box.bottom_ratio"), MIN_HEIGHT
+        ).alias("bottom_ratio"),
         "pixel_width", "pixel_height",
     )
 
@@ -182,7 +210,10 @@ def question_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
     below = lambda l: F.col("next_top").isNull() | (l["top_ratio"] < F.col("next_top"))
     own = F.filter("lines", lambda l: T.nonblank(l["text"]) & beside(l, anchor) & (l["bottom_ratio"] >= F.col("limit")) & below(l))
     low_line = F.when(first, F.col("start_line")).otherwise(1)
-    counted = F.filter("lines", lambda l: (l["line_in_page"] >= low_line) & (last.eqNullSafe(F.lit(False)) | (l["line_in_page"] <= F.col("end_line"))))
+    counted = F.filter(
+        "lines",
+        lambda l: (l["line_in_page"] >= low_line) & (last.eqNullSafe(F.lit(False)) | (l["line_in_page"] <= F.col("end_line")))
+    )
     x = pinned(x, own=F.when(anchor.isNotNull(), own).otherwise(counted))
     x = x.where(first | anchor.isNull() | (F.size("lines") == 0) | (F.size("own") > 0))
     crop = F.when(anchor.isNotNull(), narrow(F.col("own"), anchor)).otherwise(F.col("own"))
@@ -192,7 +223,10 @@ def question_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
 
 def distinct_segments(segments: DataFrame, order: str = "pos", of: list[str] | None = None) -> DataFrame:
     """Segments that are equal to four decimals are one, the first, within each file or what ``of`` names."""
-    key = F.concat_ws(":", F.col("page_index").cast("string"), *(F.format_string("%.4f", F.col(c)) for c in ("left_ratio", "top_ratio", "right_ratio", "bottom_ratio")))
+    key = F.concat_ws(
+        ":", F.col("page_index").cast("string"),
+        *(F.format_string("%.4f", F.col(c)) for c in ("left_ratio", "top_ratio", "right_ratio", "bottom_ratio"))
+    )
     w = Window.partitionBy(*(of or ["source_file"]), "key").orderBy(order)
     return segments.withColumn("key", key).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "key")
 
@@ -204,7 +238,13 @@ def named(x: Column) -> Column:
     number = lambda pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
     low, high = number(T.RANGE_HINT, 1), number(T.RANGE_HINT, 2)
     whole = (low > 0) & (high >= low)
-    return F.when(marks, F.struct(F.when(whole, low).alias("low"), F.when(whole, high).alias("high"), number(T.RANGE_START, 1).alias("start"), number(T.RANGE_END, 1).alias("end")))
+    return F.when(
+        marks,
+        F.struct(
+            F.when(whole, low).alias("low"), F.when(whole, high).alias("high"), number(T.RANGE_START, 1).alias("start"),
+            number(T.RANGE_END, 1).alias("end")
+        )
+    )
 
 
 def range_for(name: Column, index: Column, fallback: Column | None = None) -> Column:
@@ -232,8 +272,13 @@ def shared_contexts(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """
     x = on_pages(candidates.where("index > 0").withColumn("end_page", F.col("start_page")), table).where("anchor IS NOT NULL")
     anchor, index = F.col("anchor"), F.col("index")
-    first_in = lambda r: F.get(F.filter("starts", lambda s: (s["index"] > 0) & s["index"].between(r["low"], r["high"])), F.lit(0))["start_line"]
-    above = F.filter("lines", lambda l: (l["line_in_page"] < F.col("start_line")) & (l["line_in_page"] >= 1) & l["named"].isNotNull() & beside(l, anchor))
+    first_in = lambda r: F.get(
+        F.filter("starts", lambda s: (s["index"] > 0) & s["index"].between(r["low"], r["high"])), F.lit(0)
+    )["start_line"]
+    above = F.filter(
+        "lines",
+        lambda l: (l["line_in_page"] < F.col("start_line")) & (l["line_in_page"] >= 1) & l["named"].isNotNull() & beside(l, anchor)
+    )
     named_by = lambda l: F.struct(l["line_in_page"].alias("line"), first_in(range_for(l["named"], index)).alias("question"))
     earlier = lambda h: (h["index"] > 0) & (h["start_line"] < F.col("start_line")) & (h["index"] < index) & beside(h["line"], anchor)
     prior = F.filter("heads", lambda h: earlier(h) & range_for(h["line"]["named"], index, h["index"]).isNotNull())
@@ -247,7 +292,12 @@ def shared_contexts(candidates: DataFrame, table: DataFrame) -> DataFrame:
 def shared_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """The crop of each question's shared passage: its non-blank lines in the question's column, as wide as those of its first line's crop."""
     x = shared_contexts(candidates, table)
-    own = F.filter("lines", lambda l: (l["line_in_page"] >= F.col("context_line")) & (l["line_in_page"] < F.col("question_line")) & T.nonblank(l["text"]) & beside(l, F.col("anchor")))
+    own = F.filter(
+        "lines",
+        lambda l: (
+            l["line_in_page"] >= F.col("context_line")
+        ) & (l["line_in_page"] < F.col("question_line")) & T.nonblank(l["text"]) & beside(l, F.col("anchor"))
+    )
     x = pinned(pinned(x, own=own).where(F.size("own") > 0), first=F.get("own", F.lit(0)))
     x = pinned(x, crop=narrow(F.col("own"), F.col("first")))
     return finished(x, padded_box(F.col("own"), F.col("crop")))
@@ -274,6 +324,8 @@ def slice_view(segments: DataFrame, device: str = "phone") -> DataFrame:
     tall = F.when(sized, F.lit(width) * F.col("pixel_height") / F.col("pixel_width")).otherwise(F.lit(height))
     return segments.withColumns({
         "content_width": F.lit(width), "content_height": tall,
-        "visible_width": F.greatest(F.lit(width * MIN_WIDTH), (right - left) * width), "visible_height": F.greatest(tall * MIN_HEIGHT, (bottom - top) * tall),
+        "visible_width": F.greatest(
+            F.lit(width * MIN_WIDTH), (right - left) * width
+        ), "visible_height": F.greatest(tall * MIN_HEIGHT, (bottom - top) * tall),
         "shift_x": 0.0 - left * width, "shift_y": 0.0 - top * tall,
     })

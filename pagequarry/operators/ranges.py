@@ -19,17 +19,29 @@ def expected_input(x: str) -> Column:
     n = try_int(t)
     good = (low > 0) & (high >= low)
     split = at > 1
-    kind = F.when(~nonblank(t), "none").when(split, F.when(F.coalesce(good, F.lit(False)), "range").otherwise("error")).when(F.coalesce(n, F.lit(0)) > 0, "count").otherwise("error")
-    return F.struct(kind.alias("kind"), F.when(kind == "range", high - low + 1).when(kind == "count", n).alias("count"), F.when(kind == "range", low).alias("start_index"), F.when(kind == "range", high).alias("end_index"))
+    kind = F.when(~nonblank(t), "none").when(
+        split, F.when(F.coalesce(good, F.lit(False)), "range").otherwise("error")
+    ).when(F.coalesce(n, F.lit(0)) > 0, "count").otherwise("error")
+    return F.struct(
+        kind.alias("kind"), F.when(kind == "range", high - low + 1).when(kind == "count", n).alias("count"),
+        F.when(kind == "range", low).alias("start_index"), F.when(kind == "range", high).alias("end_index")
+    )
 
 
 def hinted(lines: DataFrame, expected: str = "expected_count", first: int = 12) -> DataFrame:
     """(source_file, start_index, end_index): the first range of the expected size in the first lines of the pages."""
     page = Window.partitionBy("source_file", "page_index").orderBy("line_in_page")
     near = lines.withColumn("n", F.row_number().over(page)).where(F.col("n") <= first)
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(T.RANGE_HINT), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(T.RANGE_HINT), F.lit(2)).alias("b"))
-    found = near.select("source_file", "page_index", "line_in_page", expected, F.posexplode(pairs).alias("at", "r")).select("*", F.col("r.a").cast("int").alias("start_index"), F.col("r.b").cast("int").alias("end_index"))
-    fits = found.where((F.col("start_index") > 0) & (F.col("end_index") >= F.col("start_index")) & (F.col("end_index") - F.col("start_index") + 1 == F.col(expected)))
+    pairs = F.arrays_zip(
+        F.regexp_extract_all("text", F.lit(T.RANGE_HINT), F.lit(1)).alias("a"),
+        F.regexp_extract_all("text", F.lit(T.RANGE_HINT), F.lit(2)).alias("b")
+    )
+    found = near.select("source_file", "page_index", "line_in_page", expected, F.posexplode(pairs).alias("at", "r")).select(
+        "*", F.col("r.a").cast("int").alias("start_index"), F.col("r.b").cast("int").alias("end_index")
+    )
+    fits = found.where(
+        (F.col("start_index") > 0) & (F.col("end_index") >= F.col("start_index")) & (F.col("end_index") - F.col("start_index") + 1 == F.col(expected))
+    )
     place = Window.partitionBy("source_file").orderBy("page_index", "line_in_page", "at")
     return fits.withColumn("rn", F.row_number().over(place)).where("rn = 1").select("source_file", "start_index", "end_index")
 
@@ -49,7 +61,9 @@ def inferred(candidates: DataFrame, expected: str = "expected_count", file: str
     scored = scored.withColumn("score", 1000 * F.col("hits") - 10 * (F.col("lo") - F.col("s")) - (F.col("hi") - F.col("lo")) - F.col("s"))
     best = Window.partitionBy(file).orderBy(F.desc("score"), "lo", F.col("hi") - F.col("lo"), "s")
     winner = scored.withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    return winner.where(F.col("hits") >= F.least(F.lit(2), F.col(expected))).select(file, F.col("s").alias("start_index"), (F.col("s") + F.col(expected) - 1).alias("end_index"), "hits")
+    return winner.where(F.col("hits") >= F.least(F.lit(2), F.col(expected))).select(
+        file, F.col("s").alias("start_index"), (F.col("s") + F.col(expected) - 1).alias("end_index"), "hits"
+    )
 
 
 def resolved(files: DataFrame, explicit: DataFrame, hint: DataFrame, inference: DataFrame) -> DataFrame:
@@ -57,4 +71,9 @@ def resolved(files: DataFrame, explicit: DataFrame, hint: DataFrame, inference:
     out = files.select("source_file").distinct()
     for i, df in enumerate((explicit, hint, inference)):
         out = out.join(df.select("source_file", F.struct("start_index", "end_index").alias(f"r{i}")), "source_file", "left")
-    return out.select("source_file", F.coalesce("r0", "r1", "r2").alias("range"), F.when(F.col("r0").isNotNull(), "given").when(F.col("r1").isNotNull(), "hint").when(F.col("r2").isNotNull(), "inferred").otherwise("none").alias("origin"))
+    return out.select(
+        "source_file", F.coalesce("r0", "r1", "r2").alias("range"),
+        F.when(F.col("r0").isNotNull(), "given").when(F.col("r1").isNotNull(), "hint").when(
+            F.col("r2").isNotNull(), "inferred"
+        ).otherwise("none").alias("origin")
+    )

@@ -48,15 +48,25 @@ def clues(lines: DataFrame, markers: DataFrame, low: int | str, high: int | str)
     """Each line's heading number, shown number, and score as a numberless heading but for its place; ``lines`` are positioned."""
     page = Window.partitionBy("source_file", "page_index").orderBy("pos")
     t, text = utrim("text"), F.coalesce("text", F.lit(""))
-    x = lines.select("source_file", "page_index", "pos", "left_ratio", text.alias("text"), bound(low).cast("int").alias("low"), bound(high).cast("int").alias("high"))
+    x = lines.select(
+        "source_file", "page_index", "pos", "left_ratio", text.alias("text"), bound(low).cast("int").alias("low"),
+        bound(high).cast("int").alias("high")
+    )
     # what a line says by itself, below the window
     x = x.withColumns({
         "t": t, "bad": disallowed("text"), "reads": continues("text"), "shown": F.regexp_extract("text", SHOWN_NUMBER, 1),
         "suffix": utrim(F.regexp_replace("text", SHOWN_NUMBER, "")), "syllables": hangul_count(t), "asks": t.contains("?"),
     })
-    x = x.withColumns({"next_text": F.lead("text").over(page), "next_reads": F.coalesce(F.lead("reads").over(page), F.lit(False)), "indent": F.lag("left_ratio").over(page) - F.col("left_ratio")})
+    x = x.withColumns(
+        {
+            "next_text": F.lead("text").over(page), "next_reads": F.coalesce(F.lead("reads").over(page), F.lit(False)),
+            "indent": F.lag("left_ratio").over(page) - F.col("left_ratio")
+        }
+    )
     t, asks = F.col("t"), F.col("asks")
-    eligible = ~F.col("bad") & ~t.rlike(r"(?U)^\d") & ~code_like(t) & ~t.rlike(LIST_MARK) & ((F.col("syllables") >= LEAST_SYLLABLES) | asks) & (F.col("next_reads") | asks)
+    eligible = ~F.col("bad") & ~t.rlike(r"(?U)^\d") & ~code_like(t) & ~t.rlike(LIST_MARK) & (
+        (F.col("syllables") >= LEAST_SYLLABLES) | asks
+    ) & (F.col("next_reads") | asks)
     score = (
         F.least(F.lit(MOST_OF_SYLLABLES), EACH_SYLLABLE * F.col("syllables")) + OF_QUESTION_MARK * asks.cast("int")
         + OF_SHORT_PREFIX * t.rlike(SHORT_PREFIX).cast("int") + OF_LEADING_WORD * F.position(F.lit(LEADING_WORD), t).between(1, LEADING_PLACES).cast("int")
@@ -64,7 +74,9 @@ def clues(lines: DataFrame, markers: DataFrame, low: int | str, high: int | str)
     )
     shows = ~F.col("bad") & (F.col("shown") != "") & ~F.col("shown").rlike("^0") & plausible(F.col("suffix"), F.col("next_text"))
     found = x.join(markers.select("source_file", "pos", "index"), ["source_file", "pos"], "left").select(
-        "source_file", "pos", "left_ratio", "index", "low", "high", F.when(shows, F.col("shown").try_cast("int")).alias("shown"), F.when(eligible, score).cast("int").alias("score"),
+        "source_file", "pos", "left_ratio", "index", "low", "high", F.when(
+            shows, F.col("shown").try_cast("int")
+        ).alias("shown"), F.when(eligible, score).cast("int").alias("score"),
     )
     return found.where("index IS NOT NULL OR shown BETWEEN low AND high OR score IS NOT NULL")
 
@@ -107,7 +119,10 @@ def search(rows: list[tuple], low: int, high: int) -> list[tuple[int, int, bool,
         new = []
         if b[1] - a[1] > 1:
             inside = scored[bisect_right(places, a[0]) : bisect_left(places, b[0])]
-            new = [(pos, n, True, True) for n, pos in enumerate(likeliest(inside, left[a[0]], b[1] - a[1] - 1), a[1] + 1) if low <= n <= high and n not in known]
+            new = [
+                (pos, n, True, True) for n,
+                pos in enumerate(likeliest(inside, left[a[0]], b[1] - a[1] - 1), a[1] + 1) if low <= n <= high and n not in known
+            ]
         if new:
             # the gaps before this one stay as they are, as they lie between other lines
             markers = sorted(markers + new)
@@ -148,5 +163,8 @@ def recover(lines: DataFrame, low: int | str, high: int | str, markers: DataFram
         return out
 
     searched = found.where("gaps").groupBy("source_file").applyInPandas(run, f"source_file {kind}, {SCHEMA}")
-    whole = found.where("NOT gaps AND index IS NOT NULL").select("source_file", F.col("pos").cast("long").alias("pos"), "index", F.lit(False).alias("inferred"), F.lit(False).alias("guessed"))
+    whole = found.where("NOT gaps AND index IS NOT NULL").select(
+        "source_file", F.col("pos").cast("long").alias("pos"), "index", F.lit(False).alias("inferred"),
+        F.lit(False).alias("guessed")
+    )
     return searched.unionByName(whole)

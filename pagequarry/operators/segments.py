@@ -82,7 +82,9 @@ def rebuilt(markers: DataFrame, lines: DataFrame) -> DataFrame:
 
     ``lines`` are positioned. The header of a line that shows no number says that it was guessed.
     """
-    x = lines.join(markers.select("source_file", "pos", "index", "guessed"), ["source_file", "pos"], "left").withColumn("accepted", F.col("index").isNotNull())
+    x = lines.join(
+        markers.select("source_file", "pos", "index", "guessed"), ["source_file", "pos"], "left"
+    ).withColumn("accepted", F.col("index").isNotNull())
     number = F.concat(F.lit(T.INFERRED), F.col("index").cast("string"), F.lit(". "), F.col("text"))
     shown = x.withColumn("text", F.when(F.col("guessed"), number).otherwise(F.col("text")))
     return spans(span_numbers(shown.drop("guessed")))
@@ -92,7 +94,10 @@ def rebuilt_spans(markers: DataFrame, lines: DataFrame) -> DataFrame:
     """Spans from each marker's position to just before the next one's, the last to the file's end."""
     after = F.lead("pos").over(Window.partitionBy("source_file").orderBy("pos"))
     ends = lines.groupBy("source_file").agg(F.max("pos").alias("last_pos"))
-    return markers.withColumn("next_pos", after).join(ends, "source_file").select("source_file", "index", F.col("pos").alias("start_pos"), F.coalesce(F.col("next_pos") - 1, F.col("last_pos")).alias("end_pos"))
+    return markers.withColumn("next_pos", after).join(ends, "source_file").select(
+        "source_file", "index", F.col("pos").alias("start_pos"),
+        F.coalesce(F.col("next_pos") - 1, F.col("last_pos")).alias("end_pos")
+    )
 
 
 def gaps(markers: DataFrame) -> DataFrame:

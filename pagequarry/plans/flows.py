@@ -18,13 +18,22 @@ def page_lines(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     ``page_lines`` is the largest line number of the page.
     """
     raw = lines.raw_lines(pages)
-    raw = raw.withColumns({"low": F.lit(None).cast("int"), "high": F.lit(None).cast("int")}) if bounds is None else raw.join(bounds, "source_file", "left")
+    raw = raw.withColumns(
+        {"low": F.lit(None).cast("int"), "high": F.lit(None).cast("int")}
+    ) if bounds is None else raw.join(bounds, "source_file", "left")
     page = Window.partitionBy("source_file", "page_index")
-    read = headings.marked(raw, "line_in_page", "low", "high", {"heading": headings.T.STRICT_HEADING}).withColumn("all_lines", F.max("line_in_page").over(page))
+    read = headings.marked(
+        raw, "line_in_page", "low", "high", {"heading": headings.T.STRICT_HEADING}
+    ).withColumn("all_lines", F.max("line_in_page").over(page))
     kept = lines.reading_order(lines.trim_boilerplate(read, F.col("heading").isNotNull()))
     shown = kept.withColumn("text", utrim("text")).where(nonblank("text"))
-    counted = shown.withColumn("page_lines", F.when(F.col("boxed"), F.greatest(F.lit(1), F.max("line_in_page").over(page))).otherwise(F.col("all_lines")))
-    return segments.positioned(counted).select("source_file", "page_index", "line_in_page", "pos", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio", "page_lines", "low", "high")
+    counted = shown.withColumn(
+        "page_lines", F.when(F.col("boxed"), F.greatest(F.lit(1), F.max("line_in_page").over(page))).otherwise(F.col("all_lines"))
+    )
+    return segments.positioned(counted).select(
+        "source_file", "page_index", "line_in_page", "pos", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio",
+        "page_lines", "low", "high"
+    )
 
 
 def split(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
@@ -39,7 +48,9 @@ def split(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     # a candidate's first line is its heading
     starts = read.where("tier < 2").select("source_file", "index", F.col("start_page").alias("page_index"), F.col("start_line").alias("line_in_page"))
     bounded = found.where("low IS NOT NULL").join(starts.select("source_file").distinct(), "source_file", "left_semi")
-    markers = bounded.join(starts, ["source_file", "page_index", "line_in_page"]).select("source_file", "pos", F.col("index").cast("int").alias("index"))
+    markers = bounded.join(starts, ["source_file", "page_index", "line_in_page"]).select(
+        "source_file", "pos", F.col("index").cast("int").alias("index")
+    )
     every = settle(recovery.recover(bounded, "low", "high", markers), "split-markers")
     changed = every.where("inferred").select("source_file").distinct()
     rebuilt = segments.rebuilt(every, found.join(changed, "source_file", "left_semi"))
@@ -55,7 +66,9 @@ def expected_ranges(pages: DataFrame, first: DataFrame, expected: DataFrame) ->
     hint = ranges.hinted(lines.hint_lines(pages).join(counts, "source_file"))
     inference = ranges.inferred(first.join(counts, "source_file"))
     found = ranges.resolved(pages, given, hint, inference)
-    return found.join(typed.select("source_file", (F.col("kind") != "none").alias("asked")), "source_file", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    return found.join(
+        typed.select("source_file", (F.col("kind") != "none").alias("asked")), "source_file", "left"
+    ).withColumn("asked", F.coalesce("asked", F.lit(False)))
 
 
 def judged(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -66,10 +79,16 @@ def judged(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
     whole = F.when(F.col("start_index").isNotNull(), F.sequence("start_index", "end_index")).otherwise(F.array().cast("array<int>"))
     none = lambda c, other: F.coalesce(c, other.cast(found.schema[c].dataType)).alias(c)
     off = F.col("asked") & (F.col("start_index").isNull() | F.coalesce("mismatch", F.lit(True)))
-    return x.select("source_file", "start_index", "end_index", none("distinct_indexes", F.array()), none("repeated", F.array()), none("missing", whole), none("unexpected", F.array()), off.alias("mismatch"))
+    return x.select(
+        "source_file", "start_index", "end_index", none("distinct_indexes", F.array()), none("repeated", F.array()),
+        none("missing", whole), none("unexpected", F.array()), off.alias("mismatch")
+    )
 
 
-def import_files(pages: DataFrame, keys: DataFrame, stored: DataFrame, expected: DataFrame, category: str, overwrite: bool = False, category_name: str | None = None) -> dict[str, DataFrame]:
+def import_files(
+    pages: DataFrame, keys: DataFrame, stored: DataFrame, expected: DataFrame, category: str, overwrite: bool = False,
+    category_name: str | None = None
+) -> dict[str, DataFrame]:
     """Pages and answer keys to questions in the store.
 
     ``pages``: source_file, page_index, text (and lines with boxes, image_path, pixel_width and
@@ -82,16 +101,27 @@ def import_files(pages: DataFrame, keys: DataFrame, stored: DataFrame, expected:
     typed = expected.withColumn("e", ranges.expected_input("expected")).where("e.kind = 'range'")
     first = split(pages, typed.select("source_file", F.col("e.start_index").alias("low"), F.col("e.end_index").alias("high")))
     resolved = settle(expected_ranges(pages, first, expected), "import-ranges")
-    bounds = resolved.where("range IS NOT NULL").select("source_file", F.col("range.start_index").alias("low"), F.col("range.end_index").alias("high"))
+    bounds = resolved.where("range IS NOT NULL").select(
+        "source_file", F.col("range.start_index").alias("low"), F.col("range.end_index").alias("high")
+    )
     candidates = settle(split(pages, bounds), "import-candidates")
     diagnosis = settle(judged(candidates, resolved), "import-diagnosis")
     good = diagnostics.passing(candidates, diagnosis)
     key = answers.answer_map(keys).select(F.col("key_id").alias("source_file"), "index", "answers", "type", F.col("index").alias("pos"))
-    both = importer.joined(good.where("index > 0").select("source_file", "index", "preview", "header", F.col("segment").alias("pos")), diagnostics.passing(key, diagnosis), ("source_file", "index"))
+    both = importer.joined(
+        good.where("index > 0").select("source_file", "index", "preview", "header", F.col("segment").alias("pos")),
+        diagnostics.passing(key, diagnosis), ("source_file", "index")
+    )
     name = F.lit(category_name or category)
     shown = F.concat_ws(" ", F.col("header"), F.when(nonblank("preview"), F.col("preview")))
-    prompt = F.concat(name, F.lit(" - "), F.when(F.col("header").isNotNull(), shown).otherwise(F.concat(F.lit(QUESTION), F.col("index").cast("string"))))
-    incoming = both.select(F.lit(category).alias("category_id"), "source_file", "index", F.coalesce("type", F.lit("MC")).alias("type"), prompt.alias("prompt"), "answers", F.col("index").alias("pos"))
+    prompt = F.concat(
+        name, F.lit(" - "),
+        F.when(F.col("header").isNotNull(), shown).otherwise(F.concat(F.lit(QUESTION), F.col("index").cast("string")))
+    )
+    incoming = both.select(
+        F.lit(category).alias("category_id"), "source_file", "index", F.coalesce("type", F.lit("MC")).alias("type"),
+        prompt.alias("prompt"), "answers", F.col("index").alias("pos")
+    )
     if "image_path" in pages.columns:
         incoming = incoming.join(question_images(pages, good), ["source_file", "index"], "left")
     store = importer.overwritten(stored, incoming) if overwrite else importer.merged(stored, incoming)
@@ -104,11 +134,18 @@ def question_images(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """(source_file, index, image_segments, image_path, image_top_ratio, image_bottom_ratio) of each number's first candidate."""
     first = importer.first_by(candidates.where("index > 0"), ["source_file", "index"], "segment")
     found = layout.image_segments(first, layout.page_table(pages, candidates))
-    fields = [F.col(c).cast("int").alias(c) if c in ("page_index", "pixel_width", "pixel_height") else F.col(c) for c in ("page_index", "image_path", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio", "pixel_width", "pixel_height")]
+    fields = [
+        F.col(c).cast("int").alias(c) if c in ("page_index", "pixel_width", "pixel_height") else F.col(c) for c in (
+            "page_index", "image_path", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio", "pixel_width", "pixel_height"
+        )
+    ]
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("s")))), lambda r: r["s"])
     x = found.groupBy("source_file", "index").agg(listed.alias("image_segments"))
     primary = F.get("image_segments", F.lit(0))
-    return x.select("source_file", "index", "image_segments", primary["image_path"].alias("image_path"), primary["top_ratio"].alias("image_top_ratio"), primary["bottom_ratio"].alias("image_bottom_ratio"))
+    return x.select(
+        "source_file", "index", "image_segments", primary["image_path"].alias("image_path"),
+        primary["top_ratio"].alias("image_top_ratio"), primary["bottom_ratio"].alias("image_bottom_ratio")
+    )
 
 
 def recovered_spans(found: DataFrame, low: int, high: int) -> DataFrame:

@@ -22,7 +22,9 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = dealt.groupBy("part").agg(F.count("*").alias("rows")).withColumn("before", before)
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return dealt.withColumn(name, inside).join(F.broadcast(sizes.select("part", "before")), "part").withColumn(name, F.col(name) + F.col("before")).drop("part", "before")
+    return dealt.withColumn(name, inside).join(
+        F.broadcast(sizes.select("part", "before")), "part"
+    ).withColumn(name, F.col(name) + F.col("before")).drop("part", "before")
 
 
 def listing(files: DataFrame, ext: str = ".pdf") -> DataFrame:
@@ -41,7 +43,10 @@ def first_existing(wanted: DataFrame, files: DataFrame) -> DataFrame:
 def png_size(content: str = "content") -> Column:
     """Struct (width, height) from the first 24 bytes of a PNG; null if they are none."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
-    return F.when((F.hex(F.substring(content, 1, 8)) == PNG) & (F.length(content) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
+    return F.when(
+        (F.hex(F.substring(content, 1, 8)) == PNG) & (F.length(content) >= 24),
+        F.struct(number(17).alias("width"), number(21).alias("height"))
+    )
 
 
 def page_image_name(n: Column) -> Column:

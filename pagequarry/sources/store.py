@@ -29,16 +29,28 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Categories, questions and wrong ids of a JSON document; empty if it is missing or blank; malformed JSON fails."""
     fs, p = _filesystem(spark, path)
     if not fs.exists(p) or spark.read.text(path).where("trim(value) <> ''").isEmpty():
-        return {"categories": spark.createDataFrame([], CATEGORIES), "questions": spark.createDataFrame([], QUESTIONS), "wrong_questions": spark.createDataFrame([], WRONG)}
+        return {
+            "categories": spark.createDataFrame([], CATEGORIES), "questions": spark.createDataFrame([], QUESTIONS),
+            "wrong_questions": spark.createDataFrame([], WRONG)
+        }
     state = spark.read.schema(STATE_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    c = state.select(F.inline(F.coalesce("Categories", F.array().cast(state.schema["Categories"].dataType)))).select(F.col("Id").alias("id"), F.coalesce("Name", F.lit("")).alias("name"))
+    c = state.select(
+        F.inline(F.coalesce("Categories", F.array().cast(state.schema["Categories"].dataType)))
+    ).select(F.col("Id").alias("id"), F.coalesce("Name", F.lit("")).alias("name"))
     q = state.select(F.inline("Questions"))
     none = F.array().cast("array<string>")
     questions = q.select(
         F.lower("Id").alias("id"), F.col("Index").alias("index"), F.coalesce("CategoryId", F.lit("")).alias("category_id"), F.coalesce("SourceFileName", F.lit("")).alias("source_file"),
-        F.get(F.array(*map(F.lit, KINDS)), F.coalesce("Type", F.lit(0))).alias("type"), F.coalesce("Prompt", F.lit("")).alias("prompt"), F.coalesce("Choices", none).alias("choices"), F.coalesce("CorrectAnswers", none).alias("correct_answers"),
-        stored_segments(F.col("ImageSegments"), F.col("ImagePath"), F.coalesce("ImageTopRatio", F.lit(0.0)), F.coalesce("ImageBottomRatio", F.lit(1.0))).alias("image_segments"),
-        F.col("ImagePath").alias("image_path"), F.coalesce("ImageTopRatio", F.lit(0.0)).alias("image_top_ratio"), F.coalesce("ImageBottomRatio", F.lit(1.0)).alias("image_bottom_ratio"),
+        F.get(
+            F.array(*map(F.lit, KINDS)), F.coalesce("Type", F.lit(0))
+        ).alias("type"), F.coalesce("Prompt", F.lit("")).alias("prompt"), F.coalesce("Choices", none).alias("choices"), F.coalesce("CorrectAnswers", none).alias("correct_answers"),
+        stored_segments(
+            F.col("ImageSegments"), F.col("ImagePath"), F.coalesce("ImageTopRatio", F.lit(0.0)),
+            F.coalesce("ImageBottomRatio", F.lit(1.0))
+        ).alias("image_segments"),
+        F.col("ImagePath").alias("image_path"), F.coalesce("ImageTopRatio", F.lit(0.0)).alias("image_top_ratio"), F.coalesce(
+            "ImageBottomRatio", F.lit(1.0)
+        ).alias("image_bottom_ratio"),
     )
     wrong = state.select(F.explode(F.coalesce("WrongQuestionIds", none)).alias("question_id")).select(F.lower("question_id").alias("question_id"))
     return {"categories": c, "questions": questions, "wrong_questions": wrong}
@@ -47,8 +59,16 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def stored_segments(segments, path, top, bottom):
     """The segments, or the one that an older image path stands for, or none."""
     cast = segments.cast(f"array<{SEGMENT}>")
-    one = F.array(F.struct(F.lit(1).alias("page_index"), path.alias("image_path"), F.lit(0.0).alias("left_ratio"), top.alias("top_ratio"), F.lit(1.0).alias("right_ratio"), bottom.alias("bottom_ratio"), F.lit(0).alias("pixel_width"), F.lit(0).alias("pixel_height"))).cast(f"array<{SEGMENT}>")
-    return F.when(F.size(F.coalesce(cast, F.array().cast(f"array<{SEGMENT}>"))) > 0, cast).when(F.coalesce(path, F.lit("")).rlike(r"\S"), one).otherwise(F.array().cast(f"array<{SEGMENT}>"))
+    one = F.array(
+        F.struct(
+            F.lit(1).alias("page_index"), path.alias("image_path"), F.lit(0.0).alias("left_ratio"), top.alias("top_ratio"),
+            F.lit(1.0).alias("right_ratio"), bottom.alias("bottom_ratio"), F.lit(0).alias("pixel_width"),
+            F.lit(0).alias("pixel_height")
+        )
+    ).cast(f"array<{SEGMENT}>")
+    return F.when(
+        F.size(F.coalesce(cast, F.array().cast(f"array<{SEGMENT}>"))) > 0, cast
+    ).when(F.coalesce(path, F.lit("")).rlike(r"\S"), one).otherwise(F.array().cast(f"array<{SEGMENT}>"))
 
 
 POINTER = "current.json"

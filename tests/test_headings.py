@@ -38,7 +38,9 @@ def test_marked_lines_are_heading_index_by_the_next_line(spark, pattern):
     texts = [x for a, b, *_ in STRICT for x in (a, b)] + [a for a, _ in PERMISSIVE] + ["  3.  다음 글  ", "", "출제위원 7. 다음", "4. (가) ?"]
     df = spark.createDataFrame([(1, 1 + i // 9, i, t) for i, t in enumerate(texts)], "source_file int, page_index int, line_in_page int, text string")
     low, high = F.lit(2), F.lit(12)
-    plain = with_following(df).withColumns({"want": heading_index("text", "next_text", pattern=pattern), "inside": heading_index("text", "next_text", low, high, pattern)})
+    plain = with_following(df).withColumns(
+        {"want": heading_index("text", "next_text", pattern=pattern), "inside": heading_index("text", "next_text", low, high, pattern)}
+    )
     bounded = df.withColumns({"low": low, "high": high})
     got = {r.line_in_page: r["index"] for r in marked(df, patterns={"index": pattern}).collect()}
     inside = {r.line_in_page: r["index"] for r in marked(bounded, "line_in_page", "low", "high", {"index": pattern}).collect()}
@@ -118,13 +120,24 @@ def test_recovery_of_all_files_is_the_search_of_each(spark):
     want = {(f, m[0]): m[1:] for f, own in rows.items() for m in search(own, 1, 120)}
     assert got == want and any(v[1] for v in got.values())
     few = x.where("source_file = 1 AND text LIKE '%. 다음 중%'").limit(1)
-    one = few.select("source_file", "page_index", "line_in_page", F.concat(F.lit("1"), F.regexp_replace("text", "^[0-9]+", "")).alias("text"), "left_ratio")
+    one = few.select(
+        "source_file", "page_index", "line_in_page", F.concat(F.lit("1"), F.regexp_replace("text", "^[0-9]+", "")).alias("text"),
+        "left_ratio"
+    )
     assert [(r["index"], r.inferred) for r in recover(one, 1, 1).collect()] == [(1, False)]
 
 
 def test_clues_of_a_numberless_heading(spark):
-    rows = [("1. 다음 중 옳은 것은?", 0.10), ("ㄱ. 다음 설명을 보고", 0.07), ("본문 설명", 0.10), ("① 보기 하나", 0.1), ("본문 설명", 0.1), ("ABC-1", 0.1), ("왜 그런가?", 0.1), ("2학기", 0.1)]
-    x = segments.positioned(spark.createDataFrame([("f", 1, i, t, float(l)) for i, (t, l) in enumerate(rows, 1)], "source_file string, page_index int, line_in_page int, text string, left_ratio double"))
+    rows = [
+        ("1. 다음 중 옳은 것은?", 0.10), ("ㄱ. 다음 설명을 보고", 0.07), ("본문 설명", 0.10), ("① 보기 하나", 0.1), ("본문 설명", 0.1), ("ABC-1", 0.1),
+        ("왜 그런가?", 0.1), ("2학기", 0.1)
+    ]
+    x = segments.positioned(
+        spark.createDataFrame(
+            [("f", 1, i, t, float(l)) for i, (t, l) in enumerate(rows, 1)],
+            "source_file string, page_index int, line_in_page int, text string, left_ratio double"
+        )
+    )
     got = {r.pos: (r["index"], r.shown, r.score) for r in clues(x, read_markers(x, 1, 9), 1, 9).collect()}
     # six syllables and more: 18 or 21, a short prefix, the leading word near the start, the indent
     assert got[1][:2] == (1, 1) and got[2] == (None, None, 3 * 7 + 25 + 20 + 10) and 4 not in got and 6 not in got and 8 not in got
@@ -133,15 +146,27 @@ def test_clues_of_a_numberless_heading(spark):
 
 def test_inline_breaks_are_those_of_python(spark):
     d = queries.QUERIES["inline_breaks"](spark, SF).collect()
-    x = queries.heading_texts(spark, SF).groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), " ").alias("t")).collect()
+    x = queries.heading_texts(spark, SF).groupBy("source_file").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), " ").alias("t")
+    ).collect()
     pattern = re.compile(r"(?<=\s)((?:[1-9]|[1-9]\d)\s*[.)])(?=\s)")
     want = {r.source_file: len(pattern.findall(r.t)) for r in x}
-    assert {r.source_file: r.breaks for r in d} == want and {r.source_file: r.lines for r in d} == {k: v + 1 for k, v in want.items()} and sum(want.values()) > 0
+    assert {
+        r.source_file: r.breaks for r in d
+    } == want and {r.source_file: r.lines for r in d} == {k: v + 1 for k, v in want.items()} and sum(want.values()) > 0
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([(" 　a\t", "x" * 151, "x" * 150, "머리 1. 다음 2) 무엇", "가b나", "+5", "1.5", None)], "a string, b string, c string, d string, e string, f string, g string, h string")
-    r = df.select(T.utrim("a"), T.clip("b"), T.clip("c"), T.with_breaks("d"), T.break_count("d"), T.hangul_count("e"), T.try_int("f"), T.try_int("g"), T.source_name("h"), T.word_count("a"), T.nonblank("h")).first()
+    df = spark.createDataFrame(
+        [(" 　a\t", "x" * 151, "x" * 150, "머리 1. 다음 2) 무엇", "가b나", "+5", "1.5", None)],
+        "a string, b string, c string, d string, e string, f string, g string, h string"
+    )
+    r = df.select(
+        T.utrim("a"), T.clip("b"), T.clip("c"), T.with_breaks("d"), T.break_count("d"), T.hangul_count("e"), T.try_int("f"),
+        T.try_int("g"), T.source_name("h"), T.word_count("a"), T.nonblank("h")
+    ).first()
     names = spark.createDataFrame([("/a/b:c*.pdf", ["x", "y"]), (" .pdf", []), ("C:\\d\\e.PDF", ["z"])], "f string, c array<string>")
-    assert [tuple(r) for r in names.select(T.safe_stem("f"), T.numbered("c"), T.base_name("f"), T.extension("f")).collect()] == [("b_c_", "1. x\n2. y", "b:c*.pdf", ".pdf"), ("analysis", "", " .pdf", ".pdf"), ("e", "1. z", "e.PDF", ".PDF")]
+    assert [
+        tuple(r) for r in names.select(T.safe_stem("f"), T.numbered("c"), T.base_name("f"), T.extension("f")).collect()
+    ] == [("b_c_", "1. x\n2. y", "b:c*.pdf", ".pdf"), ("analysis", "", " .pdf", ".pdf"), ("e", "1. z", "e.PDF", ".PDF")]
     assert list(r) == ["a", "x" * 150 + "...", "x" * 150, "머리 \n1. 다음 \n2) 무엇", 2, 2, 5, None, "manual", 1, False]

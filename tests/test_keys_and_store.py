@@ -10,9 +10,15 @@ from pagequarry.sources import files, store
 from pagequarry.streaming.wrong_set import wrong_state
 
 KEYS = {
-    "1:3|4,2:정답": [(1, ["3", "4"], "MC"), (2, ["정답"], "SUBJ")], "1,2,3": [(1, ["1"], "MC"), (2, ["2"], "MC"), (3, ["3"], "MC")], "1,,3": [(1, ["1"], "MC"), (2, [], "MC"), (3, ["3"], "MC")],
-    "1,2\n": [(1, ["1"], "MC"), (2, ["2"], "MC"), (3, [], "MC")], "1:3,1:4": [(1, ["4"], "MC")], "1:": [(1, [], "MC")], "x:3": [], "0:3": [], "1:3,7": [(1, ["3"], "MC")], "1:a:b": [(1, ["a:b"], "SUBJ")],
-    "1:|3| ": [(1, ["3"], "MC")], "2:1\r\n1:2": [(1, ["2"], "MC"), (2, ["1"], "MC")], "1:3;2:abc|4": [(1, ["3"], "MC"), (2, ["abc", "4"], "SUBJ")], "  ": [],
+    "1:3|4,2:정답": [(1, ["3", "4"], "MC"), (2, ["정답"], "SUBJ")], "1,2,3": [
+        (1, ["1"], "MC"), (2, ["2"], "MC"), (3, ["3"], "MC")
+    ], "1,,3": [(1, ["1"], "MC"), (2, [], "MC"), (3, ["3"], "MC")],
+    "1,2\n": [
+        (1, ["1"], "MC"), (2, ["2"], "MC"), (3, [], "MC")
+    ], "1:3,1:4": [(1, ["4"], "MC")], "1:": [(1, [], "MC")], "x:3": [], "0:3": [], "1:3,7": [(1, ["3"], "MC")], "1:a:b": [(1, ["a:b"], "SUBJ")],
+    "1:|3| ": [(1, ["3"], "MC")], "2:1\r\n1:2": [(1, ["2"], "MC"), (2, ["1"], "MC")], "1:3;2:abc|4": [
+        (1, ["3"], "MC"), (2, ["abc", "4"], "SUBJ")
+    ], "  ": [],
 }
 
 
@@ -30,8 +36,14 @@ def test_answer_key_errors(spark):
 
 
 def test_grading(spark):
-    rows = [("MC", ["3", "4"], g, w) for g, w in (("4", True), (" 3 ", True), ("03", True), ("+3", True), ("5", False), ("3.0", False), ("", False), ("three", False), (None, False))]
-    rows += [("MC", [], "3", None), ("SUBJ", ["Abc"], " aBC ", True), ("SUBJ", ["Abc"], "a bc", False), ("SUBJ", ["3", "abc"], "3", True), ("SUBJ", ["3", "abc"], "03", False), ("SUBJ", [" "], "x", None)]
+    rows = [
+        ("MC", ["3", "4"], g, w) for g,
+        w in (("4", True), (" 3 ", True), ("03", True), ("+3", True), ("5", False), ("3.0", False), ("", False), ("three", False), (None, False))
+    ]
+    rows += [
+        ("MC", [], "3", None), ("SUBJ", ["Abc"], " aBC ", True), ("SUBJ", ["Abc"], "a bc", False),
+        ("SUBJ", ["3", "abc"], "3", True), ("SUBJ", ["3", "abc"], "03", False), ("SUBJ", [" "], "x", None)
+    ]
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, type string, answers array<string>, user_answer string")
     got = {r.i: r.ok for r in df.select("i", grading.is_correct().alias("ok")).collect()}
     assert [got[i] for i in range(len(rows))] == [r[3] for r in rows]
@@ -52,7 +64,9 @@ def test_wrong_set_as_stream(spark, tmp_path):
     events = [("a", 1, 1, False), ("b", 2, 2, False), ("a", 3, 3, True), ("b", 1, 0, True)]
     spark.createDataFrame(events, "question_id string, ts int, seq int, is_correct boolean").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("question_id string, ts int, seq int, is_correct boolean").parquet(str(tmp_path / "in"))
-    q = wrong_state(stream).writeStream.outputMode("complete").format("memory").queryName("wrong").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = wrong_state(stream).writeStream.outputMode("complete").format("memory").queryName("wrong").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).start()
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("SELECT * FROM wrong").collect()} == {("a", False), ("b", True)}
@@ -87,26 +101,41 @@ def infer(indexes, n):
 
 def test_range_inference(spark):
     rng = random.Random(7)
-    cases = [([31, 32, 34, 40], 10), ([3], 5), ([1, 2, 3], 3), ([5], 1)] + [([rng.randrange(1, 60) for _ in range(rng.randrange(1, 9))], rng.randrange(1, 12)) for _ in range(60)]
+    cases = [([31, 32, 34, 40], 10), ([3], 5), ([1, 2, 3], 3), ([5], 1)] + [
+        ([rng.randrange(1, 60) for _ in range(rng.randrange(1, 9))], rng.randrange(1, 12)) for _ in range(60)
+    ]
     df = spark.createDataFrame([(f, n, i) for f, (c, n) in enumerate(cases) for i in c], "source_file int, expected_count int, index int")
     got = {r.source_file: (r.start_index, r.end_index) for r in ranges.inferred(df).collect()}
     assert [got.get(f) for f in range(len(cases))] == [infer(*c) for c in cases]
 
 
 def test_expected_input(spark):
-    cases = {"": ("none", None), "25": ("count", 25), "31-55": ("range", 25), "31~55": ("range", 25), "31 〜 55": ("range", 25), "55-31": ("error", None), "0-5": ("error", None), "0": ("error", None), "abc": ("error", None), "1-2-3": ("error", None)}
+    cases = {
+        "": ("none", None), "25": ("count", 25), "31-55": ("range", 25), "31~55": ("range", 25), "31 〜 55": ("range", 25),
+        "55-31": ("error", None), "0-5": ("error", None), "0": ("error", None), "abc": ("error", None), "1-2-3": ("error", None)
+    }
     df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("e", ranges.expected_input("t"))
     assert {r.t: (r.e["kind"], r.e["count"]) for r in df.collect()} == cases
 
 
 def upsert(spark, stored, incoming, **kw):
-    s = spark.createDataFrame(stored, "id string, category_id string, source_file string, index int, type string, prompt string, answers array<string>")
-    i = spark.createDataFrame(incoming, "pos int, category_id string, source_file string, index int, type string, prompt string, answers array<string>")
+    s = spark.createDataFrame(
+        stored, "id string, category_id string, source_file string, index int, type string, prompt string, answers array<string>"
+    )
+    i = spark.createDataFrame(
+        incoming, "pos int, category_id string, source_file string, index int, type string, prompt string, answers array<string>"
+    )
     return s, i
 
 
 def test_upsert(spark):
-    s, i = upsert(spark, [("s1", "c", "a.pdf", 1, "MC", "p", ["3"]), ("s2", "c", "a.pdf", 2, "MC", "p", [])], [(1, "c", "A.PDF", 1, "SUBJ", "n", []), (2, "c", "a.pdf", 2, "SUBJ", "", ["abc "]), (3, "c", "a.pdf", 9, "MC", "x", ["1"]), (4, "c", "a.pdf", 9, "MC", "y", ["2"])])
+    s, i = upsert(
+        spark, [("s1", "c", "a.pdf", 1, "MC", "p", ["3"]), ("s2", "c", "a.pdf", 2, "MC", "p", [])],
+        [
+            (1, "c", "A.PDF", 1, "SUBJ", "n", []), (2, "c", "a.pdf", 2, "SUBJ", "", ["abc "]),
+            (3, "c", "a.pdf", 9, "MC", "x", ["1"]), (4, "c", "a.pdf", 9, "MC", "y", ["2"])
+        ]
+    )
     got = {(r.id if len(r.id) < 64 else "new", r["index"], r.type, r.prompt, tuple(r.answers)) for r in importer.merged(s, i).collect()}
     assert got == {("s1", 1, "MC", "n", ()), ("s2", 2, "SUBJ", "문항 2", ("abc",)), ("new", 9, "MC", "y", ("2",))}
     again = importer.merged(importer.merged(s, i), i)
@@ -117,7 +146,13 @@ def test_upsert(spark):
 
 def test_store_round_trip(spark, tmp_path):
     assert store.read_json(spark, str(tmp_path / "none.json"))["questions"].count() == 0
-    state = {"Categories": [{"Id": "c1", "Name": "Math"}], "Questions": [{"Id": "AB", "Index": 1, "CategoryId": "c1", "SourceFileName": "f.pdf", "Type": 1, "CorrectAnswers": ["x"], "ImagePath": "p.png"}], "WrongQuestionIds": ["AB"]}
+    state = {
+        "Categories": [{"Id": "c1", "Name": "Math"}],
+        "Questions": [
+            {"Id": "AB", "Index": 1, "CategoryId": "c1", "SourceFileName": "f.pdf", "Type": 1, "CorrectAnswers": ["x"], "ImagePath": "p.png"}
+        ],
+        "WrongQuestionIds": ["AB"]
+    }
     (tmp_path / "s.json").write_text(json.dumps(state))
     t = store.read_json(spark, str(tmp_path / "s.json"))
     q = t["questions"].first()
@@ -150,10 +185,15 @@ def test_texts_and_reports(spark, tmp_path):
     pages = spark.createDataFrame([("a.pdf", 1, "x y\n\nz"), ("a.pdf", 2, "")], "source_file string, page_index int, text string")
     store.write_by_file(pages, str(tmp_path / "pages"), "json")
     assert spark.read.json(str(tmp_path / "pages")).where("source_file = 'a.pdf'").count() == 2
-    c = spark.createDataFrame([("a.pdf", 2, "h2", 1, 2, 1, 3), ("a.pdf", 1, "h1", 1, 1, 1, 1)], "source_file string, index int, header string, start_page int, start_line int, end_page int, end_line int")
+    c = spark.createDataFrame(
+        [("a.pdf", 2, "h2", 1, 2, 1, 3), ("a.pdf", 1, "h1", 1, 1, 1, 1)],
+        "source_file string, index int, header string, start_page int, start_line int, end_page int, end_line int"
+    )
     d = diagnostics.diagnose(c.withColumns({"start_index": F.lit(1), "end_index": F.lit(3)}))
     by_page = diagnostics.page_diagnostics(pages, c)
-    assert {r.page_index: (r.word_count, r.leading_lines, r.candidate_indexes) for r in by_page.collect()} == {1: (3, ["1: x y", "2: z"], [1, 2]), 2: (0, [], [])}
+    assert {
+        r.page_index: (r.word_count, r.leading_lines, r.candidate_indexes) for r in by_page.collect()
+    } == {1: (3, ["1: x y", "2: z"], [1, 2]), 2: (0, [], [])}
     folder = str(tmp_path / "reports")
     files = spark.createDataFrame([("a.pdf",), ("b.pdf",)], "source_file string")
     assert {r.text for r in store.read_reports(spark, folder, files).collect()} == {T.NO_DIAGNOSTICS}
@@ -166,20 +206,31 @@ def test_texts_and_reports(spark, tmp_path):
 
 
 def test_practice_sets(spark):
-    q = spark.createDataFrame([(f"q{i}", "c" if i % 2 else "C", f"f{i % 3}", i, ["1"]) for i in range(12)], "id string, category_id string, source_file string, index int, answers array<string>")
+    q = spark.createDataFrame(
+        [(f"q{i}", "c" if i % 2 else "C", f"f{i % 3}", i, ["1"]) for i in range(12)],
+        "id string, category_id string, source_file string, index int, answers array<string>"
+    )
     wrong = spark.createDataFrame([("Q1",), ("q3",), ("q4",), ("gone",)], "question_id string")
     pick = lambda *a: sorted(r.id for r in practice.random_questions(q, *a).collect())
-    assert pick("c", 99, 1) == ["q1", "q11", "q3", "q5", "q7", "q9"] and len(pick("c", 4, 1)) == 4 and pick("c", 0, 1) == [] and pick("c", 9, 1, wrong) == ["q1", "q3"]
+    assert pick("c", 99, 1) == [
+        "q1", "q11", "q3", "q5", "q7", "q9"
+    ] and len(pick("c", 4, 1)) == 4 and pick("c", 0, 1) == [] and pick("c", 9, 1, wrong) == ["q1", "q3"]
     session = [r.id for r in practice.wrong_practice(q, wrong, 2).collect()]
     assert sorted(session) == ["q3", "q4"]
     assert [r["index"] for r in catalogue.review(q, "c", "F1").collect()] == [1, 7]
     names = spark.createDataFrame([("1", "b"), ("2", "B"), ("3", "a"), ("4", "A")], "id string, name string")
     assert [r.name for r in catalogue.listed(names).collect()] == ["a", "A", "b", "B"]
     uuid = "0123abcd-0123-0123-0123-0123456789ab"
-    some = spark.createDataFrame([(uuid, "c", "f", 1, ["1"]), ("x", "c", "f", 2, ["1"])], "id string, category_id string, source_file string, index int, answers array<string>")
+    some = spark.createDataFrame(
+        [(uuid, "c", "f", 1, ["1"]), ("x", "c", "f", 2, ["1"])],
+        "id string, category_id string, source_file string, index int, answers array<string>"
+    )
     assert [r.id for r in catalogue.wrong_notes(some, spark.createDataFrame([(uuid,), ("x",)], "question_id string"), uuids=True).collect()] == [uuid]
     times = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS a, timestamp'2024-01-01 00:00:04' AS b")
-    one = times.select(lines.seconds_between(F.col("a"), F.col("b")), lines.pages_per_second(F.lit(6), F.col("a"), F.col("b")), lines.pages_per_second(F.lit(0), F.col("a"), F.col("b")), lines.pages_per_second(F.lit(2), F.col("a"), F.col("a"))).first()
+    one = times.select(
+        lines.seconds_between(F.col("a"), F.col("b")), lines.pages_per_second(F.lit(6), F.col("a"), F.col("b")),
+        lines.pages_per_second(F.lit(0), F.col("a"), F.col("b")), lines.pages_per_second(F.lit(2), F.col("a"), F.col("a"))
+    ).first()
     assert list(one) == [4.0, 1.5, 0.0, 2e6]
 
 
@@ -187,8 +238,17 @@ def test_stored_questions_keep_images_and_choices(spark):
     segment = "struct<page_index:int,image_path:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double,pixel_width:int,pixel_height:int>"
     more = f"choices array<string>, image_segments array<{segment}>, image_path string, image_top_ratio double, image_bottom_ratio double"
     schema = f"id string, category_id string, source_file string, index int, type string, prompt string, answers array<string>, {more}"
-    s = spark.createDataFrame([("s", "c", "f", 1, "MC", "p", ["1"], ["x"], [(1, "old", 0.0, 0.0, 1.0, 1.0, 5, 6)], "old", 0.1, 0.2), ("t", "c", "g", 1, "MC", "p", ["1"], ["y"], [], "keep", 0.3, 0.4)], schema)
-    i = spark.createDataFrame([(1, "c", "F", 1, "MC", " n ", ["2"], ["z"], [], "new", 0.5, 0.6), (2, "c", "F", 2, "MC", "m", [], None, None, None, None, None)], schema.replace("id string", "pos int", 1))
+    s = spark.createDataFrame(
+        [
+            ("s", "c", "f", 1, "MC", "p", ["1"], ["x"], [(1, "old", 0.0, 0.0, 1.0, 1.0, 5, 6)], "old", 0.1, 0.2),
+            ("t", "c", "g", 1, "MC", "p", ["1"], ["y"], [], "keep", 0.3, 0.4)
+        ],
+        schema
+    )
+    i = spark.createDataFrame(
+        [(1, "c", "F", 1, "MC", " n ", ["2"], ["z"], [], "new", 0.5, 0.6), (2, "c", "F", 2, "MC", "m", [], None, None, None, None, None)],
+        schema.replace("id string", "pos int", 1)
+    )
     got = {(r.source_file, r["index"]): r for r in importer.merged(s, i).collect()}
     one = got["f", 1]
     assert (one.prompt, one.choices, one.image_path, one.image_top_ratio) == ("n", ["z"], "new", 0.5)
@@ -204,29 +264,54 @@ def test_pixel_boxes(spark):
     assert got == {1: (10, 18, 70, 27), 2: (5, 5, 10, 10)}
     box = spark.createDataFrame([(-5, 70, 100), (10, 250, 200), (1, 2, 0)], "x0 int, x1 int, size int")
     assert [tuple(r) for r in box.select(*layout.to_ratio("x0", "x1", "size")).collect()] == [(0.0, 0.7), (0.05, 1.0), (1.0, 1.0)]
-    lines_beyond = spark.range(1).select(layout.line_top(F.lit(30), F.lit(10)), layout.line_bottom(F.lit(99), F.lit(10), F.lit(0.2)), layout.line_bottom(F.lit(1), F.lit(10), F.lit(0.55)), layout.line_top(F.lit(0), F.lit(0))).first()
+    lines_beyond = spark.range(1).select(
+        layout.line_top(F.lit(30), F.lit(10)), layout.line_bottom(F.lit(99), F.lit(10), F.lit(0.2)),
+        layout.line_bottom(F.lit(1), F.lit(10), F.lit(0.55)), layout.line_top(F.lit(0), F.lit(0))
+    ).first()
     assert [round(x, 6) for x in lines_beyond] == [0.9, 1.0, 0.6, 0.0]
 
 
 def test_segments_of_a_question_once_each(spark):
     """The shared passage first; a page without lines of the column has none; equal crops are one."""
-    c = spark.createDataFrame([("f", 3, 1, 2, 3, 4, 4, 2)], "source_file string, index int, start_page int, end_page int, start_line int, end_line int, start_page_line_count int, end_page_line_count int")
-    own = [(1, "[3~4] 다음 글을 보고 답하라", 0.05, 0.1, 0.45, 0.12), (2, "긴 글", 0.05, 0.15, 0.45, 0.17), (3, "3. 다음 중", 0.05, 0.3, 0.45, 0.32), (4, "보기", 0.05, 0.35, 0.45, 0.37)]
-    pages = spark.createDataFrame([("f", 1, "", "a", 1, 1, own), ("f", 2, "", "b", 1, 1, [(1, "다른 단", 0.9, 0.1, 0.95, 0.2)]), ("f", 3, "", None, 1, 1, own)], "source_file string, page_index int, text string, image_path string, pixel_width int, pixel_height int, lines array<struct<line_in_page:int,text:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double>>")
+    c = spark.createDataFrame(
+        [("f", 3, 1, 2, 3, 4, 4, 2)],
+        "source_file string, index int, start_page int, end_page int, start_line int, end_line int, start_page_line_count int, end_page_line_count int"
+    )
+    own = [
+        (1, "[3~4] 다음 글을 보고 답하라", 0.05, 0.1, 0.45, 0.12), (2, "긴 글", 0.05, 0.15, 0.45, 0.17),
+        (3, "3. 다음 중", 0.05, 0.3, 0.45, 0.32), (4, "보기", 0.05, 0.35, 0.45, 0.37)
+    ]
+    pages = spark.createDataFrame(
+        [("f", 1, "", "a", 1, 1, own), ("f", 2, "", "b", 1, 1, [(1, "다른 단", 0.9, 0.1, 0.95, 0.2)]), ("f", 3, "", None, 1, 1, own)],
+        "source_file string, page_index int, text string, image_path string, pixel_width int, pixel_height int, lines array<struct<line_in_page:int,text:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double>>"
+    )
     got = layout.image_segments(c, layout.page_table(pages, c)).orderBy("pos").collect()
     assert [(r.page_index, round(r.top_ratio, 3), round(r.bottom_ratio, 3)) for r in got] == [(1, 0.085, 0.185), (1, 0.285, 0.385)]
     existing = spark.createDataFrame([("/b/x.pdf", 2), ("/a/X.PDF", 1), ("/a/y.pdf", 1)], "path string, rank int")
-    assert {(r.name, r.path) for r in files.first_existing(spark.createDataFrame([("x.pdf",), ("z.pdf",)], "name string"), existing).collect()} == {("x.pdf", "/a/X.PDF")}
+    assert {
+        (r.name, r.path) for r in files.first_existing(spark.createDataFrame([("x.pdf",), ("z.pdf",)], "name string"), existing).collect()
+    } == {("x.pdf", "/a/X.PDF")}
     assert spark.range(1).select(files.page_image_name(F.lit(7))).first()[0] == "page-0007.png"
 
 
 def test_layout_and_files(spark):
-    r = spark.range(1).select(layout.line_top(F.lit(3), F.lit(10)), layout.line_bottom(F.lit(5), F.lit(10), F.lit(0.2)), layout.at_least(F.lit(0.10), F.lit(0.11), 0.02)).first()
+    r = spark.range(1).select(
+        layout.line_top(F.lit(3), F.lit(10)), layout.line_bottom(F.lit(5), F.lit(10), F.lit(0.2)),
+        layout.at_least(F.lit(0.10), F.lit(0.11), 0.02)
+    ).first()
     assert [round(x, 6) for x in r] == [0.2, 0.5, 0.12]
-    seg = spark.createDataFrame([(0.0, 1.0, 0.25, 0.5, 1000, 2000)], "left_ratio double, right_ratio double, top_ratio double, bottom_ratio double, pixel_width int, pixel_height int")
+    seg = spark.createDataFrame(
+        [(0.0, 1.0, 0.25, 0.5, 1000, 2000)],
+        "left_ratio double, right_ratio double, top_ratio double, bottom_ratio double, pixel_width int, pixel_height int"
+    )
     v = layout.slice_view(seg).first()
     assert (v.content_width, v.content_height, v.visible_width, v.visible_height, v.shift_y) == (320.0, 640.0, 320.0, 160.0, -160.0)
-    listed = files.listing(spark.createDataFrame([("/a/p-10.PDF", 1), ("/a/p-2.pdf", 1), ("/b/P-2.PDF", 2), ("/a/x.txt", 1), ("/a/cover.pdf", 1)], "path string, rank int"))
+    listed = files.listing(
+        spark.createDataFrame(
+            [("/a/p-10.PDF", 1), ("/a/p-2.pdf", 1), ("/b/P-2.PDF", 2), ("/a/x.txt", 1), ("/a/cover.pdf", 1)],
+            "path string, rank int"
+        )
+    )
     assert [r.path for r in listed.orderBy("place").collect()] == ["/a/p-2.pdf", "/a/p-10.PDF", "/a/cover.pdf"]
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     size = spark.createDataFrame([(png,), (b"x",)], "content binary").select(files.png_size().alias("s")).collect()
