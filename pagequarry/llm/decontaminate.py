@@ -55,7 +55,10 @@ def grams_of(benchmark: DataFrame, n: int, item_col: str, item_text_col: str) ->
                 grams += own
                 sizes += [size] * len(own)
                 items += [item] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array(sizes, pa.int32()), pa.array(items, pa.string())], names=["gram", "size", "item"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams, pa.binary()), pa.array(sizes, pa.int32()), pa.array(items, pa.string())],
+                names=["gram", "size", "item"]
+            )
 
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     return items.mapInArrow(run, GRAMS).groupBy("gram", "size").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -120,7 +123,9 @@ class GramIndex:
                 i = int(at[k])
                 gram = b" ".join(words.word_bytes(j) for j in range(i, i + size))
                 for number in numbers[first[k] : last[k]].tolist():
-                    if self.texts[self.ends[number] - len(gram) : self.ends[number]] == gram and self.ends[number] - (self.ends[number - 1] if number else 0) == len(gram):
+                    if self.texts[
+                        self.ends[number] - len(gram) : self.ends[number]
+                    ] == gram and self.ends[number] - (self.ends[number - 1] if number else 0) == len(gram):
                         yield i, size, self.items_of(number)
 
 
@@ -202,7 +207,10 @@ def columns(texts: list[bytes], valid: list[bool], found) -> list[pa.Array]:
     for text, ok, (n_words, ids, spans, n_hit) in zip(texts, valid, found, strict=True):
         listed = sorted(ids)
         clean = without(text, spans).decode() if ok else None
-        row = (n_words, n_hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), n_hit > 0, listed, [{"start": s, "end": e} for s, e in spans], clean)
+        row = (
+            n_words, n_hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), n_hit > 0, listed,
+            [{"start": s, "end": e} for s, e in spans], clean
+        )
         for column, value in zip(out, row, strict=True):
             column.append(value)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -248,7 +256,10 @@ def decontaminate(
         for batch in rows:
             release()
             texts = as_bytes(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(texts, batch.column("text").is_valid().to_pylist(), scan(index.value.hits, texts))], names=["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *columns(texts, batch.column("text").is_valid().to_pylist(), scan(index.value.hits, texts))],
+                names=["doc_id", *NAMES]
+            )
 
     return source.mapInArrow(batches, SCHEMA)
 
@@ -280,8 +291,12 @@ def with_candidates(rows: DataFrame, grams: DataFrame, text_col: str) -> DataFra
 
 def verified(scanned: DataFrame, grams: DataFrame) -> DataFrame:
     """(o1_row, at, size, items) of the windows that are the benchmark's; a frequent one is dealt to several tasks."""
-    asked = scanned.select("o1_row", F.explode("o1_windows").alias("w")).select("o1_row", "w.at", "w.size", "w.gram", F.pmod("o1_row", F.lit(SALTS)).alias("salt"))
-    return asked.join(grams.drop("size").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gram", "salt"]).select("o1_row", "at", "size", "items")
+    asked = scanned.select("o1_row", F.explode("o1_windows").alias("w")).select(
+        "o1_row", "w.at", "w.size", "w.gram", F.pmod("o1_row", F.lit(SALTS)).alias("salt")
+    )
+    return asked.join(
+        grams.drop("size").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gram", "salt"]
+    ).select("o1_row", "at", "size", "items")
 
 
 def joined_hits(source: DataFrame, grams: DataFrame) -> DataFrame:
@@ -298,7 +313,10 @@ def joined_hits(source: DataFrame, grams: DataFrame) -> DataFrame:
             for text, own in zip(texts, hits, strict=True):
                 words = Words([text], WORD_BYTES, lower=True)
                 each.append(summed(words, 0, [(h["at"], h["size"], h["items"]) for h in own]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns(texts, batch.column("text").is_valid().to_pylist(), each)], names=["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *columns(texts, batch.column("text").is_valid().to_pylist(), each)],
+                names=["doc_id", *NAMES]
+            )
 
     return scanned.drop("o1_windows").join(found, "o1_row", "left").select("doc_id", "text", "hits").mapInArrow(batches, SCHEMA)
 
@@ -309,7 +327,10 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limits: tuple[int, int] = (BROADCAST_GRAMS, BROADCAST_BYTES)) -> DataFrame:
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", limits: tuple[int, int] = (BROADCAST_GRAMS, BROADCAST_BYTES)
+) -> DataFrame:
     """``documents`` without the rows that hold a benchmark window, all columns and their names kept.
 
     Null, empty and blank texts hold none and stay. Rows that repeat are judged each. Without

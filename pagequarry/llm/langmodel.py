@@ -193,7 +193,9 @@ def steps(values: np.ndarray) -> np.ndarray:
 
 def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(("level", "bucket", "chunk", "body"), kinds, strict=True))})
+    return pa.table(
+        {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(("level", "bucket", "chunk", "body"), kinds, strict=True))}
+    )
 
 
 def ask_words(buckets: int):
@@ -244,7 +246,9 @@ class Gathered:
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Whole sums by distinct key."""
-        return np.rint(np.bincount(self.rank, weights=values, minlength=self.n)).astype(np.int64) if values.sum() < 2**52 else added(self.rank, values, self.n)
+        return np.rint(
+            np.bincount(self.rank, weights=values, minlength=self.n)
+        ).astype(np.int64) if values.sum() < 2**52 else added(self.rank, values, self.n)
 
     def told(self, arrays: list[np.ndarray], stats: tuple[int, ...] = (0, 0, 0, 0, 0), number: np.ndarray | None = None) -> pa.Table:
         """``arrays`` hold one answer for each key that was sent; so does ``number``, of which those that aren't 0 rise with the keys, and their steps are sent."""
@@ -283,7 +287,10 @@ def answer(model: Model):
         to = top_bits(mix(name), model.buckets[level - 2])
         by = in_buckets(to, name)
         # the sender is told from chunks by its sign
-        sent = [(context_level(level), b, -1 - g.bucket, squeeze(steps(name[by[lo:hi]]), arcs[by[lo:hi]], mass[by[lo:hi]])) for b, lo, hi in cuts(to[by])]
+        sent = [
+            (context_level(level), b, -1 - g.bucket, squeeze(steps(name[by[lo:hi]]), arcs[by[lo:hi]], mass[by[lo:hi]])) for b, lo,
+            hi in cuts(to[by])
+        ]
         extra = asked(sent)
         for column in ANSWERED.split(", ")[4:]:
             extra = extra.append_column(column.split()[0], pa.array([0] * len(sent), pa.int64()))
@@ -544,7 +551,10 @@ class Automaton:
 # ---- the operator ------------------------------------------------------------------------
 
 
-def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: tuple[int, ...] = LEAST, chunk_bytes: int | None = None, with_tokens: bool = False) -> DataFrame:
+def score_texts(
+    documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+    least: tuple[int, ...] = LEAST, chunk_bytes: int | None = None, with_tokens: bool = False
+) -> DataFrame:
     """Log10 probabilities of whole texts under a backoff n-gram model and an add-one unigram model.
 
     Tokens: lower-cased words [^\\x20\\x09-\\x0D]+, then one end. Learns from rows whose
@@ -585,7 +595,9 @@ def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str
         return settle(sent.groupBy("level", "bucket").applyInArrow(answer(model), ANSWERED), "lm-answers")
 
     def totals(found: DataFrame, level: int) -> list[int]:
-        whole = found.where(F.col("level") == level).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "kinds", "ones", "twos")), F.coalesce(F.max("width"), F.lit(1)))
+        whole = found.where(F.col("level") == level).agg(
+            *(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "kinds", "ones", "twos")), F.coalesce(F.max("width"), F.lit(1))
+        )
         return list(whole.first())
 
     found = answered(made.select("chunk", "words").mapInArrow(ask_words(model.buckets[0]), ASKED))
@@ -618,7 +630,10 @@ def score_texts(documents: DataFrame, folds: int = 7, fold: int = 2, id_col: str
         each = automaton.walk(c.tokens, c.starts, c.lengths, order)
         docs = len(c.ids)
         by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=docs)
-        columns = [c.ids, c.held_out, c.lengths, by_doc(c.count[c.tokens] > 0).astype(np.int64), [model.total] * docs, by_doc(automaton.root[c.tokens]), by_doc(each)]
+        columns = [
+            c.ids, c.held_out, c.lengths, by_doc(c.count[c.tokens] > 0).astype(np.int64), [model.total] * docs,
+            by_doc(automaton.root[c.tokens]), by_doc(each)
+        ]
         if with_tokens:
             columns.append([x.tolist() for x in np.split(each, c.starts[1:])])
         return pa.table({f: pa.array(x, k) for f, x, k in zip(names, columns, kinds, strict=True)})

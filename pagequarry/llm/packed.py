@@ -125,7 +125,12 @@ def by_bucket(keys: np.ndarray, buckets: int):
 
 
 def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "body": pa.array([r[2] for r in rows], pa.binary())})
+    return pa.table(
+        {
+            "bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()),
+            "body": pa.array([r[2] for r in rows], pa.binary())
+        }
+    )
 
 
 def received(bucket: pa.Table) -> list[tuple[int, bytes]]:
@@ -135,12 +140,19 @@ def received(bucket: pa.Table) -> list[tuple[int, bytes]]:
 
 def told(bucket: pa.Table, level: int, got: list[tuple[int, bytes]], bodies: list[bytes]) -> pa.Table:
     number = bucket.column("bucket")[0].as_py()
-    return pa.table({"level": pa.array([level] * len(got), pa.int64()), "bucket": pa.array([number] * len(got), pa.int64()), "chunk": pa.array([c for c, _ in got], pa.int64()), "body": pa.array(bodies, pa.binary())})
+    return pa.table(
+        {
+            "level": pa.array([level] * len(got), pa.int64()), "bucket": pa.array([number] * len(got), pa.int64()),
+            "chunk": pa.array([c for c, _ in got], pa.int64()), "body": pa.array(bodies, pa.binary())
+        }
+    )
 
 
 def pack_keys(keys: np.ndarray, several: np.ndarray) -> bytes:
     """48 bits of each key and one bit of flag; a bucket is known by the bits above."""
-    return len(keys).to_bytes(4, "little") + np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() + np.packbits(several).tobytes()
+    return len(keys).to_bytes(4, "little") + np.ascontiguousarray(
+        keys.view(np.uint8).reshape(-1, 8)[:, :6]
+    ).tobytes() + np.packbits(several).tobytes()
 
 
 def unpack_keys(body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +183,9 @@ def split_levels(replies: pa.Table | None) -> dict[int, list[tuple[int, bytes]]]
     """A chunk's answers by level: (bucket, body)."""
     out: dict[int, list[tuple[int, bytes]]] = {}
     if replies is not None:
-        for level, bucket, body in zip(replies.column("level").to_pylist(), replies.column("bucket").to_pylist(), replies.column("body").to_pylist(), strict=True):
+        for level, bucket, body in zip(
+            replies.column("level").to_pylist(), replies.column("bucket").to_pylist(), replies.column("body").to_pylist(),
+            strict=True
+        ):
             out.setdefault(level, []).append((bucket, body))
     return out

@@ -138,7 +138,10 @@ class Packer:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, id_col: str = "doc_id",
+    text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``capacity`` tokens.
 
     A document's ids are the tokenizer's, without special tokens, and then 1. Returns one

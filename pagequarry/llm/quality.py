@@ -31,9 +31,14 @@ def _mask(*ranges: tuple[int, int]) -> np.ndarray:
 
 BYTE_SHARES = {
     "upper": _mask((0x41, 0x5A)), "digit": _mask((0x30, 0x39)), "lines": _mask((0x0A, 0x0A)), "stops": _mask((0x2E, 0x2E), (0x3F, 0x3F)), "commas": _mask((0x2C, 0x2C), (0x3B, 0x3B)),
-    "shouts": _mask((0x21, 0x21)), "bars": _mask((0x7C, 0x7C)), "signs": _mask((0x23, 0x26), (0x2A, 0x2B), (0x40, 0x40), (0x5E, 0x5E), (0x7E, 0x7E)), "marks": _mask((0x22, 0x22), (0x27, 0x2F), (0x3A, 0x3E), (0x5B, 0x60), (0x7B, 0x7D)), "high": _mask((0x80, 0xFF)), "blanks": _mask((0x09, 0x0D), (0x20, 0x20)),
+    "shouts": _mask((0x21, 0x21)), "bars": _mask((0x7C, 0x7C)), "signs": _mask(
+        (0x23, 0x26), (0x2A, 0x2B), (0x40, 0x40), (0x5E, 0x5E), (0x7E, 0x7E)
+    ), "marks": _mask((0x22, 0x22), (0x27, 0x2F), (0x3A, 0x3E), (0x5B, 0x60), (0x7B, 0x7D)), "high": _mask((0x80, 0xFF)), "blanks": _mask((0x09, 0x0D), (0x20, 0x20)),
 }
-STATISTICS = ["log_bytes", "log_words", "word_bytes", "log_lines", "distinct_words", "distinct_pairs", "same_next", "top_word", "one_letter", *(f"{k}_share" for k in BYTE_SHARES), *(f"{k}_per_word" for k in ("stops", "shouts", "bars", "signs", "upper"))]
+STATISTICS = [
+    "log_bytes", "log_words", "word_bytes", "log_lines", "distinct_words", "distinct_pairs", "same_next", "top_word",
+    "one_letter", *(f"{k}_share" for k in BYTE_SHARES), *(f"{k}_per_word" for k in ("stops", "shouts", "bars", "signs", "upper"))
+]
 
 
 def statistics(texts: list[bytes]) -> np.ndarray:
@@ -256,7 +261,10 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, rows: int, id_col: s
     return own.join(F.broadcast(sample), "k_id").groupBy("k_id", "k_label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleEnsemble:
+def train(
+    documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "quality"
+) -> RuleEnsemble:
     """A model from at most ``rows`` labelled ids; see labelled_texts()."""
     chosen = labelled_texts(documents, labels, rows, id_col, text_col, label_col)
     found = with_statistics(chosen, ["k_id", "k_label"]).toArrow().sort_by([("k_k_id", "ascending"), ("k_k_label", "ascending")])
@@ -264,7 +272,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_co
     return fit(x, found.column("k_k_label").to_numpy().astype(np.float64))
 
 
-def classify(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def classify(
+    documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id",
+    text_col: str = "text", label_col: str = "quality"
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
     The score is the probability of label 1 from the whole text alone. Rows whose
@@ -276,7 +287,10 @@ def classify(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
     """
     model = train(documents, labels, rows, id_col, text_col, label_col)
     scored = with_statistics(documents, [id_col], text_col).withColumn("score", model.column())
-    return scored.select(F.col(f"k_{id_col}").cast("long").alias("doc_id"), held_out(f"k_{id_col}").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(
+        F.col(f"k_{id_col}").cast("long").alias("doc_id"), held_out(f"k_{id_col}").alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

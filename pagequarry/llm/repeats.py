@@ -79,7 +79,9 @@ class Corpus:
         if (size, lane) not in self.made:
             half = max((s for s, of in self.made if of == lane and s < size <= 2 * s), default=0)
             short = self.made[half, lane] if half else None
-            self.made[size, lane] = joined(short[: len(short) - (size - half)], short[size - half :]) if half and len(short) > size - half else every_gram(self.lanes[lane], size)
+            self.made[size, lane] = joined(
+                short[: len(short) - (size - half)], short[size - half :]
+            ) if half and len(short) > size - half else every_gram(self.lanes[lane], size)
         return self.made[size, lane]
 
 
@@ -232,7 +234,9 @@ def level_sizes(window: int) -> list[int]:
     return [*(s for s in (quarter, 2 * quarter) if s < window), window]
 
 
-def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None) -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None
+) -> DataFrame:
     """Words covered by a window of ``window`` words that also starts in a document with a smaller id.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Returns one row per input row: doc_id, n_words,

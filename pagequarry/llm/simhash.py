@@ -159,7 +159,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2, i
     prints = settle(fingerprints(documents, shingle, id_col, text_col), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     moved = components(links(nodes.where("node IS NOT NULL"), distance), "simhash-links")
-    owners = settle(nodes.join(moved, F.col("node") == F.col("u"), "left").select("fp", F.coalesce("v", "node").alias("component_id"), "n"), "simhash-owners")
+    owners = settle(
+        nodes.join(moved, F.col("node") == F.col("u"), "left").select("fp", F.coalesce("v", "node").alias("component_id"), "n"),
+        "simhash-owners"
+    )
     return spread_join(prints, owners, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -158,7 +158,9 @@ class Records:
     def gone(self, replies: dict[int, bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(suffix, window) of each window that a smaller document than the suffix's has."""
         masks = np.empty(len(self.bucket), dtype=np.uint32)
-        masks[self.by] = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(replies[b], np.uint32) for b, _, _ in zip(*runs_of(self.bucket[self.by]), strict=True))])
+        masks[self.by] = np.concatenate(
+            [np.empty(0, np.uint32), *(np.frombuffer(replies[b], np.uint32) for b, _, _ in zip(*runs_of(self.bucket[self.by]), strict=True))]
+        )
         elsewhere = (masks[self.asks] >> self.bit.astype(np.uint32) & np.uint32(1)).astype(bool)
         size = self.count[self.text]
         suffix = np.repeat(np.arange(len(self.text)), size)
@@ -233,7 +235,10 @@ def multikey_sort(data: bytes, at: np.ndarray, width: int) -> tuple[np.ndarray,
         head[(start + n_low)[n_equal > 0]] = True
         head[(start + after)[after < size]] = True
         deeper = (n_equal > 1) & (depth + 1 < len(offsets))
-        parts = [(start, n_low, depth, n_low > 1), (start + n_low, n_equal, depth + 1, deeper), (start + after, size - after, depth, size - after > 1)]
+        parts = [
+            (start, n_low, depth, n_low > 1), (start + n_low, n_equal, depth + 1, deeper),
+            (start + after, size - after, depth, size - after > 1)
+        ]
         start, size, depth = (np.concatenate([p[i][p[3]] for p in parts]) for i in range(3))
     return order, head
 
@@ -249,7 +254,9 @@ def multikey_groups(data: bytes, at: np.ndarray, width: int) -> np.ndarray:
 def read_records(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Sizes, places of the gram, documents and texts of a message's records."""
     n = int.from_bytes(body[:4], "little")
-    return np.frombuffer(body, np.uint16, count=n, offset=4), np.frombuffer(body, np.uint8, count=n, offset=4 + 2 * n), np.frombuffer(body, np.int64, count=n, offset=4 + 3 * n), body[4 + 11 * n :]
+    return np.frombuffer(body, np.uint16, count=n, offset=4), np.frombuffer(
+        body, np.uint8, count=n, offset=4 + 2 * n
+    ), np.frombuffer(body, np.int64, count=n, offset=4 + 3 * n), body[4 + 11 * n :]
 
 
 def earlier_windows(data: bytes, start: np.ndarray, size: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
@@ -379,7 +386,9 @@ def sampled_keys(chunks: DataFrame, n: int, repeated: DataFrame, window: int, bu
     """About ``wanted`` sorted records of all that is sent, from as many chunks as that takes."""
     some = min(n, max(SAMPLE_CHUNKS, wanted // SAMPLE_OF_CHUNK))
     mine = F.col("chunk") % max(1, n // some) == 0
-    sampled = chunks.where(mine).groupBy("chunk").cogroup(repeated.where(mine).groupBy("chunk")).applyInArrow(sample_records(window, buckets, -(-wanted // some)), "key binary")
+    sampled = chunks.where(mine).groupBy("chunk").cogroup(repeated.where(mine).groupBy("chunk")).applyInArrow(
+        sample_records(window, buckets, -(-wanted // some)), "key binary"
+    )
     return sorted(bytes(r[0]) for r in sampled.toLocalIterator())
 
 
@@ -392,7 +401,10 @@ def chosen_splitters(keys: list[bytes], buckets: int, gram: int) -> list[bytes]:
     return sorted(set(out))
 
 
-def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None, bucket_bytes: int | None = None, carry: list[str] | None = None) -> DataFrame:
+def remove_repeated_bytes(
+    documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None,
+    bucket_bytes: int | None = None, carry: list[str] | None = None
+) -> DataFrame:
     """Bytes covered by a ``window``-byte string that also starts in a document with a smaller id.
 
     Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
@@ -410,17 +422,26 @@ def remove_repeated_bytes(documents: DataFrame, window: int = 50, id_col: str =
     total = text_bytes(source)
     scale = growth(documents.sparkSession, CHUNK_BYTES, total)
     named = [f"c_{c}" for c in carry or []]
-    whole = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], named, strict=True)))
+    whole = documents.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
+        *(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], named, strict=True))
+    )
     chunks, n = dealt(whole, chunk_bytes or int(CHUNK_BYTES * scale), total)
     buckets = bucket_count(total / 14, int(BUCKET_KEYS * scale))
     parts = min(MOST_BUCKETS, max(1, total // (bucket_bytes or int(BUCKET_BYTES * scale))))
     grouped = chunks.groupBy("chunk")
-    repeated = settle(grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS), "suffix-grams")
+    repeated = settle(
+        grouped.applyInArrow(ask_grams(window, buckets), MESSAGES).groupBy("bucket").applyInArrow(answer_keys(0), ANSWERS),
+        "suffix-grams"
+    )
     keys = sampled_keys(chunks, n, repeated, window, buckets, max(LEAST_SAMPLE, SAMPLE_EACH * parts))
     splitters = source.sparkSession.sparkContext.broadcast(chosen_splitters(keys, parts, min(GRAM, window)) if keys else [])
     asked = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(ask_suffixes(window, buckets, splitters), MESSAGES)
     sorted_out = asked.groupBy("bucket").applyInArrow(answer_suffixes(window, min(GRAM, window)), ANSWERS)
-    return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(finish(window, buckets, splitters, named), ", ".join([RESULT, *(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in named)]))
+    return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(
+        finish(window, buckets, splitters, named),
+        ", ".join([RESULT, *(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in named)])
+    )
 
 
 def op7_suffixes(spark, sf_dir: str) -> DataFrame:
@@ -438,7 +459,10 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     names = documents.columns
     found = remove_repeated_bytes(documents, carry=names)
     kept = found.where("n_removed = 0 OR trim(clean_text) <> ''")
-    new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("c_n_chars"))} if "n_chars" in names else {"text": F.col("clean_text")}
+    new = {
+        "text": F.col("clean_text"),
+        "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("c_n_chars"))
+    } if "n_chars" in names else {"text": F.col("clean_text")}
     return kept.select(*(new.get(c, F.col(f"`c_{c}`")).alias(c) for c in names))
 
 

@@ -161,7 +161,10 @@ def best(block: Block, floor: np.ndarray, k: int):
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_values: int = BLOCK_VALUES) -> DataFrame:
+def top_k(
+    queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
+    block_values: int = BLOCK_VALUES
+) -> DataFrame:
     """Each query's ``k`` candidates of highest integer inner product, but for its own id: (query_id, rank, vec_id, score).
 
     Components become floor(1024 * x), and where that is beyond a long the largest or

@@ -152,7 +152,10 @@ def grades_of(x: Features, toxic: np.ndarray, half: np.ndarray, width: int) -> n
     return np.where(toxic == 1, 1 + (weight > cuts[0]).astype(np.int64) + (weight > cuts[1]), 0)
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, OrdinalModel]:
+def train(
+    documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "toxic"
+) -> tuple[np.ndarray, OrdinalModel]:
     """Feature words and the model, from at most ``rows`` labelled ids that are not held out: those of the smallest hash."""
     chosen = settle(labelled_texts(documents, labels, rows, id_col, text_col, label_col), "toxicity-sample")
     words = telling_words(chosen)
@@ -163,11 +166,16 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_co
             at = np.searchsorted(x.row, np.arange(x.n + 1))
             columns = [x.column[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
             values = [x.value[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
-            arrays = [batch.column("k_id"), batch.column("k_label"), pa.array(columns, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))]
+            arrays = [
+                batch.column("k_id"), batch.column("k_label"), pa.array(columns, pa.list_(pa.int64())),
+                pa.array(values, pa.list_(pa.float64()))
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=["k_id", "k_label", "columns", "values"])
 
     # one row for each of a bounded number of ids
-    found = chosen.mapInArrow(rowwise, "k_id long, k_label int, columns array<long>, values array<double>").toArrow().sort_by([("k_id", "ascending"), ("k_label", "ascending")])
+    found = chosen.mapInArrow(
+        rowwise, "k_id long, k_label int, columns array<long>, values array<double>"
+    ).toArrow().sort_by([("k_id", "ascending"), ("k_label", "ascending")])
     x = Features(words, [])
     sizes = found.column("columns").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if found.num_rows else np.empty(0, np.int64)
     x.n, x.row = found.num_rows, np.repeat(np.arange(found.num_rows), sizes)
@@ -178,7 +186,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_co
     return words, OrdinalModel.fit(x, grades_of(x, toxic, half, len(words)), len(words))
 
 
-def severity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
+def severity(
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    rows: int = TRAIN_ROWS
+) -> DataFrame:
     """(doc_id, held_out, expected_severity 0 to 3, grade, toxic_probability, toxic) of every whole text.
 
     The grade is the likeliest, of equally likely ones the lowest; toxic is 1 if P(grade >= 1)
@@ -193,9 +204,17 @@ def severity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             above = model.above(Features(words, as_bytes(batch.column("text"))))
             each = np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1) * -1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int64)), pa.array(above[:, 0]), pa.array((above[:, 0] >= 0.5).astype(np.int64))], names=["doc_id", "expected_severity", "grade", "toxic_probability", "toxic"])
-
-    scored = keyed(documents, id_col, text_col).mapInArrow(run, "doc_id long, expected_severity double, grade long, toxic_probability double, toxic long")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int64)),
+                    pa.array(above[:, 0]), pa.array((above[:, 0] >= 0.5).astype(np.int64))
+                ],
+                names=["doc_id", "expected_severity", "grade", "toxic_probability", "toxic"]
+            )
+
+    scored = keyed(documents, id_col, text_col).mapInArrow(
+        run, "doc_id long, expected_severity double, grade long, toxic_probability double, toxic long"
+    )
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "expected_severity", "grade", "toxic_probability", "toxic")
 
 

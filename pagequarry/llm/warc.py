@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pagequarry.llm.common import table
 
 #: Headers that describe the stored body or the connection; a 304 doesn't change them.
-FIXED_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
+FIXED_HEADERS = [
+    "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
+    "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"
+]
 #: Query parameters that say where a visitor came from.
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid)="
 #: A URL of more captures is cut into spans, and into so many at most.
@@ -26,7 +29,10 @@ SPAN_ROWS, SPANS = 4096, 256
 def canonical_url(url: Column) -> Column:
     """Host in lower case without www. or m., no scheme, user, default port or fragment, no trailing slash or .html, query parameters sorted and without tracking. Null stays null."""
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(F.regexp_extract(bare, "^[^/?]*", 0), "^.*@", "")), ":(80|443)$", ""), r"^(www|m)\.", "")
+    host = F.regexp_replace(
+        F.regexp_replace(F.lower(F.regexp_replace(F.regexp_extract(bare, "^[^/?]*", 0), "^.*@", "")), ":(80|443)$", ""),
+        r"^(www|m)\.", ""
+    )
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1), "/+$", ""), r"\.html$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
@@ -82,10 +88,15 @@ def resolve_revisits(captures: DataFrame, span_rows: int = SPAN_ROWS, spans: int
     both = found.select("record_id", "url_key", "r", "s").unionByName(lost.select("record_id", "url_key", "r", "s"))
     tags, dates = F.col("r.etag").isNotNull() & F.col("s.r.etag").isNotNull(), F.col("r.last_modified").isNotNull() & F.col("s.r.last_modified").isNotNull()
     agrees = F.when(tags, weak(F.col("r.etag")) == weak(F.col("s.r.etag"))).when(dates, F.col("r.last_modified") == F.col("s.r.last_modified"))
-    status = F.when(F.col("s").isNull(), "no_earlier_response").when(agrees.isNull(), "no_validator").when(agrees, "resolved").otherwise("validator_mismatch")
+    status = F.when(
+        F.col("s").isNull(), "no_earlier_response"
+    ).when(agrees.isNull(), "no_validator").when(agrees, "resolved").otherwise("validator_mismatch")
     new = F.map_filter("r.headers", lambda k, _: ~F.lower(k).isin(FIXED_HEADERS))
     old = F.map_filter("s.r.headers", lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(new), k), F.lit(False)))
-    return both.withColumn("status", status).select("record_id", "url_key", F.col("s.record_id").alias("response_id"), "status", F.when(F.col("status") == "resolved", F.map_concat(old, new)).otherwise(F.col("s.r.headers")).alias("headers"))
+    return both.withColumn("status", status).select(
+        "record_id", "url_key", F.col("s.record_id").alias("response_id"), "status",
+        F.when(F.col("status") == "resolved", F.map_concat(old, new)).otherwise(F.col("s.r.headers")).alias("headers")
+    )
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

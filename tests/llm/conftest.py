@@ -21,7 +21,11 @@ def make_rows(seed: int = 1) -> list[tuple]:
             cut = rng.randrange(0, 40)
             parts.insert(rng.randrange(len(parts)), s[cut : len(s) - rng.randrange(0, 100)])
         texts.append((i * 3, "\n".join(parts)))
-    texts += [(200, texts[3][1]), (201, texts[3][1]), (7, None), (8, ""), (9, " \t\n "), (10, "one"), (11, "two words"), (None, texts[5][1]), (None, None), (12, texts[12][1]), (12, texts[13][1]), (500, "aaaa " * 400), (501, "aaaa " * 300), (502, "x" * 400), (503, "é" * 300), (504, "y" + "é" * 200)]
+    texts += [
+        (200, texts[3][1]), (201, texts[3][1]), (7, None), (8, ""), (9, " \t\n "), (10, "one"), (11, "two words"),
+        (None, texts[5][1]), (None, None), (12, texts[12][1]), (12, texts[13][1]), (500, "aaaa " * 400), (501, "aaaa " * 300),
+        (502, "x" * 400), (503, "é" * 300), (504, "y" + "é" * 200)
+    ]
     texts += [(600, prose(rng, 60_000) + shared[0]), (3, texts[1][1]), (3, texts[1][1])]
     return [(d, t, "en", "s", None if t is None else len(t), "c", "b", "l", "n", "k", "v", "x") for d, t in texts]
 

@@ -30,7 +30,9 @@ def labelled(spark):
         labels.append((i, int(not bad), int(toxic)))
     labels += [(None, 1, 1), (5, None, None), (10**6, 0, 1)]
     docs += [(2000, None), (2001, ""), (None, "text"), (7, docs[7][1]), (2002, "w " * 100_000)]
-    return spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS score", "1 AS k_id", "2 AS q_log_bytes", "'y' AS label"), spark.createDataFrame(labels, LABELS), docs, labels
+    return spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
+        "*", "'x' AS score", "1 AS k_id", "2 AS q_log_bytes", "'y' AS label"
+    ), spark.createDataFrame(labels, LABELS), docs, labels
 
 
 def test_quality(labelled):
@@ -85,7 +87,9 @@ def test_severity_follows_what_the_binary_labels_do_not_say(spark):
             words[rng.randrange(80)] = rng.choice(["moron", "scum", "idiot", "vermin", "filth"])
         docs.append((i, " ".join(words)))
         labels.append((i, 1, int(level[i] > 0)))
-    found = toxicity.severity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)).where("held_out").collect()
+    found = toxicity.severity(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    ).where("held_out").collect()
     mean = [np.mean([r.expected_severity for r in found if level[r.doc_id] == k]) for k in (0, 1, 3, 9)]
     assert mean[0] < 0.3 and all(b - a > 0.3 for a, b in zip(mean, mean[1:], strict=False))
     toxic = [r for r in found if level[r.doc_id]]
@@ -173,7 +177,9 @@ def test_splits_are_the_best_of_all():
     assert abs(every[f, edges[f][b]] - max(every.values())) < 1e-9
     # every rule is a path whose terms are bounds of the tree, and trees separate what one cut can
     rules = quality.tree_rules(x, (x[:, 2] > 0.4).astype(float), trees=3)
-    assert any(r.holds(x).tolist() == (x[:, 2] > 0.4).tolist() or r.holds(x).tolist() == (x[:, 2] <= 0.4).tolist() for r in rules if len(r.terms) == 1) or max(abs(np.corrcoef(r.holds(x), x[:, 2] > 0.4)[0, 1]) for r in rules) > 0.95
+    assert any(
+        r.holds(x).tolist() == (x[:, 2] > 0.4).tolist() or r.holds(x).tolist() == (x[:, 2] <= 0.4).tolist() for r in rules if len(r.terms) == 1
+    ) or max(abs(np.corrcoef(r.holds(x), x[:, 2] > 0.4)[0, 1]) for r in rules) > 0.95
 
 
 def test_one_text_of_each_labelled_id(spark):
@@ -270,7 +276,11 @@ def test_probabilities_of_next_tokens_sum_to_one(spark):
     contexts = ["", "a", "a b", "c c", "b a e", "d d d d", "unknown a", "a unknown", "e a b c d e"]
     probes = [" ".join([*c.split(), w]) for c in contexts for w in words] + contexts
     ids = held_out_ids(len(probes))
-    found = {r.doc_id: r for r in langmodel.score_texts(spark.createDataFrame(train + list(zip(ids, probes, strict=True)), "doc_id long, text string"), with_tokens=True).collect()}
+    found = {
+        r.doc_id: r for r in langmodel.score_texts(
+            spark.createDataFrame(train + list(zip(ids, probes, strict=True)), "doc_id long, text string"), with_tokens=True
+        ).collect()
+    }
     scores = {t: found[i].token_scores for i, t in zip(ids, probes, strict=True)}
     for c in contexts:
         after = [scores[" ".join([*c.split(), w])][len(c.split())] for w in words]
@@ -281,7 +291,9 @@ def test_probabilities_of_next_tokens_sum_to_one(spark):
 def test_language_model_without_training_rows(spark):
     rows = [(i, t) for i, t in zip(held_out_ids(3), ["a b", "", None], strict=True)]
     found = langmodel.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found} == {(True, 3, 0, 0, 0.0, 0.0), (True, 1, 0, 0, 0.0, 0.0)}
+    assert {
+        (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found
+    } == {(True, 3, 0, 0, 0.0, 0.0), (True, 1, 0, 0, 0.0, 0.0)}
 
 
 def thue_morse(n, a="a", b="b"):

@@ -79,7 +79,9 @@ def test_bytes_with_small_windows(spark):
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 40)))) for i in range(40)]
     for window in (3, 9, 30):
         want = {d: sum(mask) for d, _, mask in removed(lambda t: t.encode(), rows, window)}
-        got = suffixes.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), window=window, chunk_bytes=200, bucket_bytes=100)
+        got = suffixes.remove_repeated_bytes(
+            spark.createDataFrame(rows, "doc_id long, text string"), window=window, chunk_bytes=200, bucket_bytes=100
+        )
         assert {r.doc_id: r.n_removed for r in got.collect()} == want
 
 
@@ -143,7 +145,9 @@ def test_chunks_grow_with_the_input_and_the_memory_of_a_task(spark):
 
 def test_planes_of_whole_numbers_come_back():
     rng = np.random.default_rng(8)
-    arrays = [rng.integers(0, 2**bits, n, dtype=np.uint64) for bits, n in ((1, 100), (17, 0), (33, 5), (64, 7), (8, 1))] + [np.zeros(9, np.int64), np.empty(0, np.int64)]
+    arrays = [
+        rng.integers(0, 2**bits, n, dtype=np.uint64) for bits, n in ((1, 100), (17, 0), (33, 5), (64, 7), (8, 1))
+    ] + [np.zeros(9, np.int64), np.empty(0, np.int64)]
     assert [a.tolist() for a in packed.expand(packed.squeeze(*arrays))] == [a.tolist() for a in arrays]
 
 
@@ -289,7 +293,11 @@ def test_exact_groups_are_those_of_all_pairs():
     rng = random.Random(6)
     for _ in range(60):
         base = [rng.sample(range(60), rng.randrange(1, 25)) for _ in range(3)]
-        sets = [np.unique(np.array([x for x in rng.choice(base) if rng.random() < 0.93] + rng.sample(range(60), rng.choice([0, 1])) + [99], dtype=np.uint64)) for _ in range(rng.randrange(2, 40))]
+        sets = [
+            np.unique(
+                np.array([x for x in rng.choice(base) if rng.random() < 0.93] + rng.sample(range(60), rng.choice([0, 1])) + [99], dtype=np.uint64)
+            ) for _ in range(rng.randrange(2, 40))
+        ]
         want = list(range(len(sets)))
         for i in range(len(sets)):
             for j in range(i):
@@ -304,7 +312,10 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     rng = random.Random(7)
     a, b, c, d, e, f = (" ".join("w%d" % rng.randrange(10**6) for _ in range(80)) for _ in range(6))
     near = a + " more"
-    rows = [(1, a), (1, a), (2, near), (3, b), (3, near), (None, c), (None, c), (None, c + " more"), (None, d), (9, d), (4, e), (4, e), (5, f), (6, f.upper()), (6, f), (7, None), (7, None), (None, "")]
+    rows = [
+        (1, a), (1, a), (2, near), (3, b), (3, near), (None, c), (None, c), (None, c + " more"), (None, d), (9, d), (4, e),
+        (4, e), (5, f), (6, f.upper()), (6, f), (7, None), (7, None), (None, "")
+    ]
     docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, own long").repartition(3)
     kept = [(r.doc_id, r.text) for r in neardup.keep_first(docs).collect()]
     lost_one = [x for x in kept if x[0] is None]

@@ -26,7 +26,10 @@ def words(text):
 
 @pytest.fixture(scope="module")
 def items(spark, rows):
-    raw = [(1, " ".join(rows[2][1].split()[5:30])), (2, rows[4][1][:60]), (3, "Two--WORDS!"), (30, "one"), (4, None), (5, "..."), (None, rows[6][1]), (1, " ".join(rows[2][1].split()[5:30]))]
+    raw = [
+        (1, " ".join(rows[2][1].split()[5:30])), (2, rows[4][1][:60]), (3, "Two--WORDS!"), (30, "one"), (4, None), (5, "..."),
+        (None, rows[6][1]), (1, " ".join(rows[2][1].split()[5:30]))
+    ]
     return raw, spark.createDataFrame(raw, "item_id long, text string").selectExpr("*", "'z' AS doc_id", "'y' AS id")
 
 
@@ -59,8 +62,12 @@ def test_decontamination(docs, rows, items, none, spark):
         kept = decontaminate.drop_contaminated(docs, benchmark, limits=limits)
         dirty = Counter(k for k, n in want.items() for _ in range(n) if k[-1])
         assert kept.columns == docs.columns and kept.count() == len(rows) - sum(dirty.values())
-        assert Counter((r.doc_id, r.text) for r in kept.collect()) <= texts and kept.where("text IS NULL").count() == docs.where("text IS NULL").count()
-        assert decontaminate.decontaminate(none, benchmark, limits=limits).count() == 0 and decontaminate.drop_contaminated(none, benchmark, limits=limits).count() == 0
+        assert Counter(
+            (r.doc_id, r.text) for r in kept.collect()
+        ) <= texts and kept.where("text IS NULL").count() == docs.where("text IS NULL").count()
+        assert decontaminate.decontaminate(
+            none, benchmark, limits=limits
+        ).count() == 0 and decontaminate.drop_contaminated(none, benchmark, limits=limits).count() == 0
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, nothing).collect())
     assert decontaminate.drop_contaminated(docs, nothing).count() == len(rows)
@@ -78,7 +85,9 @@ def restored(row):
 
 def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
     monkeypatch.setattr(common, "span_hashes", lambda data, starts, ends, lane=0: np.zeros(len(starts), np.uint64))
-    grams = pa.table({"gram": pa.array([b"a b", b"c d", b"cc d"], pa.binary()), "size": pa.array([2, 2, 2], pa.int32()), "items": [["1"], ["2", "3"], []]})
+    grams = pa.table(
+        {"gram": pa.array([b"a b", b"c d", b"cc d"], pa.binary()), "size": pa.array([2, 2, 2], pa.int32()), "items": [["1"], ["2", "3"], []]}
+    )
     index = decontaminate.GramIndex.of(grams)
     found = [(n, sorted(i), spans, hit) for n, i, spans, hit in decontaminate.scan(index.hits, [b"x A b c D", b"cc-d", b"", b"c"])]
     assert found == [(5, ["1", "2", "3"], [(2, 9)], 4), (2, [], [(0, 4)], 2), (0, [], [], 0), (1, [], [], 0)]
@@ -87,15 +96,29 @@ def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
 def test_revisits(spark):
     h = {"content-type": "text/html", "date": "1", "content-length": "9"}
     rows = [
-        (1, "http://www.A.com/x/?b=2&utm_source=q&a=1#f", 10, "response", '"e1"', None, h), (2, "https://a.com/x?a=1&b=2", 20, "revisit", 'W/"e1"', None, {"date": "2", "content-length": "0", "etag": "n"}), (3, "a.com/x?a=1&b=2", 5, "revisit", '"e1"', None, None),
-        (4, "http://a.com/x?a=1&b=2", 30, "response", '"e2"', "m2", None), (5, "http://a.com/x?a=1&b=2", 30, "revisit", '"e1"', None, None), (6, "http://a.com/x?a=1&b=2", 31, "revisit", '"e1"', None, None), (7, "http://a.com/x?a=1&b=2", 32, "revisit", None, "m2", None),
-        (8, "http://a.com/x?a=1&b=2", 33, "revisit", None, None, None), (9, None, 33, "revisit", None, None, None), (10, "http://a.com/x?a=1&b=2", None, "revisit", '"e1"', None, None), (11, "http://b.com", 1, "request", None, None, None), (6, "http://a.com/x?a=1&b=2", 31, "revisit", '"e1"', None, None), (12, "http://a.com/x?a=1&b=2", 30, "response", '"e1"', None, {}),
+        (1, "http://www.A.com/x/?b=2&utm_source=q&a=1#f", 10, "response", '"e1"', None, h), (
+            2, "https://a.com/x?a=1&b=2", 20, "revisit", 'W/"e1"', None, {"date": "2", "content-length": "0", "etag": "n"}
+        ), (3, "a.com/x?a=1&b=2", 5, "revisit", '"e1"', None, None),
+        (
+            4, "http://a.com/x?a=1&b=2", 30, "response", '"e2"', "m2", None
+        ), (5, "http://a.com/x?a=1&b=2", 30, "revisit", '"e1"', None, None), (6, "http://a.com/x?a=1&b=2", 31, "revisit", '"e1"', None, None), (7, "http://a.com/x?a=1&b=2", 32, "revisit", None, "m2", None),
+        (8, "http://a.com/x?a=1&b=2", 33, "revisit", None, None, None), (9, None, 33, "revisit", None, None, None), (
+            10, "http://a.com/x?a=1&b=2", None, "revisit", '"e1"', None, None
+        ), (11, "http://b.com", 1, "request", None, None, None), (6, "http://a.com/x?a=1&b=2", 31, "revisit", '"e1"', None, None), (12, "http://a.com/x?a=1&b=2", 30, "response", '"e1"', None, {}),
     ]
-    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>").selectExpr("*", "1 AS span", "2 AS r", "3 AS url_key")
+    df = spark.createDataFrame(
+        rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>"
+    ).selectExpr("*", "1 AS span", "2 AS r", "3 AS url_key")
     for span_rows, spans in ((1, 2), (2, 5), (4096, 256)):
         found = warc.resolve_revisits(df, span_rows, spans).collect()
         got = Counter((r.record_id, r.response_id, r.status) for r in found)
-        assert got == Counter({(2, 1, "resolved"): 1, (3, None, "no_earlier_response"): 1, (5, 1, "resolved"): 1, (6, 12, "resolved"): 2, (7, 12, "no_validator"): 1, (8, 12, "no_validator"): 1, (9, None, "no_earlier_response"): 1, (10, None, "no_earlier_response"): 1})
+        assert got == Counter(
+            {
+                (2, 1, "resolved"): 1, (3, None, "no_earlier_response"): 1, (5, 1, "resolved"): 1, (6, 12, "resolved"): 2,
+                (7, 12, "no_validator"): 1, (8, 12, "no_validator"): 1, (9, None, "no_earlier_response"): 1,
+                (10, None, "no_earlier_response"): 1
+            }
+        )
         assert next(r.headers for r in found if r.record_id == 2) == {"content-type": "text/html", "date": "2", "content-length": "9", "etag": "n"}
     assert warc.resolve_revisits(df.where("false")).count() == 0
 
@@ -106,14 +129,21 @@ def test_revisits_of_a_hot_url_whose_captures_cluster(spark):
     rows = [(0, "http://hot.org/", -(10**15), "response", "0", None, None)]
     for i in range(1, 700):
         ts = rng.choice([5, 6, 7]) if rng.random() < 0.5 else rng.randrange(1000)
-        rows.append((i, "http://hot.org/" if i % 4 else f"http://cold.org/{i % 12}", ts, rng.choice(["response", "revisit", "revisit"]), str(rng.randrange(3)), None, None))
+        rows.append(
+            (
+                i, "http://hot.org/" if i % 4 else f"http://cold.org/{i % 12}", ts,
+                rng.choice(["response", "revisit", "revisit"]), str(rng.randrange(3)), None, None
+            )
+        )
     want = {}
     for r in rows:
         if r[3] == "revisit":
             earlier = [(o[2], o[0], o[4]) for o in rows if o[3] == "response" and o[1] == r[1] and o[2] < r[2]]
             last = max(earlier, default=None)
             want[r[0]] = (None, "no_earlier_response") if last is None else (last[1], "resolved" if last[2] == r[4] else "validator_mismatch")
-    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>").repartition(4)
+    df = spark.createDataFrame(
+        rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>"
+    ).repartition(4)
     for span_rows, spans in ((30, 20), (4096, 256)):
         assert {r.record_id: (r.response_id, r.status) for r in warc.resolve_revisits(df, span_rows, spans).collect()} == want
     usable = df.select(warc.canonical_url(F.col("url")).alias("url_key"), "ts")
@@ -125,9 +155,15 @@ def test_revisits_of_a_hot_url_whose_captures_cluster(spark):
 def test_top_k(spark, scale):
     rng = random.Random(8)
     rows = [(i, [rng.choice([0.0, 0.5, -0.25, 0.1]) * scale for _ in range(4)]) for i in range(300)]
-    rows += [(400, None), (500, [1.0, None, 0.0, 0.0]), (600, [float("nan")] * 4), (700, [1.0, 2.0]), (None, [1.0] * 4), (3, rows[3][1]), (800, [float("inf"), 0.0, 0.0, 0.0])]
+    rows += [
+        (400, None), (500, [1.0, None, 0.0, 0.0]), (600, [float("nan")] * 4), (700, [1.0, 2.0]), (None, [1.0] * 4),
+        (3, rows[3][1]), (800, [float("inf"), 0.0, 0.0, 0.0])
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS v", "1 AS query").repartition(3)
-    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [
+        (i, [int(np.floor(1024 * x)) for x in v]) for i,
+        v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
     want = set()
     for q, a in {i: v for i, v in good if i % 100 == 0}.items():
         scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(b) == len(a))
@@ -150,7 +186,10 @@ def test_top_k_of_values_beyond_longs(spark):
     want = set()
     for q in whole:
         if q % 100 == 0:
-            scores = sorted((-long(sum(x * y for x, y in zip(whole[q], b, strict=True))), i) for i, b in whole.items() if i != q and len(b) == len(whole[q]))
+            scores = sorted(
+                (-long(sum(x * y for x, y in zip(whole[q], b, strict=True))), i) for i,
+                b in whole.items() if i != q and len(b) == len(whole[q])
+            )
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])}
     for block in (1 << 20, 3):
         assert {tuple(r) for r in topk.top_k(df.where("vec_id % 100 = 0"), df, block_values=block).collect()} == want
@@ -163,7 +202,10 @@ def bpe():
 
 
 def test_tokenizer_equals_the_library(bpe, rows):
-    odd = ["don't STOP's <|endoftext|>hello <b>x</b> naïve ÀÉÎÕÜ ß× ÷ 12345 a1b2 中文 한국어 nb sp\x0bvt é İstanbul", "", " ", "a" * 100, "é" * 30, "'s 'S can't", "x\x00y", "½ ² ª º µ", " a　b"]
+    odd = [
+        "don't STOP's <|endoftext|>hello <b>x</b> naïve ÀÉÎÕÜ ß× ÷ 12345 a1b2 中文 한국어 nb sp\x0bvt é İstanbul", "", " ", "a" * 100,
+        "é" * 30, "'s 'S can't", "x\x00y", "½ ² ª º µ", " a　b"
+    ]
     texts = [t or "" for _, t, *_ in rows][:40] + odd
     ids, at = bpe.encode([t.encode() for t in texts])
     for i, e in enumerate(bpe.library.encode_batch(texts, add_special_tokens=False)):
@@ -260,7 +302,13 @@ def test_every_stage_is_its_brute_force(spark):
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     x = np.array([plain_statistics(t) for _, t in rows])
     assert np.allclose(x, quality.statistics([t.encode() for _, t in rows]))
-    score = [1 / (1 + math.exp(-model.intercept - sum(w for w, r in model.rules if all((a is None or v[f] > a) and (b is None or v[f] <= b) for f, a, b in r.terms)))) for v in x]
+    score = [
+        1 / (
+            1 + math.exp(
+                -model.intercept - sum(w for w, r in model.rules if all((a is None or v[f] > a) and (b is None or v[f] <= b) for f, a, b in r.terms))
+            )
+        ) for v in x
+    ]
     good = corpus_pipeline.settle(stages["quality"](spark, docs, SF), "test")
     assert texts_of(good) == [r for r, s in zip(rows, score, strict=True) if s >= quality.THRESHOLD]
     firsts = corpus_pipeline.settle(stages["near_duplicates"](spark, good, SF), "test")
