@@ -308,6 +308,49 @@ def test_exact_groups_are_those_of_all_pairs():
         assert neardup.exact_groups(sets, 0.8).tolist() == want
 
 
+def plain_copies(rows):
+    """Ids of rows whose group has a smaller one, by comparing all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if x == b else x for x in group]
+    return {rows[i][0] for i in range(len(rows)) if group[i] != i}
+
+
+@pytest.mark.parametrize(("cell", "pivots", "key"), [(12, 4, 1 << 15), (12, 4, 10), (40, 1, 10), (4, 16, 1 << 15)])
+def test_crowded_groups_are_confirmed_in_cells_without_losing_links(spark, monkeypatch, cell, pivots, key):
+    """A clump around one text, a chain that drifts away from it, and texts that only the sieves link."""
+    monkeypatch.setattr(neardup, "CELL_ROWS", cell)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(neardup, "KEY_ROWS", key)
+    rng = random.Random(17)
+    new = lambda: "w%d" % rng.randrange(10**6)
+    base = [new() for _ in range(120)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            own[rng.randrange(120)] = new()
+        texts.append(own)
+    chain = list(base)
+    for _ in range(40):
+        chain = list(chain)
+        chain[rng.randrange(120)] = new()
+        texts.append(chain)
+    for _ in range(25):
+        own = list(base)
+        for at in range(0, 120, 12):
+            own[at] = new()
+        texts.append(own)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    want = plain_copies(rows)
+    got = {r.doc_id for r in neardup.copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and 70 < len(want) < len(rows) - 5
+
+
 def test_one_row_of_each_group_of_copies_stays(spark):
     rng = random.Random(7)
     a, b, c, d, e, f = (" ".join("w%d" % rng.randrange(10**6) for _ in range(80)) for _ in range(6))
