@@ -26,10 +26,11 @@ def continues(following) -> Column:
     return ~disallowed(x) & ~x.rlike(T.NUMBERED_LINE) & ((hangul_count(x) >= 2) | x.contains("?"))
 
 
-def plausible(suffix, following) -> Column:
-    """What follows the number looks like a question."""
+def plausible(suffix, following, reads: Column | None = None) -> Column:
+    """What follows the number looks like a question; ``reads`` is continues() of the following line where that is known."""
     suffix = T.col(suffix)
-    reads_on = F.when(nonblank(suffix), (hangul_count(suffix) >= 2) | suffix.contains("?") | continues(following)).otherwise(continues(following))
+    on = continues(following) if reads is None else reads
+    reads_on = F.when(nonblank(suffix), (hangul_count(suffix) >= 2) | suffix.contains("?") | on).otherwise(on)
     return ~suffix.rlike(T.TERM_SUFFIX) & ~code_like(suffix) & reads_on
 
 

@@ -79,6 +79,7 @@ def to_ratio(x0: str, x1: str, size: str) -> tuple[Column, Column]:
 # ---- pages with their lines and the questions that start on them -------------------------
 
 LINE = ["line_in_page", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio"]
+PLACE = [c for c in LINE if c != "text"]
 
 
 def with_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
@@ -90,8 +91,8 @@ def with_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
 def page_table(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pages that have an image, their lines in order, and the questions that start on each.
 
-    ``lines`` also say which numbers a line's text names (see named()); ``starts`` are the
-    candidates by line, ``heads`` those of them whose line exists, with that line. A page's
+    ``lines`` have their places, whether they show anything, and which numbers their texts
+    name (see named()), ``marks`` are those that name some; ``starts`` are the candidates by line, ``heads`` those of them whose line exists, with that line. A page's
     lines and questions are one row's arrays, so what follows compares them in place. The
     table is written, as it is joined more than once.
     """
@@ -106,32 +107,28 @@ def page_table(pages: DataFrame, candidates: DataFrame) -> DataFrame:
         F.transform(F.coalesce("lines", F.array().cast(pages.schema["lines"].dataType)), lambda l: F.struct(*(l[c].alias(c) for c in LINE)))
     )
     x = pages.where(T.nonblank("image_path")).join(starts, ["source_file", "page_index"], "left")
-    x = x.withColumn("lines", F.transform(ordered, lambda l: F.struct(*(l[c].alias(c) for c in LINE), named(l["text"]).alias("named"))))
+    said = lambda l: F.struct(*(l[c].alias(c) for c in PLACE), T.nonblank(l["text"]).alias("shown"), named(l["text"]).alias("named"))
+    x = x.withColumn("lines", F.transform(ordered, said))
     x = x.withColumn("starts", F.coalesce("starts", F.array().cast(x.schema["starts"].dataType)))
-    found = F.transform(
-        "starts",
-        lambda s: F.struct(s["start_line"].alias("start_line"), s["index"].alias("index"), at_line("lines", s["start_line"]).alias("line"))
-    )
-    return settle(x.withColumn("heads", F.filter(found, lambda h: h["line"].isNotNull())), "layout-pages")
-
+    # of lines in order, the first of a number
+    numbers = F.transform("lines", lambda l: l["line_in_page"].cast("int"))
+    at = lambda all_numbers, s: F.get("lines", F.array_position(all_numbers, s["start_line"].cast("int")).cast("int") - 1)
+    head = lambda s, line: F.struct(s["start_line"].alias("start_line"), s["index"].alias("index"), line.alias("line"))
+    found = let(numbers, lambda n: F.transform("starts", lambda s: head(s, at(n, s))))
+    marks = F.filter("lines", lambda l: l["named"].isNotNull())
+    return settle(x.withColumns({"heads": F.filter(found, lambda h: h["line"].isNotNull()), "marks": marks}), "layout-pages")
 
-def pinned(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that are computed once a row, however often they are used: a generator of one row, which the optimizer doesn't dissolve."""
-    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("pinned")
-    return df.select("*", made).select("*", *(F.col(f"pinned.{name}").alias(name) for name in columns)).drop("pinned")
 
-
-def at_line(lines: str, number: Column) -> Column:
-    """The first line of this number, null if there is none."""
-    return F.get(F.filter(lines, lambda l: l["line_in_page"] == number), F.lit(0))
+def let(x: Column, body) -> Column:
+    """``body`` of ``x``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def on_pages(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """Each candidate on each page of its span that has an image, with its anchor: its first line, if that page has one."""
-    anchors = table.select("source_file", F.col("page_index").alias("start_page"), F.col("lines").alias("start_lines"))
-    anchored = candidates.join(anchors, ["source_file", "start_page"], "left").withColumn(
-        "anchor", at_line("start_lines", F.col("start_line"))
-    ).drop("start_lines")
+    heads = table.select("source_file", F.col("page_index").alias("start_page"), F.explode("heads").alias("h"))
+    anchors = heads.select("source_file", "start_page", F.col("h.start_line").alias("start_line"), F.col("h.line").alias("anchor"))
+    anchored = candidates.join(anchors.dropDuplicates(["source_file", "start_page", "start_line"]), ["source_file", "start_page", "start_line"], "left")
     return anchored.withColumn("page_index", F.explode(F.sequence("start_page", "end_page"))).join(table, ["source_file", "page_index"])
 
 
@@ -177,16 +174,21 @@ def narrow(lines: Column, anchor: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(lines)
 
 
+def boxed(lines: Column, crop) -> Column:
+    """The padded box of lines, as wide as those that ``crop`` makes of them; null without any."""
+    return let(lines, lambda own: F.when(F.size(own) > 0, let(crop(own), lambda some: padded_box(own, some))))
+
+
 def finished(df: DataFrame, box: Column) -> DataFrame:
-    """Segments of at least the least size, with the page's image."""
-    x = pinned(df, box=box)
-    return x.select(
-        "source_file", "index", "start_page", "start_line", "page_index", "image_path", F.col("box.left_ratio").alias("left_ratio"), F.col("box.top_ratio").alias("top_ratio"),
-        at_least(F.col("box.left_ratio"), F.col("box.right_ratio"), MIN_WIDTH).alias("right_ratio"), at_least(
-            F.col("box.top_ratio"), F.col("box.bottom_ratio"), MIN_HEIGHT
-        ).alias("bottom_ratio"),
-        "pixel_width", "pixel_height",
-    )
+    """Segments of at least the least size, with the page's image; rows without a box go."""
+    right = lambda b: at_least(b["left_ratio"], b["right_ratio"], MIN_WIDTH)
+    bottom = lambda b: at_least(b["top_ratio"], b["bottom_ratio"], MIN_HEIGHT)
+    sized = lambda b: F.struct(
+        b["left_ratio"].alias("left_ratio"), b["top_ratio"].alias("top_ratio"), right(b).alias("right_ratio"), bottom(b).alias("bottom_ratio")
+    )
+    names = ["source_file", "index", "start_page", "start_line", "page_index", "image_path"]
+    x = df.select(*names, "pixel_width", "pixel_height", let(box, lambda b: F.when(b.isNotNull(), sized(b))).alias("s"))
+    return x.where("s IS NOT NULL").select(*names, "s.*", "pixel_width", "pixel_height")
 
 
 def question_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
@@ -205,20 +207,16 @@ def question_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
     lower = F.when(last, line_bottom(F.col("end_line"), lines_at_end, upper)).otherwise(1.0)
     by_number = F.struct(F.lit(0.0).alias("left_ratio"), upper.alias("top_ratio"), F.lit(1.0).alias("right_ratio"), lower.alias("bottom_ratio"))
     limit = F.when(first, clamp(F.col("anchor.top_ratio") - PADDING)).otherwise(0.0)
-    x = pinned(x, by_number=by_number, limit=limit, next_top=next_top())
     anchor = F.col("anchor")
-    below = lambda l: F.col("next_top").isNull() | (l["top_ratio"] < F.col("next_top"))
-    own = F.filter("lines", lambda l: T.nonblank(l["text"]) & beside(l, anchor) & (l["bottom_ratio"] >= F.col("limit")) & below(l))
+    below = lambda l, top: top.isNull() | (l["top_ratio"] < top)
+    fits = lambda l, edges: l["shown"] & (l["bottom_ratio"] >= edges["limit"]) & below(l, edges["next_top"]) & beside(l, anchor)
+    edges = F.struct(limit.alias("limit"), next_top().alias("next_top"))
+    own = let(edges, lambda e: F.filter("lines", lambda l: fits(l, e)))
     low_line = F.when(first, F.col("start_line")).otherwise(1)
-    counted = F.filter(
-        "lines",
-        lambda l: (l["line_in_page"] >= low_line) & (last.eqNullSafe(F.lit(False)) | (l["line_in_page"] <= F.col("end_line")))
-    )
-    x = pinned(x, own=F.when(anchor.isNotNull(), own).otherwise(counted))
-    x = x.where(first | anchor.isNull() | (F.size("lines") == 0) | (F.size("own") > 0))
-    crop = F.when(anchor.isNotNull(), narrow(F.col("own"), anchor)).otherwise(F.col("own"))
-    x = pinned(x, crop=crop)
-    return finished(x, F.when(F.size("own") > 0, padded_box(F.col("own"), F.col("crop"))).otherwise(F.col("by_number")))
+    counted = F.filter("lines", lambda l: (l["line_in_page"] >= low_line) & (~last | (l["line_in_page"] <= F.col("end_line"))))
+    box = F.when(anchor.isNotNull(), boxed(own, lambda some: narrow(some, anchor))).otherwise(boxed(counted, lambda some: some))
+    cut = F.when(first | anchor.isNull() | (F.size("lines") == 0), by_number)
+    return finished(x, F.coalesce(box, cut))
 
 
 def distinct_segments(segments: DataFrame, order: str = "pos", of: list[str] | None = None) -> DataFrame:
@@ -233,8 +231,10 @@ def distinct_segments(segments: DataFrame, order: str = "pos", of: list[str] | N
 
 def named(x: Column) -> Column:
     """Which questions a passage's marker names: struct of start and end of a range, the start alone, the end alone; null if it is no marker."""
-    t = T.utrim(F.coalesce(x, F.lit("")))
-    marks = (t.contains(T.MARKER_WORDS[0]) | t.contains(T.MARKER_WORDS[1]) | t.contains(T.MARKER_WORDS[2])) & t.rlike("[-~〜]")
+    # few lines are markers, and only theirs are read closely
+    words = [x.contains(word) for word in T.MARKER_WORDS]
+    marks = (words[0] | words[1] | words[2]) & x.rlike("[-~〜]")
+    t = T.utrim(x)
     number = lambda pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
     low, high = number(T.RANGE_HINT, 1), number(T.RANGE_HINT, 2)
     whole = (low > 0) & (high >= low)
@@ -262,8 +262,8 @@ def range_for(name: Column, index: Column, fallback: Column | None = None) -> Co
     return out
 
 
-def shared_contexts(candidates: DataFrame, table: DataFrame) -> DataFrame:
-    """(source_file, index, start_page, start_line, context_line, question_line): the passage that a question shares with others.
+def with_context(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """on_pages() of each question's first page with ``context``: the lines at which the passage that it shares with others and that passage's questions start.
 
     The nearest line above the question in its column that names a range with its number,
     and below which the first question of that range starts: the passage is what is between
@@ -275,32 +275,29 @@ def shared_contexts(candidates: DataFrame, table: DataFrame) -> DataFrame:
     first_in = lambda r: F.get(
         F.filter("starts", lambda s: (s["index"] > 0) & s["index"].between(r["low"], r["high"])), F.lit(0)
     )["start_line"]
-    above = F.filter(
-        "lines",
-        lambda l: (l["line_in_page"] < F.col("start_line")) & (l["line_in_page"] >= 1) & l["named"].isNotNull() & beside(l, anchor)
-    )
+    above = F.filter("marks", lambda l: (l["line_in_page"] < F.col("start_line")) & (l["line_in_page"] >= 1) & beside(l, anchor))
     named_by = lambda l: F.struct(l["line_in_page"].alias("line"), first_in(range_for(l["named"], index)).alias("question"))
     earlier = lambda h: (h["index"] > 0) & (h["start_line"] < F.col("start_line")) & (h["index"] < index) & beside(h["line"], anchor)
     prior = F.filter("heads", lambda h: earlier(h) & range_for(h["line"]["named"], index, h["index"]).isNotNull())
-    x = pinned(x, marks=F.transform(above, named_by))
-    x = pinned(x, mark=F.try_element_at(F.filter("marks", lambda m: m["question"] > m["line"]), F.lit(-1)), prior=F.try_element_at(prior, F.lit(-1)))
-    question = F.when(F.col("mark").isNotNull(), F.col("mark.question")).otherwise(F.col("start_line"))
-    x = pinned(x, context_line=F.coalesce("mark.line", "prior.start_line"), question_line=question)
-    return x.where("context_line IS NOT NULL")
+    mark = F.try_element_at(F.filter(F.transform(above, named_by), lambda m: m["question"] > m["line"]), F.lit(-1))
+    both = F.struct(mark.alias("mark"), F.try_element_at(prior, F.lit(-1)).alias("prior"))
+    line = lambda b: F.coalesce(b["mark"]["line"], b["prior"]["start_line"])
+    question = lambda b: F.when(b["mark"].isNotNull(), b["mark"]["question"]).otherwise(F.col("start_line"))
+    return x.withColumn("context", let(both, lambda b: F.when(line(b).isNotNull(), F.struct(line(b).alias("context_line"), question(b).alias("question_line")))))
+
+
+def shared_contexts(candidates: DataFrame, table: DataFrame) -> DataFrame:
+    """(source_file, index, start_page, start_line, context_line, question_line) of the questions that share a passage; see with_context()."""
+    x = with_context(candidates, table).select("source_file", "index", "start_page", "start_line", "context")
+    return x.where("context IS NOT NULL").select("source_file", "index", "start_page", "start_line", "context.*")
 
 
 def shared_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """The crop of each question's shared passage: its non-blank lines in the question's column, as wide as those of its first line's crop."""
-    x = shared_contexts(candidates, table)
-    own = F.filter(
-        "lines",
-        lambda l: (
-            l["line_in_page"] >= F.col("context_line")
-        ) & (l["line_in_page"] < F.col("question_line")) & T.nonblank(l["text"]) & beside(l, F.col("anchor"))
-    )
-    x = pinned(pinned(x, own=own).where(F.size("own") > 0), first=F.get("own", F.lit(0)))
-    x = pinned(x, crop=narrow(F.col("own"), F.col("first")))
-    return finished(x, padded_box(F.col("own"), F.col("crop")))
+    x = with_context(candidates, table)
+    inside = lambda l, c: (l["line_in_page"] >= c["context_line"]) & (l["line_in_page"] < c["question_line"])
+    own = let(F.col("context"), lambda c: F.filter("lines", lambda l: inside(l, c) & l["shown"] & beside(l, F.col("anchor"))))
+    return finished(x, F.when(F.col("context").isNotNull(), boxed(own, lambda some: narrow(some, F.get(some, F.lit(0))))))
 
 
 def image_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:

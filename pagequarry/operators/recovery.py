@@ -59,7 +59,7 @@ def clues(lines: DataFrame, markers: DataFrame, low: int | str, high: int | str)
     })
     x = x.withColumns(
         {
-            "next_text": F.lead("text").over(page), "next_reads": F.coalesce(F.lead("reads").over(page), F.lit(False)),
+            "next_reads": F.coalesce(F.lead("reads").over(page), F.lit(False)),
             "indent": F.lag("left_ratio").over(page) - F.col("left_ratio")
         }
     )
@@ -72,7 +72,7 @@ def clues(lines: DataFrame, markers: DataFrame, low: int | str, high: int | str)
         + OF_SHORT_PREFIX * t.rlike(SHORT_PREFIX).cast("int") + OF_LEADING_WORD * F.position(F.lit(LEADING_WORD), t).between(1, LEADING_PLACES).cast("int")
         + OF_INDENT * F.coalesce(F.col("indent") > LEAST_INDENT, F.lit(False)).cast("int")
     )
-    shows = ~F.col("bad") & (F.col("shown") != "") & ~F.col("shown").rlike("^0") & plausible(F.col("suffix"), F.col("next_text"))
+    shows = ~F.col("bad") & (F.col("shown") != "") & ~F.col("shown").rlike("^0") & plausible(F.col("suffix"), None, F.col("next_reads"))
     found = x.join(markers.select("source_file", "pos", "index"), ["source_file", "pos"], "left").select(
         "source_file", "pos", "left_ratio", "index", "low", "high", F.when(
             shows, F.col("shown").try_cast("int")

@@ -219,6 +219,7 @@ def test_practice_sets(spark):
     assert sorted(session) == ["q3", "q4"]
     assert [r["index"] for r in catalogue.review(q, "c", "F1").collect()] == [1, 7]
     names = spark.createDataFrame([("1", "b"), ("2", "B"), ("3", "a"), ("4", "A")], "id string, name string")
+    assert [catalogue.file_count(q, c, f).first().questions for c, f in (("C", "F1"), ("c", "f9"), ("none", "f1"))] == [4, 0, 0]
     assert [r.name for r in catalogue.listed(names).collect()] == ["a", "A", "b", "B"]
     uuid = "0123abcd-0123-0123-0123-0123456789ab"
     some = spark.createDataFrame(

@@ -28,6 +28,8 @@ def rows(names, data):
 def test_query(spark, db, name):
     df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
+    # those without SQL are held against Python in test_headings.py
+    assert name in ORACLES or name in ("gap_markers", "inline_breaks") and got
     if name in ORACLES:
         want = db.execute(ORACLES[name])
         assert sorted(df.columns) == sorted(d[0] for d in want.description)
