@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import table
+from pagequarry.session import settle
 
 #: Headers that describe the stored body or the connection; a 304 doesn't change them.
 FIXED_HEADERS = [
@@ -24,6 +25,8 @@ FIXED_HEADERS = [
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid)="
 #: A URL of more captures is cut into spans, and into so many at most.
 SPAN_ROWS, SPANS = 4096, 256
+#: URLs that are cut at most; their cuts are broadcast (8 MB).
+HOT_URLS = 4096
 
 
 def canonical_url(url: Column) -> Column:
@@ -44,11 +47,16 @@ def weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def span_cuts(usable: DataFrame, span_rows: int, spans: int) -> DataFrame:
-    """(url_key, cuts): of each URL with more captures than a span should have, the times at which its spans begin."""
-    many = usable.groupBy("url_key").agg(F.count("*").alias("n")).where(F.col("n") > span_rows).select("url_key")
+def crowded_urls(usable: DataFrame, span_rows: int) -> DataFrame:
+    """(url_key, n) of the URLs with more captures than a span should have, written; the HOT_URLS largest, as no other can have more than its share."""
+    counts = usable.groupBy("url_key").agg(F.count("*").alias("n")).where(F.col("n") > span_rows)
+    return settle(counts.orderBy(F.desc("n"), "url_key").limit(HOT_URLS), "warc-urls")
+
+
+def span_cuts(usable: DataFrame, urls: DataFrame, spans: int) -> DataFrame:
+    """(url_key, cuts): of each of the URLs the times at which its spans begin."""
     shares = [i / spans for i in range(1, spans)]
-    times = usable.select("url_key", "ts").join(many, "url_key", "left_semi")
+    times = usable.select("url_key", "ts").join(F.broadcast(urls.select("url_key")), "url_key", "left_semi")
     return times.groupBy("url_key").agg(F.array_distinct(F.percentile_approx("ts", shares, 10 * spans)).alias("cuts"))
 
 
@@ -73,9 +81,13 @@ def resolve_revisits(captures: DataFrame, span_rows: int = SPAN_ROWS, spans: int
     )
     usable = rows.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
     # the span of a capture is how many of its URL's cuts are not after it
-    usable = usable.join(span_cuts(usable, span_rows, spans), "url_key", "left")
-    span = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))))
-    usable = usable.withColumn("span", span).drop("cuts")
+    urls = crowded_urls(usable, span_rows)
+    if urls.isEmpty():
+        usable = usable.withColumn("span", F.lit(0))
+    else:
+        cuts = F.broadcast(settle(span_cuts(usable, urls, spans), "warc-cuts"))
+        span = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))))
+        usable = usable.join(cuts, "url_key", "left").withColumn("span", span).drop("cuts")
     stored = F.when(F.col("full"), F.struct("ts", "record_id", "r"))
     # one row for each URL and span that has captures: the span's latest response, null if it has none
     ends = usable.groupBy("url_key", "span").agg(F.max_by(stored, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("own"))

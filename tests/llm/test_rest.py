@@ -147,7 +147,7 @@ def test_revisits_of_a_hot_url_whose_captures_cluster(spark):
     for span_rows, spans in ((30, 20), (4096, 256)):
         assert {r.record_id: (r.response_id, r.status) for r in warc.resolve_revisits(df, span_rows, spans).collect()} == want
     usable = df.select(warc.canonical_url(F.col("url")).alias("url_key"), "ts")
-    cuts = {r.url_key: r.cuts for r in warc.span_cuts(usable, 100, 20).collect()}
+    cuts = {r.url_key: r.cuts for r in warc.span_cuts(usable, warc.crowded_urls(usable, 100), 20).collect()}
     assert set(cuts) == {"hot.org"} and len(cuts["hot.org"]) > 8 and min(cuts["hot.org"]) >= 0
 
 
