@@ -20,10 +20,10 @@ def code_like(x) -> Column:
     return (x != "") & (x.rlike(T.CODE_SUFFIX) | x.rlike(T.NUMBER_SUFFIX))
 
 
-def continues(following) -> Column:
-    """The next line reads on: it has words and is no heading itself."""
+def continues(following, bad: Column | None = None) -> Column:
+    """The next line reads on: it has words and is no heading itself; ``bad`` is disallowed() of it where that is known."""
     x = utrim(F.coalesce(T.col(following), F.lit("")))
-    return ~disallowed(x) & ~x.rlike(T.NUMBERED_LINE) & ((hangul_count(x) >= 2) | x.contains("?"))
+    return ~(disallowed(x) if bad is None else bad) & ~x.rlike(T.NUMBERED_LINE) & ((hangul_count(x) >= 2) | x.contains("?"))
 
 
 def plausible(suffix, following, reads: Column | None = None) -> Column:
@@ -61,7 +61,7 @@ def marked(
     """
     patterns = patterns or {"index": T.STRICT_HEADING}
     text = F.coalesce("text", F.lit(""))
-    x = lines.withColumns({"m_bad": disallowed("text"), "m_reads": continues("text")})
+    x = lines.withColumn("m_bad", disallowed("text")).withColumn("m_reads", continues("text", F.col("m_bad")))
     for name, pattern in patterns.items():
         suffix = utrim(F.regexp_replace(text, pattern, ""))
         x = x.withColumns({f"m_{name}": heading_number(F.regexp_extract(text, pattern, 1)), f"m_{name}_suffix": suffix})

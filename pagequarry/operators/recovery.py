@@ -18,6 +18,7 @@ from pagequarry.functions import text as T
 from pagequarry.functions.text import hangul_count, utrim
 from pagequarry.operators.headings import code_like, continues, disallowed, marked, plausible
 from pagequarry.operators.segments import accept_rising, positioned
+from pagequarry.session import settle
 
 # What a line must look like to be taken for a heading without a number, how
 # much each sign counts, and how far scores may be apart.
@@ -37,26 +38,26 @@ def bound(x: int | str) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-def read_markers(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
-    """(source_file, pos, index) of the headings as read, within the bounds; ``lines`` are positioned."""
+def with_markers(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
+    """``lines``, which are positioned, with the heading numbers as read, within the bounds, as ``index``."""
     x = lines.withColumns({"m_low": bound(low), "m_high": bound(high)})
     found = accept_rising(marked(x, "pos", "m_low", "m_high"))
-    return found.where("accepted").select("source_file", "pos", F.col("index").cast("int").alias("index"))
+    return found.withColumn("index", F.when(F.col("accepted"), F.col("index")).cast("int")).drop("accepted", "m_low", "m_high")
 
 
-def clues(lines: DataFrame, markers: DataFrame, low: int | str, high: int | str) -> DataFrame:
-    """Each line's heading number, shown number, and score as a numberless heading but for its place; ``lines`` are positioned."""
+def clues(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
+    """Each line's heading number, shown number, and score as a numberless heading but for its place; ``lines`` are positioned and have ``index``."""
     page = Window.partitionBy("source_file", "page_index").orderBy("pos")
     t, text = utrim("text"), F.coalesce("text", F.lit(""))
     x = lines.select(
-        "source_file", "page_index", "pos", "left_ratio", text.alias("text"), bound(low).cast("int").alias("low"),
+        "source_file", "page_index", "pos", "left_ratio", text.alias("text"), "index", bound(low).cast("int").alias("low"),
         bound(high).cast("int").alias("high")
     )
     # what a line says by itself, below the window
     x = x.withColumns({
-        "t": t, "bad": disallowed("text"), "reads": continues("text"), "shown": F.regexp_extract("text", SHOWN_NUMBER, 1),
+        "t": t, "bad": disallowed("text"), "shown": F.regexp_extract("text", SHOWN_NUMBER, 1),
         "suffix": utrim(F.regexp_replace("text", SHOWN_NUMBER, "")), "syllables": hangul_count(t), "asks": t.contains("?"),
-    })
+    }).withColumn("reads", continues("text", F.col("bad")))
     x = x.withColumns(
         {
             "next_reads": F.coalesce(F.lead("reads").over(page), F.lit(False)),
@@ -73,7 +74,7 @@ def clues(lines: DataFrame, markers: DataFrame, low: int | str, high: int | str)
         + OF_INDENT * F.coalesce(F.col("indent") > LEAST_INDENT, F.lit(False)).cast("int")
     )
     shows = ~F.col("bad") & (F.col("shown") != "") & ~F.col("shown").rlike("^0") & plausible(F.col("suffix"), None, F.col("next_reads"))
-    found = x.join(markers.select("source_file", "pos", "index"), ["source_file", "pos"], "left").select(
+    found = x.select(
         "source_file", "pos", "left_ratio", "index", "low", "high", F.when(
             shows, F.col("shown").try_cast("int")
         ).alias("shown"), F.when(eligible, score).cast("int").alias("score"),
@@ -149,9 +150,14 @@ def recover(lines: DataFrame, low: int | str, high: int | str, markers: DataFram
     """
     placed = lines if "pos" in lines.columns else positioned(lines)
     kind = placed.schema["source_file"].dataType.simpleString()
-    found = clues(placed, read_markers(placed, low, high) if markers is None else markers, low, high)
+    if markers is None:
+        read = with_markers(placed, low, high)
+    else:
+        read = placed.join(markers.select("source_file", "pos", F.col("index").cast("int").alias("index")), ["source_file", "pos"], "left")
+    found = clues(read, low, high)
     have = F.count_if(F.col("index").between(F.col("low"), F.col("high"))).over(Window.partitionBy("source_file"))
     found = found.withColumn("have", have).withColumn("gaps", (F.col("have") > 0) & (F.col("have") < F.col("high") - F.col("low") + 1))
+    found = settle(found, "recovery-clues")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
