@@ -17,25 +17,33 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> Dat
     Keys with more than their share, of which there can be no more than HOT_KEYS, are
     broadcast, so their rows stay where they lie; all others are dealt by key.
     """
-    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    total, largest = table.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
     limit = max(HOT_ROWS, total // HOT_KEYS)
+    if largest <= limit:
+        return rows.join(table.drop(weight), key)
     hot, rest = table.where(F.col(weight) > limit).drop(weight), table.where(F.col(weight) <= limit).drop(weight)
     apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(apart.join(rest, key))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Edges with the smallest neighbour ``m`` of u, and the table of that; a node with very many links is no single task's."""
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links")), f"{label}-least")
+    return spread_join(edges, least, "u", "links"), least
+
+
+def _large_star(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Each node's larger neighbours move to the smallest of its neighbours and itself."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+    moved, least = _with_least(both, label)
+    return moved.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Each node and its smaller neighbours move to the smallest of them; every edge has u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved, least = _with_least(edges, label)
+    there = least.select("u", F.col("m").alias("v"))
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(there).distinct(), least
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -49,8 +57,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), label)
     seen = None
     while True:
-        before, now = now, settle(_small_star(_large_star(now)), label)
-        discard(before)
+        large, one = _large_star(now, label)
+        large = settle(large, label)
+        small, two = _small_star(large, label)
+        small = settle(small, label)
+        discard(now, one, large, two)
+        now = small
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return now

@@ -6,7 +6,7 @@ its neighbours. A first exchange asks of each selected gram whether another docu
 only suffixes that survive are sorted. Those are range-partitioned by their leading bytes at
 splitters taken from a sample of what survives, which grows with the number of buckets. Where one gram is so
 frequent that several splitters fall on it, splitters read on beyond the gram, and its windows
-are dealt one by one by all of their bytes. Each bucket sorts by multikey quicksort and finds
+are dealt by all of their bytes. Each bucket sorts by multikey quicksort and finds
 each string's least document. A splitter never parts equal strings: what is compared across
 boundaries is only the splitters themselves.
 """
@@ -94,7 +94,7 @@ class Chunk:
         return np.flatnonzero(repeated[self.rank])
 
     def records(self, alive: np.ndarray, splitters: list[bytes]) -> Records:
-        """What the surviving suffixes send: the distinct texts of their windows, or, where splitters part the windows of a gram, each of its distinct windows by itself."""
+        """What the surviving suffixes send: the distinct texts of their windows, or, where splitters part the windows of a gram, the distinct runs of them that go to one bucket."""
         data, s = np.frombuffer(self.s.data, dtype=np.uint8), self.s
         low, stop, place = s.low[alive], s.high[alive] + s.window, s.place[alive]
         # suffixes are in the order of their documents, so a text's first one has its least document
@@ -114,13 +114,19 @@ class Chunk:
         question = np.cumsum(count) - count
         # the least document first, so that a window's record has that
         for r in sorted(np.flatnonzero(parted).tolist(), key=doc.__getitem__):
-            for j in range(count[r]):
-                window, own = self.s.data[start[r] + j : start[r] + j + s.window], int(at[r]) - j
-                e = single.get((window, own))
-                if e is None:
-                    e = single[window, own] = len(whole) + len(more)
-                    more.append((bisect_right(splitters, window_key(window, own, s.gram)), start[r] + j, s.window, own, doc[r]))
-                asks[question[r] + j], bit[question[r] + j] = e, 0
+            begin, place, n, asked = int(start[r]), int(at[r]), int(count[r]), int(question[r])
+            to = [bisect_right(splitters, window_key(self.s.data[begin + j : begin + j + s.window], place - j, s.gram)) for j in range(n)]
+            # neighbours that go to one bucket are one record
+            lo = 0
+            for hi in range(1, n + 1):
+                if hi == n or to[hi] != to[lo]:
+                    span, own = self.s.data[begin + lo : begin + hi - 1 + s.window], place - lo
+                    e = single.get((span, own))
+                    if e is None:
+                        e = single[span, own] = len(whole) + len(more)
+                        more.append((to[lo], begin + lo, len(span), own, doc[r]))
+                    asks[asked + lo : asked + hi], bit[asked + lo : asked + hi] = e, np.arange(hi - lo)
+                    lo = hi
         if more:
             columns = [np.concatenate([c, x]) for c, x in zip(columns, np.array(more, dtype=np.int64).T, strict=True)]
         return Records(*columns, text, count, question, asks, bit)
@@ -375,7 +381,10 @@ def sample_records(window: int, buckets: int, wanted: int):
             c = Chunk(chunk, window)
             records = c.records(c.surviving(split_levels(replies).get(0, []), buckets), [])
             own = np.arange(0, len(records.start), max(1, len(records.start) // wanted))
-            for start, place in zip(records.start[own].tolist(), records.place[own].tolist(), strict=True):
+            # any of a record's windows, as they are sorted by different places
+            count = records.size[own] - window + 1
+            at = (own * 2654435761 >> 7) % count
+            for start, place in zip((records.start[own] + at).tolist(), (records.place[own] - at).tolist(), strict=True):
                 keys.append(window_key(c.s.data[start : start + window], place, c.s.gram))
         return pa.table({"key": pa.array(keys, pa.binary())})
 
