@@ -80,22 +80,25 @@ def resolve_revisits(captures: DataFrame, span_rows: int = SPAN_ROWS, spans: int
         F.struct(F.col("etag"), F.col("last_modified"), F.coalesce(F.col("headers"), none).alias("headers")).alias("r"),
     )
     usable = rows.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
-    # the span of a capture is how many of its URL's cuts are not after it
+    stored = F.when(F.col("full"), F.struct("ts", "record_id", "r"))
+    latest = F.max_by(stored, F.when(F.col("full"), F.struct("ts", "record_id")))
+    within = Window.partitionBy("url_key", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     urls = crowded_urls(usable, span_rows)
     if urls.isEmpty():
-        usable = usable.withColumn("span", F.lit(0))
+        found = usable.withColumn("span", F.lit(0)).withColumn("s", latest.over(within)).where("NOT full")
     else:
+        # the span of a capture is how many of its URL's cuts are not after it
         cuts = F.broadcast(settle(span_cuts(usable, urls, spans), "warc-cuts"))
         span = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("ts"))))
-        usable = usable.join(cuts, "url_key", "left").withColumn("span", span).drop("cuts")
-    stored = F.when(F.col("full"), F.struct("ts", "record_id", "r"))
-    # one row for each URL and span that has captures: the span's latest response, null if it has none
-    ends = usable.groupBy("url_key", "span").agg(F.max_by(stored, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("own"))
-    before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("carried", F.last("own", ignorenulls=True).over(before)).select("url_key", "span", "carried")
-    within = Window.partitionBy("url_key", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    in_span = usable.withColumn("near", F.max_by(stored, F.when(F.col("full"), F.struct("ts", "record_id"))).over(within)).where("NOT full")
-    found = in_span.join(carried, ["url_key", "span"], "left").withColumn("s", F.coalesce("near", "carried"))
+        placed = usable.join(cuts, "url_key", "left").withColumn("span", span)
+        # one row for each span of a URL that is cut: its latest response, null if it has none
+        ends = placed.where("cuts IS NOT NULL").groupBy("url_key", "span").agg(latest.alias("own"))
+        before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("carried", F.last("own", ignorenulls=True).over(before)).select("url_key", "span", "carried")
+        in_span = placed.drop("cuts").withColumn("near", latest.over(within)).where("NOT full")
+        # written, so that the join is dealt by URL and span as the window is
+        carried = settle(carried, "warc-carried")
+        found = in_span.join(carried, ["url_key", "span"], "left").withColumn("s", F.coalesce("near", "carried"))
     lost = rows.where("NOT full AND (url_key IS NULL OR ts IS NULL)").withColumn("s", F.lit(None).cast(found.schema["s"].dataType))
     both = found.select("record_id", "url_key", "r", "s").unionByName(lost.select("record_id", "url_key", "r", "s"))
     tags, dates = F.col("r.etag").isNotNull() & F.col("s.r.etag").isNotNull(), F.col("r.last_modified").isNotNull() & F.col("s.r.last_modified").isNotNull()
