@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import decontaminate, langmodel, packing, quality, repeats, simhash, suffixes, topk, toxicity, warc
+from pagequarry.llm import (
+    decontaminate, langmodel, licenses, negatives, packing, periodic, quality, repeats, simhash, suffixes, topk, toxicity, warc
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_langmodel": langmodel.op10_langmodel,
+    "op11_licenses": licenses.op11_licenses,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_runs": periodic.op13_runs,
 }
 ORACLES = {
     "op7_suffixes": suffixes.ORACLE_SQL,
@@ -22,4 +27,7 @@ ORACLES = {
     "op4_topk": topk.ORACLE_SQL,
     "op6_repeats": repeats.ORACLE_SQL,
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_licenses": licenses.ORACLE_SQL,
+    "op12_negatives": negatives.ORACLE_SQL,
+    "op13_runs": periodic.ORACLE_SQL,
 }
