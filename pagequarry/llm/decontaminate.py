@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequarry.llm.common import U64, Words, as_bytes, covered, every_gram, keyed, release, runs, slices, table
+from pagequarry.llm.common import U64, Words, as_bytes, covered, every_gram, keyed, named, release, runs, slices, table
 from pagequarry.session import settle
 
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
@@ -285,8 +286,8 @@ def with_candidates(rows: DataFrame, grams: DataFrame, text_col: str) -> DataFra
             row += len(texts)
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "o1_row", "o1_windows"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return settle(rows.mapInArrow(run, f"{fields}, o1_row long, o1_windows {CANDIDATES}"), "benchmark-candidates")
+    own = T.StructType.fromDDL(f"o1_row long, o1_windows {CANDIDATES}")
+    return settle(rows.mapInArrow(run, T.StructType([*rows.schema.fields, *own.fields])), "benchmark-candidates")
 
 
 def verified(scanned: DataFrame, grams: DataFrame) -> DataFrame:
@@ -339,10 +340,10 @@ def drop_contaminated(
     """
     index, grams = index_or_grams(benchmark, n, item_col, item_text_col, limits)
     if index is None:
-        inner = documents.select(*(F.col(f"`{c}`").alias(f"c_{c}") for c in documents.columns))
+        inner = documents.select(*(named(c).alias(f"c_{c}") for c in documents.columns))
         scanned = with_candidates(inner, grams, f"c_{text_col}")
         kept = scanned.join(verified(scanned, grams).select("o1_row").distinct(), "o1_row", "left_anti")
-        return kept.select(*(F.col(f"`c_{c}`").alias(c) for c in documents.columns))
+        return kept.select(*(named(f"c_{c}").alias(c) for c in documents.columns))
 
     def keep(rows):
         for batch in rows:

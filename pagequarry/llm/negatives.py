@@ -2,15 +2,16 @@
 
 Inner products become distances: a row's vector gets one component more, so that all rows have
 one norm, and an anchor's gets zero there; then the higher a row's product with an anchor, the
-nearer it is. Pivots, a bounded sample of rows, part the space into Voronoi cells. Anchors
-are grouped by their cell. A first join meets each anchor with the rows of its own cell,
-which bounds how far its true answers can be. By the distances to the pivots (triangle
-inequality and the hyperplanes between cells) a row is then sent only to the anchor groups
-that it might serve, and joined there exactly. Positives take these two joins, and negatives
-two more, whose answers lie in a ring of scores for each positive.
-
-Groups are cut into parts of a bounded number of anchors, and what a part gets into salts of
-a bounded number of rows, so no cell, however full, is one task's.
+nearer it is. Pivots, a bounded sample of rows, part the space into Voronoi cells. Neighbouring
+cells form a group until they hold enough anchors. A first join meets each anchor with the
+rows of its own group, which bounds how far its true answers can be. By the distances to the
+pivots (triangle inequality and the hyperplanes between cells) a row is then sent only to the
+groups with a cell whose anchors it might serve, and joined there exactly. Positives take
+these two joins, and negatives two more, whose answers lie in a ring of scores for each
+positive.
+
+Groups of many anchors are cut into parts, and what a group gets into salts of a bounded number
+of rows, so no cell, however full, is one task's. A row is sent once for each part.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pagequarry.session import discard, settle
 SCALE = 256
 #: Pivots and their components at most, and rows to each pivot from which on there are so many.
 PIVOTS, PIVOT_VALUES, ROWS_EACH = 1024, 1 << 20, 256
-#: Anchors of a part, and rows of a salt and their components, at most on average.
-PART_ANCHORS, SALT_ROWS, SALT_VALUES = 256, 1 << 14, 1 << 22
+#: Anchors of a part, and rows of a salt and their components, at most on average; scores that are held at once.
+PART_ANCHORS, SALT_ROWS, SALT_VALUES, SCORES = 1024, 1 << 13, 1 << 20, 1 << 20
 #: Classes of labels for which groups keep bounds of their own.
 LABEL_CLASSES = 64
 #: Distances are in doubles; a share of the squared ones that covers their rounding.
@@ -52,13 +53,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, sca
     return kept.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), (label if relabel is None else relabel).alias("label"), whole.alias("v"))
 
 
-def matrix(lists: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, vectors) for each length of vectors in a column."""
+def matrix(lists: pa.ListArray, most: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors) for each length of vectors in a column, of at most ``most`` vectors."""
     size, flat, first = np.asarray(lists.value_lengths()), np.asarray(lists.values), np.asarray(lists.offsets)[:-1]
     out = []
     for width in np.unique(size).tolist():
-        at = np.flatnonzero(size == width)
-        out.append((at, flat[first[at][:, None] + np.arange(width)[None, :]] if width else np.zeros((len(at), 0), np.int64)))
+        every = np.flatnonzero(size == width)
+        for at in np.split(every, range(most, len(every), most)) if most else [every]:
+            out.append((at, flat[first[at][:, None] + np.arange(width)[None, :]] if width else np.zeros((len(at), 0), np.int64)))
     return out
 
 
@@ -91,7 +93,7 @@ def celled(pivots: Broadcast, anchors: bool):
     def run(batches):
         for batch in batches:
             cell, dist = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for at, vectors in matrix(batch.column("v")):
+            for at, vectors in matrix(batch.column("v"), max(1, SCORES // len(pivots.value.points))):
                 squared = pivots.value.squared(vectors, anchors)
                 cell[at] = squared.argmin(axis=1)
                 dist[at] = np.sqrt(squared[np.arange(len(at)), cell[at]])
@@ -102,23 +104,45 @@ def celled(pivots: Broadcast, anchors: bool):
 
 
 class Reach:
-    """For each anchor group how far its anchors lie from its pivot, and for each class of labels how far from an anchor a row may be and still serve it."""
+    """For each cell with anchors its group, how far its anchors lie from its pivot, and for each class of labels how far from an anchor a row may be and still serve it."""
 
-    def __init__(self, cells: np.ndarray, radius: np.ndarray, reach: np.ndarray, same: bool):
-        self.cells, self.radius, self.reach, self.same = cells, radius, reach, same
+    def __init__(self, cells: np.ndarray, groups: np.ndarray, radius: np.ndarray, reach: np.ndarray, same: bool):
+        self.cells, self.groups, self.radius, self.reach, self.same = cells, groups, radius, reach, same
+        self.member = (groups[:, None] == np.arange(groups.max(initial=-1) + 1)[None, :]).astype(np.float32)
 
     def served(self, pivots: Pivots, squared: np.ndarray, cell: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Which rows might serve which groups."""
+        """Which rows might serve which cells' anchors."""
         slack = SLACK * (squared.max(initial=0.0) + pivots.norm) + 1e-6
-        to_group = np.sqrt(squared[:, self.cells])
-        near = np.maximum(to_group - self.radius[None, :], 0.0)
-        # an anchor of the group lies on its pivot's side of the plane between that pivot and the row's
+        to_cell = np.sqrt(squared[:, self.cells])
+        near = np.maximum(to_cell - self.radius[None, :], 0.0)
+        # a cell's anchors lie on its pivot's side of the plane between that pivot and the row's
         apart = pivots.between[cell][:, self.cells]
         gap = squared[:, self.cells] - squared[np.arange(len(cell)), cell][:, None]
         plane = np.divide(gap, 2 * apart, out=np.zeros_like(gap), where=apart > math.sqrt(slack))
         near = np.maximum(near, plane)
         limit = self.reach[:, class_of(label)].T if self.same else self.reach.max(axis=1)[None, :]
-        return np.maximum(near, 0.0) ** 2 <= np.square(np.maximum(limit, 0.0)) * (1 + SLACK) + np.where(limit < 0, -np.inf, slack)
+        return near**2 <= np.square(np.maximum(limit, 0.0)) * (1 + SLACK) + np.where(limit < 0, -np.inf, slack)
+
+    def groups_of(self, served: np.ndarray) -> np.ndarray:
+        """Which rows go to which groups."""
+        return served.astype(np.float32) @ self.member > 0
+
+
+def grouped(between: np.ndarray, anchors: dict[int, int], enough: int) -> dict[int, int]:
+    """Cells in groups: of the cells left, the first one and those nearest to it, until they hold ``enough`` anchors."""
+    left, out, number = sorted(anchors), {}, 0
+    while left:
+        near = sorted(left, key=lambda c: (between[left[0], c], c))
+        near.remove(left[0])
+        have = 0
+        for c in [left[0], *near]:
+            if have and have + anchors[c] > enough:
+                break
+            out[c] = number
+            have += anchors[c]
+        left = [c for c in left if c not in out]
+        number += 1
+    return out
 
 
 def class_of(label: np.ndarray) -> np.ndarray:
@@ -130,24 +154,24 @@ def routed(pivots: Broadcast, reach: Broadcast, count_only: bool):
 
     def run(batches):
         r = reach.value
-        total = np.zeros(len(r.cells), dtype=np.int64)
+        total = np.zeros(r.member.shape[1], dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             cell, label = np.asarray(batch.column("cell")), np.asarray(batch.column("label"))
             row, group = [], []
-            for at, vectors in matrix(batch.column("v")):
-                hit = r.served(pivots.value, pivots.value.squared(vectors, False), cell[at], label[at])
+            for at, vectors in matrix(batch.column("v"), max(1, SCORES // len(pivots.value.points))):
+                hit = r.groups_of(r.served(pivots.value, pivots.value.squared(vectors, False), cell[at], label[at]))
                 total += hit.sum(axis=0)
                 i, g = np.nonzero(hit)
                 row.append(at[i])
-                group.append(r.cells[g])
+                group.append(g)
             if not count_only:
                 take = pa.array(np.concatenate(row))
                 arrays = [pa.array(np.concatenate(group)), *(batch.column(c).take(take) for c in ("label", "vec_id", "v"))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["cell", "label", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["group", "label", "vec_id", "v"])
         if count_only:
-            yield pa.RecordBatch.from_arrays([pa.array(r.cells), pa.array(total)], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["group", "n"])
 
     return run
 
@@ -191,16 +215,19 @@ def meeting(positives: int, negatives: int, low: int, high: int, same: bool):
                 at, vectors = of_length.get(a_vectors.shape[1], (np.empty(0, np.int64), None))
                 if not len(at):
                     continue
-                scores, ids, labels = exact_scores(a_vectors, vectors), row_ids[at], row_labels[at]
+                ids, labels, step = row_ids[at], row_labels[at], max(1, SCORES // len(at))
                 for k, a in enumerate(a_at.tolist()):
+                    if k % step == 0:
+                        block = exact_scores(a_vectors[k : k + step], vectors)
+                    scores = block[k % step]
                     mine = (labels == a_labels[a]) == same
                     if same:
                         own = np.flatnonzero(mine & (ids != a_ids[a]))
-                        best = own[best_of(scores[k, own], ids[own], positives)]
-                        out += [(a_ids[a], 0, None, None, i, s) for i, s in zip(ids[best].tolist(), scores[k, best].tolist(), strict=True)]
+                        best = own[best_of(scores[own], ids[own], positives)]
+                        out += [(a_ids[a], 0, None, None, i, s) for i, s in zip(ids[best].tolist(), scores[best].tolist(), strict=True)]
                         continue
                     own = np.flatnonzero(mine)
-                    found, found_ids = scores[k, own], ids[own]
+                    found, found_ids = scores[own], ids[own]
                     for p in wanted[a] or []:
                         least, most = ring(p["positive_score"], low, high)
                         least = max(least, p["floor"]) if p["floor"] is not None else least
@@ -216,17 +243,15 @@ def meeting(positives: int, negatives: int, low: int, high: int, same: bool):
     return run
 
 
-def joined(anchors: DataFrame, rows: DataFrame, sizes: dict[int, int], task, salt_rows: int) -> DataFrame:
-    """Anchors (cell, part, ...) against rows (cell, label, vec_id, v), in parts and salts; ``sizes`` has the rows of each cell."""
+def joined(anchors: DataFrame, rows: DataFrame, parts: dict[int, int], sizes: dict[int, int], task, salt_rows: int) -> DataFrame:
+    """Anchors (group, part, ...) against rows (group, label, vec_id, v), in parts and salts; ``sizes`` has the rows of each group."""
     spark = anchors.sparkSession
-    salts = spark.createDataFrame([(c, max(1, math.ceil(n / salt_rows))) for c, n in sizes.items() if n], "cell long, salts long")
-    many = F.broadcast(salts)  # a row for each cell
-    own = anchors.join(many, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    parts = F.broadcast(anchors.groupBy("cell").agg((F.max("part") + 1).alias("parts")))  # a row for each cell
-    dealt = rows.join(many, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts"))).join(parts, "cell").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    ).drop("salts", "parts")
-    keys = ["cell", "part", "salt"]
+    salts = [(g, parts[g], max(1, math.ceil(n / salt_rows))) for g, n in sizes.items() if n and g in parts]
+    many = F.broadcast(spark.createDataFrame(salts, "group long, parts long, salts long"))  # a row for each group
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = anchors.join(many, "group").withColumn("salt", upto("salts")).drop("parts", "salts")
+    dealt = rows.join(many, "group").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts"))).withColumn("part", upto("parts")).drop("parts", "salts")
+    keys = ["group", "part", "salt"]
     return own.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(task, PARTIAL)
 
 
@@ -250,8 +275,8 @@ def distance(norm: float, own: Column, score: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.lit(norm) + own - 2 * score.cast("double")))
 
 
-def reach_of(spark, anchors: DataFrame, limits: DataFrame, cells: int, same: bool) -> Broadcast:
-    """Groups' radii and, by class of labels, the largest of their anchors' ``limit``: at most a number for each cell and class comes to the driver."""
+def reach_of(spark, anchors: DataFrame, limits: DataFrame, groups: dict[int, int], same: bool) -> Broadcast:
+    """Cells' radii and, by class of labels, the largest of their anchors' ``limit``: at most a number for each cell and class comes to the driver."""
     radius = {r["cell"]: r["radius"] for r in anchors.groupBy("cell").agg(F.max("dist").alias("radius")).collect()}
     kept = np.array(sorted(radius), dtype=np.int64)
     reach = np.full((len(kept), LABEL_CLASSES), -1.0)
@@ -269,7 +294,8 @@ def reach_of(spark, anchors: DataFrame, limits: DataFrame, cells: int, same: boo
     found = limits.select("cell", "label", "limit").mapInArrow(by_class, "cell long, class long, limit double")
     for r in found.groupBy("cell", "class").agg(F.max("limit").alias("limit")).collect():
         reach[np.searchsorted(kept, r["cell"]), r["class"]] = r["limit"]
-    return spark.sparkContext.broadcast(Reach(kept, np.array([radius[c] for c in kept.tolist()]), reach, same))
+    of = np.array([groups[c] for c in kept.tolist()], dtype=np.int64)
+    return spark.sparkContext.broadcast(Reach(kept, of, np.array([radius[c] for c in kept.tolist()]), reach, same))
 
 
 def hard_negatives(
@@ -301,32 +327,34 @@ def hard_negatives(
     rows = settle(pool.mapInArrow(celled(cells, False), ROW), "negatives-rows")
     asked = pool.where(is_anchor).groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("a")).select("vec_id", "a.label", "a.v")
     anchors = asked.mapInArrow(celled(cells, True), ROW)
-    # anchors of a cell in parts of a bounded number, by a hash
     full = {r["cell"]: r["count"] for r in anchors.groupBy("cell").count().collect()}
     if not full:
         return spark.createDataFrame([], empty)
-    parts = F.broadcast(spark.createDataFrame([(c, math.ceil(n / part_anchors)) for c, n in full.items()], "cell long, parts long"))
+    groups = grouped(cells.value.between, full, part_anchors)
+    # anchors of a group in parts of a bounded number, by a hash
+    parts = {g: math.ceil(sum(n for c, n in full.items() if groups[c] == g) / part_anchors) for g in set(groups.values())}
+    places = F.broadcast(spark.createDataFrame([(c, g, parts[g]) for c, g in groups.items()], "cell long, group long, parts long"))
     anchors = settle(
-        anchors.join(parts, "cell").select(
-            "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "dist", "label", "vec_id", "v", square.alias("square")
+        anchors.join(places, "cell").select(
+            "cell", "group", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "dist", "label", "vec_id", "v", square.alias("square")
         ), "negatives-anchors"
     )
-    plain = anchors.select("cell", "part", "label", "vec_id", "v")
-    at_home = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
-    home = rows.select("cell", "label", "vec_id", "v")
+    plain = anchors.select("group", "part", "label", "vec_id", "v")
+    home = rows.join(places, "cell").select("group", "label", "vec_id", "v")
+    at_home = {r["group"]: r["count"] for r in home.groupBy("group").count().collect()}
 
     def both(own: DataFrame, same: bool, keys: list[str], k: int, floor, label: str) -> DataFrame:
-        """The two joins: with an anchor's own cell, then with all that may be better than what that has shown."""
+        """The two joins: with an anchor's own group, then with all that may be better than what that has shown."""
         task = meeting(positives, negatives, low, high, same)
-        first = settle(firsts(joined(own(None), home, at_home, task, salt_rows), keys, k, "rank"), f"negatives-{label}")
-        # a score that the k-th best cannot be below, where the own cell has as many
+        first = settle(firsts(joined(own(None), home, parts, at_home, task, salt_rows), keys, k, "rank"), f"negatives-{label}")
+        # a score that the k-th best cannot be below, where the own group has as many
         known = first.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") == k).drop("n")
         floors = floor(known)
-        reach = reach_of(spark, anchors, floors.select("cell", "label", "limit"), len(full), same)
-        sent = rows.mapInArrow(routed(cells, reach, True), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        sizes = {r["cell"]: r["n"] for r in sent.collect()}
-        some = rows.mapInArrow(routed(cells, reach, False), "cell long, label long, vec_id long, v array<long>")
-        out = settle(firsts(joined(own(floors), some, sizes, task, salt_rows), keys, k, "rank"), f"negatives-{label}")
+        reach = reach_of(spark, anchors, floors.select("cell", "label", "limit"), groups, same)
+        sent = rows.mapInArrow(routed(cells, reach, True), "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
+        sizes = {r["group"]: r["n"] for r in sent.collect()}
+        some = rows.mapInArrow(routed(cells, reach, False), "group long, label long, vec_id long, v array<long>")
+        out = settle(firsts(joined(own(floors), some, parts, sizes, task, salt_rows), keys, k, "rank"), f"negatives-{label}")
         reach.unpersist()
         discard(first)
         return out

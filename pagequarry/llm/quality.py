@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequarry.llm.common import NONSPACE, U64, Words, as_bytes, mix, release, slices, table
+from pagequarry.llm.common import NONSPACE, U64, Words, as_bytes, mix, named, release, slices, table
 
 #: Labelled rows that a model learns from at most: those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -83,7 +84,7 @@ def _distinct(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def with_statistics(documents: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and the statistics of the text, each under its own name after ``q_``."""
-    source = documents.select(*(F.col(f"`{c}`").alias(f"k_{c}") for c in keep), F.col(f"`{text_col}`").cast("string").alias("q_text"))
+    source = documents.select(*(named(c).alias(f"k_{c}") for c in keep), F.col(f"`{text_col}`").cast("string").alias("q_text"))
     kept = [f for f in source.schema.fields if f.name != "q_text"]
 
     def run(batches):
@@ -93,8 +94,7 @@ def with_statistics(documents: DataFrame, keep: list[str], text_col: str = "text
             arrays = [batch.column(f.name) for f in kept] + [pa.array(np.ascontiguousarray(found[:, i])) for i in range(found.shape[1])]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f"q_{s}" for s in STATISTICS])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"q_{s} double" for s in STATISTICS])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType([*kept, *(T.StructField(f"q_{s}", T.DoubleType()) for s in STATISTICS)]))
 
 
 @dataclass(frozen=True)
@@ -309,4 +309,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, reference: DataFrame | No
     names = documents.columns
     inner = [f"k_{c}" for c in names]
     scored = with_statistics(documents, names).withColumn("q_score", model.column()).where(F.col("q_score") >= THRESHOLD)
-    return scored.select(*(F.col(f"`{i}`").alias(c) for i, c in zip(inner, names, strict=True)))
+    return scored.select(*(named(i).alias(c) for i, c in zip(inner, names, strict=True)))

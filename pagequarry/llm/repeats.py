@@ -28,19 +28,19 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, clean_t
 
 
 def least_at(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` hashes the place of the least, the leftmost among equals."""
+    """For each run of ``width`` hashes the place of the least, the leftmost among equals: the same wherever the run stands."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    bits = max(1, int(len(hashes)).bit_length())
-    low = U64((1 << bits) - 1)
-    best = (hashes & ~low) | np.arange(len(hashes), dtype=U64)
+    best, place = hashes, np.arange(len(hashes))
     have = 1
     while have < width:
         step = min(have, width - have)
-        best = np.minimum(best[: len(best) - step], best[step:])
+        left, right = best[: len(best) - step], best[step:]
+        place = np.where(right < left, place[step:], place[: len(place) - step])
+        best = np.minimum(left, right)
         have += step
-    return (best[:n] & low).astype(np.int64)
+    return place[:n]
 
 
 class Corpus:

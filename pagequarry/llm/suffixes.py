@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequarry.llm.common import U64, as_bytes, byte_grams, covered, distinct_spans, keyed, release, runs, slices, table
+from pagequarry.llm.common import U64, as_bytes, byte_grams, covered, distinct_spans, keyed, named, release, runs, slices, table
 from pagequarry.llm.packed import ANSWERS, MESSAGES, answer_keys, bucket_count, by_bucket, dealt, growth, in_order, messages, own_order, pack_keys, received, split_levels, text_bytes, told
 from pagequarry.llm.repeats import NO_DOC, least_at, null_ids
 from pagequarry.session import settle
@@ -37,7 +38,7 @@ BUCKET_KEYS = 1 << 18
 SORT_WINDOWS = 1 << 17
 #: Buckets at most (beyond, each takes more bytes), sampled records for each, and chunks to sample at least and records of each.
 MOST_BUCKETS, SAMPLE_EACH = 1 << 16, 16
-SAMPLE_CHUNKS, SAMPLE_OF_CHUNK, LEAST_SAMPLE = 16, 2000, 32_000
+SAMPLE_CHUNKS, SAMPLE_OF_CHUNK, LEAST_SAMPLE = 64, 500, 32_000
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string"
 
@@ -372,40 +373,43 @@ def finish(window: int, buckets: int, splitters, carried: list[str]):
 
 
 def sample_records(window: int, buckets: int, wanted: int):
-    """About ``wanted`` of the records that a chunk will send, evenly among them, as they are sorted."""
+    """About ``wanted`` of the records that a chunk will send, evenly among them, as they are sorted, and how many records each stands for."""
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         release()
         keys: list[bytes] = []
+        weight = 0.0
         if chunk.num_rows:
             c = Chunk(chunk, window)
             records = c.records(c.surviving(split_levels(replies).get(0, []), buckets), [])
             own = np.arange(0, len(records.start), max(1, len(records.start) // wanted))
+            weight = len(records.start) / max(1, len(own))
             # any of a record's windows, as they are sorted by different places
             count = records.size[own] - window + 1
             at = (own * 2654435761 >> 7) % count
             for start, place in zip((records.start[own] + at).tolist(), (records.place[own] - at).tolist(), strict=True):
                 keys.append(window_key(c.s.data[start : start + window], place, c.s.gram))
-        return pa.table({"key": pa.array(keys, pa.binary())})
+        return pa.table({"key": pa.array(keys, pa.binary()), "weight": pa.array([weight] * len(keys), pa.float64())})
 
     return run
 
 
-def sampled_keys(chunks: DataFrame, n: int, repeated: DataFrame, window: int, buckets: int, wanted: int) -> list[bytes]:
-    """About ``wanted`` sorted records of all that is sent, from as many chunks as that takes."""
+def sampled_keys(chunks: DataFrame, n: int, repeated: DataFrame, window: int, buckets: int, wanted: int) -> list[tuple[bytes, float]]:
+    """About ``wanted`` sorted records of all that is sent, each with how many it stands for, from as many chunks as that takes."""
     some = min(n, max(SAMPLE_CHUNKS, wanted // SAMPLE_OF_CHUNK))
     mine = F.col("chunk") % max(1, n // some) == 0
     sampled = chunks.where(mine).groupBy("chunk").cogroup(repeated.where(mine).groupBy("chunk")).applyInArrow(
-        sample_records(window, buckets, -(-wanted // some)), "key binary"
+        sample_records(window, buckets, -(-wanted // some)), "key binary, weight double"
     )
-    return sorted(bytes(r[0]) for r in sampled.toLocalIterator())
+    return sorted((bytes(r[0]), r[1]) for r in sampled.toLocalIterator())
 
 
-def chosen_splitters(keys: list[bytes], buckets: int, gram: int) -> list[bytes]:
-    """Strings that cut sorted keys into equal parts: the gram alone, and beyond it only where several cuts fall on one gram."""
+def chosen_splitters(keys: list[tuple[bytes, float]], buckets: int, gram: int) -> list[bytes]:
+    """Strings that cut sorted keys into parts of equal weight: the gram alone, and beyond it only where several cuts fall on one gram."""
     out: list[bytes] = []
+    upto = np.cumsum([w for _, w in keys])
     for i in range(1, buckets):
-        key = keys[len(keys) * i // buckets]
+        key = keys[min(len(keys) - 1, int(np.searchsorted(upto, upto[-1] * i / buckets, "right")))][0]
         out.append(key if out and out[-1][:gram] == key[:gram] else key[:gram])
     return sorted(set(out))
 
@@ -430,10 +434,10 @@ def remove_repeated_bytes(
     source = keyed(documents, id_col, text_col)
     total = text_bytes(source)
     scale = growth(documents.sparkSession, CHUNK_BYTES, total)
-    named = [f"c_{c}" for c in carry or []]
+    carried = [f"c_{c}" for c in carry or []]
     whole = documents.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
-        *(F.col(f"`{c}`").alias(k) for c, k in zip(carry or [], named, strict=True))
+        *(named(c).alias(k) for c, k in zip(carry or [], carried, strict=True))
     )
     chunks, n = dealt(whole, chunk_bytes or int(CHUNK_BYTES * scale), total)
     buckets = bucket_count(total / 14, int(BUCKET_KEYS * scale))
@@ -448,8 +452,8 @@ def remove_repeated_bytes(
     asked = grouped.cogroup(repeated.groupBy("chunk")).applyInArrow(ask_suffixes(window, buckets, splitters), MESSAGES)
     sorted_out = asked.groupBy("bucket").applyInArrow(answer_suffixes(window, min(GRAM, window)), ANSWERS)
     return grouped.cogroup(repeated.unionByName(sorted_out).groupBy("chunk")).applyInArrow(
-        finish(window, buckets, splitters, named),
-        ", ".join([RESULT, *(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in named)])
+        finish(window, buckets, splitters, carried),
+        T.StructType([*T.StructType.fromDDL(RESULT).fields, *(whole.schema[k] for k in carried)])
     )
 
 
@@ -472,7 +476,7 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
         "text": F.col("clean_text"),
         "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("c_n_chars"))
     } if "n_chars" in names else {"text": F.col("clean_text")}
-    return kept.select(*(new.get(c, F.col(f"`c_{c}`")).alias(c) for c in names))
+    return kept.select(*(new.get(c, named(f"c_{c}")).alias(c) for c in names))
 
 
 ORACLE_SQL = r"""

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket string, label string, node string, key string, level string, body string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket string, label string, node string, key string, level string, body string, marked_id long, marked_digest string, `a ``b` struct<`x y`:int>, copy_0_ string"
 
 
 def prose(rng: random.Random, n: int) -> str:
@@ -27,7 +27,7 @@ def make_rows(seed: int = 1) -> list[tuple]:
         (502, "x" * 400), (503, "é" * 300), (504, "y" + "é" * 200)
     ]
     texts += [(600, prose(rng, 60_000) + shared[0]), (3, texts[1][1]), (3, texts[1][1])]
-    return [(d, t, "en", "s", None if t is None else len(t), "c", "b", "l", "n", "k", "v", "x") for d, t in texts]
+    return [(d, t, "en", "s", None if t is None else len(t), "c", "b", "l", "n", "k", "v", "x", 5, "m", (1,), "z") for d, t in texts]
 
 
 @pytest.fixture(scope="session")

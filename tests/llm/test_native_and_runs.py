@@ -139,7 +139,7 @@ def check_mined(spark, rows, scale=16, **options):
 
 
 @pytest.mark.parametrize("dims, spread, options", [
-    (6, 0.3, {}), (6, 0.3, {"pivots": 12, "part_anchors": 3, "salt_rows": 40}), (2, 0.05, {"pivots": 5, "part_anchors": 2, "salt_rows": 25}),
+    (6, 0.3, {}), (6, 0.3, {"pivots": 12, "part_anchors": 4, "salt_rows": 40}), (2, 0.05, {"pivots": 5, "part_anchors": 2, "salt_rows": 25}),
     (3, 1.0, {"pivots": 1})
 ])
 def test_hard_negatives(spark, dims, spread, options, monkeypatch):
@@ -183,8 +183,12 @@ def test_a_reach_never_leaves_out_a_row_that_serves():
     radius = np.array([np.sqrt(own[home == c, c]).max() for c in cells])
     few = 0
     for limit in (5.0, 20.0, 60.0):
-        reach = negatives.Reach(cells, radius, np.full((len(cells), negatives.LABEL_CLASSES), limit), False)
+        groups = negatives.grouped(pivots.between, {int(c): int((home == c).sum()) for c in cells}, 15)
+        of = np.array([groups[int(c)] for c in cells])
+        reach = negatives.Reach(cells, of, radius, np.full((len(cells), negatives.LABEL_CLASSES), limit), False)
         served = reach.served(pivots, squared, cell, np.zeros(len(rows), np.int64))
+        sent = reach.groups_of(served)
+        assert all((sent[:, g] == served[:, of == g].any(axis=1)).all() for g in set(of.tolist())) and 1 < len(set(of.tolist())) < len(cells)
         for k, c in enumerate(cells):
             assert served[(true[home == c] <= limit).any(axis=0), k].all()
         few += (~served).sum()

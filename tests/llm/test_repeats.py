@@ -74,6 +74,27 @@ def test_byte_passages(docs, rows, none):
     assert suffixes.remove_repeated_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 2, 7, 27])
+def test_the_least_gram_of_a_window_is_the_same_wherever_it_stands(width):
+    """Hashes that differ in their lowest bits alone, in short and in long arrays."""
+    rng = np.random.default_rng(width)
+    hashes = rng.integers(0, 4, 5000, dtype=np.uint64) + np.uint64(1 << 63)
+    place = repeats.least_at(hashes, width)
+    assert place.tolist() == [i + int(np.argmin(hashes[i : i + width])) for i in range(len(hashes) - width + 1)]
+    for i in (0, 17, 4000):
+        assert (repeats.least_at(hashes[i : i + width + 9], width) + i == place[i : i + 10]).all()
+    assert not len(repeats.least_at(hashes[: width - 1], width))
+
+
+def test_splitters_cut_by_weight():
+    keys = sorted([(bytes([i]) * 3, 1.0) for i in range(100)] + [(bytes([200, i]) + b"xx", 30.0) for i in range(10)])
+    cuts = suffixes.chosen_splitters(keys, 8, 2)
+    held = Counter()
+    for k, w in keys:
+        held[bisect_right(cuts, k)] += w
+    assert max(held.values()) <= 2 * 400 / 8
+
+
 def test_bytes_with_small_windows(spark):
     rng = random.Random(4)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 40)))) for i in range(40)]
@@ -103,7 +124,7 @@ def test_a_gram_of_a_third_of_all_suffixes_is_split(spark):
     gram = min((chr(c) * 24 for c in range(0x21, 0x7F)), key=lambda g: int(byte_grams(np.frombuffer(g.encode(), np.uint8), 24)[0]))
     rows = [(i, "".join("%s%s" % (gram, "".join(rng.choice("ab") for _ in range(9))) for _ in range(20))) for i in range(60)]
     keys = sorted(k for _, t in rows for k in window_keys(t.encode()))
-    splitters = suffixes.chosen_splitters(keys, 40, 24)
+    splitters = suffixes.chosen_splitters([(k, 1.0) for k in keys], 40, 24)
     assert sum(k[:24] == gram.encode() for k in keys) > 0.35 * len(keys) and sum(len(x) > 24 for x in splitters) > 10
     sizes = Counter(bisect_right(splitters, k) for k in keys)
     assert max(sizes.values()) < 0.2 * len(keys)
