@@ -54,6 +54,11 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c_0, c_1, ..., as functions of batches don't take every name."""
+    return df.select(*(named(c).alias(f"c_{i}") for i, c in enumerate(df.columns)))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under its own names, so other columns cannot clash."""
     return df.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import U64, Words, as_bytes, covered, every_gram, keyed, named, release, runs, slices, table
+from pagequarry.llm.common import U64, Words, as_bytes, covered, every_gram, keyed, numbered, release, runs, slices, table
 from pagequarry.session import settle
 
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
@@ -340,18 +340,18 @@ def drop_contaminated(
     """
     index, grams = index_or_grams(benchmark, n, item_col, item_text_col, limits)
     if index is None:
-        inner = documents.select(*(named(c).alias(f"c_{c}") for c in documents.columns))
-        scanned = with_candidates(inner, grams, f"c_{text_col}")
+        scanned = with_candidates(numbered(documents), grams, f"c_{documents.columns.index(text_col)}")
         kept = scanned.join(verified(scanned, grams).select("o1_row").distinct(), "o1_row", "left_anti")
-        return kept.select(*(named(f"c_{c}").alias(c) for c in documents.columns))
+        return kept.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(documents.columns)))
 
     def keep(rows):
         for batch in rows:
             release()
-            clean = [not n_hit for *_, n_hit in scan(index.value.hits, as_bytes(batch.column(text_col)))]
+            clean = [not n_hit for *_, n_hit in scan(index.value.hits, as_bytes(batch.column(place)))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    inner, place = numbered(documents), f"c_{documents.columns.index(text_col)}"
+    return inner.mapInArrow(keep, inner.schema).toDF(*documents.columns)
 
 
 ORACLE_SQL = r"""

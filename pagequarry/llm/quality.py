@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import NONSPACE, U64, Words, as_bytes, mix, named, release, slices, table
+from pagequarry.llm.common import NONSPACE, U64, Words, as_bytes, mix, named, numbered, release, slices, table
 
 #: Labelled rows that a model learns from at most: those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -307,6 +307,6 @@ def keep_good(documents: DataFrame, labels: DataFrame, reference: DataFrame | No
     """
     model = train(documents if reference is None else reference, labels)
     names = documents.columns
-    inner = [f"k_{c}" for c in names]
-    scored = with_statistics(documents, names).withColumn("q_score", model.column()).where(F.col("q_score") >= THRESHOLD)
-    return scored.select(*(named(i).alias(c) for i, c in zip(inner, names, strict=True)))
+    inner = [f"c_{i}" for i in range(len(names))]
+    scored = with_statistics(numbered(documents), inner, inner[names.index("text")]).withColumn("q_score", model.column()).where(F.col("q_score") >= THRESHOLD)
+    return scored.select(*(F.col(f"k_{i}").alias(c) for i, c in zip(inner, names, strict=True)))

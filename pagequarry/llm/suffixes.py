@@ -427,14 +427,14 @@ def remove_repeated_bytes(
     each other's bytes; a null id counts as larger than any id. An empty table gives no rows.
     Other columns are not read.
     Windows of at most 55 bytes are supported (32 windows a suffix). Memory is bounded by a
-    chunk or the longest text. The columns named in ``carry`` come along as c_ and their name.
+    chunk or the longest text. The columns named in ``carry`` come along as c_0, c_1, ...
     """
     if window - min(GRAM, window) + 1 > 32:
         raise ValueError("a window is at most 55 bytes")
     source = keyed(documents, id_col, text_col)
     total = text_bytes(source)
     scale = growth(documents.sparkSession, CHUNK_BYTES, total)
-    carried = [f"c_{c}" for c in carry or []]
+    carried = [f"c_{i}" for i in range(len(carry or []))]
     whole = documents.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
         *(named(c).alias(k) for c, k in zip(carry or [], carried, strict=True))
@@ -474,9 +474,9 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     kept = found.where("n_removed = 0 OR trim(clean_text) <> ''")
     new = {
         "text": F.col("clean_text"),
-        "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("c_n_chars"))
+        "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col(f"c_{names.index('n_chars')}"))
     } if "n_chars" in names else {"text": F.col("clean_text")}
-    return kept.select(*(new.get(c, named(f"c_{c}")).alias(c) for c in names))
+    return kept.select(*(new.get(c, F.col(f"c_{i}")).alias(c) for i, c in enumerate(names)))
 
 
 ORACLE_SQL = r"""
