@@ -50,14 +50,16 @@ def without_file(questions: DataFrame, category: str, file: str) -> DataFrame:
 
 
 def kept_wrong(wrong: DataFrame, questions: DataFrame) -> DataFrame:
-    """Wrong ids whose question still exists."""
-    return wrong.join(questions.select(F.col("id").alias("question_id")), "question_id", "left_semi")
+    """Wrong ids whose question still exists; ids are equal in any case."""
+    there = questions.select(F.lower("id").alias("same_id"))
+    return wrong.join(there, F.lower(wrong["question_id"]) == F.col("same_id"), "left_semi")
 
 
 def wrong_notes(questions: DataFrame, wrong: DataFrame, uuids: bool = False) -> DataFrame:
-    """Questions in the wrong set, by file and number; ids that are no UUID are passed over with ``uuids``."""
+    """Questions in the wrong set, by file and number; ids are equal in any case, and those that are no UUID are passed over with ``uuids``."""
     ids = wrong.where(F.col("question_id").rlike(UUID)) if uuids else wrong
-    return questions.join(ids.select(F.col("question_id").alias("id")), "id", "left_semi").orderBy("source_file", "index", "id")
+    marks = ids.select(F.lower("question_id").alias("marked_id"))
+    return questions.join(marks, F.lower(questions["id"]) == F.col("marked_id"), "left_semi").orderBy("source_file", "index", "id")
 
 
 def neighbours(questions: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +105,29 @@ def merged(stored: DataFrame, incoming: DataFrame, replace_answers: bool = True)
     )
 
 
-def overwritten(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored rows of the incoming categories' files go; every incoming row is appended as new, repeats included."""
-    rows = prepared(incoming)
-    kept = with_carried(stored).withColumn("file_key", F.lower("source_file")).join(
-        rows.select("category_id", "file_key").distinct(), ["category_id", "file_key"], "left_anti"
-    ).drop("file_key")
-    fresh = rows.withColumn("id", question_id("category_id", "file_key", "index", "pos"))
+def groups(rows: DataFrame) -> DataFrame:
+    """(category_id, file_key): the categories' files that rows are of, without regard to case."""
+    return rows.select("category_id", F.lower(source_name("source_file")).alias("file_key")).distinct()
+
+
+def of_groups(stored: DataFrame, some: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The stored rows of some categories' files, or with ``left_anti`` all others: what an import must read, and what it leaves alone."""
+    return stored.withColumn("file_key", F.lower("source_file")).join(some, ["category_id", "file_key"], how).drop("file_key").select(stored.columns)
+
+
+def removed_ids(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(question_id): the stored rows that overwriting by ``incoming`` removes."""
+    return of_groups(stored, groups(incoming)).select(F.col("id").alias("question_id"))
+
+
+def overwritten(stored: DataFrame, incoming: DataFrame, version: str | None = None) -> DataFrame:
+    """Stored rows of the incoming categories' files go; every incoming row is appended as new, repeats included.
+
+    New rows have ids that no row had before, as ``version``, which names the import (a new
+    name if none is given), is part of them. So the marks of removed rows fall on nothing:
+    kept_wrong() takes them away.
+    """
+    rows = prepared(incoming).withColumn("version", F.lit(version or uuid.uuid4().hex))
+    kept = of_groups(with_carried(stored), groups(incoming), "left_anti")
+    fresh = rows.withColumn("id", question_id("category_id", "file_key", "index", "pos", "version"))
     return kept.select(STORED).unionByName(fresh.select(STORED))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import QUESTION, nonblank, utrim
-from pagequarry.operators import answers, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, segments
+from pagequarry.operators import answers, catalogue, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, segments
 from pagequarry.session import settle
 
 
@@ -87,7 +87,7 @@ def judged(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def import_files(
     pages: DataFrame, keys: DataFrame, stored: DataFrame, expected: DataFrame, category: str, overwrite: bool = False,
-    category_name: str | None = None
+    category_name: str | None = None, wrong: DataFrame | None = None, version: str | None = None
 ) -> dict[str, DataFrame]:
     """Pages and answer keys to questions in the store.
 
@@ -95,8 +95,12 @@ def import_files(
     pixel_height); ``keys``: key_id (the source file) and key_text; ``stored``: the questions
     so far; ``expected``: source_file and what was typed. Files are split, their expected
     ranges resolved, and split again with them, each pass written to the shared folder. Files
-    whose numbers don't fit what was asked for are not imported. Returns the candidates,
-    ranges, diagnosis, page diagnostics, errors of the keys, and the new store.
+    whose numbers don't fit what was asked for are not imported, nor are keys of files without
+    pages. Returns the candidates, ranges, diagnosis, page diagnostics, errors of the keys, the
+    new store, the categories' files that were touched (category_id, source_file) and their
+    questions, which is all that store.save_questions() needs, and with ``wrong`` (question_id)
+    the wrong set without the questions that are gone. ``version`` names the import for the ids
+    of an overwrite.
     """
     typed = expected.withColumn("e", ranges.expected_input("expected")).where("e.kind = 'range'")
     first = split(pages, typed.select("source_file", F.col("e.start_index").alias("low"), F.col("e.end_index").alias("high")))
@@ -107,7 +111,8 @@ def import_files(
     candidates = settle(split(pages, bounds), "import-candidates")
     diagnosis = settle(judged(candidates, resolved), "import-diagnosis")
     good = diagnostics.passing(candidates, diagnosis)
-    key = answers.answer_map(keys).select(F.col("key_id").alias("source_file"), "index", "answers", "type", F.col("index").alias("pos"))
+    read = keys.join(pages.select(F.col("source_file").alias("key_id")).distinct(), "key_id", "left_semi")
+    key = answers.answer_map(read).select(F.col("key_id").alias("source_file"), "index", "answers", "type", F.col("index").alias("pos"))
     both = importer.joined(
         good.where("index > 0").select("source_file", "index", "preview", "header", F.col("segment").alias("pos")),
         diagnostics.passing(key, diagnosis), ("source_file", "index")
@@ -124,8 +129,16 @@ def import_files(
     )
     if "image_path" in pages.columns:
         incoming = incoming.join(question_images(pages, good), ["source_file", "index"], "left")
-    store = importer.overwritten(stored, incoming) if overwrite else importer.merged(stored, incoming)
-    return {
+    # groups that the import doesn't touch are not matched with anything
+    mine = importer.groups(incoming)
+    before = importer.of_groups(stored, mine)
+    after = importer.overwritten(before, incoming, version) if overwrite else importer.merged(before, incoming)
+    others = importer.with_carried(importer.of_groups(stored, mine, "left_anti")).select(importer.STORED)
+    store = others.unionByName(after)
+    touched = {"touched": mine.withColumnRenamed("file_key", "source_file"), "touched_questions": after}
+    if wrong is not None:
+        touched["wrong"] = catalogue.kept_wrong(wrong, store)
+    return touched | {
         "candidates": candidates, "ranges": resolved, "diagnosis": diagnosis, "pages": diagnostics.page_diagnostics(pages, candidates), "key_errors": answers.key_errors(keys), "questions": store,
     }
 

@@ -643,6 +643,35 @@ def q_upsert_overwrite(spark, sf_dir):
     )
 
 
+IMPORTED = f"""{QUESTIONS}, incoming AS (SELECT id, 'Brand#11' AS category_id, source_file, index + 10 AS index, id AS pos FROM questions),
+gone AS (SELECT id FROM questions WHERE category_id = 'Brand#11' AND lower(source_file) IN (SELECT lower(source_file) FROM incoming)),
+after AS (
+  SELECT id, category_id, source_file, index FROM questions WHERE id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT sha256(concat_ws('|', category_id, lower(source_file), index::VARCHAR, pos, 'second')), category_id, source_file, index FROM incoming)"""
+
+
+def imported_again(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All parts as stored questions, and all of them once more, imported into one category."""
+    q = questions(spark, sf_dir)
+    return q, q.withColumns({"category_id": F.lit("Brand#11"), "index": F.col("index") + 10, "pos": F.col("id").cast("long")})
+
+
+@query("overwrite_ids", f"WITH {IMPORTED} SELECT id, category_id, lower(source_file) AS file, index FROM after")
+def q_overwrite_ids(spark, sf_dir):
+    stored, incoming = imported_again(spark, sf_dir)
+    return importer.overwritten(stored, incoming, "second").select("id", "category_id", F.lower("source_file").alias("file"), "index")
+
+
+@query("overwrite_removed", f"WITH {IMPORTED} SELECT id AS question_id FROM gone")
+def q_overwrite_removed(spark, sf_dir):
+    return importer.removed_ids(*imported_again(spark, sf_dir))
+
+
+@query("overwrite_wrong", f"WITH {WRONG}, {IMPORTED} SELECT question_id FROM wrong WHERE question_id IN (SELECT id FROM after)")
+def q_overwrite_wrong(spark, sf_dir):
+    return catalogue.kept_wrong(wrong_ids(spark, sf_dir), importer.overwritten(*imported_again(spark, sf_dir), "second"))
+
+
 # ---- layout ------------------------------------------------------------------------------
 
 BOXES = """boxes AS (SELECT l_suppkey AS source_file, l_linenumber AS page_index,

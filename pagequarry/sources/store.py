@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequarry.functions.text import NO_DIAGNOSTICS, safe_stem
+from pagequarry.functions.text import NO_DIAGNOSTICS, safe_stem, source_name
 
 SEGMENT = "struct<page_index:int,image_path:string,left_ratio:double,top_ratio:double,right_ratio:double,bottom_ratio:double,pixel_width:int,pixel_height:int>"
 CATEGORIES = "id string, name string"
@@ -121,22 +122,92 @@ def key_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("key_id"), F.col("value").alias("key_text"))
 
 
-def write_by_file(df: DataFrame, folder: str, kind: str = "parquet") -> None:
-    """An analysis or its diagnostics, one folder per source file."""
-    df.write.mode("overwrite").partitionBy("source_file").format(kind).save(folder)
+def replace_parts(df: DataFrame, folder: str, key: str, touched: DataFrame | None = None, kind: str = "parquet") -> None:
+    """``df``'s parts, one for each value of ``key``, in place of those that ``folder`` has; all its other parts stay as they are.
+
+    The new parts are written to a version of their own. Which version has a key's part is a
+    table that save() replaces by one rename, so readers see all the old or all the new
+    parts, a failure leaves the old ones, and no part that isn't touched is read or written.
+    ``touched`` (key) are the keys that are replaced, those in ``df`` if not given; one without
+    rows in ``df`` is emptied. Versions that neither the new table nor the one before it names
+    are deleted. A null key is the empty one. One writer at a time.
+    """
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    named = df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    path = f"{folder}/parts/version={version}"
+    # a part's folder is named by its key's digest, as names may hold anything and differ in case alone
+    digest = F.concat(F.lit("k-"), F.md5(key))
+    rows = named.withColumn("part", digest)
+    if kind == "text":
+        rows = rows.drop(key)
+    rows.write.partitionBy("part").format(kind).save(path)
+    mine = (named if touched is None else touched).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key)).distinct()
+    new = mine.select(key, digest.alias("part"), F.lit(version).alias("version"))
+    old = current(spark, folder)["tables"]
+    if "parts" in old:
+        before = load(spark, folder, "parts")
+        new = new.unionByName(before.join(mine, key, "left_anti"))
+    save(spark, folder, {"parts": new})
+    # one name for each import that still has a part
+    held = {r[0] for r in load(spark, folder, "parts").select("version").distinct().collect()}
+    held |= {r[0] for r in before.select("version").distinct().collect()} if "parts" in old else set()
+    fs, parts = _filesystem(spark, f"{folder}/parts")
+    for status in fs.listStatus(parts):
+        if status.getPath().getName().removeprefix("version=") not in held:
+            fs.delete(status.getPath(), True)
+
+
+def read_parts(spark: SparkSession, folder: str, schema: str, key: str, kind: str = "parquet", wholetext: bool = False) -> DataFrame:
+    """All rows of the parts that are current; ``schema`` is that of what was written but for the key where ``kind`` is text. Nothing if nothing was written."""
+    whole = T.StructType.fromDDL(f"{schema}, part string, version string")
+    if "parts" not in current(spark, folder)["tables"]:
+        return spark.createDataFrame([], whole).withColumn(key, F.lit(None).cast("string")).drop("part", "version")
+    reader = spark.read.schema(whole)
+    # the paths name part and version, which the schema keeps from being taken for numbers
+    found = (reader.text(f"{folder}/parts", wholetext=wholetext) if kind == "text" else reader.format(kind).load(f"{folder}/parts"))
+    names = load(spark, folder, "parts")
+    if kind == "text":
+        return found.join(names, ["part", "version"]).drop("part", "version")
+    return found.join(names.drop(key), ["part", "version"], "left_semi").drop("part", "version")
+
+
+def write_by_file(df: DataFrame, folder: str, kind: str = "parquet", files: DataFrame | None = None) -> None:
+    """An analysis or its diagnostics, one part for each source file; files that aren't in ``files`` (by default in ``df``) keep theirs. See replace_parts()."""
+    replace_parts(df, folder, "source_file", files, kind)
+
+
+def read_by_file(spark: SparkSession, folder: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """What write_by_file() has written of all files; ``schema`` as it was written."""
+    return read_parts(spark, folder, schema, "source_file", kind)
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:
-    """Diagnosis texts (source_file, text), one text file in a folder named by each file's safe stem."""
-    named = reports.select(safe_stem("source_file").alias("stem"), "text")
-    named.write.mode("overwrite").partitionBy("stem").option("lineSep", "\n").text(folder)
+    """Diagnosis texts (source_file, text), one text file in a part for each file's safe stem; other files' texts stay."""
+    replace_parts(reports.select(safe_stem("source_file").alias("stem"), "text"), folder, "stem", kind="text")
 
 
 def read_reports(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """(source_file, text) for each of ``files``: its written text, or what stands for none."""
     wanted = files.select("source_file", safe_stem("source_file").alias("stem"))
-    fs, p = _filesystem(spark, folder)
-    if not fs.exists(p):
-        return wanted.select("source_file", F.lit(NO_DIAGNOSTICS).alias("text"))
-    found = spark.read.schema("value string, stem string").text(folder, wholetext=True).select(F.rtrim("value", F.lit("\n")).alias("text"), "stem")
+    found = read_parts(spark, folder, "value string", "stem", "text", wholetext=True).select(F.rtrim("value", F.lit("\n")).alias("text"), "stem")
     return wanted.join(found, "stem", "left").select("source_file", F.coalesce("text", F.lit(NO_DIAGNOSTICS)).alias("text"))
+
+
+def save_questions(touched: DataFrame, folder: str, groups: DataFrame) -> None:
+    """The questions of some categories' files in place of those stored; all other groups' parts are neither read nor written.
+
+    ``touched`` are the groups' questions after an import, ``groups`` (category_id,
+    source_file) all that it touched, also those of which nothing is left.
+    """
+    replace_parts(touched.withColumn("group", group_key()), folder, "group", groups.select(group_key().alias("group")))
+
+
+def load_questions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All stored questions; ``schema`` as they were saved."""
+    return read_parts(spark, folder, f"{schema}, group string", "group").drop("group")
+
+
+def group_key():
+    """What the questions of a category's file share: its id, and the file's name without regard to case."""
+    return F.to_json(F.array("category_id", F.lower(source_name("source_file"))))

@@ -9,7 +9,7 @@ def test_import(spark):
         [("a.pdf", 1, text), ("b.pdf", 1, "1. 다음 중 옳은 것은?\n4. 다음 설명을 고르시오\n끝"), ("c.pdf", 1, "plain\n" * 12)],
         "source_file string, page_index int, text string"
     )
-    keys = spark.createDataFrame([("a.pdf", "1:3,2:정답,9:1"), ("b.pdf", "1:1")], "key_id string, key_text string")
+    keys = spark.createDataFrame([("a.pdf", "1:3,2:정답,9:1"), ("b.pdf", "1:1"), ("none.pdf", "1:1")], "key_id string, key_text string")
     stored = spark.createDataFrame([("s", "math", "A.pdf", 1, "MC", "old", ["9"])], STORED)
     expected = spark.createDataFrame([("a.pdf", "3"), ("b.pdf", "1-3"), ("c.pdf", "")], "source_file string, expected string")
     out = flows.import_files(pages, keys, stored, expected, "math")
@@ -19,7 +19,11 @@ def test_import(spark):
     assert got["A.pdf", 1] == ("MC", ("3",), "math - 1. 다음 중 옳은 것은? 가") and got["a.pdf", 2] == ("SUBJ", ("정답",), "math - 2. 다음 설명을 고르시오 나")
     assert got["a.pdf", 3] == ("MC", (), "math - 3. 다음 글을 읽고 답하시오 다") and got["a.pdf", 9] == ("MC", ("1",), "math - 문항 9")
     assert ("c.pdf", 1) in got and ("c.pdf", 2) in got and not any(f == "b.pdf" for f, _ in got)
-    assert flows.import_files(pages, keys, stored, expected, "math", overwrite=True)["questions"].where("source_file = 'a.pdf'").count() == 4
+    assert not any(f == "none.pdf" for f, _ in got)
+    wrong = spark.createDataFrame([("S",), ("other",)], "question_id string")
+    over = flows.import_files(pages, keys, stored, expected, "math", overwrite=True, wrong=wrong)
+    assert over["questions"].where("source_file = 'a.pdf'").count() == 4 and over["wrong"].count() == 0
+    assert {(r.category_id, r.source_file) for r in over["touched"].collect()} == {("math", "a.pdf"), ("math", "c.pdf")}
 
 
 def boxed(rows):

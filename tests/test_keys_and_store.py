@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -184,7 +185,7 @@ def test_texts_and_reports(spark, tmp_path):
     assert [(r.key_id.rsplit("/", 1)[-1], r.key_text) for r in store.key_texts(spark, str(tmp_path / "k")).collect()] == [("one.txt", "1:3\n2:4")]
     pages = spark.createDataFrame([("a.pdf", 1, "x y\n\nz"), ("a.pdf", 2, "")], "source_file string, page_index int, text string")
     store.write_by_file(pages, str(tmp_path / "pages"), "json")
-    assert spark.read.json(str(tmp_path / "pages")).where("source_file = 'a.pdf'").count() == 2
+    assert store.read_by_file(spark, str(tmp_path / "pages"), PAGES, "json").where("source_file = 'a.pdf'").count() == 2
     c = spark.createDataFrame(
         [("a.pdf", 2, "h2", 1, 2, 1, 3), ("a.pdf", 1, "h1", 1, 1, 1, 1)],
         "source_file string, index int, header string, start_page int, start_line int, end_page int, end_line int"
@@ -205,6 +206,67 @@ def test_texts_and_reports(spark, tmp_path):
     ]
 
 
+PAGES = "source_file string, page_index int, text string"
+
+
+def test_files_that_an_import_does_not_touch_keep_what_was_written(spark, tmp_path, monkeypatch):
+    folder, reports = str(tmp_path / "analysis"), str(tmp_path / "reports")
+    made = lambda *rows: spark.createDataFrame(list(rows), PAGES)
+    read = lambda: sorted(map(tuple, store.read_by_file(spark, folder, PAGES).collect()))
+    assert read() == []
+    store.write_by_file(made(("007", 1, "x"), ("a.pdf", 1, "old"), ("A.PDF", 1, "other"), ("k=v/é.pdf", 2, None)), folder)
+    store.write_by_file(made(("a.pdf", 1, "new"), ("a.pdf", 2, "more"), ("b.pdf", 1, "b")), folder)
+    first = [("007", 1, "x"), ("A.PDF", 1, "other"), ("a.pdf", 1, "new"), ("a.pdf", 2, "more"), ("b.pdf", 1, "b"), ("k=v/é.pdf", 2, None)]
+    assert read() == first
+
+    def fails(*_):
+        raise OSError("full")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "save", fails)
+        with pytest.raises(OSError):
+            store.write_by_file(made(("b.pdf", 9, "lost")), folder)
+    assert read() == first
+    # a file of which nothing is left, and versions without a part go
+    store.write_by_file(made(("a.pdf", 3, "last")), folder, files=spark.createDataFrame([("a.pdf",), ("b.pdf",)], "source_file string"))
+    assert read() == [("007", 1, "x"), ("A.PDF", 1, "other"), ("a.pdf", 3, "last"), ("k=v/é.pdf", 2, None)]
+    store.write_by_file(made(("a.pdf", 4, "again")), folder)
+    assert len(os.listdir(f"{folder}/parts")) <= 3
+    texts = lambda *rows: spark.createDataFrame(list(rows), "source_file string, text string")
+    store.write_reports(texts(("a.pdf", "one\ntwo"), ("12.pdf", "twelve")), reports)
+    store.write_reports(texts(("b.pdf", "b")), reports)
+    files = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("12.pdf",), ("c.pdf",)], "source_file string")
+    assert {r.source_file: r.text for r in store.read_reports(spark, reports, files).collect()} == {
+        "a.pdf": "one\ntwo", "b.pdf": "b", "12.pdf": "twelve", "c.pdf": T.NO_DIAGNOSTICS
+    }
+
+
+def test_an_overwriting_import_takes_away_the_marks_of_what_it_removes(spark, tmp_path):
+    s, i = upsert(
+        spark, [("S1", "c", "a.pdf", 1, "MC", "p", ["3"]), ("s2", "c", "b.pdf", 1, "MC", "p", []), ("s3", "d", "a.pdf", 1, "MC", "p", [])],
+        [(1, "c", "A.PDF", 1, "MC", "n", []), (2, "c", "A.PDF", 1, "MC", "n", [])]
+    )
+    wrong = spark.createDataFrame([("s1",), ("S2",), ("s9",)], "question_id string")
+    assert [r[0] for r in importer.removed_ids(s, i).collect()] == ["S1"]
+    one, two = importer.overwritten(s, i), importer.overwritten(s, i)
+    ids = [{r.id for r in x.collect()} for x in (one, two)]
+    assert len(ids[0]) == 4 and ids[0] & ids[1] == {"s2", "s3"}
+    assert [r[0] for r in catalogue.kept_wrong(wrong, one).collect()] == ["S2"]
+    # ids are equal in any case
+    assert {r.id for r in catalogue.wrong_notes(s, wrong).collect()} == {"S1", "s2"}
+    assert {r[0] for r in catalogue.kept_wrong(wrong, s).collect()} == {"s1", "S2"}
+    # only the touched groups are written
+    folder = str(tmp_path / "questions")
+    every = s.select("id", "category_id", "source_file", "index")
+    schema = "id string, category_id string, source_file string, index int"
+    store.save_questions(every, folder, every)
+    after = importer.overwritten(importer.of_groups(s, importer.groups(i)), i, "2").select("id", "category_id", "source_file", "index")
+    store.save_questions(after, folder, importer.groups(i).withColumnRenamed("file_key", "source_file"))
+    assert sorted(map(tuple, store.load_questions(spark, folder, schema).collect())) == sorted(
+        map(tuple, importer.overwritten(s, i, "2").select("id", "category_id", "source_file", "index").collect())
+    )
+
+
 def test_practice_sets(spark):
     q = spark.createDataFrame(
         [(f"q{i}", "c" if i % 2 else "C", f"f{i % 3}", i, ["1"]) for i in range(12)],
@@ -216,7 +278,7 @@ def test_practice_sets(spark):
         "q1", "q11", "q3", "q5", "q7", "q9"
     ] and len(pick("c", 4, 1)) == 4 and pick("c", 0, 1) == [] and pick("c", 9, 1, wrong) == ["q1", "q3"]
     session = [r.id for r in practice.wrong_practice(q, wrong, 2).collect()]
-    assert sorted(session) == ["q3", "q4"]
+    assert sorted(session) == ["q1", "q3", "q4"]
     assert [r["index"] for r in catalogue.review(q, "c", "F1").collect()] == [1, 7]
     names = spark.createDataFrame([("1", "b"), ("2", "B"), ("3", "a"), ("4", "A")], "id string, name string")
     assert [catalogue.file_count(q, c, f).first().questions for c, f in (("C", "F1"), ("c", "f9"), ("none", "f1"))] == [4, 0, 0]
