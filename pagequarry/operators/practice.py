@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.operators.catalogue import wrong_notes
@@ -20,6 +20,17 @@ def sample(questions: DataFrame, n: int, seed: int, key: str = "id", answered_on
     return shuffled(pool, seed, key).limit(max(0, n))
 
 
+def samples(questions: DataFrame, n: int, seed: int, by: str = "category_id", key: str = "id", answered_only: bool = False) -> DataFrame:
+    """``n`` questions of each category without replacement, the same as sample() would take of each; all where there are fewer.
+
+    A task keeps its own ``n`` first draws of a category before any are shuffled.
+    """
+    pool = questions.where(has_answer()) if answered_only else questions
+    drawn = pool.withColumn("draw", F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), F.lit(str(seed)))))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("draw", key))
+    return drawn.withColumn("place", place).where(F.col("place") <= max(0, n)).drop("place")
+
+
 def practice_set(questions: DataFrame, category: str, n: int, seed: int, answered_only: bool = False) -> DataFrame:
     """A category's sample; none if it has fewer than ``n`` questions."""
     pool = questions.where(F.lower("category_id") == category.lower())

@@ -53,11 +53,32 @@ def inferred(candidates: DataFrame, expected: str = "expected_count", file: str
     first hit is late, less the hits' spread, less the start; ties go to the earliest first
     hit, the narrowest spread, the smallest start. The winner needs 2 hits (or all, if 1 is
     expected).
+
+    With the same hits a range scores 9 more for each place that it starts later, so the best
+    one starts at its first hit or as far on as the next number stays outside: only a number,
+    and the place ``expected`` before one, can be the winner's start. That is two for each
+    number, however many are expected; each range's hits are told by its ends' places among
+    the sorted numbers.
     """
-    c = candidates.where((F.col("index") > 0) & (F.col(expected) > 0)).select(file, expected, "index").distinct()
-    # a number is a hit of each range that starts at most expected - 1 before it
-    hits = c.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("index") - F.col(expected) + 1), F.col("index"))).alias("s"))
-    scored = hits.groupBy(file, expected, "s").agg(F.count("*").alias("hits"), F.min("index").alias("lo"), F.max("index").alias("hi"))
+    c = candidates.where((F.col("index") > 0) & (F.col(expected) > 0)).select(file, expected, F.col("index").cast("long").alias("index")).distinct()
+    size = F.col(expected).cast("long")
+    starts = c.select(file, expected, F.explode(F.array(F.col("index"), F.col("index") - size)).alias("s")).where("s > 0").distinct()
+    ends = F.explode(F.array(F.struct((F.col("s") - 1).alias("at"), F.lit(1).alias("kind")), F.struct((F.col("s") + size - 1).alias("at"), F.lit(2).alias("kind"))))
+    points = c.select(file, expected, F.col("index").alias("at"), F.lit(0).alias("kind"), F.col("index").alias("number"), F.lit(None).cast("long").alias("s"))
+    points = points.unionByName(
+        starts.select("*", ends.alias("e")).select(file, expected, "e.at", "e.kind", F.lit(None).cast("long").alias("number"), "s")
+    )
+    of = Window.partitionBy(file, expected)
+    upto = of.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = of.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = points.withColumns(
+        {"below": F.count("number").over(upto), "last": F.max("number").over(upto), "next": F.min("number").over(onward)}
+    )
+    before, end = F.col("kind") == 1, F.col("kind") == 2
+    scored = placed.where("kind > 0").groupBy(file, expected, "s").agg(
+        (F.max(F.when(end, F.col("below"))) - F.max(F.when(before, F.col("below")))).alias("hits"),
+        F.max(F.when(before, F.col("next"))).alias("lo"), F.max(F.when(end, F.col("last"))).alias("hi")
+    ).where("hits > 0")
     scored = scored.withColumn("score", 1000 * F.col("hits") - 10 * (F.col("lo") - F.col("s")) - (F.col("hi") - F.col("lo")) - F.col("s"))
     best = Window.partitionBy(file).orderBy(F.desc("score"), "lo", F.col("hi") - F.col("lo"), "s")
     winner = scored.withColumn("rn", F.row_number().over(best)).where("rn = 1")

@@ -96,6 +96,17 @@ def q_range_infer(spark, sf_dir):
     return ranges.inferred(candidates(spark, sf_dir).withColumn("expected_count", F.lit(5)))
 
 
+@query("range_infer_wide", f"""WITH {LINES},
+c AS (SELECT DISTINCT source_file, index FROM accepted WHERE accepted),
+s AS (SELECT DISTINCT source_file, unnest(generate_series(greatest(1, index - 119), index)) AS s FROM c),
+h AS (SELECT s.source_file, s, count(*) AS hits, min(index) AS lo, max(index) AS hi FROM s JOIN c ON s.source_file = c.source_file
+  AND index BETWEEN s AND s + 119 GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY 1000 * hits - 10 * (lo - s) - (hi - lo) - s DESC, lo, hi - lo, s) AS rn FROM h)
+SELECT source_file, s AS start_index, s + 119 AS end_index, hits FROM w WHERE rn = 1 AND hits >= 2""")
+def q_range_infer_wide(spark, sf_dir):
+    return ranges.inferred(candidates(spark, sf_dir).withColumn("expected_count", F.lit(120)))
+
+
 @query("diagnostics", f"""WITH {LINES},
 c AS (SELECT source_file, index, count(*) AS n FROM lines WHERE index > 0 GROUP BY ALL)
 SELECT source_file, count(*) AS n_distinct, array_to_string(list_sort(list(index) FILTER (n > 1)), ',') AS repeated,
@@ -550,6 +561,12 @@ def q_practice_sample(spark, sf_dir):
     return practice.sample(questions(spark, sf_dir), 20, 17, answered_only=True).select("id", "index")
 
 
+@query("category_samples", f"""WITH {QUESTIONS} SELECT id, category_id, index FROM questions WHERE len(answers) > 0
+QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY md5(id || '|5'), id) <= 7""")
+def q_category_samples(spark, sf_dir):
+    return practice.samples(questions(spark, sf_dir), 7, 5, answered_only=True).select("id", "category_id", "index")
+
+
 @query(
     "neighbours",
     """SELECT conv_id, turn, lag(turn) OVER w AS previous, lead(turn) OVER w AS following, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS "of" FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""

@@ -267,6 +267,40 @@ def test_an_overwriting_import_takes_away_the_marks_of_what_it_removes(spark, tm
     )
 
 
+def plain_range(numbers, n):
+    """Every range that holds a number."""
+    found = []
+    for s in {s for i in numbers for s in range(max(1, i - n + 1), i + 1)}:
+        hits = [i for i in numbers if s <= i < s + n]
+        lo, hi = min(hits), max(hits)
+        found.append((-(1000 * len(hits) - 10 * (lo - s) - (hi - lo) - s), lo, hi - lo, s, len(hits)))
+    *_, s, hits = min(found)
+    return (s, s + n - 1, hits) if hits >= min(2, n) else None
+
+
+def test_ranges_are_the_best_of_all_starts(spark):
+    rng = random.Random(6)
+    want, rows = {}, []
+    for f in range(120):
+        n = rng.choice([1, 2, 5, 20, 300, 1500, 4000])
+        top = rng.choice([8, 60, 900, 6000])
+        numbers = sorted({rng.randrange(1, top) for _ in range(rng.randrange(1, 12))})
+        want[f"f{f}"] = plain_range(numbers, n)
+        rows += [(f"f{f}", n, i) for i in [*numbers, numbers[0], 0, -3]]
+    df = spark.createDataFrame(rows, "source_file string, expected_count int, index int")
+    got = {r.source_file: (r.start_index, r.end_index, r.hits) for r in ranges.inferred(df).collect()}
+    assert got == {f: w for f, w in want.items() if w}
+
+
+def test_samples_of_all_categories_are_those_of_each(spark):
+    q = spark.createDataFrame([(f"q{i}", f"c{i % 4}", ["1"] if i % 3 else []) for i in range(60)], "id string, category_id string, answers array<string>")
+    got = {(r.category_id, r.id) for r in practice.samples(q, 4, 9, answered_only=True).collect()}
+    assert got == {
+        (c, r.id) for c in ("c0", "c1", "c2", "c3") for r in practice.sample(q.where(F.col("category_id") == c), 4, 9, answered_only=True).collect()
+    }
+    assert practice.samples(q, 0, 9).count() == 0 and practice.samples(q, 99, 9).count() == 60
+
+
 def test_practice_sets(spark):
     q = spark.createDataFrame(
         [(f"q{i}", "c" if i % 2 else "C", f"f{i % 3}", i, ["1"]) for i in range(12)],
