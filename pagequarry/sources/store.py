@@ -21,14 +21,14 @@ ImageSegments:array<struct<PageIndex:int,ImagePath:string,LeftRatio:double,TopRa
 KINDS = ["MC", "SUBJ"]
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Categories, questions and wrong ids of a JSON document; empty if it is missing or blank; malformed JSON fails."""
-    fs, p = _filesystem(spark, path)
+    fs, p = filesystem(spark, path)
     if not fs.exists(p) or spark.read.text(path).where("trim(value) <> ''").isEmpty():
         return {
             "categories": spark.createDataFrame([], CATEGORIES), "questions": spark.createDataFrame([], QUESTIONS),
@@ -89,7 +89,7 @@ def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> None
         df.write.parquet(f"{folder}/{new[name]}")
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path
-    fs, pointer = _filesystem(spark, f"{folder}/{POINTER}")
+    fs, pointer = filesystem(spark, f"{folder}/{POINTER}")
     written = path(f"{folder}/{POINTER}-{uuid.uuid4().hex}")
     state = {"tables": {**old["tables"], **new}, "before": [old["tables"][n] for n in new if n in old["tables"]]}
     out = fs.create(written, False)
@@ -107,7 +107,7 @@ def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> None
 
 def current(spark: SparkSession, folder: str) -> dict:
     """Which folder each table is in, and those that the last version replaced."""
-    fs, pointer = _filesystem(spark, f"{folder}/{POINTER}")
+    fs, pointer = filesystem(spark, f"{folder}/{POINTER}")
     if not fs.exists(pointer):
         return {"tables": {}, "before": []}
     return json.loads(spark.read.text(f"{folder}/{POINTER}", wholetext=True).first()[0])
@@ -152,7 +152,7 @@ def replace_parts(df: DataFrame, folder: str, key: str, touched: DataFrame | Non
     # one name for each import that still has a part
     held = {r[0] for r in load(spark, folder, "parts").select("version").distinct().collect()}
     held |= {r[0] for r in before.select("version").distinct().collect()} if "parts" in old else set()
-    fs, parts = _filesystem(spark, f"{folder}/parts")
+    fs, parts = filesystem(spark, f"{folder}/parts")
     for status in fs.listStatus(parts):
         if status.getPath().getName().removeprefix("version=") not in held:
             fs.delete(status.getPath(), True)
