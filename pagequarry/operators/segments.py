@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
@@ -35,17 +35,21 @@ def page_line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source_file", "page_index").agg(F.greatest(F.lit(1), F.max("line_in_page")).alias("page_lines"))
 
 
-def spans(lines: DataFrame, separator: str = "\n") -> DataFrame:
-    """One row for each segment of lines with ``segment`` and, on its first line, ``index``: place, heading and preview of the body."""
+def spans(lines: DataFrame, separator: str | Column = "\n", *keys: str) -> DataFrame:
+    """One row for each segment of lines with ``segment`` and, on its first line, ``index``: place, heading and preview of the body.
+
+    ``keys`` are columns that a file's lines share; they are kept, and ``separator`` may depend on them.
+    """
+    between = F.lit(separator) if isinstance(separator, str) else separator
     body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("accepted"), F.struct("pos", "text")))), lambda r: r["text"])
     counts = [] if "page_lines" in lines.columns else [page_line_counts(lines)]
     rows = (lines.join(counts[0], ["source_file", "page_index"]) if counts else lines).where(F.col("segment") > 0)
-    return rows.groupBy("source_file", "segment").agg(
+    return rows.groupBy("source_file", "segment", *keys).agg(
         F.max(F.when(F.col("accepted"), F.col("index"))).alias("index"), F.max(F.when(F.col("accepted"), F.col("text"))).alias("header"),
         F.min_by("page_index", "pos").alias("start_page"), F.max_by("page_index", "pos").alias("end_page"),
         F.min_by("line_in_page", "pos").alias("start_line"), F.max_by("line_in_page", "pos").alias("end_line"),
         F.min_by("page_lines", "pos").alias("start_page_line_count"), F.max_by("page_lines", "pos").alias("end_page_line_count"),
-        clip(utrim(F.array_join(body, separator))).alias("preview"),
+        clip(utrim(F.call_function("array_join", body, between))).alias("preview"),
     )
 
 
@@ -58,23 +62,35 @@ def by_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     """Spans of ``size`` lines, numbered from 1, for files without headings; their previews are all lines with blanks between."""
     chunk = lines.withColumn("segment", (F.floor((F.col("pos") - 1) / size) + 1).cast("int"))
     found = spans(chunk.withColumn("index", F.lit(None).cast("int")).withColumn("accepted", F.lit(False)), " ")
-    header = F.concat(F.lit(T.INFERRED + T.QUESTION), F.col("segment").cast("string"))
-    return found.withColumn("index", F.col("segment")).withColumn("header", header)
+    return found.withColumn("index", F.col("segment")).withColumn("header", chunk_header("segment"))
 
 
-def best_tier(tiers: list[DataFrame], file: str = "source_file") -> DataFrame:
-    """Of several ways to split, each file's first that found anything."""
-    union = None
-    for i, t in enumerate(tiers):
-        t = t.withColumn("tier", F.lit(i))
-        union = t if union is None else union.unionByName(t)
-    return union.withColumn("best", F.min("tier").over(Window.partitionBy(file))).where(F.col("tier") == F.col("best")).drop("best")
+def chunk_header(number: str | Column) -> Column:
+    return F.concat(F.lit(T.INFERRED + T.QUESTION), T.col(number).cast("string"))
 
 
 def segment_documents(lines: DataFrame, low: str | None = None, high: str | None = None) -> DataFrame:
-    """Strict headings, else permissive ones, else chunks, by file. Files without lines have no rows."""
+    """Strict headings (``tier`` 0), else permissive ones (1), else chunks (2), by file. Files without lines have no rows.
+
+    A line is read once for both kinds of headings, and a file's lines are dealt and sorted
+    once: the largest number of each kind says which tier the file gets.
+    """
     placed = lines if "pos" in lines.columns else positioned(lines)
-    return best_tier([by_heading(placed, T.STRICT_HEADING, low, high), by_heading(placed, T.PERMISSIVE_HEADING, low, high), by_chunks(placed)])
+    file = Window.partitionBy("source_file")
+    if "page_lines" not in placed.columns:
+        page = Window.partitionBy("source_file", "page_index")
+        placed = placed.withColumn("page_lines", F.greatest(F.lit(1), F.max("line_in_page").over(page)))
+    x = marked(placed, "pos", low, high, {"strict": T.STRICT_HEADING, "loose": T.PERMISSIVE_HEADING})
+    found = F.when(F.max("strict").over(file) > 0, 0).when(F.max("loose").over(file) > 0, 1).otherwise(2)
+    x = x.withColumn("tier", found).withColumn("index", F.when(F.col("tier") == 0, F.col("strict")).when(F.col("tier") == 1, F.col("loose")))
+    chunk = F.floor((F.col("pos") - 1) / CHUNK_LINES) + 1
+    x = span_numbers(accept_rising(x)).withColumn("segment", F.when(F.col("tier") == 2, chunk).otherwise(F.col("segment")))
+    between = F.when(F.col("tier") == 2, " ").otherwise("\n")
+    chunks = spans(x, between, "tier")
+    number, none = F.col("segment").cast("int"), F.col("tier") == 2
+    return chunks.withColumn("index", F.when(none, number).otherwise(F.col("index"))).withColumn(
+        "header", F.when(none, chunk_header(number)).otherwise(F.col("header"))
+    )
 
 
 def rebuilt(markers: DataFrame, lines: DataFrame) -> DataFrame:
