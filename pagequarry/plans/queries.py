@@ -7,11 +7,15 @@ file's lines, every returned item a heading with the part's number; parts are qu
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
 from pagequarry.operators import answers, catalogue, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, segments
+from pagequarry.session import shared_folder
+from pagequarry.streaming import wrong_set as streamed
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -516,12 +520,13 @@ WRONG = """wrong AS (SELECT user_id::VARCHAR AS question_id FROM events WHERE ev
   HAVING arg_max(event_type, (ts, event_id)) = 'error')"""
 
 
-def wrong_ids(spark, sf_dir) -> DataFrame:
+def grades(events: DataFrame) -> DataFrame:
     ok = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False)
-    e = table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("question_id"), "ts", F.col("event_id").alias("seq"), ok.alias("is_correct")
-    )
-    return grading.wrong_set(e)
+    return events.select(F.col("user_id").cast("string").alias("question_id"), "ts", F.col("event_id").alias("seq"), ok.alias("is_correct"))
+
+
+def wrong_ids(spark, sf_dir) -> DataFrame:
+    return grading.wrong_set(grades(table(spark, sf_dir, "events")))
 
 
 @query("wrong_set", f"WITH {WRONG} SELECT question_id FROM wrong")
@@ -529,6 +534,17 @@ def q_wrong_set(spark, sf_dir):
     return wrong_ids(spark, sf_dir)
 
 
+@query("wrong_stream", f"WITH {WRONG} SELECT question_id FROM wrong")
+def q_wrong_stream(spark, sf_dir):
+    """The events as a stream through the state of each question into a stored wrong set, which is read after all of them."""
+    path = f"{sf_dir}/events.parquet"
+    # as a pattern, since the table may be one file, which a stream takes for a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    at = f"{shared_folder(spark)}/wrong-stream-{uuid.uuid4().hex}"
+    streamed.follow(grades(stream), f"{at}/marks", f"{at}/checkpoint", availableNow=True).awaitTermination()
+    return streamed.stored_marks(spark, f"{at}/marks")
+
+
 @query("wrong_notes", f"WITH {WRONG}, {QUESTIONS} SELECT id, source_file, index FROM questions WHERE id IN (SELECT question_id FROM wrong)")
 def q_wrong_notes(spark, sf_dir):
     return catalogue.wrong_notes(questions(spark, sf_dir), wrong_ids(spark, sf_dir)).select("id", "source_file", "index")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -88,18 +88,24 @@ def mark_changes(events: DataFrame, stored: DataFrame, grace_ms: int = 7 * DAY)
     any event is later than. Ids are equal in any case; a null id is no question. Events without
     a grade that remove nothing are passed over before they are dealt to the questions.
     """
-    number = lambda c: F.coalesce(
-        F.unix_micros(c) if isinstance(events.schema[c].dataType, T.TimestampType) else F.col(c).cast("long"), F.lit(FIRST)
-    )
+    place = lambda c: F.coalesce(as_number(F.col(c), events.schema[c].dataType), F.lit(FIRST))
     gone = F.coalesce("removed", F.lit(False)) if "removed" in events.columns else F.lit(False)
     asked = events.select(
-        F.lower("question_id").alias("question_id"), number("ts").alias("ts"), number("seq").alias("seq"), F.col("is_correct").alias("ok"),
+        F.lower("question_id").alias("question_id"), place("ts").alias("ts"), place("seq").alias("seq"), F.col("is_correct").alias("ok"),
         gone.alias("gone")
     ).where("question_id IS NOT NULL AND (ok IS NOT NULL OR gone)")
     first = stored.select(F.lower("question_id").alias("question_id")).where("question_id IS NOT NULL").distinct()
     return asked.groupBy("question_id").transformWithState(WrongMarks(grace_ms), CHANGES, "Update", "ProcessingTime", first.groupBy("question_id"))
 
 
+def as_number(value: Column, kind: T.DataType) -> Column:
+    """A time's microseconds, those of one without a zone as it stands, or a number as it is."""
+    if isinstance(kind, T.TimestampNTZType):
+        since = value - F.lit("1970-01-01").cast("timestamp_ntz")
+        return (since.cast("decimal(24,6)") * 1000000).cast("long")
+    return F.unix_micros(value) if isinstance(kind, T.TimestampType) else value.cast("long")
+
+
 def bucket(buckets: int = BUCKETS):
     return F.pmod(F.crc32(F.col("question_id").cast("binary")), F.lit(buckets)).cast("string")
 

@@ -19,7 +19,10 @@ def run(spark, tmp_path):
         wrong_set.follow(stream, str(tmp_path / "marks"), str(tmp_path / "at"), questions, grace_ms, availableNow=True).awaitTermination()
         return sorted(r[0] for r in wrong_set.stored_marks(spark, str(tmp_path / "marks")).collect())
 
-    return go
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield go
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
 def test_restarts_equal_the_batch_fold(spark, run):
@@ -69,3 +72,11 @@ def test_a_batch_again_changes_nothing(spark, tmp_path):
     wrong_set.merge_marks(changes.where("false"), folder)
     wrong_set.merge_marks(spark.createDataFrame([("b", False), ("zz", True)], wrong_set.CHANGES), folder)
     assert sorted(r[0] for r in wrong_set.stored_marks(spark, folder).collect()) == ["a", "zz"]
+
+
+def test_times_of_any_kind(spark):
+    kinds = {"timestamp": 86400000001, "timestamp_ntz": 86400000001}
+    for kind, micros in kinds.items():
+        df = spark.sql(f"SELECT CAST('1970-01-02 00:00:00.000001' AS {kind}) AS at, CAST(7 AS SMALLINT) AS n")
+        got = df.select(*(wrong_set.as_number(F.col(c), df.schema[c].dataType) for c in ("at", "n"))).first()
+        assert tuple(got) == (micros, 7)
