@@ -2,21 +2,24 @@
 
 Everything that a line says by itself is computed as columns: the number it shows whatever
 follows, and how much it looks like a heading without a number. Only the search is
-sequential, as each found marker moves the bounds of the next. It runs once per file, only
-for files in which numbers are missing, over the few lines that qualify.
+sequential, as each found marker moves the bounds of the next. It runs once for each gap
+between two headings in which numbers are missing, over the few lines that qualify.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from pagequarry.functions import text as T
 from pagequarry.functions.text import hangul_count, utrim
 from pagequarry.operators.headings import code_like, continues, disallowed, marked, plausible
+from pagequarry.operators.scans import BLOCK, running
 from pagequarry.operators.segments import accept_rising, positioned
 from pagequarry.session import settle
 
@@ -31,7 +34,7 @@ LEAST_SYLLABLES, EACH_SYLLABLE, MOST_OF_SYLLABLES = 4, 3, 30
 OF_QUESTION_MARK, OF_SHORT_PREFIX, OF_LEADING_WORD, LEADING_PLACES = 20, 25, 20, 11
 OF_INDENT, LEAST_INDENT = 10, 0.02
 MOST_OF_LEFT, EACH_LEFT = 50, 400
-SCHEMA = "pos long, index int, inferred boolean, guessed boolean"
+NEW = [StructField("pos", LongType()), StructField("index", IntegerType()), StructField("guessed", BooleanType())]
 
 
 def bound(x: int | str) -> Column:
@@ -82,56 +85,44 @@ def clues(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
     return found.where("index IS NOT NULL OR shown BETWEEN low AND high OR score IS NOT NULL")
 
 
-def search(rows: list[tuple], low: int, high: int) -> list[tuple[int, int, bool, bool]]:
-    """(pos, number, inferred, guessed) of a file's headings.
+def fill(lines: list[tuple], left: float | None, low: int, high: int, closed: bool) -> list[tuple[int, int, bool]]:
+    """(pos, number, guessed) of the headings between two others, with numbers between ``low`` and ``high``, both left out.
 
-    ``rows``: (pos, left, heading number, shown number, score) in order, None for what is
-    lacking. Lines that show a missing number between its neighbours' lines are taken first,
-    then the likeliest lines of each gap are numbered through.
+    ``lines``: (pos, left, shown number, score) in order, None for what is lacking; ``left`` is
+    where the heading before starts, None if there is none, and ``closed`` whether one comes
+    after. Lines that show a number after that of the last one taken are taken first, the
+    smallest number and then the first line before others. Between those, the likeliest lines
+    are numbered through.
     """
-    start = [(pos, index, False, False) for pos, _, index, _, _ in rows if index is not None]
-    markers = [m for m in start if low <= m[1] <= high]
-    if not markers:
-        return start
-    by_index = sorted((m[1], m[0]) for m in markers)
-    known = {m[1] for m in markers}
-    shown: dict[int, list[int]] = {}
-    for pos, _, _, number, _ in rows:
-        if number is not None and low <= number <= high:
-            shown.setdefault(number, []).append(pos)
-    found = 0
-    for n in sorted(shown.keys() - known):
-        at = bisect_left(by_index, (n,))
-        after = by_index[at - 1][1] if at else 0
-        before = by_index[at][1] if at < len(by_index) else float("inf")
-        first = bisect_right(shown[n], after)
-        if first < len(shown[n]) and shown[n][first] < before:
-            insort(by_index, (n, shown[n][first]))
-            known.add(n)
-            markers.append((shown[n][first], n, True, False))
-            found += 1
-    markers.sort()
-    scored = [(pos, x, score) for pos, x, _, _, score in rows if score is not None]
+    chain, last, number = [], None, low
+    for n, pos in sorted((shown, pos) for pos, _, shown, _ in lines if shown is not None and low < shown < high):
+        if n > number and (last is None or pos > last):
+            chain.append((pos, n, False))
+            last, number = pos, n
+    starts = {pos: x for pos, x, *_ in lines}
+    scored = [(pos, x, score) for pos, x, _, score in lines if score is not None]
     places = [s[0] for s in scored]
-    left = {pos: x for pos, x, *_ in rows}
-    at = 0
-    while at < len(markers) - 1:
-        a, b = markers[at], markers[at + 1]
-        new = []
-        if b[1] - a[1] > 1:
-            inside = scored[bisect_right(places, a[0]) : bisect_left(places, b[0])]
-            new = [
-                (pos, n, True, True) for n,
-                pos in enumerate(likeliest(inside, left[a[0]], b[1] - a[1] - 1), a[1] + 1) if low <= n <= high and n not in known
-            ]
-        if new:
-            # the gaps before this one stay as they are, as they lie between other lines
-            markers = sorted(markers + new)
-            known |= {m[1] for m in new}
-            found += len(new)
-        else:
-            at += 1
-    return markers if found else start
+    ends = [(pos, n) for pos, n, _ in chain] + ([(None, high)] if closed else [])
+    after, number = None, low
+    if left is None:
+        # nothing is guessed before the first heading
+        if not ends or ends[0][0] is None:
+            return chain
+        after, number = ends.pop(0)
+        left = starts[after]
+    found = list(chain)
+    for pos, n in ends:
+        stop = len(scored) if pos is None else bisect_left(places, pos)
+        while n - number > 1:
+            inside = scored[0 if after is None else bisect_right(places, after) : stop]
+            new = likeliest(inside, left, n - number - 1)
+            if not new:
+                break
+            found += [(p, number + k, True) for k, p in enumerate(new, 1)]
+            after, number, left = new[-1], number + len(new), starts[new[-1]]
+        if pos is not None:
+            after, number, left = pos, n, starts[pos]
+    return found
 
 
 def likeliest(scored: list[tuple], left: float, missing: int) -> list[int]:
@@ -142,35 +133,76 @@ def likeliest(scored: list[tuple], left: float, missing: int) -> list[int]:
     return [pos for pos, s in whole if s >= top - SCORE_RANGE][:missing]
 
 
-def recover(lines: DataFrame, low: int | str, high: int | str, markers: DataFrame | None = None) -> DataFrame:
+def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fill() of gaps, one a row."""
+    for batch in batches:
+        lines = batch.column("lines")
+        own = lines.flatten()
+        each = list(zip(*(own.field(k).to_pylist() for k in ("pos", "left_ratio", "shown", "score")), strict=True))
+        first = lines.offsets[0].as_py()
+        ends = [o.as_py() - first for o in lines.offsets]
+        at, found = [], []
+        gaps = zip(*(batch.column(k).to_pylist() for k in ("left", "above", "below", "closed")), strict=True)
+        for i, (left, above, below, closed) in enumerate(gaps):
+            new = fill(each[ends[i] : ends[i + 1]], left, above, below, closed)
+            at += [i] * len(new)
+            found += new
+        pos, number, guessed = zip(*found, strict=True) if found else ((), (), ())
+        files = batch.column("source_file").take(pa.array(at, pa.int32()))
+        arrays = [files, pa.array(pos, pa.int64()), pa.array(number, pa.int32()), pa.array(guessed, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, ["source_file", "pos", "index", "guessed"])
+
+
+def gaps_of(found: DataFrame) -> DataFrame:
+    """(source_file, after, left, above, below, closed) of each place where numbers are missing.
+
+    ``after`` is the place of the heading before, null before the first; ``above`` and ``below``
+    are the numbers around, the bounds at a file's ends. A file has no more headings than its
+    bounds have numbers, so they are one array.
+    """
+    marker = F.when(F.col("index").between(F.col("low"), F.col("high")), F.struct("pos", "index", "left_ratio"))
+    files = found.groupBy("source_file").agg(F.array_sort(F.collect_list(marker)).alias("m"), F.max("low").alias("low"), F.max("high").alias("high"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("m")), lambda i: F.struct(F.get("m", i - 1).alias("a"), F.get("m", i).alias("b")))
+    each = files.where(F.size("m") > 0).select("source_file", "low", "high", F.explode(pairs).alias("g"))
+    return each.select(
+        "source_file", F.col("g.a.pos").alias("after"), F.col("g.a.left_ratio").alias("left"),
+        F.coalesce(F.col("g.a.index"), F.col("low") - 1).alias("above"),
+        F.coalesce(F.col("g.b.index"), F.col("high") + 1).alias("below"), F.col("g.b").isNotNull().alias("closed"),
+    ).where("below - above > 1")
+
+
+def recover(
+    lines: DataFrame, low: int | str, high: int | str, markers: DataFrame | None = None, block: int = BLOCK
+) -> DataFrame:
     """(source_file, pos, index, inferred, guessed) of each file's headings between ``low`` and ``high``, numbers or columns.
 
-    ``markers`` are the headings as read, strict ones of ``lines`` if not given. Files that
-    lack no number, or have no heading to go by, keep those.
+    ``markers`` are the headings as read, strict ones of ``lines`` if not given; their numbers
+    rise within a file. Files that lack no number, or have no heading to go by, keep those;
+    files in which something is found lose those beyond the bounds. As the numbers rise, what
+    is found between two headings does not depend on the rest of the file, so each gap is a
+    group of its own, with the lines of it that qualify. A line without a left edge starts at 0.
     """
     placed = lines if "pos" in lines.columns else positioned(lines)
-    kind = placed.schema["source_file"].dataType.simpleString()
     if markers is None:
         read = with_markers(placed, low, high)
     else:
         read = placed.join(markers.select("source_file", "pos", F.col("index").cast("int").alias("index")), ["source_file", "pos"], "left")
-    found = clues(read, low, high)
-    have = F.count_if(F.col("index").between(F.col("low"), F.col("high"))).over(Window.partitionBy("source_file"))
-    found = found.withColumn("have", have).withColumn("gaps", (F.col("have") > 0) & (F.col("have") < F.col("high") - F.col("low") + 1))
-    found = settle(found, "recovery-clues")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        value = lambda v: None if pd.isna(v) else int(v)
-        columns = (pdf[c] for c in ("pos", "left_ratio", "index", "shown", "score"))
-        rows = [(int(pos), float(x), value(index), value(shown), value(score)) for pos, x, index, shown, score in zip(*columns, strict=True)]
-        out = pd.DataFrame(search(rows, int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])), columns=["pos", "index", "inferred", "guessed"])
-        out.insert(0, "source_file", pdf["source_file"].iloc[0])
-        return out
-
-    searched = found.where("gaps").groupBy("source_file").applyInPandas(run, f"source_file {kind}, {SCHEMA}")
-    whole = found.where("NOT gaps AND index IS NOT NULL").select(
-        "source_file", F.col("pos").cast("long").alias("pos"), "index", F.lit(False).alias("inferred"),
-        F.lit(False).alias("guessed")
+    place = {"pos": F.col("pos").cast("long"), "left_ratio": F.coalesce("left_ratio", F.lit(0.0))}
+    found = settle(clues(read, low, high).withColumns(place), "recovery-clues")
+    marker = F.when(F.col("index").between(F.col("low"), F.col("high")), F.col("pos"))
+    inside = running(found, {"after": ("max", marker)}, block=block).where("after IS NULL OR pos > after")
+    # as the key of a join, before any place that a line may have
+    gaps = gaps_of(found).withColumn("after", F.coalesce("after", F.lit(-1)))
+    x = inside.withColumn("after", F.coalesce("after", F.lit(-1))).join(gaps, ["source_file", "after"])
+    line = F.struct("pos", "left_ratio", "shown", "score")
+    each = x.where("score IS NOT NULL OR shown > above AND shown < below").groupBy(
+        "source_file", "after", "left", "above", "below", "closed"
+    ).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    schema = StructType([placed.schema["source_file"], *NEW])
+    new = settle(each.drop("after").mapInArrow(filled, schema), "recovery-found")
+    as_read = found.where("index IS NOT NULL")
+    beyond = as_read.where("index NOT BETWEEN low AND high").join(new.select("source_file").distinct(), "source_file", "left_anti")
+    old = as_read.where("index BETWEEN low AND high").unionByName(beyond)
+    return old.select("source_file", "pos", "index", F.lit(False).alias("inferred"), F.lit(False).alias("guessed")).unionByName(
+        new.select("source_file", "pos", "index", F.lit(True).alias("inferred"), "guessed")
     )
-    return searched.unionByName(whole)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as T
 from pagequarry.operators import segments
 from pagequarry.operators.headings import heading_index, marked, with_following
-from pagequarry.operators.recovery import clues, recover, search, with_markers
+from pagequarry.operators.recovery import clues, fill, recover, with_markers
 from pagequarry.plans import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -53,6 +53,18 @@ def test_expected_range_bounds(spark):
     assert df.select(heading_index("text", "next_text", F.lit(10), F.lit(20))).first()[0] is None
 
 
+def search(rows, low, high):
+    """fill() of each gap of one file: (pos, number, inferred, guessed)."""
+    start = [(p, i, False, False) for p, _, i, _, _ in rows if i is not None]
+    markers = [(p, i, x) for p, x, i, _, _ in rows if i is not None and low <= i <= high]
+    new = []
+    for k in range(len(markers) + 1 if markers else 0):
+        a, b = markers[k - 1] if k else None, markers[k] if k < len(markers) else None
+        inside = [(p, x, shown, score) for p, x, _, shown, score in rows if (not a or p > a[0]) and (not b or p < b[0])]
+        new += fill(inside, a and a[2], a[1] if a else low - 1, b[1] if b else high + 1, bool(b))
+    return sorted([(p, i, False, False) for p, i, _ in markers] + [(p, n, True, g) for p, n, g in new]) if new else start
+
+
 @pytest.mark.parametrize(
     ("rows", "want"),
     [
@@ -109,8 +121,8 @@ def test_recovery_is_that_of_the_definition():
         assert [m[:2] for m in search(rows, 2, 18)] == plain_search(rows, 2, 18)
 
 
-def test_recovery_of_all_files_is_the_search_of_each(spark):
-    """Also of files that lack nothing, which the search isn't run for."""
+def test_recovery_of_all_files_is_that_of_the_definition(spark):
+    """Also of files that lack nothing, and in blocks of few lines."""
     x = queries.gap_lines(spark, SF)
     got = {(r.source_file, r.pos): (r["index"], r.inferred, r.guessed) for r in recover(x, 1, 120).collect()}
     placed = segments.positioned(x)
@@ -119,12 +131,29 @@ def test_recovery_of_all_files_is_the_search_of_each(spark):
         rows.setdefault(r.source_file, []).append((r.pos, r.left_ratio, r["index"], r.shown, r.score))
     want = {(f, m[0]): m[1:] for f, own in rows.items() for m in search(own, 1, 120)}
     assert got == want and any(v[1] for v in got.values())
+    assert {k: v[0] for k, v in got.items()} == {(f, p): n for f, own in rows.items() for p, n in plain_search(own, 1, 120)}
+    small = {(r.source_file, r.pos): (r["index"], r.inferred, r.guessed) for r in recover(x, 1, 120, block=7).collect()}
+    assert small == want
     few = x.where("source_file = 1 AND text LIKE '%. 다음 중%'").limit(1)
     one = few.select(
         "source_file", "page_index", "line_in_page", F.concat(F.lit("1"), F.regexp_replace("text", "^[0-9]+", "")).alias("text"),
         "left_ratio"
     )
     assert [(r["index"], r.inferred) for r in recover(one, 1, 1).collect()] == [(1, False)]
+    assert recover(x.limit(0), 1, 9).count() == 0
+
+
+def test_headings_beyond_the_bounds_go_where_others_are_found(spark):
+    """Markers that were read without bounds: a has a line that shows what lacks, b has none, c one that looks like a heading."""
+    rows = [("a", 1, "3. 다음 글"), ("a", 2, "본문"), ("a", 3, "4. 다음 글"), ("a", 4, "본문"), ("a", 5, "9. 다음 글"), ("b", 1, "3. 다음 글"), ("b", 2, "9. 다음 글")]
+    rows += [("c", 1, "3. 다음 글"), ("c", 2, "다음 설명을 보고 고르면?"), ("c", 3, "본문"), ("c", 4, "5. 다음 글")]
+    x = spark.createDataFrame([(f, 1, p, p, t, None) for f, p, t in rows], "source_file string, page_index int, line_in_page int, pos int, text string, left_ratio double")
+    markers = spark.createDataFrame([("a", 1, 3), ("a", 5, 9), ("b", 1, 3), ("b", 2, 9), ("c", 1, 3), ("c", 4, 5)], "source_file string, pos int, index int")
+    got = sorted((r.source_file, r.pos, r["index"], r.inferred, r.guessed) for r in recover(x, 3, 5, markers).collect())
+    assert got == [
+        ("a", 1, 3, False, False), ("a", 3, 4, True, False), ("b", 1, 3, False, False), ("b", 2, 9, False, False),
+        ("c", 1, 3, False, False), ("c", 2, 4, True, True), ("c", 4, 5, False, False)
+    ]
 
 
 def test_clues_of_a_numberless_heading(spark):
