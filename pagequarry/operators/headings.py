@@ -52,12 +52,13 @@ def with_following(lines: DataFrame, order: str = "line_in_page") -> DataFrame:
 
 def marked(
     lines: DataFrame, order: str = "line_in_page", low: str | None = None, high: str | None = None,
-    patterns: dict[str, str] | None = None
+    patterns: dict[str, str] | None = None, keep: bool = False
 ) -> DataFrame:
     """heading_index() of every line by the next one of its page, as ``index`` or under the names of ``patterns``.
 
     What a line says by itself is a column below the window, so that each pattern is
-    matched once a line; what the next line says comes from there too.
+    matched once a line; what the next line says comes from there too. With ``keep``,
+    ``m_bad`` (disallowed() of the line) and ``m_next`` (continues() of the next one) stay.
     """
     patterns = patterns or {"index": T.STRICT_HEADING}
     text = F.coalesce("text", F.lit(""))
@@ -77,4 +78,4 @@ def marked(
         if low is not None:
             ok = ok & (F.col(low).isNull() | number.between(F.col(low), F.col(high)))
         x = x.withColumn(name, F.when(ok, number))
-    return x.drop("m_bad", "m_reads", "m_next", *(f"m_{n}{tail}" for n in patterns for tail in ("", "_suffix", "_shape")))
+    return x.drop("m_reads", *(() if keep else ("m_bad", "m_next")), *(f"m_{n}{tail}" for n in patterns for tail in ("", "_suffix", "_shape")))

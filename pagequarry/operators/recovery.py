@@ -41,32 +41,44 @@ def bound(x: int | str) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-def with_markers(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
-    """``lines``, which are positioned, with the heading numbers as read, within the bounds, as ``index``."""
+def with_numbers(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
+    """``lines`` with the number of each that reads as a heading, within the bounds, as ``index``, and what marked() keeps."""
     x = lines.withColumns({"m_low": bound(low), "m_high": bound(high)})
-    found = accept_rising(marked(x, "pos", "m_low", "m_high"))
-    return found.withColumn("index", F.when(F.col("accepted"), F.col("index")).cast("int")).drop("accepted", "m_low", "m_high")
+    return marked(x, "pos", "m_low", "m_high", keep=True).withColumn("index", F.col("index").cast("int")).drop("m_low", "m_high")
+
+
+def qualifying(found: DataFrame) -> DataFrame:
+    """Lines that are headings, show a number within the bounds, or may be headings without one."""
+    return found.where("index IS NOT NULL OR shown BETWEEN low AND high OR score IS NOT NULL")
+
+
+def with_markers(found: DataFrame, block: int = BLOCK) -> DataFrame:
+    """clues() with those of the numbers as ``index`` that rise within their file."""
+    x = accept_rising(found, block=block)
+    return qualifying(x.withColumn("index", F.when(F.col("accepted"), F.col("index"))).drop("accepted"))
 
 
 def clues(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
-    """Each line's heading number, shown number, and score as a numberless heading but for its place; ``lines`` are positioned and have ``index``."""
+    """Each line's heading number, shown number, and score as a numberless heading but for its place.
+
+    ``lines`` are positioned and have ``index``; what with_numbers() found out is not asked again.
+    """
     page = Window.partitionBy("source_file", "page_index").orderBy("pos")
     t, text = utrim("text"), F.coalesce("text", F.lit(""))
+    known = "m_next" in lines.columns
     x = lines.select(
         "source_file", "page_index", "pos", "left_ratio", text.alias("text"), "index", bound(low).cast("int").alias("low"),
-        bound(high).cast("int").alias("high")
+        bound(high).cast("int").alias("high"), *((F.col("m_bad").alias("bad"), F.col("m_next").alias("next_reads")) if known else ())
     )
     # what a line says by itself, below the window
     x = x.withColumns({
-        "t": t, "bad": disallowed("text"), "shown": F.regexp_extract("text", SHOWN_NUMBER, 1),
+        "t": t, "shown": F.regexp_extract("text", SHOWN_NUMBER, 1),
         "suffix": utrim(F.regexp_replace("text", SHOWN_NUMBER, "")), "syllables": hangul_count(t), "asks": t.contains("?"),
-    }).withColumn("reads", continues("text", F.col("bad")))
-    x = x.withColumns(
-        {
-            "next_reads": F.coalesce(F.lead("reads").over(page), F.lit(False)),
-            "indent": F.lag("left_ratio").over(page) - F.col("left_ratio")
-        }
-    )
+    })
+    if not known:
+        x = x.withColumn("bad", disallowed("text")).withColumn("reads", continues("text", F.col("bad")))
+        x = x.withColumn("next_reads", F.coalesce(F.lead("reads").over(page), F.lit(False)))
+    x = x.withColumn("indent", F.lag("left_ratio").over(page) - F.col("left_ratio"))
     t, asks = F.col("t"), F.col("asks")
     eligible = ~F.col("bad") & ~t.rlike(r"(?U)^\d") & ~code_like(t) & ~t.rlike(LIST_MARK) & (
         (F.col("syllables") >= LEAST_SYLLABLES) | asks
@@ -82,7 +94,7 @@ def clues(lines: DataFrame, low: int | str, high: int | str) -> DataFrame:
             shows, F.col("shown").try_cast("int")
         ).alias("shown"), F.when(eligible, score).cast("int").alias("score"),
     )
-    return found.where("index IS NOT NULL OR shown BETWEEN low AND high OR score IS NOT NULL")
+    return qualifying(found)
 
 
 def fill(lines: list[tuple], left: float | None, low: int, high: int, closed: bool) -> list[tuple[int, int, bool]]:
@@ -182,13 +194,15 @@ def recover(
     is found between two headings does not depend on the rest of the file, so each gap is a
     group of its own, with the lines of it that qualify. A line without a left edge starts at 0.
     """
-    placed = lines if "pos" in lines.columns else positioned(lines)
+    placed = lines if "pos" in lines.columns else positioned(lines, block)
     if markers is None:
-        read = with_markers(placed, low, high)
+        read = with_numbers(placed, low, high)
     else:
         read = placed.join(markers.select("source_file", "pos", F.col("index").cast("int").alias("index")), ["source_file", "pos"], "left")
     place = {"pos": F.col("pos").cast("long"), "left_ratio": F.coalesce("left_ratio", F.lit(0.0))}
     found = settle(clues(read, low, high).withColumns(place), "recovery-clues")
+    if markers is None:
+        found = settle(with_markers(found, block), "recovery-lines")
     marker = F.when(F.col("index").between(F.col("low"), F.col("high")), F.col("pos"))
     inside = running(found, {"after": ("max", marker)}, block=block).where("after IS NULL OR pos > after")
     # as the key of a join, before any place that a line may have

@@ -8,26 +8,46 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as T
 from pagequarry.functions.text import clip, utrim
 from pagequarry.operators.headings import marked
+from pagequarry.operators.scans import places, running
+from pagequarry.session import settle
 
 CHUNK_LINES = 10
 
 
-def accept_rising(lines: DataFrame, index: str = "index", file: str = "source_file", order: str = "pos") -> DataFrame:
+def rising(lines: DataFrame, index: str = "index", file: str = "source_file", order: str = "pos", block: int | None = None) -> DataFrame:
+    """``accepted`` as in accept_rising(), and ``reach``: the last accepted number up to the line, null before the first.
+
+    As the accepted numbers rise, those of one ``reach`` are one segment.
+    """
+    x = running(lines, {"reach": ("max", F.col(index))}, True, file, order, block)
+    x = x.withColumn("accepted", F.col(index).isNotNull() & (F.col(index) > F.coalesce("reach", F.lit(0))))
+    return x.withColumn("reach", F.when(F.col("accepted"), F.col(index)).otherwise(F.when(F.col("reach") > 0, F.col("reach"))))
+
+
+def accept_rising(lines: DataFrame, index: str = "index", file: str = "source_file", order: str = "pos", block: int | None = None) -> DataFrame:
     """``accepted``: the number is larger than every number before it in the file (and than 0). A rejected heading is body text."""
-    before = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("accepted", F.col(index).isNotNull() & (F.col(index) > F.coalesce(F.max(index).over(before), F.lit(0))))
+    return rising(lines, index, file, order, block).drop("reach")
 
 
-def span_numbers(lines: DataFrame, file: str = "source_file", order: str = "pos") -> DataFrame:
+def span_numbers(lines: DataFrame, file: str = "source_file", order: str = "pos", block: int | None = None) -> DataFrame:
     """``segment``: how many accepted headings there are up to the line; 0 before the first."""
-    upto = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("segment", F.sum(F.col("accepted").cast("int")).over(upto))
+    return running(lines, {"segment": ("sum", F.col("accepted").cast("int"))}, False, file, order, block)
+
+
+def counted(spans: DataFrame, whole: Column | None = None) -> DataFrame:
+    """Spans by ``reach``, here ``segment``, numbered from 1 in each file, which has no more of them than numbers; where ``whole``, they are so already."""
+    done = F.lit(False) if whole is None else whole
+    each = Window.partitionBy("source_file", F.when(done, F.col("segment"))).orderBy("segment")
+    return spans.withColumn("segment", F.when(done, F.col("segment")).otherwise(F.row_number().over(each).cast("long")))
+
+
+def page_order(lines: DataFrame) -> str:
+    return "read_at" if "read_at" in lines.columns else "line_in_page"
 
 
-def positioned(lines: DataFrame) -> DataFrame:
+def positioned(lines: DataFrame, block: int | None = None) -> DataFrame:
     """``pos``: the line's place in its file, in reading order where that is known."""
-    order = ["page_index", "read_at" if "read_at" in lines.columns else "line_in_page"]
-    return lines.withColumn("pos", F.row_number().over(Window.partitionBy("source_file").orderBy(*order)))
+    return places(lines, "pos", "page_index", page_order(lines), block=block)
 
 
 def page_line_counts(lines: DataFrame) -> DataFrame:
@@ -55,7 +75,8 @@ def spans(lines: DataFrame, separator: str | Column = "\n", *keys: str) -> DataF
 
 def by_heading(lines: DataFrame, pattern: str = T.STRICT_HEADING, low: str | None = None, high: str | None = None) -> DataFrame:
     """Spans that start at accepted headings."""
-    return spans(span_numbers(accept_rising(marked(lines, "pos", low, high, {"index": pattern}))))
+    x = rising(marked(lines, "pos", low, high, {"index": pattern})).withColumn("segment", F.coalesce("reach", F.lit(0)))
+    return counted(spans(x))
 
 
 def by_chunks(lines: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
@@ -69,31 +90,44 @@ def chunk_header(number: str | Column) -> Column:
     return F.concat(F.lit(T.INFERRED + T.QUESTION), T.col(number).cast("string"))
 
 
-def segment_documents(lines: DataFrame, low: str | None = None, high: str | None = None) -> DataFrame:
+def segment_documents(lines: DataFrame, low: str | None = None, high: str | None = None, block: int | None = None) -> DataFrame:
     """Strict headings (``tier`` 0), else permissive ones (1), else chunks (2), by file. Files without lines have no rows.
 
-    A line is read once for both kinds of headings, and a file's lines are dealt and sorted
-    once: the largest number of each kind says which tier the file gets.
+    A line is read once for both kinds of headings, and the largest number of each kind says
+    which tier the file gets. A file's lines are dealt and sorted once; with ``block`` they are
+    written with their numbers, and no file is brought to one task.
     """
-    placed = lines if "pos" in lines.columns else positioned(lines)
-    file = Window.partitionBy("source_file")
-    if "page_lines" not in placed.columns:
+    patterns = {"strict": T.STRICT_HEADING, "loose": T.PERMISSIVE_HEADING}
+    tier = F.when(F.col("most_strict") > 0, 0).when(F.col("most_loose") > 0, 1).otherwise(2)
+    index = F.when(F.col("tier") == 0, F.col("strict")).when(F.col("tier") == 1, F.col("loose"))
+    most = {"most_strict": F.max("strict"), "most_loose": F.max("loose")}
+    x, has_place = lines, "pos" in lines.columns
+    if "page_lines" not in lines.columns:
         page = Window.partitionBy("source_file", "page_index")
-        placed = placed.withColumn("page_lines", F.greatest(F.lit(1), F.max("line_in_page").over(page)))
-    x = marked(placed, "pos", low, high, {"strict": T.STRICT_HEADING, "loose": T.PERMISSIVE_HEADING})
-    found = F.when(F.max("strict").over(file) > 0, 0).when(F.max("loose").over(file) > 0, 1).otherwise(2)
-    x = x.withColumn("tier", found).withColumn("index", F.when(F.col("tier") == 0, F.col("strict")).when(F.col("tier") == 1, F.col("loose")))
+        x = lines.withColumn("page_lines", F.greatest(F.lit(1), F.max("line_in_page").over(page)))
+    if block is None:
+        file = Window.partitionBy("source_file")
+        x = marked(x if has_place else positioned(x), "pos", low, high, patterns)
+        x = x.withColumns({k: m.over(file) for k, m in most.items()}).withColumn("tier", tier).withColumn("index", index)
+        x = span_numbers(accept_rising(x))
+    else:
+        read = settle(marked(x, "pos" if has_place else page_order(x), low, high, patterns), "segment-marked")
+        files = read.groupBy("source_file").agg(*(m.alias(k) for k, m in most.items())).select("source_file", tier.alias("tier"))
+        x = (read if has_place else positioned(read, block)).join(files, "source_file").withColumn("index", index)
+        x = rising(x, block=block).withColumn("segment", F.coalesce("reach", F.lit(0)))
     chunk = F.floor((F.col("pos") - 1) / CHUNK_LINES) + 1
-    x = span_numbers(accept_rising(x)).withColumn("segment", F.when(F.col("tier") == 2, chunk).otherwise(F.col("segment")))
+    x = x.withColumn("segment", F.when(F.col("tier") == 2, chunk).otherwise(F.col("segment")))
     between = F.when(F.col("tier") == 2, " ").otherwise("\n")
     chunks = spans(x, between, "tier")
+    if block is not None:
+        chunks = counted(chunks, F.col("tier") == 2)
     number, none = F.col("segment").cast("int"), F.col("tier") == 2
     return chunks.withColumn("index", F.when(none, number).otherwise(F.col("index"))).withColumn(
         "header", F.when(none, chunk_header(number)).otherwise(F.col("header"))
     )
 
 
-def rebuilt(markers: DataFrame, lines: DataFrame) -> DataFrame:
+def rebuilt(markers: DataFrame, lines: DataFrame, block: int | None = None) -> DataFrame:
     """Candidates from markers (source_file, pos, index, guessed): each reaches to just before the next one's line.
 
     ``lines`` are positioned. The header of a line that shows no number says that it was guessed.
@@ -103,7 +137,7 @@ def rebuilt(markers: DataFrame, lines: DataFrame) -> DataFrame:
     ).withColumn("accepted", F.col("index").isNotNull())
     number = F.concat(F.lit(T.INFERRED), F.col("index").cast("string"), F.lit(". "), F.col("text"))
     shown = x.withColumn("text", F.when(F.col("guessed"), number).otherwise(F.col("text")))
-    return spans(span_numbers(shown.drop("guessed")))
+    return spans(span_numbers(shown.drop("guessed"), block=block))
 
 
 def rebuilt_spans(markers: DataFrame, lines: DataFrame) -> DataFrame:

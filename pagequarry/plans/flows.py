@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import QUESTION, nonblank, utrim
-from pagequarry.operators import answers, catalogue, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, segments
+from pagequarry.operators import answers, catalogue, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, scans, segments
 from pagequarry.session import settle
 
 
 def page_lines(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
-    """Positioned lines of every file, without what stands before a page's first heading and without blank ones.
+    """Lines of every file, to be positioned by ``read_at``, without what stands before a page's first heading and without blank ones.
 
     ``bounds`` (source_file, low, high) limit the numbers that headings may have; they come
     along. Lines with boxes are first trimmed in line order, then put in reading order.
@@ -30,8 +30,8 @@ def page_lines(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     counted = shown.withColumn(
         "page_lines", F.when(F.col("boxed"), F.greatest(F.lit(1), F.max("line_in_page").over(page))).otherwise(F.col("all_lines"))
     )
-    return segments.positioned(counted).select(
-        "source_file", "page_index", "line_in_page", "pos", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio",
+    return counted.select(
+        "source_file", "page_index", "line_in_page", "read_at", "text", "left_ratio", "top_ratio", "right_ratio", "bottom_ratio",
         "page_lines", "low", "high"
     )
 
@@ -39,10 +39,13 @@ def page_lines(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
 def split(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Candidates of every file: by headings, with those recovered that the bounds ask for, else by chunks.
 
-    Where headings were recovered, all of the file's candidates are rebuilt from them.
+    Where headings were recovered, all of the file's candidates are rebuilt from them. If a
+    file has more lines than one task should sort, files are handled in blocks.
     """
-    found = settle(page_lines(pages, bounds), "split-lines")
-    read = settle(segments.segment_documents(found, "low", "high"), "split-read")
+    rows = settle(page_lines(pages, bounds), "split-lines")
+    block = scans.needed_block(rows)
+    found = segments.positioned(rows, block).drop("read_at")
+    read = settle(segments.segment_documents(found, "low", "high", block), "split-read")
     if bounds is None:
         return read
     # a candidate's first line is its heading
@@ -53,7 +56,7 @@ def split(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     )
     every = settle(recovery.recover(bounded, "low", "high", markers), "split-markers")
     changed = every.where("inferred").select("source_file").distinct()
-    rebuilt = segments.rebuilt(every, found.join(changed, "source_file", "left_semi"))
+    rebuilt = segments.rebuilt(every, found.join(changed, "source_file", "left_semi"), block)
     tiers = read.select("source_file", "tier").distinct()
     return read.join(changed, "source_file", "left_anti").unionByName(rebuilt.join(tiers, "source_file"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
-from pagequarry.operators import answers, catalogue, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, segments
+from pagequarry.operators import answers, catalogue, diagnostics, grading, headings, importer, layout, lines, practice, ranges, recovery, scans, segments
 from pagequarry.session import shared_folder
 from pagequarry.streaming import wrong_set as streamed
 
@@ -71,12 +71,13 @@ FROM (SELECT *, coalesce(string_agg(CASE
   AND UNBOUNDED FOLLOWING), '') AS body FROM spans)
 WHERE segment > 0 GROUP BY source_file, segment, body""")
 def q_segments(spark, sf_dir):
-    x = segments.span_numbers(segments.accept_rising(numbered_lines(spark, sf_dir))).where("segment > 0")
+    x = segments.rising(numbered_lines(spark, sf_dir), block=scans.BLOCK).where("reach > 0").withColumnRenamed("reach", "segment")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("accepted"), F.struct("pos", "text")))), lambda r: r["text"]), " ")
-    return x.groupBy("source_file", "segment").agg(
+    found = x.groupBy("source_file", "segment").agg(
         F.max(F.when(F.col("accepted"), F.col("index"))).alias("index"), F.min("pos").alias("start_pos"),
         F.max("pos").alias("end_pos"), F.count("*").alias("n_lines"), T.clip(body).alias("preview")
     )
+    return segments.counted(found)
 
 
 @query("rebuilt_spans", f"""WITH {LINES}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import text as T
 from pagequarry.operators import segments
 from pagequarry.operators.headings import heading_index, marked, with_following
-from pagequarry.operators.recovery import clues, fill, recover, with_markers
+from pagequarry.operators.recovery import clues, fill, recover, with_markers, with_numbers
 from pagequarry.plans import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -127,7 +127,7 @@ def test_recovery_of_all_files_is_that_of_the_definition(spark):
     got = {(r.source_file, r.pos): (r["index"], r.inferred, r.guessed) for r in recover(x, 1, 120).collect()}
     placed = segments.positioned(x)
     rows = {}
-    for r in clues(with_markers(placed, 1, 120), 1, 120).orderBy("pos").collect():
+    for r in with_markers(clues(with_numbers(placed, 1, 120), 1, 120)).orderBy("pos").collect():
         rows.setdefault(r.source_file, []).append((r.pos, r.left_ratio, r["index"], r.shown, r.score))
     want = {(f, m[0]): m[1:] for f, own in rows.items() for m in search(own, 1, 120)}
     assert got == want and any(v[1] for v in got.values())
@@ -167,7 +167,7 @@ def test_clues_of_a_numberless_heading(spark):
             "source_file string, page_index int, line_in_page int, text string, left_ratio double"
         )
     )
-    got = {r.pos: (r["index"], r.shown, r.score) for r in clues(with_markers(x, 1, 9), 1, 9).collect()}
+    got = {r.pos: (r["index"], r.shown, r.score) for r in with_markers(clues(with_numbers(x, 1, 9), 1, 9)).collect()}
     # six syllables and more: 18 or 21, a short prefix, the leading word near the start, the indent
     assert got[1][:2] == (1, 1) and got[2] == (None, None, 3 * 7 + 25 + 20 + 10) and 4 not in got and 6 not in got and 8 not in got
     assert got[7] == (None, None, 3 * 4 + 20 + 25)
