@@ -19,7 +19,7 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 from pagequarry.functions import text as T
 from pagequarry.functions.text import hangul_count, utrim
 from pagequarry.operators.headings import code_like, continues, disallowed, marked, plausible
-from pagequarry.operators.scans import BLOCK, running
+from pagequarry.operators.scans import running
 from pagequarry.operators.segments import accept_rising, positioned
 from pagequarry.session import settle
 
@@ -52,7 +52,7 @@ def qualifying(found: DataFrame) -> DataFrame:
     return found.where("index IS NOT NULL OR shown BETWEEN low AND high OR score IS NOT NULL")
 
 
-def with_markers(found: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_markers(found: DataFrame, block: int | None = None) -> DataFrame:
     """clues() with those of the numbers as ``index`` that rise within their file."""
     x = accept_rising(found, block=block)
     return qualifying(x.withColumn("index", F.when(F.col("accepted"), F.col("index"))).drop("accepted"))
@@ -184,7 +184,7 @@ def gaps_of(found: DataFrame) -> DataFrame:
 
 
 def recover(
-    lines: DataFrame, low: int | str, high: int | str, markers: DataFrame | None = None, block: int = BLOCK
+    lines: DataFrame, low: int | str, high: int | str, markers: DataFrame | None = None, block: int | None = None
 ) -> DataFrame:
     """(source_file, pos, index, inferred, guessed) of each file's headings between ``low`` and ``high``, numbers or columns.
 
@@ -193,6 +193,7 @@ def recover(
     files in which something is found lose those beyond the bounds. As the numbers rise, what
     is found between two headings does not depend on the rest of the file, so each gap is a
     group of its own, with the lines of it that qualify. A line without a left edge starts at 0.
+    ``block`` is that of scans.running(): without it a file is positioned by one task.
     """
     placed = lines if "pos" in lines.columns else positioned(lines, block)
     if markers is None:

@@ -54,7 +54,7 @@ def split(pages: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     markers = bounded.join(starts, ["source_file", "page_index", "line_in_page"]).select(
         "source_file", "pos", F.col("index").cast("int").alias("index")
     )
-    every = settle(recovery.recover(bounded, "low", "high", markers), "split-markers")
+    every = settle(recovery.recover(bounded, "low", "high", markers, block), "split-markers")
     changed = every.where("inferred").select("source_file").distinct()
     rebuilt = segments.rebuilt(every, found.join(changed, "source_file", "left_semi"), block)
     tiers = read.select("source_file", "tier").distinct()
