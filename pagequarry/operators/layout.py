@@ -30,9 +30,25 @@ def same_column(left: Column, right: Column, anchor_left: Column, anchor_right:
     return crop_line(left, right, anchor_left, anchor_right) | starts_right
 
 
-def beside(line: Column, anchor: Column) -> Column:
-    """same_column() of two structs."""
-    return same_column(line["left_ratio"], line["right_ratio"], anchor["left_ratio"], anchor["right_ratio"])
+def reach_of(anchor: Column) -> Column:
+    """What crop_line() and same_column() ask of an anchor, a struct, told once for all lines that are held against it."""
+    left, right = anchor["left_ratio"], anchor["right_ratio"]
+    return F.struct(
+        (F.greatest(F.lit(0.0), right - left) >= WIDE_ANCHOR).alias("wide"), ((left + right) / 2).alias("centre"),
+        clamp(left - MARGIN).alias("low"), clamp(right + MARGIN).alias("high"), ((left + right) / 2 >= RIGHT_COLUMN).alias("rightward")
+    )
+
+
+def in_crop(line: Column, reach: Column) -> Column:
+    """crop_line() of a struct and an anchor's reach."""
+    left, right = line["left_ratio"], line["right_ratio"]
+    near = F.abs((left + right) / 2 - reach["centre"]) <= CENTRE_DISTANCE
+    return reach["wide"] | near | (F.least(right, reach["high"]) - F.greatest(left, reach["low"]) >= OVERLAP)
+
+
+def beside(line: Column, reach: Column) -> Column:
+    """same_column() of a struct and an anchor's reach."""
+    return in_crop(line, reach) | (reach["rightward"] & (line["left_ratio"] >= reach["low"]))
 
 
 def at_least(start: Column, end: Column, size: float) -> Column:
@@ -92,7 +108,9 @@ def page_table(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pages that have an image, their lines in order, and the questions that start on each.
 
     ``lines`` have their places, whether they show anything, and which numbers their texts
-    name (see named()), ``marks`` are those that name some; ``starts`` are the candidates by line, ``heads`` those of them whose line exists, with that line. A page's
+    name (see named()); ``marks`` are those whose range needs no question to begin at, with
+    it. ``starts`` are the candidates by line, ``heads`` those of them whose line exists, with
+    that line, and ``naming`` those of the heads whose line names questions. A page's
     lines and questions are one row's arrays, so what follows compares them in place. The
     table is written, as it is joined more than once.
     """
@@ -115,8 +133,10 @@ def page_table(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     at = lambda all_numbers, s: F.get("lines", F.array_position(all_numbers, s["start_line"].cast("int")).cast("int") - 1)
     head = lambda s, line: F.struct(s["start_line"].alias("start_line"), s["index"].alias("index"), line.alias("line"))
     found = let(numbers, lambda n: F.transform("starts", lambda s: head(s, at(n, s))))
-    marks = F.filter("lines", lambda l: l["named"].isNotNull())
-    return settle(x.withColumns({"heads": F.filter(found, lambda h: h["line"].isNotNull()), "marks": marks}), "layout-pages")
+    ranged = F.transform(F.filter("lines", lambda l: l["named"].isNotNull()), lambda l: F.struct(*(l[c].alias(c) for c in PLACE), *own_range(l["named"])))
+    marks = F.filter(ranged, lambda m: m["low"].isNotNull())
+    x = x.withColumns({"heads": F.filter(found, lambda h: h["line"].isNotNull()), "marks": marks})
+    return settle(x.withColumn("naming", F.filter("heads", lambda h: h["line"]["named"].isNotNull() & (h["index"] > 0))), "layout-pages")
 
 
 def let(x: Column, body) -> Column:
@@ -124,26 +144,29 @@ def let(x: Column, body) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
+def present(x: Column) -> Column:
+    """A generator of ``x`` that drops the rows where it is null: a filter of a column would compute it once more."""
+    return F.explode(F.filter(F.array(x), lambda v: v.isNotNull()))
+
+
 def on_pages(candidates: DataFrame, table: DataFrame) -> DataFrame:
-    """Each candidate on each page of its span that has an image, with its anchor: its first line, if that page has one."""
+    """Each candidate on each page of its span that has an image, with its anchor: its first line, if that page has one, and ``reach`` of it."""
     heads = table.select("source_file", F.col("page_index").alias("start_page"), F.explode("heads").alias("h"))
-    anchors = heads.select("source_file", "start_page", F.col("h.start_line").alias("start_line"), F.col("h.line").alias("anchor"))
+    anchors = heads.select("source_file", "start_page", F.col("h.start_line").alias("start_line"), F.col("h.line").alias("anchor"), reach_of(F.col("h.line")).alias("reach"))
     anchored = candidates.join(anchors.dropDuplicates(["source_file", "start_page", "start_line"]), ["source_file", "start_page", "start_line"], "left")
     return anchored.withColumn("page_index", F.explode(F.sequence("start_page", "end_page"))).join(table, ["source_file", "page_index"])
 
 
 def next_top() -> Column:
     """The padded top of the first heading by line below the question, or on a later page of its span, that has another number and the anchor's column; null without one."""
-    anchor = F.col("anchor")
     below = F.filter(
         "heads",
         lambda h: (h["index"] != F.col("index")) & (
             (F.col("page_index") != F.col("start_page")) | (h["start_line"] > F.col("start_line"))
-        ) & beside(h["line"], anchor)
+        ) & beside(h["line"], F.col("reach"))
     )
-    top = F.get(F.transform(below, lambda h: h["line"]["top_ratio"]), F.lit(0))
     # the least and the greatest of a null and a number are the number
-    return F.when(top.isNotNull(), clamp(top - PADDING))
+    return let(F.get(below, F.lit(0))["line"]["top_ratio"], lambda top: F.when(top.isNotNull(), clamp(top - PADDING)))
 
 
 def next_heading_tops(candidates: DataFrame, table: DataFrame) -> DataFrame:
@@ -168,10 +191,9 @@ def padded_box(lines: Column, crop: Column) -> Column:
     )
 
 
-def narrow(lines: Column, anchor: Column) -> Column:
-    """The crop lines, all if there are none."""
-    kept = F.filter(lines, lambda l: crop_line(l["left_ratio"], l["right_ratio"], anchor["left_ratio"], anchor["right_ratio"]))
-    return F.when(F.size(kept) > 0, kept).otherwise(lines)
+def narrow(lines: Column, reach: Column) -> Column:
+    """The crop lines of an anchor's reach, all if there are none."""
+    return let(F.filter(lines, lambda l: in_crop(l, reach)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(lines))
 
 
 def boxed(lines: Column, crop) -> Column:
@@ -187,8 +209,8 @@ def finished(df: DataFrame, box: Column) -> DataFrame:
         b["left_ratio"].alias("left_ratio"), b["top_ratio"].alias("top_ratio"), right(b).alias("right_ratio"), bottom(b).alias("bottom_ratio")
     )
     names = ["source_file", "index", "start_page", "start_line", "page_index", "image_path"]
-    x = df.select(*names, "pixel_width", "pixel_height", let(box, lambda b: F.when(b.isNotNull(), sized(b))).alias("s"))
-    return x.where("s IS NOT NULL").select(*names, "s.*", "pixel_width", "pixel_height")
+    x = df.select(*names, "pixel_width", "pixel_height", present(let(box, lambda b: F.when(b.isNotNull(), sized(b)))).alias("s"))
+    return x.select(*names, "s.*", "pixel_width", "pixel_height")
 
 
 def question_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
@@ -209,12 +231,12 @@ def question_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
     limit = F.when(first, clamp(F.col("anchor.top_ratio") - PADDING)).otherwise(0.0)
     anchor = F.col("anchor")
     below = lambda l, top: top.isNull() | (l["top_ratio"] < top)
-    fits = lambda l, edges: l["shown"] & (l["bottom_ratio"] >= edges["limit"]) & below(l, edges["next_top"]) & beside(l, anchor)
+    fits = lambda l, edges: l["shown"] & (l["bottom_ratio"] >= edges["limit"]) & below(l, edges["next_top"]) & beside(l, F.col("reach"))
     edges = F.struct(limit.alias("limit"), next_top().alias("next_top"))
     own = let(edges, lambda e: F.filter("lines", lambda l: fits(l, e)))
     low_line = F.when(first, F.col("start_line")).otherwise(1)
     counted = F.filter("lines", lambda l: (l["line_in_page"] >= low_line) & (~last | (l["line_in_page"] <= F.col("end_line"))))
-    box = F.when(anchor.isNotNull(), boxed(own, lambda some: narrow(some, anchor))).otherwise(boxed(counted, lambda some: some))
+    box = F.when(anchor.isNotNull(), boxed(own, lambda some: narrow(some, F.col("reach")))).otherwise(boxed(counted, lambda some: some))
     cut = F.when(first | anchor.isNull() | (F.size("lines") == 0), by_number)
     return finished(x, F.coalesce(box, cut))
 
@@ -234,36 +256,44 @@ def named(x: Column) -> Column:
     # few lines are markers, and only theirs are read closely
     words = [x.contains(word) for word in T.MARKER_WORDS]
     marks = (words[0] | words[1] | words[2]) & x.rlike("[-~〜]")
-    t = T.utrim(x)
-    number = lambda pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
-    low, high = number(T.RANGE_HINT, 1), number(T.RANGE_HINT, 2)
-    whole = (low > 0) & (high >= low)
-    return F.when(
-        marks,
-        F.struct(
-            F.when(whole, low).alias("low"), F.when(whole, high).alias("high"), number(T.RANGE_START, 1).alias("start"),
-            number(T.RANGE_END, 1).alias("end")
-        )
+    number = lambda t, pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
+    # each pattern is matched once a marker
+    read = let(T.utrim(x), lambda t: F.struct(
+        number(t, T.RANGE_HINT, 1).alias("low"), number(t, T.RANGE_HINT, 2).alias("high"), number(t, T.RANGE_START, 1).alias("start"),
+        number(t, T.RANGE_END, 1).alias("end")
+    ))
+    whole = lambda r: (r["low"] > 0) & (r["high"] >= r["low"])
+    names = lambda r: F.struct(
+        F.when(whole(r), r["low"]).alias("low"), F.when(whole(r), r["high"]).alias("high"), r["start"].alias("start"), r["end"].alias("end")
     )
+    return F.when(marks, let(read, names))
 
 
-def range_for(name: Column, index: Column, fallback: Column | None = None) -> Column:
-    """Struct (low, high) that named() means for a question, null if that isn't in it.
+def own_range(name: Column) -> list[Column]:
+    """``low`` and ``high`` of the questions that named() means whatever question is asked for: a range of both ends, or three from a start alone; null without a start."""
+    whole, start = name["low"].isNotNull(), name["start"] > 0
+    three = name["start"] + F.lit(SHARED_QUESTIONS - 1)
+    return [
+        F.when(whole, name["low"]).when(start, name["start"]).alias("low"), F.when(whole, name["high"]).when(start, three).alias("high")
+    ]
+
+
+def holds(name: Column, index: Column, fallback: Column) -> Column:
+    """Whether named() means a question.
 
     A range of both ends decides alone. A start alone means three questions; where those
-    don't hold the question and ``fallback`` is given, an end alone reaches back to that.
+    don't hold the question, an end alone reaches back to ``fallback``.
     """
-    make = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
     three = name["start"] + F.lit(SHARED_QUESTIONS - 1)
-    out = F.when(name["low"].isNotNull(), F.when(index.between(name["low"], name["high"]), make(name["low"], name["high"])))
-    out = out.when((name["start"] > 0) & index.between(name["start"], three), make(name["start"], three))
-    if fallback is not None:
-        out = out.when((fallback > 0) & (name["end"] >= fallback) & index.between(fallback, name["end"]), make(fallback, name["end"]))
-    return out
+    from_start = (name["start"] > 0) & index.between(name["start"], three)
+    to_end = (fallback > 0) & (name["end"] >= fallback) & index.between(fallback, name["end"])
+    return F.when(name["low"].isNotNull(), index.between(name["low"], name["high"])).otherwise(
+        F.coalesce(from_start, F.lit(False)) | F.coalesce(to_end, F.lit(False))
+    )
 
 
 def with_context(candidates: DataFrame, table: DataFrame) -> DataFrame:
-    """on_pages() of each question's first page with ``context``: the lines at which the passage that it shares with others and that passage's questions start.
+    """on_pages() of each question's first page, where it has a ``context``: the lines at which the passage that it shares with others and that passage's questions start.
 
     The nearest line above the question in its column that names a range with its number,
     and below which the first question of that range starts: the passage is what is between
@@ -271,33 +301,35 @@ def with_context(candidates: DataFrame, table: DataFrame) -> DataFrame:
     own line names such a range: the passage then reaches down to the question itself.
     """
     x = on_pages(candidates.where("index > 0").withColumn("end_page", F.col("start_page")), table).where("anchor IS NOT NULL")
-    anchor, index = F.col("anchor"), F.col("index")
-    first_in = lambda r: F.get(
-        F.filter("starts", lambda s: (s["index"] > 0) & s["index"].between(r["low"], r["high"])), F.lit(0)
+    reach, index = F.col("reach"), F.col("index")
+    first_in = lambda m: F.get(
+        F.filter("starts", lambda s: (s["index"] > 0) & s["index"].between(m["low"], m["high"])), F.lit(0)
     )["start_line"]
-    above = F.filter("marks", lambda l: (l["line_in_page"] < F.col("start_line")) & (l["line_in_page"] >= 1) & beside(l, anchor))
-    named_by = lambda l: F.struct(l["line_in_page"].alias("line"), first_in(range_for(l["named"], index)).alias("question"))
-    earlier = lambda h: (h["index"] > 0) & (h["start_line"] < F.col("start_line")) & (h["index"] < index) & beside(h["line"], anchor)
-    prior = F.filter("heads", lambda h: earlier(h) & range_for(h["line"]["named"], index, h["index"]).isNotNull())
+    # few marks are of the question's number, and only those are looked at closely
+    own = lambda m: index.between(m["low"], m["high"]) & (m["line_in_page"] < F.col("start_line")) & (m["line_in_page"] >= 1)
+    above = F.filter("marks", lambda m: own(m) & beside(m, reach))
+    named_by = lambda m: F.struct(m["line_in_page"].alias("line"), first_in(m).alias("question"))
+    earlier = lambda h: (h["start_line"] < F.col("start_line")) & (h["index"] < index)
+    prior = F.filter("naming", lambda h: earlier(h) & holds(h["line"]["named"], index, h["index"]) & beside(h["line"], reach))
     mark = F.try_element_at(F.filter(F.transform(above, named_by), lambda m: m["question"] > m["line"]), F.lit(-1))
     both = F.struct(mark.alias("mark"), F.try_element_at(prior, F.lit(-1)).alias("prior"))
     line = lambda b: F.coalesce(b["mark"]["line"], b["prior"]["start_line"])
     question = lambda b: F.when(b["mark"].isNotNull(), b["mark"]["question"]).otherwise(F.col("start_line"))
-    return x.withColumn("context", let(both, lambda b: F.when(line(b).isNotNull(), F.struct(line(b).alias("context_line"), question(b).alias("question_line")))))
+    found = lambda b: let(line(b), lambda at: F.when(at.isNotNull(), F.struct(at.alias("context_line"), question(b).alias("question_line"))))
+    return x.select("*", present(let(both, found)).alias("context"))
 
 
 def shared_contexts(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """(source_file, index, start_page, start_line, context_line, question_line) of the questions that share a passage; see with_context()."""
-    x = with_context(candidates, table).select("source_file", "index", "start_page", "start_line", "context")
-    return x.where("context IS NOT NULL").select("source_file", "index", "start_page", "start_line", "context.*")
+    return with_context(candidates, table).select("source_file", "index", "start_page", "start_line", "context.*")
 
 
 def shared_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
     """The crop of each question's shared passage: its non-blank lines in the question's column, as wide as those of its first line's crop."""
     x = with_context(candidates, table)
     inside = lambda l, c: (l["line_in_page"] >= c["context_line"]) & (l["line_in_page"] < c["question_line"])
-    own = let(F.col("context"), lambda c: F.filter("lines", lambda l: inside(l, c) & l["shown"] & beside(l, F.col("anchor"))))
-    return finished(x, F.when(F.col("context").isNotNull(), boxed(own, lambda some: narrow(some, F.get(some, F.lit(0))))))
+    own = let(F.col("context"), lambda c: F.filter("lines", lambda l: inside(l, c) & l["shown"] & beside(l, F.col("reach"))))
+    return finished(x, boxed(own, lambda some: let(reach_of(F.get(some, F.lit(0))), lambda reach: narrow(some, reach))))
 
 
 def image_segments(candidates: DataFrame, table: DataFrame) -> DataFrame:
