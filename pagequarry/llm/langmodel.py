@@ -20,7 +20,6 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -55,12 +54,38 @@ def held_out_rows(ids: list, folds: int, fold: int) -> np.ndarray:
 # ---- chunks ------------------------------------------------------------------------------
 
 
+def order_of(values: np.ndarray) -> np.ndarray:
+    """The places of whole numbers from 0 on in rising order; where a number and its place fit into 64 bits, both are sorted as one number."""
+    bits = len(values).bit_length()
+    if int(values.max(initial=0)).bit_length() + bits > 64:
+        return np.argsort(values)
+    both = values.astype(U64) << U64(bits) | np.arange(len(values), dtype=U64)
+    both.sort()
+    return (both & U64((1 << bits) - 1)).astype(np.int64)
+
+
+def distinct_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each whole number's place among the distinct ones, and these in rising order."""
+    by = order_of(values)
+    rising = values[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = rising[1:] != rising[:-1]
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return rank, rising[new]
+
+
+def by_lanes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order by both; a second sort only where equal numbers of the first lane have several of the second."""
+    by = np.argsort(first)
+    if ((first[by][1:] == first[by][:-1]) & (second[by][1:] != second[by][:-1])).any():
+        by = np.lexsort((second, first))
+    return by
+
+
 def distinct_words(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of 128-bit hashes in two lanes, a place of each distinct one and every one's number among them."""
-    by = np.argsort(first, kind="stable")
-    split = (first[by][1:] == first[by][:-1]) & (second[by][1:] != second[by][:-1])
-    if split.any():
-        by = np.lexsort((second, first))
+    by = by_lanes(first, second)
     new = np.ones(len(by), dtype=bool)
     new[1:] = (first[by][1:] != first[by][:-1]) | (second[by][1:] != second[by][:-1])
     rank = np.empty(len(by), dtype=np.int64)
@@ -90,7 +115,8 @@ def encode_chunk(ids: list, texts: list[bytes], folds: int, fold: int) -> tuple[
         hashes.append(tokens)
     first, rank = distinct_words(*hashes)
     trains = np.repeat(~held_out_rows(ids, folds, fold), lengths)
-    falling = np.argsort(-np.bincount(rank, minlength=len(first)), kind="stable")
+    counts = np.bincount(rank, minlength=len(first))
+    falling = order_of(counts.max(initial=0) - counts)
     number = np.empty(len(first), dtype=np.int64)
     number[falling] = np.arange(len(first))
     known = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(U64)
@@ -169,7 +195,7 @@ def in_buckets(bucket: np.ndarray, *keys: np.ndarray) -> np.ndarray:
         whole = bucket.astype(np.int64)
         for k, b in zip(keys, bits[1:], strict=True):
             whole = whole << b | k.astype(np.int64)
-        return np.argsort(whole)
+        return order_of(whole)
     return np.lexsort((*reversed(keys), bucket))
 
 
@@ -234,7 +260,7 @@ class Gathered:
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         self.keys, self.values = columns[:n_keys], [v.astype(np.int64) for v in columns[n_keys:]]
         del parts, columns
-        by = in_buckets(np.zeros(len(self.keys[0]), np.int64), *self.keys)
+        by = by_lanes(*self.keys) if self.level == 1 else in_buckets(np.zeros(len(self.keys[0]), np.int64), *self.keys)
         new = np.ones(len(by), dtype=bool)
         new[1:] = False
         for k in self.keys:
@@ -344,6 +370,10 @@ class Chunk:
             own = by_hash[lo : lo + len(count)]
             self.count[own], self.name[own] = count, 2 + bucket * self.model.stride[1] + np.cumsum(rising).astype(np.int64)
             lo += len(count)
+        # names rise with hashes, so the order of the words' names is known
+        self.place = np.zeros(self.n_words + 1, dtype=np.int64)
+        self.place[by_hash] = np.arange(1, self.n_words + 1)
+        self.by_place = np.append(self.n_words, by_hash)
         # as many texts begin as end
         self.count[-1] = self.count[self.tokens[-1]]
         self.before = np.empty_like(self.tokens)
@@ -394,22 +424,29 @@ class Grams:
             first[chunk.starts] = -1
         usable = np.append(count >= need, False)
         read = usable[first]
-        # every context that a token is read in, also where no n-gram can be kept
-        seen = np.zeros(len(usable), dtype=bool)
-        seen[first[read]] = True
-        self.context = np.flatnonzero(seen)
         there = np.flatnonzero(read & usable[rest])
-        rank, codes = pd.factorize(first[there] * chunk.n_words + chunk.tokens[there])
+        if k == 2:
+            # in the order of the names, so that only buckets are left to sort by
+            rank, codes = distinct_numbers(chunk.place[first[there]] * (chunk.n_words + 1) + chunk.place[chunk.tokens[there]])
+            self.first, self.word = (chunk.by_place[x] for x in np.divmod(codes, chunk.n_words + 1))
+        else:
+            rank, codes = distinct_numbers(first[there] * chunk.n_words + chunk.tokens[there])
+            self.first, self.word = np.divmod(codes, chunk.n_words)
         self.n = len(codes)
         self.at = np.full(len(chunk.tokens), -1, dtype=np.int64)
         self.at[there] = rank
-        self.first, self.word = codes // chunk.n_words, codes % chunk.n_words
         self.rest = np.zeros(self.n, dtype=np.int64)
         self.rest[rank] = rest[there]
         self.first_name, self.last_name = name[self.first].astype(U64), chunk.name[self.word].astype(U64)
-        self.context_name, self.of = name[self.context].astype(U64), (np.cumsum(seen) - 1)[self.first]
+        # every context that a token is read in, also where no n-gram can be kept
+        self.seen = np.zeros(len(usable), dtype=bool)
+        self.seen[first[read]] = True
+        self.names = name
         bucket = top_bits(mix(self.first_name * LANES[0] ^ mix(self.last_name)), chunk.model.buckets[k - 1])
-        self.by = in_buckets(bucket, self.first_name, self.last_name)
+        if k == 2:
+            self.by = np.argsort(bucket.astype(np.uint16) if chunk.model.buckets[1] <= 1 << 16 else bucket, kind="stable")
+        else:
+            self.by = in_buckets(bucket, self.first_name, chunk.place[self.word])
         self.bucket = bucket[self.by]
         self.below_count = count
 
@@ -426,7 +463,9 @@ class Grams:
         self.kept = self.count >= self.model.need(self.k)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts' order by bucket and name, and the sorted buckets."""
+        """The contexts' order by bucket and name, and the sorted buckets; ``context`` and ``of`` are there from then on."""
+        self.context = np.flatnonzero(self.seen)
+        self.context_name, self.of = self.names[self.context].astype(U64), (np.cumsum(self.seen) - 1)[self.first]
         bucket = top_bits(mix(self.context_name), self.model.buckets[self.k - 2])
         by = in_buckets(bucket, self.context_name)
         return by, bucket[by]
@@ -481,7 +520,7 @@ class Automaton:
         # in the order of their first slots, arcs take the next free slot one after another
         self.bits = max(4, int(2 * len(key)).bit_length())
         slot = self.slot(key.astype(np.int64))
-        by = np.argsort(slot)
+        by = order_of(slot)
         at = np.arange(len(by)) + np.maximum.accumulate(slot[by] - np.arange(len(by))) if len(by) else slot
         size = (1 << self.bits) + len(key) + 1
         self.key = np.full(size, -1, dtype=np.int64)

@@ -95,7 +95,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a, dtype="<u8")
         width = -(-int(a.max(initial=0)).bit_length() // 8)
         heads.append(struct.pack("<IB", len(a), width))
-        planes.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        planes += [np.ascontiguousarray(plane).tobytes() for plane in a.view(np.uint8).reshape(-1, 8).T[:width]]
     raw = b"".join([bytes([len(arrays)]), *heads, *planes])
     return struct.pack("<I", len(raw)) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
@@ -107,7 +107,8 @@ def expand(body: bytes) -> list[np.ndarray]:
     out, at = [], 1 + 5 * raw[0]
     for n, width in heads:
         wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :width] = np.frombuffer(raw, np.uint8, count=n * width, offset=at).reshape(width, n).T
+        for i, plane in enumerate(np.frombuffer(raw, np.uint8, count=n * width, offset=at).reshape(width, n)):
+            wide[:, i] = plane
         out.append(wide.view("<u8").reshape(n))
         at += n * width
     return out
