@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 #: Lines that a file may have to be handled by one task.
 LONG_FILE = 1_000_000
+#: Rows that a task gets of a table that dealt() deals.
+TASK_ROWS = 250_000
 HOW = {"max": F.max, "sum": F.sum}
 
 
@@ -69,6 +71,17 @@ def places(rows: DataFrame, name: str, page: str, *order: str, file: str = "sour
     return rows.join(above.drop("scan_rows"), [file, page]).withColumn(name, F.col("scan_above") + inside).drop("scan_above")
 
 
+def dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """``table``, as read from files, dealt by ``keys`` to as many tasks as keep each at some TASK_ROWS rows.
+
+    Its rows are counted, which reads footers alone. An exchange that Spark plans by itself is
+    merged to tasks of 64 MB as written, which may be millions of small rows to sort; a given
+    number of tasks stays. Windows and groups by these or more columns need no other exchange.
+    """
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+    return table.repartition(tasks, *keys)
+
+
 def needed_block(rows: DataFrame, file: str = "source_file") -> int | None:
     """BLOCK where a file has more rows than one task should sort, else None; ``rows`` are a written table."""
     longest = rows.groupBy(file).count().agg(F.max("count")).first()[0]

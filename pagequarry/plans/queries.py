@@ -715,10 +715,11 @@ BOXES = """boxes AS (SELECT l_suppkey AS source_file, l_linenumber AS page_index
 
 
 def boxes(spark, sf_dir) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate"))
+    n = F.row_number().over(Window.partitionBy("source_file", "page_index").orderBy("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate"))
     d, t, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("source_file"), F.col("l_linenumber").alias("page_index"), n.cast("long").alias("line_in_page"),
+    l = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_suppkey": "source_file", "l_linenumber": "page_index"})  # noqa: E741
+    return scans.dealt(l, "source_file", "page_index").select(
+        "source_file", "page_index", n.cast("long").alias("line_in_page"),
         (d * 5).alias("left_ratio"), F.least(F.lit(1.0), d * 5 + 0.05 + t * 5).alias("right_ratio"), (q / 60).alias("top_ratio"),
         F.least(F.lit(1.0), q / 60 + 0.03).alias("bottom_ratio"), (F.col("l_partkey") % 200).alias("index"), "l_returnflag"
     )
