@@ -62,12 +62,14 @@ def inferred(candidates: DataFrame, expected: str = "expected_count", file: str
     """
     c = candidates.where((F.col("index") > 0) & (F.col(expected) > 0)).select(file, expected, F.col("index").cast("long").alias("index")).distinct()
     size = F.col(expected).cast("long")
-    starts = c.select(file, expected, F.explode(F.array(F.col("index"), F.col("index") - size)).alias("s")).where("s > 0").distinct()
-    ends = F.explode(F.array(F.struct((F.col("s") - 1).alias("at"), F.lit(1).alias("kind")), F.struct((F.col("s") + size - 1).alias("at"), F.lit(2).alias("kind"))))
-    points = c.select(file, expected, F.col("index").alias("at"), F.lit(0).alias("kind"), F.col("index").alias("number"), F.lit(None).cast("long").alias("s"))
-    points = points.unionByName(
-        starts.select("*", ends.alias("e")).select(file, expected, "e.at", "e.kind", F.lit(None).cast("long").alias("number"), "s")
+    # the number itself, and both ends of its two ranges; a start that two numbers give counts once, as its rows are grouped
+    point = lambda at, kind, number, s: F.struct(
+        at.alias("at"), F.lit(kind).alias("kind"), number.cast("long").alias("number"), s.cast("long").alias("s")
     )
+    none, each = F.lit(None), [point(F.col("index"), 0, F.col("index"), F.lit(None))]
+    for s in (F.col("index"), F.col("index") - size):
+        each += [point(s - 1, 1, none, s), point(s + size - 1, 2, none, s)]
+    points = c.select(file, expected, F.explode(F.array(*each)).alias("e")).select(file, expected, "e.*").where("kind = 0 OR s > 0")
     of = Window.partitionBy(file, expected)
     upto = of.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = of.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -49,10 +49,11 @@ spans AS (SELECT *, sum(accepted::INT) OVER (PARTITION BY source_file ORDER BY p
 
 
 def numbered_lines(spark, sf_dir) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ORDER))
+    # named before it is dealt, so that windows by file need no other exchange
+    l = scans.dealt(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "source_file"), "source_file")  # noqa: E741
+    pos = F.row_number().over(Window.partitionBy("source_file").orderBy(*ORDER))
     return l.select(
-        F.col("l_suppkey").alias("source_file"), pos.cast("long").alias("pos"),
+        "source_file", pos.cast("long").alias("pos"),
         F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 200).alias("index"),
         F.col("l_linenumber").cast("string").alias("text")
     )

@@ -1,6 +1,6 @@
 """Tasks of the windows over lines, boxes and keys are as many as their rows ask for, after one exchange."""
 
-from pagequarry.operators import scans
+from pagequarry.operators import ranges, scans
 from pagequarry.plans.queries import QUERIES, table
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,15 @@ def test_dealt_keeps_rows_together(spark, monkeypatch):
 def test_reading_order_is_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(scans, "TASK_ROWS", 400)
     dealt_once(spark, "reading_order", "lineitem")
+
+
+def test_range_inference_is_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(scans, "TASK_ROWS", 400)
+    # nor are the numbers found twice, for themselves and for the ranges that they start
+    dealt_once(spark, "range_infer", "lineitem")
+
+
+def test_starts_that_two_numbers_give_count_once(spark):
+    # 6 gives the start 6, and so does 11, 5 places on
+    x = spark.createDataFrame([("a", n, 5) for n in (6, 7, 8, 8, 11)], "source_file string, index int, expected_count int")
+    assert [tuple(r) for r in ranges.inferred(x).collect()] == [("a", 6, 10, 3)]
