@@ -10,33 +10,29 @@ from pagequarry.functions.text import inference_type, split_choices, split_token
 
 def tokens(keys: DataFrame, text: str = "key_text") -> DataFrame:
     """One row for each token of each key (``key_id``), and whether the key maps numbers to answers: any token has a colon."""
-    split = keys.withColumn("all", split_tokens(text))
-    exploded = split.select(
-        "key_id", F.exists("all", lambda t: t.contains(":")).alias("maps"), F.posexplode("all").alias("at", "token"),
-        F.forall("all", lambda t: t == "").alias("blank")
+    # what is asked of all tokens is asked once a key, below the explosion
+    split = keys.select("key_id", split_tokens(text).alias("all")).select(
+        "key_id", "all", F.exists("all", lambda t: t.contains(":")).alias("maps"), F.forall("all", lambda t: t == "").alias("blank")
     )
-    return exploded.where("NOT blank").drop("blank")
+    return split.where("NOT blank").select("key_id", "maps", F.posexplode("all").alias("at", "token"))
 
 
 def parsed(keys: DataFrame, text: str = "key_text") -> DataFrame:
     """Every token's number, answers and error: 'format', 'number', 'answer' (the row stays) or null.
 
     A list counts blank tokens, so a line feed at its end is one more unanswered question.
+    Both kinds of keys are read in one pass.
     """
-    t = tokens(keys, text)
-    parts = F.split("token", ":", 2)
+    t = tokens(keys, text).where("NOT maps OR token <> ''")
+    maps, parts = F.col("maps"), F.split("token", ":", 2)
     number = try_int(parts[0])
-    mapped = t.where("maps AND token <> ''").select(
+    read = t.select(
         "key_id", "at", "token",
-        F.when(F.size(parts) < 2, "format").when(F.coalesce(number, F.lit(0)) <= 0, "number").alias("error"),
-        number.alias("index"), F.when(F.size(parts) >= 2, split_choices(F.get(parts, F.lit(1)))).alias("answers")
+        F.when(maps, F.when(F.size(parts) < 2, "format").when(F.coalesce(number, F.lit(0)) <= 0, "number")).alias("error"),
+        F.when(maps, number).otherwise(F.col("at") + 1).alias("index"),
+        split_choices(F.when(maps, F.get(parts, F.lit(1))).otherwise(F.col("token"))).alias("answers")
     )
-    listed = t.where("NOT maps").select(
-        "key_id", "at", "token", F.lit(None).cast("string").alias("error"), (F.col("at") + 1).alias("index"),
-        split_choices("token").alias("answers")
-    )
-    both = mapped.unionByName(listed)
-    return both.withColumn(
+    return read.withColumn(
         "error",
         F.when(F.col("error").isNull() & (F.size("answers") == 0) & F.col("token").contains(":"), "answer").otherwise(F.col("error"))
     )
@@ -52,8 +48,9 @@ def answer_map(keys: DataFrame, text: str = "key_text") -> DataFrame:
 
 
 def key_errors(keys: DataFrame, text: str = "key_text") -> DataFrame:
-    """(key_id, at, token, error): what parsed() reports, and 'duplicate' for a number that came before."""
-    p = parsed(keys, text)
-    seen = F.row_number().over(Window.partitionBy("key_id", "index").orderBy("at"))
-    good = p.where("error IS NULL OR error = 'answer'").withColumn("n", seen).where("n > 1").withColumn("error", F.lit("duplicate"))
-    return p.where("error IS NOT NULL").select("key_id", "at", "token", "error").unionByName(good.select("key_id", "at", "token", "error"))
+    """(key_id, at, token, error): what parsed() reports, and 'duplicate' for a number that came before; a token may have both."""
+    p = parsed(keys, text).select("key_id", "at", "token", "error", "index", F.coalesce("error", F.lit("answer")).eqNullSafe("answer").alias("good"))
+    seen = F.row_number().over(Window.partitionBy("key_id", "good", "index").orderBy("at"))
+    again = F.when(F.col("good") & (F.col("n") > 1), "duplicate")
+    errors = F.filter(F.array(F.col("error"), again), lambda e: e.isNotNull())
+    return p.withColumn("n", seen).select("key_id", "at", "token", F.explode(errors).alias("error"))

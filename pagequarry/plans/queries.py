@@ -388,7 +388,8 @@ def order_keys(spark, sf_dir) -> DataFrame:
         k == 0, F.concat(n, F.lit(":3| 4"))
     ).when(k == 1, F.concat(n, F.lit(":"))).when(k == 2, "x:3").when(k == 3, "7").otherwise(F.concat(n, F.lit(": abc ")))
     sep = F.when(F.col("key_id") % 2 == 0, ";").otherwise(",")
-    x = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key_id"), "o_orderkey", t.alias("t")).groupBy("key_id").agg(
+    orders = scans.dealt(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "key_id"), "key_id")
+    x = orders.select("key_id", "o_orderkey", t.alias("t")).groupBy("key_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))), lambda r: r["t"]).alias("ts")
     )
     return x.select(

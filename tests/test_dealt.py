@@ -1,6 +1,6 @@
 """Tasks of the windows over lines, boxes and keys are as many as their rows ask for, after one exchange."""
 
-from pagequarry.operators import ranges, scans
+from pagequarry.operators import answers, ranges, scans
 from pagequarry.plans.queries import QUERIES, table
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +41,15 @@ def test_starts_that_two_numbers_give_count_once(spark):
     # 6 gives the start 6, and so does 11, 5 places on
     x = spark.createDataFrame([("a", n, 5) for n in (6, 7, 8, 8, 11)], "source_file string, index int, expected_count int")
     assert [tuple(r) for r in ranges.inferred(x).collect()] == [("a", 6, 10, 3)]
+
+
+def test_keys_are_read_once(spark, monkeypatch):
+    monkeypatch.setattr(scans, "TASK_ROWS", 100)
+    for name in ("answer_key_errors", "answer_key_parse"):
+        dealt_once(spark, name, "orders")
+
+
+def test_a_token_may_have_two_errors(spark):
+    x = spark.createDataFrame([(1, "1:3,1:,x,0:1,,1:2|"), (2, "3,,4"), (3, " , ;"), (4, None)], "key_id long, key_text string")
+    want = [(1, 1, "1:", "answer"), (1, 1, "1:", "duplicate"), (1, 2, "x", "format"), (1, 3, "0:1", "number"), (1, 5, "1:2|", "duplicate")]
+    assert sorted(tuple(r) for r in answers.key_errors(x).collect()) == want
