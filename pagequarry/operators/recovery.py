@@ -19,7 +19,7 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 from pagequarry.functions import text as T
 from pagequarry.functions.text import hangul_count, utrim
 from pagequarry.operators.headings import code_like, continues, disallowed, marked, plausible
-from pagequarry.operators.scans import running
+from pagequarry.operators.scans import dealt, running, tasks_for
 from pagequarry.operators.segments import accept_rising, positioned
 from pagequarry.session import settle
 
@@ -193,7 +193,8 @@ def recover(
     files in which something is found lose those beyond the bounds. As the numbers rise, what
     is found between two headings does not depend on the rest of the file, so each gap is a
     group of its own, with the lines of it that qualify. A line without a left edge starts at 0.
-    ``block`` is that of scans.running(): without it a file is positioned by one task.
+    ``block`` is that of scans.running(): without it a file is positioned by one task. What is
+    written in between is dealt to as many tasks as its rows ask for.
     """
     placed = lines if "pos" in lines.columns else positioned(lines, block)
     if markers is None:
@@ -203,12 +204,15 @@ def recover(
     place = {"pos": F.col("pos").cast("long"), "left_ratio": F.coalesce("left_ratio", F.lit(0.0))}
     found = settle(clues(read, low, high).withColumns(place), "recovery-clues")
     if markers is None:
-        found = settle(with_markers(found, block), "recovery-lines")
+        found = settle(with_markers(found if block else dealt(found, "source_file"), block), "recovery-lines")
+    tasks = tasks_for(found)
     marker = F.when(F.col("index").between(F.col("low"), F.col("high")), F.col("pos"))
-    inside = running(found, {"after": ("max", marker)}, block=block).where("after IS NULL OR pos > after")
+    by_file = found if block else found.repartition(tasks, "source_file")
+    inside = running(by_file, {"after": ("max", marker)}, block=block).where("after IS NULL OR pos > after")
     # as the key of a join, before any place that a line may have
     gaps = gaps_of(found).withColumn("after", F.coalesce("after", F.lit(-1)))
-    x = inside.withColumn("after", F.coalesce("after", F.lit(-1))).join(gaps, ["source_file", "after"])
+    gap = ["source_file", "after"]
+    x = inside.withColumn("after", F.coalesce("after", F.lit(-1))).repartition(tasks, *gap).join(gaps.repartition(tasks, *gap), gap)
     line = F.struct("pos", "left_ratio", "shown", "score")
     each = x.where("score IS NOT NULL OR shown > above AND shown < below").groupBy(
         "source_file", "after", "left", "above", "below", "closed"

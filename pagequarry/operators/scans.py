@@ -71,15 +71,19 @@ def places(rows: DataFrame, name: str, page: str, *order: str, file: str = "sour
     return rows.join(above.drop("scan_rows"), [file, page]).withColumn(name, F.col("scan_above") + inside).drop("scan_above")
 
 
+def tasks_for(table: DataFrame) -> int:
+    """How many tasks keep each at some TASK_ROWS rows of ``table``, as read from files; the count reads footers alone."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+
+
 def dealt(table: DataFrame, *keys: str) -> DataFrame:
-    """``table``, as read from files, dealt by ``keys`` to as many tasks as keep each at some TASK_ROWS rows.
+    """``table`` dealt by ``keys`` to tasks_for() it.
 
-    Its rows are counted, which reads footers alone. An exchange that Spark plans by itself is
-    merged to tasks of 64 MB as written, which may be millions of small rows to sort; a given
-    number of tasks stays. Windows and groups by these or more columns need no other exchange.
+    An exchange that Spark plans by itself is merged to tasks of 64 MB as written, which may
+    be millions of small rows to sort; a given number of tasks stays. Windows and groups by
+    these or more columns need no other exchange.
     """
-    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
-    return table.repartition(tasks, *keys)
+    return table.repartition(tasks_for(table), *keys)
 
 
 def needed_block(rows: DataFrame, file: str = "source_file") -> int | None:

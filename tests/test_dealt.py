@@ -1,7 +1,8 @@
 """Tasks of the windows over lines, boxes and keys are as many as their rows ask for, after one exchange."""
 
-from pagequarry.operators import answers, ranges, scans
+from pagequarry.operators import answers, ranges, recovery, scans
 from pagequarry.plans.queries import QUERIES, table
+from pagequarry.session import settle
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +54,19 @@ def test_a_token_may_have_two_errors(spark):
     x = spark.createDataFrame([(1, "1:3,1:,x,0:1,,1:2|"), (2, "3,,4"), (3, " , ;"), (4, None)], "key_id long, key_text string")
     want = [(1, 1, "1:", "answer"), (1, 1, "1:", "duplicate"), (1, 2, "x", "format"), (1, 3, "0:1", "number"), (1, 5, "1:2|", "duplicate")]
     assert sorted(tuple(r) for r in answers.key_errors(x).collect()) == want
+
+
+def test_recovery_is_dealt_by_its_rows(spark, monkeypatch):
+    want = sorted(map(str, QUERIES["gap_markers"](spark, SF).collect()))
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return settle(df, label)
+
+    monkeypatch.setattr(recovery, "settle", noted)
+    monkeypatch.setattr(scans, "TASK_ROWS", 400)
+    assert sorted(map(str, QUERIES["gap_markers"](spark, SF).collect())) == want and want
+    assert {k: p.count("REPARTITION_BY_NUM") for k, p in plans.items()} == {"recovery-clues": 1, "recovery-lines": 1, "recovery-found": 3}
+    # but for each file's headings, which are aggregated before they are sent
+    assert [p.count("ENSURE_REQUIREMENTS") for p in plans.values()] == [0, 0, 1]
