@@ -1,5 +1,7 @@
 """Tasks of the windows over lines, boxes and keys are as many as their rows ask for, after one exchange."""
 
+import pytest
+
 from pagequarry.operators import answers, ranges, recovery, scans
 from pagequarry.plans.queries import QUERIES, table
 from pagequarry.session import settle
@@ -32,10 +34,11 @@ def test_reading_order_is_dealt_once(spark, monkeypatch):
     dealt_once(spark, "reading_order", "lineitem")
 
 
-def test_range_inference_is_dealt_once(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["range_infer", "range_infer_wide"])
+def test_range_inference_is_dealt_once(spark, monkeypatch, name):
     monkeypatch.setattr(scans, "TASK_ROWS", 400)
     # nor are the numbers found twice, for themselves and for the ranges that they start
-    dealt_once(spark, "range_infer", "lineitem")
+    dealt_once(spark, name, "lineitem")
 
 
 def test_starts_that_two_numbers_give_count_once(spark):
