@@ -48,14 +48,14 @@ accepted AS (
 spans AS (SELECT *, sum(accepted::INT) OVER (PARTITION BY source_file ORDER BY pos) AS segment FROM accepted)"""
 
 
-def numbered_lines(spark, sf_dir) -> DataFrame:
+def numbered_lines(spark, sf_dir, headings: bool = False) -> DataFrame:
+    """Lines by their files; with ``headings`` those alone that show a number, and ``pos`` is their place among these."""
     # named before it is dealt, so that windows by file need no other exchange
     l = scans.dealt(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "source_file"), "source_file")  # noqa: E741
+    index = F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 200)
     pos = F.row_number().over(Window.partitionBy("source_file").orderBy(*ORDER))
-    return l.select(
-        "source_file", pos.cast("long").alias("pos"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 200).alias("index"),
-        F.col("l_linenumber").cast("string").alias("text")
+    return (l.where(index.isNotNull()) if headings else l).select(
+        "source_file", pos.cast("long").alias("pos"), index.alias("index"), F.col("l_linenumber").cast("string").alias("text")
     )
 
 
@@ -63,6 +63,12 @@ def candidates(spark, sf_dir) -> DataFrame:
     return segments.accept_rising(numbered_lines(spark, sf_dir)).where("accepted")
 
 
+def accepted_numbers(spark, sf_dir) -> DataFrame:
+    """The numbers of candidates(), for what asks for no places: lines without a number accept none, so they are neither dealt nor sorted."""
+    x = segments.accept_rising(numbered_lines(spark, sf_dir, headings=True)).where("accepted")
+    return x.select("source_file", "index")
+
+
 @query("segments", f"""WITH {LINES}
 SELECT source_file, segment::BIGINT AS segment, max(CASE WHEN accepted THEN index END) AS index, min(pos) AS start_pos,
   max(pos) AS end_pos, count(*) AS n_lines,
@@ -99,7 +105,7 @@ h AS (SELECT s.source_file, s, count(*) AS hits, min(index) AS lo, max(index) AS
 w AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY 1000 * hits - 10 * (lo - s) - (hi - lo) - s DESC, lo, hi - lo, s) AS rn FROM h)
 SELECT source_file, s AS start_index, s + 4 AS end_index, hits FROM w WHERE rn = 1 AND hits >= 2""")
 def q_range_infer(spark, sf_dir):
-    return ranges.inferred(candidates(spark, sf_dir).withColumn("expected_count", F.lit(5)))
+    return ranges.inferred(accepted_numbers(spark, sf_dir).withColumn("expected_count", F.lit(5)))
 
 
 @query("range_infer_wide", f"""WITH {LINES},
@@ -110,7 +116,7 @@ h AS (SELECT s.source_file, s, count(*) AS hits, min(index) AS lo, max(index) AS
 w AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY 1000 * hits - 10 * (lo - s) - (hi - lo) - s DESC, lo, hi - lo, s) AS rn FROM h)
 SELECT source_file, s AS start_index, s + 119 AS end_index, hits FROM w WHERE rn = 1 AND hits >= 2""")
 def q_range_infer_wide(spark, sf_dir):
-    return ranges.inferred(candidates(spark, sf_dir).withColumn("expected_count", F.lit(120)))
+    return ranges.inferred(accepted_numbers(spark, sf_dir).withColumn("expected_count", F.lit(120)))
 
 
 @query("diagnostics", f"""WITH {LINES},
@@ -146,7 +152,7 @@ bad AS (SELECT source_file FROM c WHERE source_file % 2 = 1
   GROUP BY source_file HAVING bool_or(index > 150) OR count(*) FILTER (index BETWEEN 1 AND 150) < 150)
 SELECT source_file, count(*) AS candidates FROM c WHERE source_file NOT IN (SELECT source_file FROM bad) GROUP BY ALL""")
 def q_passing_files(spark, sf_dir):
-    c = candidates(spark, sf_dir).select("source_file", F.col("index").cast("int").alias("index"))
+    c = accepted_numbers(spark, sf_dir).select("source_file", F.col("index").cast("int").alias("index"))
     d = diagnostics.diagnose(c.withColumns({"start_index": F.when(F.col("source_file") % 2 == 1, 1), "end_index": F.lit(150)}))
     return diagnostics.passing(c.groupBy("source_file").agg(F.count("*").alias("candidates")), d)
 

@@ -41,6 +41,14 @@ def test_range_inference_is_dealt_once(spark, monkeypatch, name):
     dealt_once(spark, name, "lineitem")
 
 
+@pytest.mark.parametrize("name", ["range_infer", "range_infer_wide", "passing_files"])
+def test_only_lines_with_numbers_are_dealt(spark, name):
+    # a task that writes to many others holds all that it sends
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    sent = plan.split("REPARTITION_BY_NUM")[1:]
+    assert sent and all("Filter" in x.split("Scan")[0] for x in sent)
+
+
 def test_starts_that_two_numbers_give_count_once(spark):
     # 6 gives the start 6, and so does 11, 5 places on
     x = spark.createDataFrame([("a", n, 5) for n in (6, 7, 8, 8, 11)], "source_file string, index int, expected_count int")
