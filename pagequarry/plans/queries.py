@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as T
@@ -48,14 +48,17 @@ accepted AS (
 spans AS (SELECT *, sum(accepted::INT) OVER (PARTITION BY source_file ORDER BY pos) AS segment FROM accepted)"""
 
 
+def shown_number() -> Column:
+    return F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 200)
+
+
 def numbered_lines(spark, sf_dir, headings: bool = False) -> DataFrame:
     """Lines by their files; with ``headings`` those alone that show a number, and ``pos`` is their place among these."""
     # named before it is dealt, so that windows by file need no other exchange
     l = scans.dealt(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "source_file"), "source_file")  # noqa: E741
-    index = F.when(F.col("l_returnflag") == "R", F.col("l_partkey") % 200)
     pos = F.row_number().over(Window.partitionBy("source_file").orderBy(*ORDER))
-    return (l.where(index.isNotNull()) if headings else l).select(
-        "source_file", pos.cast("long").alias("pos"), index.alias("index"), F.col("l_linenumber").cast("string").alias("text")
+    return (l.where(shown_number().isNotNull()) if headings else l).select(
+        "source_file", pos.cast("long").alias("pos"), shown_number().alias("index"), F.col("l_linenumber").cast("string").alias("text")
     )
 
 
@@ -64,9 +67,19 @@ def candidates(spark, sf_dir) -> DataFrame:
 
 
 def accepted_numbers(spark, sf_dir) -> DataFrame:
-    """The numbers of candidates(), for what asks for no places: lines without a number accept none, so they are neither dealt nor sorted."""
-    x = segments.accept_rising(numbered_lines(spark, sf_dir, headings=True)).where("accepted")
-    return x.select("source_file", "index")
+    """The numbers of candidates(), for what asks for no places: lines without a number accept none, so they are neither dealt nor sorted.
+
+    A number that was there before is not accepted. So where a file is too long for one task,
+    it gets no lines, but each number's first place, which is aggregated before it is sent.
+    """
+    lineitem = table(spark, sf_dir, "lineitem")
+    shown = lineitem.withColumnRenamed("l_suppkey", "source_file").withColumn("index", shown_number()).where("index IS NOT NULL")
+    if scans.needed_block(shown) is None:
+        x = numbered_lines(spark, sf_dir, headings=True)
+    else:
+        first = shown.groupBy("source_file", "index").agg(F.min(F.struct(*ORDER)).alias("pos"))
+        x = first.repartition(scans.tasks_for(lineitem), "source_file")
+    return segments.accept_rising(x).where("accepted").select("source_file", "index")
 
 
 @query("segments", f"""WITH {LINES}

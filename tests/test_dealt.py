@@ -1,5 +1,7 @@
 """Tasks of the windows over lines, boxes and keys are as many as their rows ask for, after one exchange."""
 
+import re
+
 import pytest
 
 from pagequarry.operators import answers, ranges, recovery, scans
@@ -49,6 +51,18 @@ def test_only_lines_with_numbers_are_dealt(spark, name):
     assert sent and all("Filter" in x.split("Scan")[0] for x in sent)
 
 
+@pytest.mark.parametrize("name", ["range_infer", "range_infer_wide", "passing_files"])
+def test_long_files_send_first_places_alone(spark, monkeypatch, name):
+    want = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(scans, "LONG_FILE", 100)
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # no lines are sorted by their places, and what is dealt by file are the numbers of files
+    assert "Sort [source_file" in plan and not re.search(r"l_linenumber#\d+ ASC", plan)
+    assert all("partial_min(struct" in x for x in plan.split("REPARTITION_BY_NUM")[1:])
+    assert sorted(map(str, df.collect())) == want and want
+
+
 def test_starts_that_two_numbers_give_count_once(spark):
     # 6 gives the start 6, and so does 11, 5 places on
     x = spark.createDataFrame([("a", n, 5) for n in (6, 7, 8, 8, 11)], "source_file string, index int, expected_count int")
